@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, simhash, token_counts
+from . import decontaminate, exact_dedup, language, mixing, simhash, token_counts
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "window", "matched", "doc_at")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_token_counts, op8_language, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_token_counts, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -33,9 +33,10 @@ from .common import ascii_lower, id_crc, stored, text_of
 
 KEYS_PER_PART = 2048
 KEYS_PER_BUCKET = 4
-#: Tries of the first displacement before a part is rejected; with part sizes
-#: of 2048 the first try nearly always works.
-FIRST_DISPLACEMENTS = 4096
+#: Values of the first displacement.  Each deals a bucket's keys anew; only the
+#: last buckets of a part need more than a few.
+FIRST_DISPLACEMENTS = 1 << 16
+PRIME = 2**31 - 1
 #: Repeated rows are written out again in blocks of so many.
 REPEATS = 10_000
 
@@ -57,7 +58,7 @@ def with_part(df: DataFrame, parts: int) -> DataFrame:
 
 
 def displace(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, two displacements and slot of each key: slot = (h1 + d0*h2 + d1) mod n."""
+    """Bucket, two displacements and slot of each key: slot = ((h1 + d0*h2) mod PRIME + d1) mod n."""
     n = len(h0)
     bucket = h0 % max(1, -(-n // KEYS_PER_BUCKET))
     order = np.argsort(bucket, kind="stable")
@@ -66,17 +67,17 @@ def displace(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray
     groups.sort(key=lambda g: (-len(g), int(bucket[g[0]])))
     free = np.ones(n, dtype=bool)
     d0, d1, slot = (np.zeros(n, dtype=np.int64) for _ in range(3))
-    a, b = h1 % n, h2 % n
+    a, b = h1 % PRIME, h2 % PRIME
     shifts = np.arange(n)
     cursor = 0
     for keys in groups:
         if len(keys) == 1:
             while not free[cursor]:
                 cursor += 1
-            first, second, at = 0, (cursor - a[keys[0]]) % n, np.array([cursor])
+            first, second, at = 0, (cursor - a[keys[0]] % n) % n, np.array([cursor])
         else:
             for first in range(FIRST_DISPLACEMENTS):
-                base = (a[keys] + first * b[keys]) % n
+                base = (a[keys] + first * b[keys]) % PRIME % n
                 if len(set(base.tolist())) < len(keys):
                     continue
                 fits = free[(base[:, None] + shifts[None, :]) % n].all(axis=0)
@@ -116,8 +117,8 @@ def lookup(index: DataFrame, parts: int, digests: DataFrame) -> DataFrame:
     slots = index.select("part", "slot", F.col("digest").alias("slot_digest"), F.col("winner").alias("slot_winner"), F.col("members").alias("slot_members"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("keys") / KEYS_PER_BUCKET))
     found = with_part(digests, parts).join(sizes, "part", "left").withColumn("bucket", F.col("h0") % buckets).join(seeds, ["part", "bucket"], "left")
-    keys = F.col("keys")
-    found = found.withColumn("slot", ((F.col("h1") % keys) + (F.col("d0") * (F.col("h2") % keys)) % keys + F.col("d1")) % keys).join(slots, ["part", "slot"], "left")
+    spread = (F.col("h1") % PRIME + F.col("d0") * (F.col("h2") % PRIME)) % PRIME
+    found = found.withColumn("slot", (spread % F.col("keys") + F.col("d1")) % F.col("keys")).join(slots, ["part", "slot"], "left")
     same = F.col("slot_digest") == F.col("digest")
     return found.select(*digests.columns, F.when(same, F.col("slot_digest")).alias("slot_digest"), F.when(same, F.col("slot_winner")).alias("slot_winner"), F.when(same, F.col("slot_members")).alias("slot_members"))
 

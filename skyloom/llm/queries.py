@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, personal_data, simhash, token_counts
+from . import decontaminate, exact_dedup, language, mixing, personal_data, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "window", "matched", "doc_at")
@@ -37,6 +41,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_personal_data, op5_token_counts, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_personal_data, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -48,7 +48,7 @@ THRESHOLD = 0.3
 TOXIC, CLEAN = 1500, 2500
 LANDMARKS, GRAMS = 64, (4, 9)
 #: A landmark stands in toxic documents in this share of its occurrences at least, and covers so many that no earlier one does (or so many for each toxic document).
-PRECISION, COVERS, COVERED = 0.95, 4, 0.015
+PRECISION, COVERS, COVERED = 0.95, 6, 0.015
 WINDOW, OVERLAP = 32, 12
 #: Score from which a toxic document's sentences are toxic, apart from its highest.
 NEAR = 0.5

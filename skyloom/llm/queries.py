@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, personal_data, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, language, mixing, personal_data, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_personal_data, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_personal_data, op4_html_text, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, personal_data, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, language, licenses, mixing, personal_data, simhash, token_counts, toxicity
 from .common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_personal_data, op4_html_text, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_personal_data, op4_html_text, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup)}
 
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

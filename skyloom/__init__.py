@@ -1,0 +1 @@
+"""Spark-first analytics for recorded flight missions."""

@@ -1,0 +1,23 @@
+"""Schemas of the tables that operators exchange.  Absent values are null everywhere; NaN and 0 stand for them at sinks only."""
+
+from __future__ import annotations
+
+TELEMETRY = "track_id string, ord long, t double, lat double, lon double, alt double, rel_alt double, yaw double, pitch double, roll double"
+VIDEO = "path string, width int, height int, fps double, duration_s double, n_frames long"
+FRAMES = "track_id string, index long, src_index long, t double, path string, lat double, lon double, alt double"
+FRAME_QUALITY = "track_id string, index long, t double, path string, varlap double, clip_low double, clip_high double, accepted boolean, keyframe boolean"
+POSES = "name string, rotation array<array<double>>, center array<double>, lat double, lon double, alt double"
+INTRINSICS = "model string, width int, height int, params array<double>"
+SIMILARITY = "scale double, rotation array<array<double>>, translation array<double>"
+POINTS = "x double, y double, z double, r short, g short, b short"
+DETECTIONS = "frame string, label string, score double, x0 double, y0 double, x1 double, y1 double, width int, height int"
+DEPTH = "frame string, u int, v int, d double"
+RASTER = "row int, col int, z double"
+VERTICES = "vertex long, x double, y double, z double"
+FACES = "a long, b long, c long"
+CRS = "epsg int, zone int, hemisphere string, derived_from string"
+INPUTS = "run string, path string, role string, sha256 string, bytes long, present boolean"
+STAGE_RECORDS = "run string, stage string, status string, environment string, started string, ended string, wall double, inputs_hash string, params_hash string, outputs_hash string, degraded_reason string, confidence double, params map<string,string>, outputs map<string,string>, metrics map<string,double>"
+TIERS = "stage string, ord int, level int, name string, available boolean, note string"
+MODELS = "name string, task string, license string, runtimes array<string>, version string, sha256 string, source string, vram_gb double, reference_only boolean, notes string"
+CHECKPOINTS = "lat double, lon double, alt double"

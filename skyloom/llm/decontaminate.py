@@ -6,7 +6,7 @@ stand in the document, at least ``MATCHES`` of them (similarity 0.8) at their
 place; items shorter than the window must match as a whole, at the same
 similarity.
 
-Candidates come from fixed masks that look at some word positions and ignore
+Words are compared by their 64-bit hashes.  Candidates come from fixed masks that look at some word positions and ignore
 the others.  The three long masks are lossless: whichever two of 13 words are
 exchanged, one of the masks fits somewhere within the window without touching
 either.  Items of 5 to 12 words use five masks over five words, each ignoring
@@ -32,7 +32,6 @@ empty tables give no rows.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +42,14 @@ WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
 #: Word offsets that a mask looks at.
 LONG_MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 2, 3, 5, 8, 9), (0, 1, 3, 6, 7, 8, 10))
 SHORT_MASKS = tuple(tuple(o for o in range(SHORTEST) if o != left) for left in range(SHORTEST))
+#: More words than any text has.
+FAR = 1 << 32
+#: Places of a text that are looked up as one row, and words that stand around them.
+CHUNK, MARGIN = 2000, 32
+#: Of hits in a row, each so many-th is verified.
+STRIDE = 8
+#: Words around a hit: any window that holds its mask, or that of one of the hits it answers for.
+REACH = -WINDOW, WINDOW + STRIDE
 #: A seed row is three numbers; so many take about 100 MB in an executor.
 BLOCK_SEEDS = 1_000_000
 
@@ -62,35 +69,64 @@ def _seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     return rows.where("h is not null")
 
 
+def _score(matched: Column, doc_at: Column) -> Column:
+    """One number that is larger the more words match, and then the earlier they stand."""
+    return matched.cast("long") * FAR + (FAR - 1 - doc_at)
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Documents of key, words in rows of CHUNK places: key, from_word (number of the first word here), places (where the chunk's own begin and end), words.
+
+    Before a stage's generated code passes rows on it gathers all that come
+    from one input row, so that row has to be of bounded size.  The
+    transform, which turns words into their hashes, ends the generated stage.
+    """
+    starts = docs.select("key", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(CHUNK))).alias("start"))
+    lo = F.greatest(F.lit(0), F.col("start") - MARGIN)
+    hi = F.least(F.col("n"), F.col("start") + CHUNK + MARGIN)
+    return starts.select("key", lo.alias("from_word"), (F.col("start") - lo).alias("first"), (F.least(F.col("n"), F.col("start") + CHUNK) - lo).alias("end"), F.transform(F.slice("words", lo + 1, hi - lo), lambda w: F.xxhash64(w)).alias("words"))
+
+
 def _hits(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """Verified hits of documents with the columns of key, words: key, item_id, window, matched, doc_at, item_at."""
-    least = min(m[-1] for m in masks) + 1
-    # No filter on the size: it would be pushed below and cut the text a second time.
-    places = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))
-    placed = docs.select("key", "words", F.explode(places).alias("at"))
+    """Verified hits of documents with the columns of key, words: key, item_id, window, score.
+
+    The look-up is one generated stage, kept small enough to be compiled; what
+    leaves it are the words around a hit.  Of several hits of one mask in a
+    row on one diagonal the first is taken and every STRIDE-th, which then
+    answer for the windows of those between.
+    """
+    chunked = _chunks(docs)
+    placed = chunked.select("key", "from_word", "words", F.explode(F.when(F.col("first") < F.col("end"), F.sequence(F.col("first"), F.col("end") - 1))).alias("at"))
     # A mask that runs over the text's end hashes nulls, which no seed does.
-    hashed = placed.select("key", "words", "at", F.explode(F.array(*(_hash("words", F.col("at"), m, i) for i, m in enumerate(masks)))).alias("h"))
-    met = hashed.join(F.broadcast(_seeds(items, masks)), "h").join(F.broadcast(items), "item_key")
-    # Hits of one mask in a row on one diagonal tell the same: only the first is verified.
-    before = F.lit(False)
-    for i, mask in enumerate(masks):
-        same = reduce(and_, (F.get("words", F.col("at") - 1 + o).eqNullSafe(F.get("item", F.col("item_at") - 1 + o)) for o in mask))
-        before = before | ((F.col("mask") == i) & (F.col("item_at") > 0) & (F.col("at") > 0) & F.when((F.col("item_at") > 0) & (F.col("at") > 0), same).otherwise(False))
-    met = met.where(~before)
-    diagonal = F.col("at") - F.col("item_at")
-    lo = F.greatest(F.lit(0), -diagonal)
-    hi = F.least(F.size("item"), F.size("words") - diagonal)
+    hashed = placed.select("key", "from_word", "words", "at", F.explode(F.array(*(_hash("words", F.col("at"), m, i) for i, m in enumerate(masks)))).alias("h"))
+    met = hashed.join(F.broadcast(_seeds(items, masks)), "h")
+    # Words from REACH[0] before a hit, as far as the text has them.
+    lo = F.greatest(F.lit(REACH[0]), -F.col("at"))
+    hi = F.least(F.lit(REACH[1]), F.size("words") - F.col("at"))
+    around = F.struct((F.col("from_word") + F.col("at")).alias("at"), lo.alias("lo"), F.slice("words", F.col("at") + lo + 1, hi - lo).alias("w"))
+    near = met.select("key", "item_key", "item_at", "mask", F.explode(F.array(around)).alias("a"))
+    near = near.select("key", "item_key", "item_at", "mask", "a.at", "a.lo", F.transform("a.w", lambda w: w).alias("w")).join(F.broadcast(items), "item_key")
+    if masks is LONG_MASKS:
+        # A hit one place earlier on the diagonal: all the words that the mask looks at are the same there as well.
+        before = F.lit(False)
+        for i, mask in enumerate(masks):
+            same = F.lit(True)
+            for o in mask:
+                same = same & F.get("w", o - 1 - F.col("lo")).eqNullSafe(F.get("item", F.col("item_at") + o - 1))
+            before = before | ((F.col("mask") == i) & same)
+        near = near.where((F.col("item_at") % STRIDE == 0) | (F.col("at") == 0) | ~before)
+    shift = F.greatest(F.col("lo"), -F.col("item_at"))
+    length = F.least(F.size("w") - (shift - F.col("lo")), F.size("item") - F.col("item_at") - shift)
     window = F.least(F.lit(WINDOW), F.size("item"))
-    rows = met.select("key", "item_id", diagonal.alias("diagonal"), lo.alias("lo"), window.alias("window"), (hi - lo).alias("span"), F.zip_with(F.slice("item", lo + 1, hi - lo), F.slice("words", lo + diagonal + 1, hi - lo), lambda a, b: (a == b).cast("int")).alias("same")).where("span >= window")
-    sums = F.transform(F.sequence(F.lit(1), F.col("span") - F.col("window") + 1), lambda k: F.struct(F.aggregate(F.slice("same", k, F.col("window")), F.lit(0), lambda a, x: a + x).alias("matched"), (-k).alias("k")))
-    best = rows.select("key", "item_id", "window", "lo", "diagonal", F.array_max(sums).alias("best"))
-    item_at = F.col("lo") - F.col("best.k") - 1
-    return best.select("key", "item_id", "window", F.col("best.matched").alias("matched"), (item_at + F.col("diagonal")).alias("doc_at"), item_at.alias("item_at")).where(F.col("matched") >= F.ceil(F.col("window") * SIMILARITY))
+    pairs = F.zip_with(F.slice("w", shift - F.col("lo") + 1, length), F.slice("item", F.col("item_at") + shift + 1, length), lambda x, y: (x == y).cast("int"))
+    told = near.select("key", "item_id", window.alias("window"), (F.col("at") + shift).alias("doc_at"), pairs.alias("same"))
+    sums = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("window")), lambda k: _score(F.aggregate(F.slice("same", k + 1, F.col("window")), F.lit(0), lambda t, x: t + x), F.col("doc_at") + k))
+    return told.select("key", "item_id", "window", F.array_max(F.when(F.size("same") >= F.col("window"), sums)).alias("score")).where("score is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
-    """One row per document and item found in it: doc_id, mark (a hash of the text), item_id, window, matched, doc_at and item_at (word offsets of the best window)."""
-    items = stored(benchmark.select("item_id", words(text_of()).alias("item")).where(F.size("item") >= SHORTEST).distinct().withColumn("item_key", F.xxhash64("item")))
+    """One row per document and item found in it: doc_id, mark (a hash of the text), item_id, window, matched, doc_at (word offset of the best window)."""
+    items = stored(benchmark.select("item_id", words(text_of()).alias("item")).where(F.size("item") >= SHORTEST).select("item_id", F.transform("item", lambda w: F.xxhash64(w)).alias("item")).distinct().withColumn("item_key", F.xxhash64("item")))
     keyed = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("mark")).alias("key"), words(text_of()).alias("words"))
     found = []
     for masks, of in ((LONG_MASKS, F.size("item") >= WINDOW), (SHORT_MASKS, F.size("item") < WINDOW)):
@@ -100,10 +136,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK
         for i in range(blocks):
             found.append(_hits(keyed, own.where(F.pmod("item_key", F.lit(blocks)) == i), masks))
     if not found:
-        found = [keyed.select("key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), *(F.lit(0).alias(c) for c in ("window", "matched", "doc_at", "item_at"))).where("false")]
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy("key", "item_id").agg(F.max(F.struct("matched", (-F.col("doc_at")).alias("doc_at"), "window", "item_at")).alias("best"))
-    return best.select("key.doc_id", "key.mark", "item_id", F.col("best.window").alias("window"), F.col("best.matched").alias("matched"), (-F.col("best.doc_at")).alias("doc_at"), F.col("best.item_at").alias("item_at"))
+        found = [keyed.select("key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("window"), F.lit(0).cast("long").alias("score")).where("false")]
+    best = reduce(DataFrame.unionByName, found).groupBy("key", "item_id", "window").agg(F.max("score").alias("score"))
+    matched, rest = F.floor(F.col("score") / FAR).cast("int"), F.pmod(F.col("score"), F.lit(FAR))
+    told = best.select("key.doc_id", "key.mark", "item_id", "window", matched.alias("matched"), (FAR - 1 - rest).cast("int").alias("doc_at"))
+    return told.where(F.col("matched") >= F.ceil(F.col("window") * SIMILARITY))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

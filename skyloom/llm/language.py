@@ -128,6 +128,9 @@ class Model:
 def train(texts: dict[str, list[str]], contexts: int = CONTEXTS) -> Model:
     """Count the trees of each language and freeze them as look-up tables."""
     languages = sorted(texts)
+    if not languages:
+        nothing = np.zeros((1, 1), dtype=np.int64)
+        return Model([], nothing[0], nothing, nothing, nothing, np.zeros((1, 0), dtype=np.float32))
     data = {k: b"".join(map(cleaned, texts[k])) for k in languages}
     seen = sorted({*b"".join(data.values())} | {32})
     n = len(seen) + 1  # the last code is any other byte
@@ -181,8 +184,7 @@ def train(texts: dict[str, list[str]], contexts: int = CONTEXTS) -> Model:
     triples = frequent(3, pairs)
     all_bits = np.concatenate([one, double])
     triple = code_lengths(3, triples, all_bits[two[triples % (n * n)]])
-    three = np.tile(two.reshape(n, n)[None, :, :], (0, 1, 1)) if not len(pairs) else two[(pairs % n)[:, None] * n + np.arange(n)[None, :]]
-    three = three.reshape(-1, n)
+    three = two[(pairs % n)[:, None] * n + np.arange(n)[None, :]].reshape(-1, n)
     where = pair[triples // n] - n
     three[where, triples % n] = n + len(pairs) + np.arange(len(triples))
     bits = np.concatenate([all_bits, triple]).reshape(-1, len(languages)).astype(np.float32)

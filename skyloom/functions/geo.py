@@ -40,7 +40,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Great-circle distance in metres between points in degrees."""
     p, q = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((q - p) / 2), F.lit(2)) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))  # least() would skip a null
 
 
 def utm_zone(lon: Column) -> Column:

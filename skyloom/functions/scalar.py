@@ -32,7 +32,7 @@ def color_scale(largest: Column) -> Column:
 
 def to_byte(value: Column) -> Column:
     """Clipped to 0..255 and cut off, not rounded."""
-    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), value))).cast("short")
+    return F.when(value.isNotNull(), F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), value)))).cast("short")
 
 
 def widened_color(value: Column, largest: Column) -> Column:
@@ -58,17 +58,19 @@ def basename(path: Column) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """min(1, part / whole); 0 without a whole."""
-    return F.coalesce(F.least(F.lit(1.0), F.try_divide(part.cast("double"), F.nullif(whole.cast("double"), F.lit(0.0)))), F.lit(0.0))
+    ratio = F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+    return F.least(F.lit(1.0), ratio)
 
 
 def fit_confidence(sigma: Column, rmse: Column) -> Column:
     """How far a fit's error stays within its expected error."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), sigma / (rmse + 1e-6)))
+    ratio = sigma / (rmse + 1e-6)
+    return F.when(ratio.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)))
 
 
 def without(fraction: Column) -> Column:
     """1 - min(1, fraction)"""
-    return 1 - F.least(F.lit(1.0), fraction)
+    return F.when(fraction.isNotNull(), 1 - F.least(F.lit(1.0), fraction))
 
 
 def blend(measured: Column, cap: Column) -> Column:

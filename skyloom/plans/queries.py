@@ -215,7 +215,7 @@ def _asof(off: float) -> Query:
 query(_ASOF.format(track=fx.TRACK, probes=fx.PROBES, off="0e0"), "asof_lerp")(_asof(0.0))
 query(_ASOF.format(track=fx.TRACK, probes=fx.PROBES, off="1234.5e0"), "asof_lerp_offset")(_asof(1234.5))
 
-HAVERSINE = "2 * 6371008.8e0 * asin(least(1e0, sqrt(power(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({e} - {b}) / 2), 2))))"
+HAVERSINE = "2 * 6371008.8e0 * asin(sqrt(power(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({e} - {b}) / 2), 2)))"
 
 
 @query(f"WITH {fx.TRACK} SELECT a.track_id, a.ord FROM track a WHERE EXISTS (SELECT 1 FROM track b WHERE b.track_id = a.track_id AND b.ord >= a.ord + 5 AND {HAVERSINE.format(a='a.lat', b='a.lon', c='b.lat', e='b.lon')} <= 500e0)")

@@ -157,17 +157,26 @@ def exact_dedup(docs: DataFrame, history_share: int = 2) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns and whole rows."""
+    """The documents that stay, with their own columns and whole rows.
+
+    Texts are shuffled once.  Where rows repeat both the winning id and its
+    text, any one of them stays; only then are these rows read again.
+    """
     key = "__skyloom_digest"
+    plain = [docs[c] for c in docs.columns]
     marked = docs.withColumn(key, digest_of())
-    rows = marked.select("doc_id", F.col(key).alias("digest"), (id_crc() % 2 == 0).alias("old"))
-    decided = groups(rows.where("not old"), rows.where("old"))
-    several = decided.where("members > 1").select(F.col("digest").alias("__skyloom_d"), F.col("winner").alias("__skyloom_w"))
-    joined = marked.join(several, F.col(key) == F.col("__skyloom_d"), "left")
-    single = joined.where("__skyloom_d is null").select(*(docs[c] for c in docs.columns))
-    # At most the rows with the winning id: one per group unless whole rows repeat.
-    won = joined.where("__skyloom_d is not null and doc_id <=> __skyloom_w").dropDuplicates([key])
-    return single.unionByName(won.select(*(docs[c] for c in docs.columns)))
+    rows = stored(marked.select("doc_id", F.col(key).alias("digest"), (id_crc() % 2 == 0).alias("old")))
+    several = stored(groups(rows.where("not old"), rows.where("old")).where("members > 1").select(F.col("digest").alias("__skyloom_d"), F.col("winner").alias("__skyloom_w")))
+    wins = F.col("doc_id").eqNullSafe(F.col("__skyloom_w"))
+    again = rows.join(several, F.col("digest") == F.col("__skyloom_d")).where(wins).groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = stored(again.select(F.col("digest").alias("__skyloom_r")))
+    known = several.join(again, F.col("__skyloom_d") == F.col("__skyloom_r"), "left")
+    joined = marked.join(known, F.col(key) == F.col("__skyloom_d"), "left")
+    kept = joined.where(F.col("__skyloom_d").isNull() | (F.col("__skyloom_r").isNull() & wins)).select(*plain)
+    if again.isEmpty():
+        return kept
+    repeated = marked.join(several.join(again, F.col("__skyloom_d") == F.col("__skyloom_r")), F.col(key) == F.col("__skyloom_d")).where(wins)
+    return kept.unionByName(repeated.dropDuplicates([key]).select(*plain))
 
 
 ORACLE = """

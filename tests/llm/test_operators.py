@@ -1,0 +1,412 @@
+"""The operators against brute force, planted cases and held-out rows."""
+
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from skyloom.llm import components, decontaminate, exact_dedup, html_text, language, licenses, mixing, personal_data, simhash, token_counts, toxicity
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(sf):
+    return {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+
+
+def table(sf, name):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+# Personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans(texts):
+    rng = np.random.default_rng(1)
+    for alphabet in ("0123456789+@.-() ab%,", "12.-+ ", "a@.b_%", "4111 -"):
+        for _ in range(4000):
+            t = "".join(rng.choice(list(alphabet), rng.integers(0, 50)))
+            assert personal_data.base_spans(t) == plain_spans(t)
+    for t in texts.values():
+        assert personal_data.base_spans(t) == plain_spans(t)
+
+
+def test_added_spans():
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    docs = []
+    for i in range(300):
+        w = [word() for _ in range(30)]
+        w[5] = f"{word()}.{i % 90 + 10}@mail{i % 9}.example.com"
+        w[12] = f"+1 ({rng.integers(200, 900)}) 555-{rng.integers(1000, 9999)}"
+        w[20] = str(rng.integers(1, 3000))
+        docs.append(" ".join(w))
+    field = personal_data.train(docs)
+    for text, wanted in (("write ikl.86@mail2.example.com or ask ikl.86 again", ["ikl.86"]), ("bob.9 [at] mail [dot] example [dot] com is it", ["bob.9 [at] mail [dot] example [dot] com"]), ("no such thing in 1999 or 25 rows", [])):
+        base = personal_data.base_spans(text)
+        assert [text[a:b] for _, a, b in field.added(text, base)] == wanted
+
+
+def test_message_passing_is_exact_on_trees():
+    rng = np.random.default_rng(3)
+    k = len(personal_data.LABELS)
+    for _ in range(20):
+        n = 4
+        graph = personal_data.Nodes([(i, i + 1) for i in range(n)], rng.normal(size=(n, 3)), np.array([[0, 1], [1, 2]]), np.array([[0, 3]]))
+        field = personal_data.Field(rng.normal(size=(3, k)), rng.normal(size=(k, k)), (lambda s: s + s.T)(rng.normal(size=(k, k))))
+        scores = graph.features @ field.unary
+        want = np.zeros((n, k))
+        for y in itertools.product(range(k), repeat=n):
+            p = np.exp(sum(scores[i, y[i]] for i in range(n)) + field.chain[y[0], y[1]] + field.chain[y[1], y[2]] + field.skip[y[0], y[3]])
+            for i in range(n):
+                want[i, y[i]] += p
+        assert np.allclose(field.beliefs(graph), want / want.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+# Token counts
+
+
+def test_token_counts(spark, small, texts):
+    from tokenizers import Tokenizer
+
+    extra = {10**6: "a<|endoftext|>b <|endoftext|>", 10**6 + 1: "don't  \n\n  it's\té́ 12345 \U0001f600!!", 10**6 + 2: "", 10**6 + 3: " " * 500 + "x"}
+    docs = small.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
+    tok = Tokenizer.from_file(token_counts.default_path())
+    want = {i: (len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in {**texts, **extra}.items()}
+    for common in (10, 300_000):
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, most_common=common).collect()}
+        assert got == want
+
+
+# Language
+
+
+def test_language_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = language.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+    assert {r.held_out for r in language.language_id(docs).where("doc_id = 3").collect()} == {zlib.crc32(b"3") % 4 == 2}
+
+
+def tree_length(trees, data):
+    """Code length by walking the counts of one language, with escapes."""
+    total = 0.0
+    for i in range(language.ORDER, len(data)):
+        p, factor = None, 1.0
+        for order in range(language.ORDER, -1, -1):
+            seen = trees[order].get(bytes(data[i - order : i]))
+            if not seen:
+                continue
+            n, d = sum(seen.values()), len(seen)
+            if data[i] in seen:
+                p = factor * seen[data[i]] / (n + d)
+                break
+            factor *= d / (n + d)
+        total -= np.log2(p if p is not None else factor / 256)
+    return total
+
+
+def test_code_lengths_are_exact():
+    samples = {"a": ["the cat sat on the mat", "a cat and a hat"], "b": ["der hund und die katze", "ein hund"]}
+    model = language.train(samples)
+    for text in ("the cat", "hund katze", "xyz zebra", "t", "ça va the"):
+        data = language.cleaned(text)
+        for k, lang in enumerate(model.languages):
+            trees = [{} for _ in range(language.ORDER + 1)]
+            joined = b"".join(map(language.cleaned, samples[lang]))
+            for i in range(language.ORDER, len(joined)):
+                for order in range(language.ORDER + 1):
+                    seen = trees[order].setdefault(joined[i - order : i], {})
+                    seen[joined[i]] = seen.get(joined[i], 0) + 1
+            assert abs(model.lengths([data])[0][k] - tree_length(trees, data)) < 1e-3
+    both = model.lengths([language.cleaned("the cat"), language.cleaned("hund")])
+    assert np.allclose(both[1], model.lengths([language.cleaned("hund")])[0])
+
+
+# SimHash
+
+
+def test_simhash_components(small, texts):
+    shingles = lambda t: (lambda w: [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else [])([x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if x])
+    import xxhash
+
+    prints = {}
+    for i, t in texts.items():
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles(t)]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+    root = {i: i for i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_dedup(small).collect()}
+    assert got == {i: (f"{p:016x}", find(i)) for i, p in prints.items()}
+
+
+def test_links_find_every_pair(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63, 150)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(63, k, replace=False)) for b in base for k in (1, 2, 3, 4)]
+    fps = sorted({*map(int, base), *near})
+    want = {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "loops"])
+def test_components(spark, shape):
+    rng = np.random.default_rng(5)
+    edges = {"chain": [(i, i + 1) for i in range(200)], "star": [(0, i) for i in range(1, 300)], "random": [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(300)], "loops": [(1, 1), (2, 3), (3, 2), (3, 3)]}[shape]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {(n, find(n)) for n in root}
+
+
+# Exact dedup
+
+
+def test_perfect_hash_has_no_gaps():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 40), 500, 2048, 2300]:
+        h = [rng.integers(0, 2**48, n) for _ in range(3)]
+        bucket, d0, d1, slot = exact_dedup.displace(*h)
+        assert sorted(slot) == list(range(n))
+        assert (((h[1] % exact_dedup.PRIME + d0 * (h[2] % exact_dedup.PRIME)) % exact_dedup.PRIME % n + d1) % n == slot).all()
+
+
+def test_exact_groups(small, texts):
+    groups = {}
+    for i, t in texts.items():
+        groups.setdefault(t.translate({c: c + 32 for c in range(65, 91)}), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(small).collect()}
+    assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+
+
+def test_lookup_tells_members_from_others(spark):
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(str(x).encode()).digest()
+    history = spark.createDataFrame([(bytearray(digest(i)), i, 1) for i in range(5000)], "digest binary, winner long, members long")
+    index, parts = exact_dedup.build_index(history)
+    asked = spark.createDataFrame([(bytearray(digest(i)), i) for i in range(4000, 9000)], "digest binary, asked long")
+    for r in exact_dedup.lookup(index, parts, asked).collect():
+        assert r.slot_winner == (r.asked if r.asked < 5000 else None)
+
+
+# Decontamination
+
+
+def brute_contamination(docs, items):
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for (i, d), (k, b) in itertools.product(docs.items(), items.items()):
+        w, v = cut(d), cut(b)
+        if len(v) < decontaminate.SHORTEST:
+            continue
+        n = min(decontaminate.WINDOW, len(v))
+        best = max((sum(x == y for x, y in zip(w[a : a + n], v[c : c + n], strict=True)) for a in range(len(w) - n + 1) for c in range(len(v) - n + 1)), default=0)
+        if best >= np.ceil(n * decontaminate.SIMILARITY):
+            out[i, k] = best
+    return out
+
+
+def test_contamination_with_exchanged_words(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(60)]
+    text = lambda n: list(rng.choice(words, n))
+    items = {k: " ".join(text(int(rng.integers(3, 30)))) for k in range(25)}
+    docs = {}
+    for i in range(120):
+        w = text(int(rng.integers(0, 40)))
+        passage = items[int(rng.integers(0, 25))].split()
+        passage = [x if rng.random() > 0.12 else "zzz" for x in passage[int(rng.integers(0, 3)) :]]
+        docs[i] = " ".join(w[:20] + passage + w[20:])
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = brute_contamination(docs, items)
+    for block in (decontaminate.BLOCK_SEEDS, 200):
+        got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(d, b, block).collect()}
+        assert got == want
+    assert {r.doc_id for r in decontaminate.clean_documents(d, b).collect()} == set(docs) - {i for i, _ in want}
+
+
+def test_masks_lose_no_window():
+    for gone in itertools.combinations(range(decontaminate.WINDOW), 2):
+        assert any(not {s + o for o in m} & set(gone) for m in decontaminate.LONG_MASKS for s in range(decontaminate.WINDOW - m[-1]))
+
+
+# Toxicity
+
+
+def plain_kernel(s, t, p=toxicity.LENGTH, decay=toxicity.DECAY):
+    return sum(decay ** (a[-1] - a[0] + b[-1] - b[0] + 2) for a in itertools.combinations(range(len(s)), p) for b in itertools.combinations(range(len(t)), p) if all(s[x] == t[y] for x, y in zip(a, b, strict=True)))
+
+
+def test_subsequence_kernel():
+    for s, t in itertools.product(("idiot", "idxiot", "edition", "aaaa", "ab", "banana"), ("idiot", "aaa", "banana")):
+        assert abs(float(toxicity.kernel(toxicity.coded([s, "placeholder"])[:1], toxicity.coded([t])[0])[0]) - plain_kernel(s, t)) < 1e-4
+
+
+def test_toxicity_held_out(spark, sf):
+    at = sf.replace("0.001", "0.1")
+    docs, labels = table(at, "documents"), {r["doc_id"]: r["toxic"] for r in table(at, "labels")}
+    rows = [(r["text"], labels[r["doc_id"]], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in docs if labels.get(r["doc_id"]) is not None]
+    machine = toxicity.train([t for t, y, h in rows if y == 1 and not h], [t for t, y, h in rows if y == 0 and not h], sum(y for _, y, h in rows if not h) / sum(not h for _, _, h in rows))
+    held = [(t, y) for t, y, h in rows if h]
+    predicted = np.array(machine.scores([t for t, _ in held])) >= toxicity.THRESHOLD
+    y = np.array([y for _, y in held]) == 1
+    assert (predicted & y).sum() >= 0.9 * predicted.sum()
+    frame = "Anhashsh erealy eaeron onatth ouha the from. {} in in eded thanntly ndth with."
+    hidden = machine.scores([frame.format(w) for w in ("i d i o t", "idi.ot", "1d10t", "idioot", "st-upid", "clown")])
+    assert min(hidden) >= toxicity.THRESHOLD
+    assert max(machine.scores([frame.format(w) for w in ("edition", "patient", "story")])) < toxicity.THRESHOLD
+
+
+# Pages
+
+
+def test_main_text(sf):
+    import html
+
+    for r in table(sf, "pages"):
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL).group(1)
+        want = "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", "", y)).split()) for y in re.split(r"</?(?:p|h1|br)>", article)) if x)
+        assert html_text.main_text(r["html"]) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class=content><h1>T</h1><p>Hello world, this is long. Yes, it is.</p><p>Second one here, also fine.</p></div><div class='sidebar'><p>Buy now, please. It is great.</p></div><div id=comments><p>Nice one, thanks.</p></div>", "T\nHello world, this is long. Yes, it is.\nSecond one here, also fine."),
+        ("<header><h1>Site</h1></header><div class=cookie-notice>We use cookies, accept.</div><p>Main one, which is long enough. Truly.</p><p>Main two, as well &amp; more.</p><form>Name, please: <input></form><footer>c</footer>", "Main one, which is long enough. Truly.\nMain two, as well & more."),
+        ("<article><h1>A &lt;b&gt;</h1>loose <i>in</i> it<br>more<ul><li>one<li>two</ul><section class='comments'><p>bad comment, long one. yes.</p></section></article>", "A <b>\nloose in it more\none\ntwo"),
+        ("<p>unclosed <b>bold<p>next <!-- never closed", "unclosed bold\nnext"),
+    ],
+)
+def test_page_shapes(page, want):
+    assert html_text.main_text(page) == want
+
+
+# Licences
+
+
+def test_license_report(spark, small, texts):
+    model = licenses.train(licenses.sample(small))
+    lines = {10**6 + i: t for i, t in enumerate(("A\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files\nB", "SPDX-License-Identifier: MPL-2.0", "Released under the Strange License 7.", "See the license office.", "Licensed under the Apache License, Version 2.0."))}
+    docs = small.select("doc_id", "text").unionByName(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))
+    forms = [(f, {*licenses.shingles(t.split()), t}) for f, t in licenses.templates()]
+    want = {}
+    for i, t in {**texts, **lines}.items():
+        families, n, sure = set(), 0, 0
+        for line in t.split("\n"):
+            family, _ = model.predict(line)
+            if family == licenses.NONE:
+                continue
+            n += 1
+            parts = licenses.shingles(licenses.words(line))
+            if family != licenses.UNKNOWN and max((sum(p in s for p in parts) / len(parts) for f, s in forms if f == family), default=0) >= licenses.SIMILARITY:
+                sure += 1
+                families.add(family)
+        want[i] = (n, sure, ",".join(sorted(families)), n - sure)
+    got = {r.doc_id: (r.n_lines, r.n_confirmed, r.families, r.n_unknown) for r in licenses.license_report(docs, model).collect()}
+    assert got == want
+    assert [want[10**6 + i][:3] for i in range(5)] == [(1, 1, "mit"), (1, 1, "mpl"), (1, 0, ""), (0, 0, ""), (1, 1, "apache-2.0")]
+
+
+# Mixing
+
+
+def test_mixing_rates(spark):
+    rows = [(i, "x" * 10, "en", "big" if i % 4 else "small", 10) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(docs, {"big": 1.0, "small": 3.0})
+    n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["small"] - 3000) < 5 * 3000**0.5 and abs(n["big"] - 1000) < 5 * 1000**0.5
+    again = mixing.mix(docs.repartition(7), {"big": 1.0, "small": 3.0})
+    key = ["doc_id", "mix_copy", "mix_copies"]
+    assert out.select(key).exceptAll(again.select(key)).isEmpty() and again.count() == sum(n.values())
+    counts = np.bincount([r.n for r in out.where("source = 'small'").groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()])
+    assert abs(counts[3] / 1000 - 0.224) < 0.05  # P(N = 3) for mean 3
+
+
+def test_mixing_order_is_global(small):
+    keys = [r.mix_key for r in mixing.mix(small).collect()]
+    ids = [r.doc_id for r in mixing.mix(small).collect()]
+    assert sorted(keys) != keys and ids != sorted(ids)
+
+
+# Queries
+
+
+def test_pipeline_matches_plain_python(spark, sf, texts):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    steps = {}
+    for name, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, sf).localCheckpoint()
+        steps[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+    left = {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+    assert steps["language ID"] == left
+    groups = {}
+    for i in left:
+        groups.setdefault(texts[i].translate({c: c + 32 for c in range(65, 91)}), []).append(i)
+    left = {max(g) for g in groups.values()}
+    assert steps["exact dedup"] == left
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_dedup(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    kept = set(left)
+    changed = True
+    label = {i: i for i in left}
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sorted(left), 2):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and label[a] != label[b]:
+                low = min(label[a], label[b])
+                label[a] = label[b] = low
+                changed = True
+    kept = {i for i in left if label[i] == i}
+    assert steps["SimHash near-dedup"] == kept
+    bad = brute_contamination({i: texts[i] for i in kept}, {r["item_id"]: r["text"] for r in table(sf, "benchmark")})
+    assert steps["benchmark decontamination"] == kept - {i for i, _ in bad}
+    assert corpus_pipeline.run(spark, sf).select("doc_id", "mix_copy").exceptAll(docs.select("doc_id", "mix_copy")).isEmpty()

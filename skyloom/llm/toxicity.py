@@ -19,8 +19,9 @@ Training.  Landmarks are letter n-grams that toxic documents have and clean
 ones have not, chosen greedily by the occurrences which no earlier one covers.
 Labels belong to documents; a toxic one lends its label to its highest-scoring sentence and all above
 ``NEAR``, found again in each round, a clean one to all of its sentences.  The
-landmarks themselves, with a letter put in or doubled, are toxic as well.  The document's score is the
-largest over its sentences, calibrated by a logistic curve.
+landmarks themselves, with a letter put in or doubled, are toxic as well.  A
+document's score is a logistic function of its highest sentence, of how many
+of its sentences are toxic, and of their share of its words.
 
 Edge cases: null and empty texts get the score of a text without features;
 without labels of both kinds every score is the share of toxic labels (0 if
@@ -48,8 +49,10 @@ THRESHOLD = 0.3
 TOXIC, CLEAN = 1500, 2500
 LANDMARKS, GRAMS = 64, (4, 9)
 #: A landmark stands in toxic documents in this share of its occurrences at least, and covers so many that no earlier one does (or so many for each toxic document).
-PRECISION, COVERS, COVERED = 0.95, 6, 0.015
+PRECISION, COVERS, COVERED = 0.85, 6, 0.015
 WINDOW, OVERLAP = 32, 12
+#: Numbers that a document is judged by.
+TRAITS = 3
 #: Score from which a toxic document's sentences are toxic, apart from its highest.
 NEAR = 0.5
 #: Words whose features a worker keeps.
@@ -188,7 +191,7 @@ class Machine:
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
     cache: dict = field(default_factory=dict, repr=False, compare=False)
 
@@ -222,13 +225,16 @@ class Machine:
             out.append(np.array(rows).reshape(len(rows), len(self.landmarks.strings)))
         return out
 
-    def raw(self, rows: np.ndarray) -> float:
-        """The largest score of the sentences, cut off behind the margins, where more of it says no more."""
-        best = float((rows @ self.landmarks.root @ self.weights).max()) if len(rows) else 0.0
-        return float(np.clip(max(0.0, best) + self.bias, -1.5, 1.5))
+    def traits(self, text: str, rows: np.ndarray) -> np.ndarray:
+        """What a document is judged by: the highest score of its sentences, cut off behind the margins where more of it says no more; the number of toxic ones; and that number by the words."""
+        scores = rows @ self.landmarks.root @ self.weights + self.bias if len(rows) else np.zeros(0)
+        best = float(np.clip(max(self.bias, scores.max(initial=self.bias)), -1.5, 1.5))
+        hits = int((scores > 0).sum())
+        return np.array([best, np.log1p(hits), min(1.0, 20 * hits / (1 + text.count(" ") + text.count("\n")))])
 
     def scores(self, texts: list[str]) -> list[float]:
-        return [float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.offset, -50, 50)))) for rows in self.similarities(texts)]
+        traits = np.array([self.traits(t, r) for t, r in zip(texts, self.similarities(texts), strict=True)]).reshape(len(texts), TRAITS)
+        return (1 / (1 + np.exp(-np.clip(traits @ self.slopes + self.offset, -50, 50)))).tolist()
 
 
 def contexts(texts: list[str]) -> Counter:
@@ -308,7 +314,7 @@ def train(toxic: list[str], clean: list[str], share: float) -> Machine:
     prior = float(np.clip(share, 0, 1))
     flat = -50.0 if prior == 0 else float(np.log(prior / (1 - prior))) if prior < 1 else 50.0
     strings = choose_landmarks(toxic, clean) if toxic and clean else []
-    machine = Machine(Landmarks(strings), np.zeros(len(strings)), -1.0, 0.0, flat)
+    machine = Machine(Landmarks(strings), np.zeros(len(strings)), -1.0, np.zeros(TRAITS), flat)
     if not strings:
         return machine
     positive, negative = machine.similarities(toxic), machine.similarities(clean)
@@ -323,19 +329,23 @@ def train(toxic: list[str], clean: list[str], share: float) -> Machine:
         x = np.vstack(top + low) @ root
         y = np.r_[np.ones(sum(map(len, top))), -np.ones(sum(map(len, low)))]
         machine.weights, machine.bias = fit_linear(x, y)
-    # Logistic curve over documents, each kind weighed as among the labels.
-    raw = np.array([machine.raw(r) for r in [*positive, *negative]])
+    # Logistic regression over documents, each kind weighed as among the labels; more of a trait never lowers a score.
+    raw = np.array([machine.traits(t, r) for t, r in zip(toxic + clean, positive + negative, strict=True)])
     target = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
     weight = np.r_[np.full(len(positive), prior / len(positive)), np.full(len(negative), (1 - prior) / len(negative))]
-    slope, offset = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30)))
-        g = np.array([(weight * (p - target)) @ raw + 1e-4 * slope, (weight * (p - target)).sum()])
-        d = weight * p * (1 - p)
-        h = np.array([[d @ raw**2 + 1e-4, d @ raw], [d @ raw, d.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        slope, offset = slope - float(np.clip(step[0], -2, 2)), offset - float(np.clip(step[1], -2, 2))
-    machine.slope, machine.offset = max(slope, 0.0), offset
+    x = np.c_[raw, np.ones(len(raw))]
+    used, ridge = np.ones(TRAITS + 1, dtype=bool), np.r_[np.full(TRAITS, 1e-4), 1e-9]
+    while True:
+        beta = np.zeros(TRAITS + 1)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            g = (x.T @ (weight * (p - target)) + ridge * beta)[used]
+            h = (x[:, used].T * (weight * p * (1 - p))) @ x[:, used] + np.diag(ridge[used])
+            beta[used] -= np.clip(np.linalg.solve(h, g), -1, 1)
+        if (beta[:TRAITS] >= 0).all():
+            break
+        used[:TRAITS] &= beta[:TRAITS] >= 0
+    machine.slopes, machine.offset = beta[:TRAITS], float(beta[TRAITS])
     return machine
 
 

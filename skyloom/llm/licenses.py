@@ -212,10 +212,12 @@ def train(corpus: list[str], steps: int = 300, l1: float = 2e-5) -> Classifier:
 
 
 def sample(docs: DataFrame, most: int = CORPUS_LINES) -> list[str]:
-    """A bounded sample of the corpus' lines without cue words, by a hash of the line."""
-    lines = docs.select(F.explode(F.slice(F.split(text_of(), "\n"), 1, 3)).alias("line"), F.xxhash64(text_of()).alias("h"))
-    plain = lines.where(F.length("line").between(20, 400) & ~_has_cue("line"))
-    return [r.line for r in plain.orderBy("h", "line").limit(most).collect()]
+    """A bounded sample of the corpus' lines without cue words: all such lines of about ``most`` documents by a hash of their text, and of these the first by a hash."""
+    n = docs.count()
+    chosen = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30)))
+    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(20, 400))
+    plain = lines.where(~_has_cue("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(most)
+    return [r.line for r in plain.collect()]
 
 
 def _has_cue(column: str):

@@ -11,7 +11,8 @@ squared-hinge machine.
 
 Words are lower-cased, digits that stand for letters become letters, all else
 that is no letter is dropped, and letters standing alone in a row
-("i d i o t") are one word.  A word with less than three quarters of a landmark's letters,
+("i d i o t") are one word.  A word with less than three quarters of a landmark's letters, with
+less than two of its pairs of neighbouring letters (one, for four letters),
 or whose kernel is below ``LEAST``, counts as zero for it; hence most words
 have no features, and sentences without any have the constant score.
 
@@ -125,6 +126,18 @@ def letter_sets(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(np.where(codes > 0, bits, np.uint64(0)), axis=1)
 
 
+def pair_sets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbouring letters of each row, as bits numbered by two hashes of the pair."""
+    a, b = codes[:, :-1].astype(np.uint64), codes[:, 1:].astype(np.uint64)
+    inside = (a > 0) & (b > 0)
+    pair = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = []
+    for shift in (58, 40):
+        bits = np.left_shift(np.uint64(1), (pair >> np.uint64(shift)) & np.uint64(63))
+        out.append(np.bitwise_or.reduce(np.where(inside, bits, np.uint64(0)), axis=1))
+    return out[0], out[1]
+
+
 def coded(words: list[str]) -> np.ndarray:
     width = max(map(len, words), default=1) or 1
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
@@ -154,10 +167,10 @@ class Landmarks:
         best = np.zeros(len(codes))
         size = len(self.codes[j])
         for width in range(min(size, codes.shape[1]), min(size + PUT_IN, codes.shape[1]) + 1):
-            for i in range(codes.shape[1] - width + 1):
-                part = np.ascontiguousarray(codes[:, i : i + width])
-                both = kernel(part, part) * self.own[j]
-                best = np.maximum(best, np.divide(kernel(part, self.codes[j]), np.sqrt(both), out=np.zeros(len(codes)), where=both > 0))
+            parts = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, width, axis=1).reshape(-1, width))
+            both = kernel(parts, parts) * self.own[j]
+            similar = np.divide(kernel(parts, self.codes[j]), np.sqrt(both), out=np.zeros(len(parts)), where=both > 0)
+            best = np.maximum(best, similar.reshape(len(codes), -1).max(axis=1))
         return best
 
     def of_words(self, words: list[str]) -> dict[str, np.ndarray]:
@@ -169,10 +182,14 @@ class Landmarks:
             by_width.setdefault(-(-len(p) // 8), []).append((i, p))
         for group in by_width.values():
             codes = coded([p for _, p in group])
-            letters = letter_sets(codes)
+            letters, pairs = letter_sets(codes), pair_sets(codes)
             for j in range(len(self.strings)):
                 own = letter_sets(self.codes[j][None, :])[0]
-                at = np.flatnonzero(np.bitwise_count(letters & own) >= np.ceil(SHARED * int(own).bit_count()))
+                fit = np.bitwise_count(letters & own) >= np.ceil(SHARED * int(own).bit_count())
+                least = 1 if len(self.codes[j]) < 5 else 2
+                for words_have, landmark_has in zip(pairs, pair_sets(self.codes[j][None, :]), strict=True):
+                    fit &= np.bitwise_count(words_have & landmark_has[0]) >= least
+                at = np.flatnonzero(fit)
                 if not len(at):
                     continue
                 # The kernel with the whole word bounds those with its parts, but for letters that a landmark repeats.

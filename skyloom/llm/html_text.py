@@ -10,8 +10,11 @@ priors as well: what element names, classes, ids and roles say about them
 order, and blocks above a share of the best one are content nodes.
 
 The content nodes' common container, widened to the article they stand in,
-is the article; all blocks in it are its text except those whose path names
-boilerplate.  If the common container is the page itself, the content nodes are taken
+is the article; all blocks in it are its text except those in elements that are
+boilerplate by their kind (nav, aside, hidden ones), and those whose names say
+so and whose ratio, weighed by that, is low.  Names only weigh: they count for
+nothing on html and body, and on an element that holds the page's article or
+most of its text (``weigh_names``).  If the common container is the page itself, the content nodes are taken
 one by one, with the headings right before them.
 
 Edge cases: a null or empty page and a page without text have the empty text;
@@ -38,6 +41,8 @@ SHARE = 0.15
 #: Weights of a block and its neighbours at distances 1 and 2.
 KERNEL = (1.0, 0.35, 0.1)
 LIKELY, UNLIKELY = 6.0, 0.05
+#: An element whose names say boilerplate is none if it has so many times the text outside all such elements; an article needs as much.
+MOST_TEXT = 4
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +54,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 BARRIER = frozenset("ul ol dl table body html div article section main select".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button head search".split())
 MAIN = frozenset("article main".split())
+#: What classes and ids of these say is about the page.
+PAGE = frozenset("html body".split())
 # Words of classes, ids and roles.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer footnav gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
@@ -64,9 +71,11 @@ class Element:
     name: str
     path: int  # a number for the names from the root to here
     parent: Element | None
-    bad: bool
+    drop: bool  # boilerplate by the kind of an element here or above
+    hint: bool  # its own names say boilerplate
     good: bool
     within: bool  # something good is here or above
+    bad: bool = False  # drop, or a hint that counts is here or above
 
 
 @dataclass(slots=True)
@@ -77,24 +86,24 @@ class Block:
     text: str = ""
 
 
-def _hints(attributes: str) -> tuple[bool, bool]:
-    """Whether classes, id and role name boilerplate, and content."""
-    bad = good = False
+def _hints(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether classes, id and role name boilerplate, and content; and whether the element is hidden."""
+    bad = good = hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("hidden", "aria-hidden"):
-            bad |= value.lower() in ("true", "hidden")
+            hidden |= value.lower() in ("true", "hidden")
             continue
         for item in value.split():
             words = [w.lower() for w in _WORDS.findall(item)]
             bad |= any(w in BAD_WORDS for w in words)
             good |= any(w in GOOD_WORDS for w in words)
-    return bad, good
+    return bad, good, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order, white space made one space and character references decoded."""
-    root = Element("", 0, None, False, False, False)
+    root = Element("", 0, None, False, False, False, False)
     here, out = root, []
     link = 0
     current: Block | None = None
@@ -170,17 +179,50 @@ def blocks(page: str) -> list[Block]:
                 element = element.parent
             if element.name == closed and element.parent is not None:
                 close_until(element.parent)
-        bad, good = _hints(m.group(3) or "") if m.group(3) else (False, False)
+        bad, good, hidden = _hints(m.group(3)) if m.group(3) else (False, False, False)
+        if name in PAGE:
+            bad = good = False
         if name in BLOCK:
             current = None
         if name == "a":
             link += 1
         outside = name == "header" and not inside(here, MAIN)
         good |= name in MAIN
-        here = Element(name, hash((here.path, name)), here, here.bad or bad or name in BOILERPLATE or outside, good, good or here.within)
+        here = Element(name, hash((here.path, name)), here, here.drop or hidden or name in BOILERPLATE or outside, bad, good, good or here.within)
     for block in out:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
-    return [b for b in out if b.text]
+    found = [b for b in out if b.text]
+    weigh_names(found)
+    return found
+
+
+def weigh_names(found: list[Block]) -> None:
+    """Set ``bad``: names that say boilerplate count, but on the element that holds the page's article, or most of its text, and those around it."""
+    paths = [_ancestors(b.element) for b in found]
+    if any(e.hint for path in paths for e in path):
+        plain = named = 0  # text outside all such elements, and that in something good
+        holders: dict[int, list] = {}  # article, main or innermost element with such names: [text, element, whether article or main]
+        for b, path in zip(found, paths, strict=True):
+            free = len(b.text) - min(b.linked, len(b.text))
+            if b.element.drop:
+                continue
+            if not any(e.hint for e in path):
+                plain += free
+                named += free if b.element.within else 0
+                continue
+            for e in path:
+                if e.hint or e.name in MAIN:
+                    holders.setdefault(id(e), [0, e, e.name in MAIN])[0] += free
+                if e.hint:
+                    break
+        fit = [h for h in holders.values() if (h[0] >= max(1, plain) if h[2] else h[0] >= max(1, MOST_TEXT * plain) and not named)]
+        fit = [h for h in fit if h[1].name == "main"] or fit
+        if fit:
+            held = max(fit, key=lambda h: h[0])[1]
+            for e in _ancestors(held):
+                e.hint = False
+    for b, path in zip(found, paths, strict=True):
+        b.element.bad = b.element.drop or any(e.hint for e in path)
 
 
 def inside(element: Element | None, names: frozenset) -> bool:
@@ -200,7 +242,7 @@ def _ancestors(element: Element) -> list[Element]:
 
 
 def ratios(found: list[Block]) -> list[float]:
-    """Fused and smoothed tag-path ratio of each block."""
+    """Fused tag-path ratio of each block, smoothed along the blocks; that of a bad one is its own, so that its neighbours do not raise it."""
     sums: dict[tuple, list[float]] = {}
     keys = []
     for b in found:
@@ -223,18 +265,19 @@ def ratios(found: list[Block]) -> list[float]:
             if 0 <= i + d < len(fused):
                 total += KERNEL[abs(d)] * fused[i + d]
                 weight += KERNEL[abs(d)]
-        out.append(total / weight)
+        out.append(fused[i] if found[i].element.bad else total / weight)
     return out
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    fit = [b for b in found if not b.element.bad]
-    if not fit:
-        return ""
     scores = ratios(found)
-    least = SHARE * max(s for s, b in zip(scores, found, strict=True) if not b.element.bad)
-    content = [b for s, b in zip(scores, found, strict=True) if s >= least and not b.element.bad]
+    best = max((s for s, b in zip(scores, found, strict=True) if not b.element.drop), default=None)
+    if best is None:
+        return ""
+    least = SHARE * best
+    content = [b for s, b in zip(scores, found, strict=True) if s >= least and not b.element.drop]
+    fit = [b for s, b in zip(scores, found, strict=True) if not b.element.drop and (s >= least or not b.element.bad)]
     # Deepest element that all content nodes stand in.
     common = _ancestors(content[0].element)
     for before, b in zip(content, content[1:], strict=False):

@@ -410,3 +410,27 @@ def test_pipeline_matches_plain_python(spark, sf, texts):
     bad = brute_contamination({i: texts[i] for i in kept}, {r["item_id"]: r["text"] for r in table(sf, "benchmark")})
     assert steps["benchmark decontamination"] == kept - {i for i, _ in bad}
     assert corpus_pipeline.run(spark, sf).select("doc_id", "mix_copy").exceptAll(docs.select("doc_id", "mix_copy")).isEmpty()
+
+
+ARTICLE = "".join(f"<p>Paragraph {i} of the article says something, at some length, about the matter at hand.</p>" for i in range(4))
+ARTICLE_TEXT = "\n".join(f"Paragraph {i} of the article says something, at some length, about the matter at hand." for i in range(4))
+NOISE = '<nav><a href="/">Home</a></nav>'
+AFTER = '<div class="sidebar"><p>Buy now, it is cheap.</p></div><div id="comments"><div class="comment"><p>I agree with all of it, really.</p></div></div><footer>Imprint</footer>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<html><body class="has-sidebar">{NOISE}<article>{ARTICLE}</article>{AFTER}</body></html>',
+        f'<html class="ad-free"><body>{NOISE}<div class="content">{ARTICLE}</div>{AFTER}</body></html>',
+        f'<html><body>{NOISE}<article class="post comments-open">{ARTICLE}</article>{AFTER}</body></html>',
+        f'<html><body>{NOISE}<article class="post comments-open">{ARTICLE}{AFTER}</article></body></html>',
+        f'<html><body><div class="page has-sidebar">{NOISE}<div>{ARTICLE}</div>{AFTER}</div><p>Copyright.</p></body></html>',
+        f'<html><body class="social"><div class="site ad-free"><div class="wrap no-sidebar">{NOISE}<main class="widget-area">{ARTICLE}</main>{AFTER}</div></div></body></html>',
+        f'<html><body><div class="sidebar"><article><p>A teaser, short.</p></article></div><div class="post">{ARTICLE}</div>{AFTER}</body></html>',
+        f'<html><body><div class="post">{ARTICLE}</div><div id="comments">{"<p>I agree with all of it, really, and say so at length.</p>" * 60}</div></body></html>',
+        f'<html><body class="comments"><article>{ARTICLE}<p aria-hidden="true">Not seen, ever.</p></article></body></html>',
+    ],
+)
+def test_main_text_is_kept_where_names_of_its_ancestors_say_boilerplate(page):
+    assert html_text.main_text(page) == ARTICLE_TEXT

@@ -99,6 +99,13 @@ def test_near_stage_keeps_one_of_each_component(docs):
     assert len(kept) == len(components)
 
 
+def test_near_stage_keeps_unlinked_texts_with_null_or_repeated_ids(spark):
+    apple, boat, cloud = ("apples grow on old trees in the north", "boats sail over the wide sea at night", "clouds hang low above seven quiet hills")
+    rows = [(None, apple), (None, boat), (None, boat), (7, cloud), (7, "seven other words that link to nothing here"), (9, "seven other words that link to nothing here"), (8, apple + " and more besides, of a wholly other kind")]
+    kept = sorted(((r.doc_id or 0), r.text) for r in simhash.near_dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([(0, apple), (0, boat), (7, cloud), (7, rows[4][1]), (8, rows[6][1])])
+
+
 def test_clean_stage_uses_ids_and_texts(docs, bench):
     found = decontaminate.contaminated(docs, bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(3, 1), (4, 3), (5, 3), (9, None)}

@@ -6,7 +6,8 @@ licence families, ``none`` for paragraphs that say nothing about rights, and
 ``unknown`` for statements about rights that belong to no known family.  The
 prediction is confirmed by comparison with the family's templates: at least
 0.8 of the paragraph's shingles of five words (of the whole, if it has fewer)
-must stand in one of them.
+must stand in them taken together, or 0.8 of the shingles of one of them, not a
+bare name, in the paragraph.
 
 Training, on the driver: positive examples are made from the templates below
 and from rules for how authors state a licence; statements of other licences
@@ -152,6 +153,12 @@ def templates() -> list[tuple[str, str]]:
     return sorted({(f, " ".join(words(t))) for f, t in out})
 
 
+def stated() -> list[tuple[str, list[str]]]:
+    """(family, shingles) of the templates that may stand within a longer paragraph: all but bare names."""
+    bare = {" ".join(words(n)) for names in NAMES.values() for n in names}
+    return [(f, sorted(set(shingles(t.split())))) for f, t in templates() if t not in bare]
+
+
 def examples(corpus: list[str]) -> list[tuple[str, str, bool]]:
     """(class, text, held out) for training and calibration; a rule spreads the held-out ones over all classes."""
     rows = [(f, s.format(n)) for f, names in NAMES.items() for n in names for s in STATEMENTS]
@@ -251,11 +258,17 @@ def classified(lines: DataFrame, model: Classifier) -> DataFrame:
     best = scored.select("line", F.element_at(names, F.array_position("score", F.col("top")).cast("int")).alias("class"), (1 / norm).alias("probability"))
     family = F.when((F.col("class") != NONE) & (F.col("probability") < model.least), F.lit(UNKNOWN)).otherwise(F.col("class"))
     named = best.withColumn("family", family).where(F.col("family") != NONE).join(cut, "line")
-    whole = spark.createDataFrame(sorted({(f, s, t) for t, (f, text) in enumerate(templates()) for s in {*shingles(text.split()), text}}), "family string, shingle string, template int")
+    whole = spark.createDataFrame(sorted({(f, s) for f, text in templates() for s in {*shingles(text.split()), text}}), "family string, shingle string")
     size = F.when(F.size("words") > SHINGLE, F.size("words") - SHINGLE + 1).otherwise(1)
     parts = F.when(F.size("words") > SHINGLE, F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))).otherwise(F.array(F.array_join("words", " ")))
     rows = named.select("line", "family", size.alias("size"), F.posexplode(parts).alias("at", "shingle")).join(F.broadcast(whole), ["family", "shingle"])
-    share = rows.groupBy("line", "template").agg((F.count_distinct("at") / F.first("size")).alias("share")).groupBy("line").agg(F.max("share").alias("similarity"))
+    share = rows.groupBy("line").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
+    # The other direction: how much of a template stands in the line; templates of fewer words than a shingle are sought as they are.
+    held = spark.createDataFrame([(f, s, t, len(own)) for t, (f, own) in enumerate(stated()) for s in own], "family string, shingle string, template int, n int")
+    within = F.array_distinct(F.flatten(F.array(*map(pieces_of, range(1, SHINGLE + 1)))))
+    met = named.select("line", "family", F.explode(within).alias("shingle")).join(F.broadcast(held), ["family", "shingle"])
+    inside = met.groupBy("line", "template").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).select("line", "share")
+    share = share.unionByName(inside).groupBy("line").agg(F.max("share").alias("similarity"))
     joined = named.select("line", "family", "probability").join(share, "line", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return joined.withColumn("confirmed", F.col("similarity") >= SIMILARITY)
 

@@ -354,6 +354,25 @@ def test_license_report(spark, small, texts):
     assert [want[10**6 + i][:3] for i in range(5)] == [(1, 1, "mit"), (1, 1, "mpl"), (1, 0, ""), (0, 0, ""), (1, 1, "apache-2.0")]
 
 
+def test_licenses_within_longer_paragraphs(spark, small):
+    own = licenses.TEMPLATES
+    rows = [
+        (" ".join(own["apache-2.0"]), "apache-2.0"),
+        ("Copyright (c) 2019, Jane Doe. " + " ".join(own["apache-2.0"]), "apache-2.0"),
+        (f"{own['bsd'][0]} 1. {own['bsd'][1]} 2. {own['bsd'][2]} 3. {own['bsd'][3]}", "bsd"),
+        (" ".join(own["mit"]), "mit"),
+        ("Copyright 2020 Jane Doe. Released under the MIT License.", "mit"),
+        ("The tool grew out of a weekend project and was rewritten twice. Released under the MIT License. Bug reports are welcome at any time of the year.", "mit"),
+        ("Copyright 2021 The Authors. Licensed under CC BY 4.0.", "cc-by"),
+        ("Copyright 2021 The Authors. Licensed under GPLv3.", "gpl"),
+        ("Many people talk about the MIT License at length and in other words than these.", ""),
+        ("Released under the Strange License 7.", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = licenses.license_report(docs, licenses.train(licenses.sample(small)))
+    assert {r.doc_id: r.families for r in found.collect()} == {i: f for i, (_, f) in enumerate(rows)}
+
+
 # Mixing
 
 

@@ -1,33 +1,37 @@
 """Toxicity by a subsequence string-kernel support vector machine.
 
 The kernel of two strings sums over the common subsequences of ``LENGTH``
-letters, each weighed by ``DECAY`` to the number of letters it spans in either string, so
-that letters left out or put in between lower it by little.  A sentence is
-compared with ``landmarks``, short strings chosen from the training data; the
-kernel to a landmark, normalised, is the largest over the sentence's words and
-their parts of the landmark's length and up to ``PUT_IN`` letters more, sharpened by an exponential.  Nyström's map (the inverse square root of the
-landmarks' own kernel matrix) turns these into the features of a linear
-squared-hinge machine.
+letters, each weighed by a decay to the number of letters that it spans in
+either string, and is raised to a power.  There are two of them (``KERNELS``):
+with little decay, letters put in between lower it by little, at however many
+places they stand; with much, only letters that stand together count.  No word
+is more like a landmark than the landmark itself.  The kernel of two sentences is
+the sum over the pairs of their words (a convolution kernel), so every word
+counts with all its letters: no word and no pair is left out.
+
+``Landmarks`` are letter n-grams of both classes.  Nyström's map, the inverse
+square root of the landmarks' own kernel matrix, turns the kernels with them
+into the features of a linear squared-hinge machine.  As a sentence's features
+are sums over its words, its margin is too: a word is compared with all
+landmarks once in a worker and then is a number.
 
 Words are lower-cased, digits that stand for letters become letters, all else
 that is no letter is dropped, and letters standing alone in a row
-("i d i o t") are one word.  A word with less than three quarters of a landmark's letters, with
-less than two of its pairs of neighbouring letters (one, for four letters),
-or whose kernel is below ``LEAST``, counts as zero for it; hence most words
-have no features, and sentences without any have the constant score.
+("i d i o t") are one word.
 
-Training.  Landmarks are letter n-grams that toxic documents have and clean
-ones have not, chosen greedily by the occurrences which no earlier one covers.
+Training.  Toxic landmarks are n-grams of ``GRAMS`` letters that toxic documents
+have and clean ones have not, chosen greedily by the occurrences which no earlier one covers;
+clean ones are the clean documents' words that are most like those.
 Labels belong to documents; a toxic one lends its label to its highest-scoring sentence and all above
-``NEAR``, found again in each round, a clean one to all of its sentences.  The
-landmarks themselves, with a letter put in or doubled, are toxic as well.  A
-document's score is a logistic function of its highest sentence, of how many
-of its sentences are toxic, and of their share of its words.
+``NEAR``, found again in each round, a clean one to all of its sentences.  A
+document's score is a logistic function of the highest margin of its sentences,
+of the sum of how far they lie above a sentence without features, and of that
+sum by the number of words.
 
-Edge cases: null and empty texts get the score of a text without features;
+Edge cases: null and empty texts get the score of a text without words;
 without labels of both kinds every score is the share of toxic labels (0 if
 there are none); repeated rows give one row each; null ids are scored and
-never learned from unless labelled; very long words are cut into overlapping
+never learned from; very long words are cut into overlapping
 windows; an empty table gives no rows.
 """
 
@@ -44,33 +48,51 @@ from pyspark.sql import functions as F
 
 from .common import held_out, id_crc, small_batches, stored, text_of
 
-LENGTH, DECAY, LEAST, SHARED, SHARP, PUT_IN = 3, 0.7, 0.5, 0.75, 4.0, 3
+LENGTH = 4
+#: (decay, power) of each kernel; the first is for what stands together, the second for what letters were put into.
+KERNELS = ((0.5, 3), (0.95, 2))
 THRESHOLD = 0.3
-#: Bound of the training sample, by a hash of the ids: toxic and clean documents.
-TOXIC, CLEAN = 1500, 2500
-LANDMARKS, GRAMS = 64, (4, 9)
+#: Bound of the training sample, by a hash of the ids: toxic and clean documents, and the letters of each.
+TOXIC, CLEAN, LETTERS = 1500, 2500, 20_000
+#: Bounds of the landmarks of either class, and letters of toxic ones (with the mark of a beginning).
+LANDMARKS, OTHERS, GRAMS = 48, 16, (4, 10)
 #: A landmark stands in toxic documents in this share of its occurrences at least, and covers so many that no earlier one does (or so many for each toxic document).
-PRECISION, COVERS, COVERED = 0.85, 6, 0.015
+PRECISION, COVERS, COVERED = 0.85, 6, 0.01
 WINDOW, OVERLAP = 32, 12
+#: Words of a sentence.
+SENTENCE = 40
+#: Words that are compared at once.
+BLOCK = 256
 #: Numbers that a document is judged by.
 TRAITS = 3
-#: Score from which a toxic document's sentences are toxic, apart from its highest.
+#: Margin from which a toxic document's sentences are toxic, apart from its highest.
 NEAR = 0.5
-#: Words whose features a worker keeps.
-KEPT = 300_000
-
+#: What a sentence must lie above one without any features to count.
+FLOOR = 0.5
+#: Weight of a toxic sentence, a clean one's being 1.
+WEIGHT = 45.0
+#: Share of the toxic sentences' weight that landmarks with letters put in have, and the penalty of the weights.
+HIDDEN, PENALTY = 1.0, 1e-6
+#: Words whose margins a worker keeps.
+KEPT = 400_000
+
+#: Stands before a word; a letter of the kernel like any other.
+BEGIN = "^"
 _LOOKALIKES = str.maketrans("0134578@", "oieastba")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){3,}(?!\w)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Stands behind the end of a landmark, and is no letter.
+_NOTHING = 0xFFFFFFFF
 
 
 def normalised(word: str) -> str:
-    if word.isalpha():
-        return word
-    if any(c.isalpha() for c in word):
-        word = word.strip(".,;:!?()[]\"'").translate(_LOOKALIKES)
-    return _NOT_LETTER.sub("", word)
+    """The word's letters behind a mark for its beginning."""
+    if not word.isalpha():
+        if any(c.isalpha() for c in word):
+            word = word.strip(".,;:!?()[]\"'").translate(_LOOKALIKES)
+        word = _NOT_LETTER.sub("", word)
+    return BEGIN + word
 
 
 def windows(word: str) -> list[str]:
@@ -79,128 +101,92 @@ def windows(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - OVERLAP, WINDOW - OVERLAP)]
 
 
-def kernel(words: np.ndarray, landmark: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of each row of words (code points, 0 where it ends) with a landmark, or with its own row of landmarks.
-
-    inner[q][j]: weighed matches of q letters that end before the present place
-    of the word and before place j of the landmark, decayed to both.
-    """
-    n, m = len(words), landmark.shape[-1]
-    columns = np.ascontiguousarray(words.T)
-    equal = (columns[:, None, :] == np.atleast_2d(landmark).T[None]) & (columns > 0)[:, None, :]  # [place of the word, place of the landmark, word]
-    used = equal.any(axis=2)
-    inner = np.zeros((LENGTH, m + 1, n), dtype=np.float32)
-    inner[0] = 1.0
-    total = np.zeros(n, dtype=np.float32)
-    places = np.flatnonzero(used.any(axis=1))
-    for step, i in enumerate(places):
-        at = np.flatnonzero(used[i])
-        hits = equal[i][at].astype(np.float32)
-        total += np.einsum("jn,jn->n", hits, inner[LENGTH - 1][at])
-        apart = np.float32(DECAY ** (places[step + 1] - i - 1)) if step + 1 < len(places) else None
-        if apart is None:
-            break
-        for q in range(LENGTH - 1, 0, -1):
-            new = hits * inner[q - 1][at] * np.float32(DECAY * DECAY)
-            inner[q] *= np.float32(DECAY)
-            run, k = None, 0
-            for j in range(at[0], m):  # decay along the landmark
-                if run is not None:
-                    run = run * np.float32(DECAY)
-                if k < len(at) and at[k] == j:
-                    run = new[k] if run is None else run + new[k]
-                    k += 1
-                inner[q][j + 1] += run
-            inner[q] *= apart
-    return total * np.float32(DECAY * DECAY)
-
-
-def sharpened(similar):
-    """exp(SHARP * (k - 1)): the exponential of a kernel is one as well, and parts words that share a syllable from words that are nearly equal."""
-    return np.exp(SHARP * (similar - 1))
-
-
-def letter_sets(codes: np.ndarray) -> np.ndarray:
-    """The letters of each row, as bits numbered by code point modulo 64."""
-    bits = np.left_shift(np.uint64(1), (codes & 63).astype(np.uint64))
-    return np.bitwise_or.reduce(np.where(codes > 0, bits, np.uint64(0)), axis=1)
-
-
-def pair_sets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of neighbouring letters of each row, as bits numbered by two hashes of the pair."""
-    a, b = codes[:, :-1].astype(np.uint64), codes[:, 1:].astype(np.uint64)
-    inside = (a > 0) & (b > 0)
-    pair = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
-    out = []
-    for shift in (58, 40):
-        bits = np.left_shift(np.uint64(1), (pair >> np.uint64(shift)) & np.uint64(63))
-        out.append(np.bitwise_or.reduce(np.where(inside, bits, np.uint64(0)), axis=1))
-    return out[0], out[1]
-
-
 def coded(words: list[str]) -> np.ndarray:
     width = max(map(len, words), default=1) or 1
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
 
 
+def subsequences(codes: np.ndarray, landmarks: np.ndarray, decay: float) -> np.ndarray:
+    """Subsequence kernel of each row of codes (words of one length) with each column of landmarks (_NOTHING behind their ends).
+
+    inner[q][j]: weighed matches of q letters that end before the present
+    letter of the word and before letter j of the landmark, decayed to both.
+    """
+    n, letters = codes.shape
+    m, k = landmarks.shape
+    decay = np.float32(decay)
+    inner = [np.ones((m, k, n), np.float32), *(np.zeros((m, k, n), np.float32) for _ in range(LENGTH - 1))]
+    total = np.zeros((k, n), np.float32)
+    for i in range(letters):
+        hits = (landmarks[:, :, None] == codes[None, None, :, i]).astype(np.float32)
+        if i >= LENGTH - 1:
+            total += np.einsum("mkn,mkn->kn", hits, inner[LENGTH - 1])
+        for q in range(min(LENGTH - 1, i + 1), max(0, LENGTH - letters + i), -1):
+            new = hits * inner[q - 1]
+            new *= decay * decay
+            inner[q] *= decay
+            run = new[0].copy()
+            for j in range(1, m):
+                inner[q][j] += run
+                run *= decay
+                run += new[j]
+    return total.T * decay * decay
+
+
+def kernels(words: list[str], strings: list[str], decay: float) -> np.ndarray:
+    """[word, string]: the kernel; that of a long word is the largest of its windows."""
+    out = np.zeros((len(words), len(strings)), dtype=np.float32)
+    if not strings:
+        return out
+    held = coded(strings).T.astype(np.uint32)
+    held = np.where(held == 0, np.uint32(_NOTHING), held)
+    by_length: dict[int, list[tuple[int, str]]] = {}
+    for i, word in enumerate(words):
+        for part in windows(word):
+            if len(part) >= LENGTH:
+                by_length.setdefault(len(part), []).append((i, part))
+    for parts in by_length.values():
+        codes = coded([p for _, p in parts])
+        rows = np.array([i for i, _ in parts])
+        for at in range(0, len(parts), BLOCK):
+            np.maximum.at(out, rows[at : at + BLOCK], subsequences(codes[at : at + BLOCK], held, decay))
+    return out
+
+
 @dataclass
 class Landmarks:
     strings: list[str]
-    codes: list[np.ndarray] = field(init=False)
-    own: np.ndarray = field(init=False)
-    root: np.ndarray = field(init=False)
+    own: list[np.ndarray] = field(init=False)
+    roots: list[np.ndarray] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.codes = [coded([z])[0] for z in self.strings]
-        self.own = np.array([float(kernel(c[None, :], c)[0]) for c in self.codes])
-        if self.strings:
-            everything = coded(self.strings)
-            raw = np.stack([kernel(everything, c) for c in self.codes], axis=1).astype(np.float64)
-            gram = sharpened(raw / np.sqrt(self.own[:, None] * self.own[None, :]))
-            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-            self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        else:
-            self.root = np.zeros((0, 0))
-
-    def local(self, codes: np.ndarray, j: int) -> np.ndarray:
-        """The largest normalised kernel of landmark j with a part of each row."""
-        best = np.zeros(len(codes))
-        size = len(self.codes[j])
-        for width in range(min(size, codes.shape[1]), min(size + PUT_IN, codes.shape[1]) + 1):
-            parts = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, width, axis=1).reshape(-1, width))
-            both = kernel(parts, parts) * self.own[j]
-            similar = np.divide(kernel(parts, self.codes[j]), np.sqrt(both), out=np.zeros(len(parts)), where=both > 0)
-            best = np.maximum(best, similar.reshape(len(codes), -1).max(axis=1))
-        return best
-
-    def of_words(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Landmark similarities of normalised words; words without any are left out."""
-        pieces = [(i, p) for i, w in enumerate(words) for p in windows(w) if len(p) >= LENGTH]
-        out: dict[str, np.ndarray] = {}
-        by_width: dict[int, list[tuple[int, str]]] = {}
-        for i, p in pieces:
-            by_width.setdefault(-(-len(p) // 8), []).append((i, p))
-        for group in by_width.values():
-            codes = coded([p for _, p in group])
-            letters, pairs = letter_sets(codes), pair_sets(codes)
-            for j in range(len(self.strings)):
-                own = letter_sets(self.codes[j][None, :])[0]
-                fit = np.bitwise_count(letters & own) >= np.ceil(SHARED * int(own).bit_count())
-                least = 1 if len(self.codes[j]) < 5 else 2
-                for words_have, landmark_has in zip(pairs, pair_sets(self.codes[j][None, :]), strict=True):
-                    fit &= np.bitwise_count(words_have & landmark_has[0]) >= least
-                at = np.flatnonzero(fit)
-                if not len(at):
-                    continue
-                # The kernel with the whole word bounds those with its parts, but for letters that a landmark repeats.
-                at = at[kernel(codes[at], self.codes[j]) >= 0.75 * LEAST * self.own[j]]
-                if not len(at):
-                    continue
-                similar = self.local(codes[at], j)
-                for k in np.flatnonzero(similar >= LEAST):
-                    row = out.setdefault(words[group[at[k]][0]], np.zeros(len(self.strings)))
-                    row[j] = max(row[j], sharpened(min(1.0, float(similar[k]))))
-        return out
+        self.own, self.roots = [], []
+        for decay, power in KERNELS:
+            raw = kernels(self.strings, self.strings, decay).astype(np.float64).reshape(len(self.strings), len(self.strings))
+            self.own.append(np.diag(raw).copy())
+            values, vectors = np.linalg.eigh((raw / np.sqrt(np.outer(self.own[-1], self.own[-1]))) ** power)
+            self.roots.append(vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T)
+
+    @property
+    def width(self) -> int:
+        return len(KERNELS) * len(self.strings)
+
+    def features(self, words: list[str]) -> np.ndarray:
+        """Nyström features of each word; those of a sentence are the sum of its words'.  No word is more like a landmark than that itself."""
+        return np.hstack([np.minimum(1, kernels(words, self.strings, decay) / own) ** power @ root for (decay, power), own, root in zip(KERNELS, self.own, self.roots, strict=True)])
+
+
+def sentences(text: str) -> list[list[str]]:
+    """Words of each sentence, one of more than SENTENCE words being cut; letters standing alone in a row are a word besides."""
+    lowered = text.lower()
+    spaced = bool(_SPACED.search(lowered))
+    out = []
+    for sentence in _SENTENCE.split(lowered):
+        words = sentence.split()
+        if spaced:
+            words += _SPACED.findall(sentence)
+        out += [words[at : at + SENTENCE] for at in range(0, len(words), SENTENCE)]
+    return out
 
 
 @dataclass
@@ -215,51 +201,40 @@ class Machine:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "cache": {}}
 
-    def similarities(self, texts: list[str]) -> list[np.ndarray]:
-        """One row for each sentence with features, for each text."""
+    def margins(self, texts: list[str]) -> list[np.ndarray]:
+        """The margin of each sentence of each text."""
         if not self.landmarks.strings:
-            return [np.zeros((0, 0))] * len(texts)
+            return [np.zeros(0)] * len(texts)
         if len(self.cache) > KEPT:
             self.cache.clear()
-        lowered = [t.lower() for t in texts]
-        own = [set(t.split()) for t in lowered]
-        spaced = [_SPACED.findall(t) for t in lowered]
-        new = {w for words in own for w in words if w not in self.cache} | {w for words in spaced for w in words if w not in self.cache}
-        plain = {w: normalised(w) for w in new}
-        found = self.landmarks.of_words(list(set(plain.values())))
-        for w, p in plain.items():
-            self.cache[w] = found.get(p)
-        out = []
-        for text, words, apart in zip(lowered, own, spaced, strict=True):
-            if not apart and all(self.cache[w] is None for w in words):
-                out.append(np.zeros((0, len(self.landmarks.strings))))
-                continue
-            rows = []
-            for sentence in _SENTENCE.split(text):
-                have = [v for w in (*sentence.split(), *(_SPACED.findall(sentence) if apart else ())) if (v := self.cache.get(w)) is not None]
-                if have:
-                    rows.append(np.max(have, axis=0))
-            out.append(np.array(rows).reshape(len(rows), len(self.landmarks.strings)))
-        return out
-
-    def traits(self, text: str, rows: np.ndarray) -> np.ndarray:
-        """What a document is judged by: the highest score of its sentences, cut off behind the margins where more of it says no more; the number of toxic ones; and that number by the words."""
-        scores = rows @ self.landmarks.root @ self.weights + self.bias if len(rows) else np.zeros(0)
-        best = float(np.clip(max(self.bias, scores.max(initial=self.bias)), -1.5, 1.5))
-        hits = int((scores > 0).sum())
-        return np.array([best, np.log1p(hits), min(1.0, 20 * hits / (1 + text.count(" ") + text.count("\n")))])
+        cut = [sentences(t) for t in texts]
+        new = list({w for text in cut for words in text for w in words} - self.cache.keys())
+        plain: dict[str, float] = dict.fromkeys(map(normalised, new), 0.0)
+        distinct = list(plain)
+        for at in range(0, len(distinct), 1 << 16):
+            some = distinct[at : at + (1 << 16)]
+            plain.update(zip(some, (self.landmarks.features(some) @ self.weights).tolist(), strict=True))
+        self.cache.update((w, plain[normalised(w)]) for w in new)
+        worth = self.cache
+        return [np.array([self.bias + sum(worth[w] for w in words) for words in text]) for text in cut]
 
     def scores(self, texts: list[str]) -> list[float]:
-        traits = np.array([self.traits(t, r) for t, r in zip(texts, self.similarities(texts), strict=True)]).reshape(len(texts), TRAITS)
+        traits = np.array([self.traits(t, m) for t, m in zip(texts, self.margins(texts), strict=True)]).reshape(len(texts), TRAITS)
         return (1 / (1 + np.exp(-np.clip(traits @ self.slopes + self.offset, -50, 50)))).tolist()
 
+    def traits(self, text: str, margins: np.ndarray) -> np.ndarray:
+        """What a document is judged by: the highest margin of its sentences, the sum of how far they lie above one without features (by FLOOR at least), and that sum by the words."""
+        best = np.clip(margins.max(initial=self.bias), -2.0, 2.0)
+        total = np.maximum(0, margins - self.bias - FLOOR).sum()
+        return np.array([best, np.log1p(total), min(1.0, 10 * total / (20 + text.count(" ") + text.count("\n")))])
+
 
 def contexts(texts: list[str]) -> Counter:
     """Normalised words, with the number of different neighbours they stand between; so copies of a passage count once."""
     seen: dict[str, set[int]] = {}
     for text in texts:
         lowered = text.lower()
-        words = ["", *map(normalised, lowered.split()), ""]
+        words = [BEGIN, *map(normalised, lowered.split()), BEGIN]
         for before, word, after in zip(words, words[1:], words[2:], strict=False):
             if GRAMS[0] <= len(word) <= 2 * WINDOW:
                 seen.setdefault(word, set()).add(hash((before, after)))
@@ -268,12 +243,13 @@ def contexts(texts: list[str]) -> Counter:
     return Counter({w: len(c) for w, c in seen.items()})
 
 
-def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
-    def grams(word: str) -> set[str]:
-        return {word[i : i + n] for n in range(*GRAMS) for i in range(len(word) - n + 1)}
+def grams(word: str) -> set[str]:
+    return {word[i : i + n] for n in range(*GRAMS) for i in range(len(word) - n + 1)}
 
-    bad, good = contexts(toxic), contexts(clean)
-    covers = max(COVERS, len(toxic) * COVERED)
+
+def choose_landmarks(bad: Counter, good: Counter, documents: int, most: int = LANDMARKS) -> list[str]:
+    """Toxic landmarks from the words of toxic and of clean documents."""
+    covers = max(COVERS, documents * COVERED)
     counts: Counter = Counter()
     for word, n in bad.items():
         for g in grams(word):
@@ -300,7 +276,7 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
             break
         top = max(left.values())
         # Of the n-grams that cover nearly as much, the surest and then the longest.
-        best = max((g for g, n in left.items() if n >= 0.9 * top), key=lambda g: (round(precision[g], 2), len(g), g))
+        best = max((g for g, n in left.items() if n >= 0.75 * top), key=lambda g: (round(precision[g], 1), len(g), g))
         chosen.append(best)
         for word in words.pop(best):
             for g in grams(word):
@@ -311,69 +287,106 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     return chosen
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 1500, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Squared hinge with both classes weighed alike, by accelerated gradient steps."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w.copy(), b
-    rate = 1 / (2 * (share @ ((x**2).sum(axis=1) + 1)) + penalty)
-    for step in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (x @ vw + vb)) * share * y
-        nw, nb = vw - rate * (penalty * vw - 2 * x.T @ slack), vb + rate * 2 * slack.sum()
-        beta = (step - 1) / (step + 2)
-        vw, vb = nw + beta * (nw - w), nb + beta * (nb - b)
-        w, b = nw, nb
-    return w, b
+def rivals(toxic: list[str], good: Counter, most: int = OTHERS) -> list[str]:
+    """Clean landmarks: words of clean documents, no more than a few for each toxic landmark, that are like it by the kernel but do not hold it; weighed by how often they stand."""
+    words = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[: 200 * most] if GRAMS[0] <= len(w) < GRAMS[1]]
+    if not words or not toxic:
+        return []
+    decay = KERNELS[-1][0]
+    like = kernels(words, toxic, decay) / np.diag(kernels(toxic, toxic, decay)) * np.log1p([good[w] for w in words])[:, None]
+    chosen: dict[str, None] = {}
+    for place in range(-(-most // len(toxic)) + 2):
+        for j in range(len(toxic)):
+            order = np.argsort(-like[:, j], kind="stable")
+            free = [words[i] for i in order[: 8 + 2 * place] if toxic[j] not in words[i] and like[i, j] > 0 and words[i] not in chosen]
+            if free and len(chosen) < most:
+                chosen[free[0]] = None
+    return [w for w in chosen if not any(z == w for z in toxic)]
+
+
+def gapped(strings: list[str]) -> list[str]:
+    """Each string with a letter put in at one place, and at all."""
+    return [v for z in strings for c in "xq" for v in (*(z[:i] + c + z[i:] for i in range(1, len(z))), c.join(z))]
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Squared hinge with the given shares of the rows, by Newton's steps over the rows within the margin."""
+    x = np.c_[x, np.ones(len(x))]
+    ridge = np.r_[np.full(x.shape[1] - 1, penalty), 1e-9]
+
+    def loss(w: np.ndarray) -> float:
+        return float(share @ np.maximum(0, 1 - y * (x @ w)) ** 2 + ridge @ w**2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        near = np.flatnonzero(y * (x @ w) < 1)
+        part = x[near] * share[near, None]
+        step = np.linalg.solve(part.T @ x[near] + np.diag(ridge), part.T @ y[near]) - w
+        size, now = 1.0, loss(w)
+        while size > 1e-3 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-6 * (1 + np.abs(w).max()):
+            break
+    return w[:-1], float(w[-1])
+
+
+def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes that are not negative, and an offset."""
+    x = np.c_[x, np.ones(len(x))]
+    used, ridge = np.ones(x.shape[1], dtype=bool), np.r_[np.full(x.shape[1] - 1, 1e-4), 1e-9]
+    while True:
+        beta = np.zeros(x.shape[1])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            g = (x.T @ (weight * (p - target)) + ridge * beta)[used]
+            h = (x[:, used].T * (weight * p * (1 - p))) @ x[:, used] + np.diag(ridge[used])
+            beta[used] -= np.clip(np.linalg.solve(h, g), -1, 1)
+        if (beta[:-1] >= 0).all():
+            return beta[:-1], float(beta[-1])
+        used[:-1] &= beta[:-1] >= 0
 
 
 def train(toxic: list[str], clean: list[str], share: float) -> Machine:
     """share: the part of the labels that is toxic, for the calibration."""
     prior = float(np.clip(share, 0, 1))
     flat = -50.0 if prior == 0 else float(np.log(prior / (1 - prior))) if prior < 1 else 50.0
-    strings = choose_landmarks(toxic, clean) if toxic and clean else []
-    machine = Machine(Landmarks(strings), np.zeros(len(strings)), -1.0, np.zeros(TRAITS), flat)
+    bad, good = (contexts(toxic), contexts(clean)) if toxic and clean else (Counter(), Counter())
+    strings = choose_landmarks(bad, good, len(toxic))
     if not strings:
-        return machine
-    positive, negative = machine.similarities(toxic), machine.similarities(clean)
-    root = machine.landmarks.root
-    machine.weights = root @ np.ones(len(strings))  # the first round takes the sentence most like any landmark
-    low = [np.zeros((1, len(strings)))] + [r for r in negative if len(r)]
-    broken = [z[:i] + c + z[i:] for z in strings for i in range(1, len(z)) for c in ("x", z[i])]
-    gapped = np.array(list(machine.landmarks.of_words(broken).values())).reshape(-1, len(strings))
+        return Machine(Landmarks([]), np.zeros(0), -1.0, np.zeros(TRAITS), flat)
+    landmarks = Landmarks(strings + rivals(strings, good))
+    width = landmarks.width
+    cut = [[[normalised(w) for w in s] for s in sentences(t)] for t in toxic + clean]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for text in cut for s in text for w in s}))}
+    known = landmarks.features(list(vocabulary)).astype(np.float64)
+    rows = [np.array([known[[vocabulary[w] for w in s]].sum(axis=0) for s in text]).reshape(-1, width) for text in cut]
+    positive, negative = rows[: len(toxic)], rows[len(toxic) :]
+    machine = Machine(landmarks, np.r_[landmarks.roots[0] @ (np.arange(len(landmarks.strings)) < len(strings)), np.zeros(width - len(landmarks.strings))], -1.0, np.zeros(TRAITS), flat)  # the first round takes the sentence most like any toxic landmark
+    low = np.vstack([np.zeros((1, width)), *negative])
+    hidden = landmarks.features(gapped(strings)).astype(np.float64)
     for _ in range(4):
-        top = [r[(best := r @ root @ machine.weights) >= min(best.max(), NEAR)] for r in positive if len(r)]
-        top += [gapped] * (len(top) // max(1, len(gapped)) + 1)  # about as many as from documents
-        x = np.vstack(top + low) @ root
-        y = np.r_[np.ones(sum(map(len, top))), -np.ones(sum(map(len, low)))]
-        machine.weights, machine.bias = fit_linear(x, y)
-    # Logistic regression over documents, each kind weighed as among the labels; more of a trait never lowers a score.
-    raw = np.array([machine.traits(t, r) for t, r in zip(toxic + clean, positive + negative, strict=True)])
+        top = np.vstack([r[(best := r @ machine.weights + machine.bias) >= min(best.max(), NEAR)] for r in positive if len(r)])
+        # Landmarks with letters put in weigh as much as a part of the toxic sentences.
+        share = np.r_[np.full(len(top), WEIGHT), np.full(len(hidden), WEIGHT * HIDDEN * len(top) / len(hidden)), np.ones(len(low))] / (len(top) + len(low))
+        y = np.r_[np.ones(len(top) + len(hidden)), -np.ones(len(low))]
+        machine.weights, machine.bias = fit_linear(np.vstack([top, hidden, low]), y, share)
+    # Logistic regression over documents, each kind weighed as among the labels.
+    traits = np.array([machine.traits(t, r @ machine.weights + machine.bias) for t, r in zip(toxic + clean, positive + negative, strict=True)])
     target = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
     weight = np.r_[np.full(len(positive), prior / len(positive)), np.full(len(negative), (1 - prior) / len(negative))]
-    x = np.c_[raw, np.ones(len(raw))]
-    used, ridge = np.ones(TRAITS + 1, dtype=bool), np.r_[np.full(TRAITS, 1e-4), 1e-9]
-    while True:
-        beta = np.zeros(TRAITS + 1)
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            g = (x.T @ (weight * (p - target)) + ridge * beta)[used]
-            h = (x[:, used].T * (weight * p * (1 - p))) @ x[:, used] + np.diag(ridge[used])
-            beta[used] -= np.clip(np.linalg.solve(h, g), -1, 1)
-        if (beta[:TRAITS] >= 0).all():
-            break
-        used[:TRAITS] &= beta[:TRAITS] >= 0
-    machine.slopes, machine.offset = beta[:TRAITS], float(beta[TRAITS])
+    machine.slopes, machine.offset = fit_logistic(traits, target, weight)
     return machine
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[list[str], list[str], float]:
-    """Toxic and clean texts to learn from, and the share of toxic labels."""
+    """Toxic and clean texts of at most LETTERS letters to learn from, and the share of toxic labels."""
     known = stored(labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = {r.toxic: r["count"] for r in known.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     order = (F.xxhash64(id_crc()), F.col("doc_id"))
     ids = [known.where(F.col("toxic") == 1).orderBy(*order).limit(toxic), known.where(F.col("toxic") != 1).orderBy(*order).limit(clean)]
     chosen = stored(ids[0].unionByName(ids[1]))  # at most toxic + clean rows
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").where("text <> ''")
+    rows = docs.select("doc_id", text_of().alias("text")).where(F.length("text").between(1, LETTERS)).join(F.broadcast(chosen), "doc_id")
     found = rows.orderBy("doc_id").limit(2 * (toxic + clean)).collect()
     texts = [list(dict.fromkeys(r.text for r in found if (r.toxic == 1) == bad)) for bad in (True, False)]
     return texts[0], texts[1], n.get(True, 0) / max(1, sum(n.values()))

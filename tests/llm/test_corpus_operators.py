@@ -279,28 +279,38 @@ def test_masks_lose_no_window():
 # Toxicity
 
 
-def plain_kernel(s, t, p=toxicity.LENGTH, decay=toxicity.DECAY):
+def plain_kernel(s, t, decay, p=toxicity.LENGTH):
     return sum(decay ** (a[-1] - a[0] + b[-1] - b[0] + 2) for a in itertools.combinations(range(len(s)), p) for b in itertools.combinations(range(len(t)), p) if all(s[x] == t[y] for x, y in zip(a, b, strict=True)))
 
 
 def test_subsequence_kernel():
-    for s, t in itertools.product(("idiot", "idxiot", "edition", "aaaa", "ab", "banana"), ("idiot", "aaa", "banana")):
-        assert abs(float(toxicity.kernel(toxicity.coded([s, "placeholder"])[:1], toxicity.coded([t])[0])[0]) - plain_kernel(s, t)) < 1e-4
+    words, marks = ["idiot", "ixdxixoxt", "edition", "aaaaa", "abc", "banana", ""], ["idiot", "aaaa", "banana"]
+    for decay in (0.5, 0.95):
+        got = toxicity.kernels(words, marks, decay)
+        for (i, s), (j, t) in itertools.product(enumerate(words), enumerate(marks)):
+            assert abs(got[i, j] - plain_kernel(s, t, decay)) < 1e-4
+    gram = toxicity.kernels(marks, marks, 0.95).astype(float)
+    assert np.linalg.eigvalsh(gram).min() > -1e-6 * gram.max()
 
 
 def test_toxicity_held_out(spark, sf):
     at = sf.replace("0.001", "0.1")
-    docs, labels = table(at, "documents"), {r["doc_id"]: r["toxic"] for r in table(at, "labels")}
-    rows = [(r["text"], labels[r["doc_id"]], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in docs if labels.get(r["doc_id"]) is not None]
-    machine = toxicity.train([t for t, y, h in rows if y == 1 and not h], [t for t, y, h in rows if y == 0 and not h], sum(y for _, y, h in rows if not h) / sum(not h for _, _, h in rows))
-    held = [(t, y) for t, y, h in rows if h]
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    machine = toxicity.train(*toxicity.sample(docs, labels))
+    known = {r["doc_id"]: r["toxic"] for r in table(at, "labels")}
+    held = [(r["text"], known[r["doc_id"]]) for r in table(at, "documents") if known.get(r["doc_id"]) is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     predicted = np.array(machine.scores([t for t, _ in held])) >= toxicity.THRESHOLD
     y = np.array([y for _, y in held]) == 1
     assert (predicted & y).sum() >= 0.9 * predicted.sum()
+    assert (predicted & y).sum() >= 0.9 * y.sum()
     frame = "Anhashsh erealy eaeron onatth ouha the from. {} in in eded thanntly ndth with."
-    hidden = machine.scores([frame.format(w) for w in ("i d i o t", "idi.ot", "1d10t", "idioot", "st-upid", "clown")])
-    assert min(hidden) >= toxicity.THRESHOLD
-    assert max(machine.scores([frame.format(w) for w in ("edition", "patient", "story")])) < toxicity.THRESHOLD
+    insults = ("idiot", "clown", "stupid", "pathetic", "moron", "worthless", "loser", "disgusting")
+    for hide in (lambda w: w, lambda w: " ".join(w), ".".join, *(lambda w, i=i: w[:i] + "x" + w[i:] for i in range(1, 5))):
+        assert min(machine.scores([frame.format(hide(w)) for w in insults])) >= toxicity.THRESHOLD
+    assert max(machine.scores([frame.format(w) for w in ("edition", "patient", "story", "crown", "museum", "motion")])) < toxicity.THRESHOLD
+    # A clean text stays clean however often it is repeated.
+    clean = next(t for (t, y), p in zip(held, predicted, strict=True) if y == 0 and not p and len(t) > 2000)
+    assert machine.scores([clean * 20])[0] < toxicity.THRESHOLD
 
 
 # Pages

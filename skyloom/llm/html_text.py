@@ -4,18 +4,24 @@ A page is cut into blocks: runs of text between the tags of block-level
 elements, each with its path of open elements.  For every root-to-leaf path
 the lengths of its blocks' texts (links counted apart) and their punctuation
 marks are summed over the page; a path's ratio is text per block, weighed by
-punctuation per block and by the share of text outside links.  Paths carry
-priors as well: what element names, classes, ids and roles say about them
-(an article, a sidebar, reader comments).  The fused ratios are smoothed along the blocks in page
-order, and blocks above a share of the best one are content nodes.
-
-The content nodes' common container, widened to the article they stand in,
-is the article; all blocks in it are its text except those in elements that are
-boilerplate by their kind (nav, aside, hidden ones), and those whose names say
-so and whose ratio, weighed by that, is low.  Names only weigh: they count for
-nothing on html and body, and on an element that holds the page's article or
-most of its text (``weigh_names``).  If the common container is the page itself, the content nodes are taken
-one by one, with the headings right before them.
+punctuation per block and by the share of text outside links.  What element
+names, classes, ids and roles say (an article, a sidebar, reader comments, a form)
+is a prior that weighs the ratio.  The fused ratios are smoothed along the
+blocks in page order, and blocks above a share of the best one are content nodes.
+
+The content nodes decide which part of the page is the article: the deepest
+element that holds ``MASS`` of their text, and the elements around it as long
+as these add nothing but headings before it, content nodes, or what priors call
+content.  Its text are the blocks in it, but for elements that are boilerplate by their kind
+(nav, aside, hidden ones), blocks of low ratio whose names say boilerplate, and
+paths that are links and little else.
+
+Names never decide by themselves: they count for nothing on html and body, nor
+on an element that holds the page's article or most of its text
+(``weigh_names``).  A page of text without any container is taken block by block,
+with the headings right before content nodes.
+
+All passes are linear in the page, however deep its elements are nested.
 
 Edge cases: a null or empty page and a page without text have the empty text;
 unclosed and stray tags, truncated pages and comments without an end are
@@ -28,6 +34,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,23 +48,31 @@ SHARE = 0.15
 #: Weights of a block and its neighbours at distances 1 and 2.
 KERNEL = (1.0, 0.35, 0.1)
 LIKELY, UNLIKELY = 6.0, 0.05
+#: Share of the content nodes' text that the article holds.
+MASS = 0.9
+#: Share of its text outside links below which a path is a list of links.
+PLAIN = 0.2
 #: An element whose names say boilerplate is none if it has so many times the text outside all such elements; an article needs as much.
 MOST_TEXT = 4
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a piece of a text and never all of it.
+PIECES = HEADINGS | frozenset("p li dt dd td th tr pre blockquote figcaption summary address caption option legend".split())
 #: A start tag of the key ends an open element of the value, if nothing of the barrier is between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr"), "tfoot": ("tbody", "tr")}
 BARRIER = frozenset("ul ol dl table body html div article section main select".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button head search".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button head search".split())
 MAIN = frozenset("article main".split())
 #: What classes and ids of these say is about the page.
 PAGE = frozenset("html body".split())
 # Words of classes, ids and roles.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer footnav gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Those that say nothing beside another word ("market-share").
+OFTEN_ELSE = frozenset("banner notice related replies reply respond search share sharing skip social tags".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*+>|<!--|<[!?][^>]*+>|</[^>]*+>|<[a-zA-Z/!?][^<>]*\Z")
@@ -66,7 +81,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
     name: str
     path: int  # a number for the names from the root to here
@@ -75,7 +90,12 @@ class Element:
     hint: bool  # its own names say boilerplate
     good: bool
     within: bool  # something good is here or above
+    scope: Counter  # open elements by name, up to the nearest barrier
+    hinted: bool = False  # a hint is here or above
     bad: bool = False  # drop, or a hint that counts is here or above
+    free: int = 0  # letters outside links, in it
+    mass: int = 0  # letters of content nodes, in it
+    inside: bool = False  # the article, or in it
 
 
 @dataclass(slots=True)
@@ -96,14 +116,17 @@ def _hints(attributes: str) -> tuple[bool, bool, bool]:
             continue
         for item in value.split():
             words = [w.lower() for w in _WORDS.findall(item)]
-            bad |= any(w in BAD_WORDS for w in words)
+            worse = [w for w in words if w in BAD_WORDS]
+            bad |= 2 * len(worse) > len(words) or any(w not in OFTEN_ELSE for w in worse)
             good |= any(w in GOOD_WORDS for w in words)
     return bad, good, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order, white space made one space and character references decoded."""
-    root = Element("", 0, None, False, False, False, False)
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks with text, in page order, white space made one space and character references decoded; and the elements, each behind the one it stands in."""
+    root = Element("", 0, None, False, False, False, False, Counter())
+    elements = [root]
+    opened: Counter = Counter()
     here, out = root, []
     link = 0
     current: Block | None = None
@@ -111,6 +134,8 @@ def blocks(page: str) -> list[Block]:
     def close_until(element: Element) -> None:
         nonlocal here, current, link
         while here is not element:
+            opened[here.name] -= 1
+            here.parent.scope[here.name] -= 1
             if here.name == "a":
                 link = max(0, link - 1)
             if here.name in BLOCK:
@@ -152,10 +177,10 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if m.group(1) or m.group(4):
-            element = here
-            while element is not None and element.name != name:
-                element = element.parent
-            if element is not None and element.parent is not None:
+            if opened[name] > 0:
+                element = here
+                while element.name != name:
+                    element = element.parent
                 close_until(element.parent)
             elif name in BLOCK:
                 current = None
@@ -167,6 +192,8 @@ def blocks(page: str) -> list[Block]:
                 current = None
             continue
         if name in RAW:
+            if name == "svg" and token.endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = n if end is None else end.end()
             if name in BLOCK:
@@ -174,10 +201,10 @@ def blocks(page: str) -> list[Block]:
             continue
         ends = ("p",) if name in BLOCK else ()
         for closed in (*ends, *CLOSES.get(name, ())):
-            element = here
-            while element.parent is not None and element.name != closed and element.name not in BARRIER:
-                element = element.parent
-            if element.name == closed and element.parent is not None:
+            if here.scope[closed] > 0:
+                element = here
+                while element.name != closed:
+                    element = element.parent
                 close_until(element.parent)
         bad, good, hidden = _hints(m.group(3)) if m.group(3) else (False, False, False)
         if name in PAGE:
@@ -186,63 +213,53 @@ def blocks(page: str) -> list[Block]:
             current = None
         if name == "a":
             link += 1
-        outside = name == "header" and not inside(here, MAIN)
+        outside = name == "header" and not any(opened[n] > 0 for n in MAIN)
         good |= name in MAIN
-        here = Element(name, hash((here.path, name)), here, here.drop or hidden or name in BOILERPLATE or outside, bad, good, good or here.within)
+        opened[name] += 1
+        here.scope[name] += 1
+        scope = Counter() if name in BARRIER else here.scope
+        here = Element(name, hash((here.path, name)), here, here.drop or hidden or name in BOILERPLATE or outside, bad or name == "form", good, good or here.within, scope)
+        elements.append(here)
     for block in out:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
     found = [b for b in out if b.text]
-    weigh_names(found)
-    return found
+    weigh_names(found, elements)
+    return found, elements
 
 
-def weigh_names(found: list[Block]) -> None:
+def weigh_names(found: list[Block], elements: list[Element]) -> None:
     """Set ``bad``: names that say boilerplate count, but on the element that holds the page's article, or most of its text, and those around it."""
-    paths = [_ancestors(b.element) for b in found]
-    if any(e.hint for path in paths for e in path):
+    for e in elements[1:]:
+        e.hinted = e.hint or e.parent.hinted
+    if any(e.hint for e in elements):
         plain = named = 0  # text outside all such elements, and that in something good
-        holders: dict[int, list] = {}  # article, main or innermost element with such names: [text, element, whether article or main]
-        for b, path in zip(found, paths, strict=True):
+        for b in found:
             free = len(b.text) - min(b.linked, len(b.text))
             if b.element.drop:
                 continue
-            if not any(e.hint for e in path):
+            if not b.element.hinted:
                 plain += free
                 named += free if b.element.within else 0
-                continue
-            for e in path:
-                if e.hint or e.name in MAIN:
-                    holders.setdefault(id(e), [0, e, e.name in MAIN])[0] += free
-                if e.hint:
-                    break
-        fit = [h for h in holders.values() if (h[0] >= max(1, plain) if h[2] else h[0] >= max(1, MOST_TEXT * plain) and not named)]
-        fit = [h for h in fit if h[1].name == "main"] or fit
-        if fit:
-            held = max(fit, key=lambda h: h[0])[1]
-            for e in _ancestors(held):
+            else:
+                b.element.free += free
+        # Text is handed up to the innermost element with such names, and counts for each article or main on its way.
+        for e in reversed(elements[1:]):
+            if not e.hint:
+                e.parent.free += e.free
+        holders = [e for e in elements[1:] if e.hinted and (e.hint or e.name in MAIN) and e.free >= (max(1, plain) if e.name in MAIN else max(1, MOST_TEXT * plain)) and (e.name in MAIN or not named)]
+        holders = [e for e in holders if e.name == "main"] or holders
+        if holders:
+            e = max(holders, key=lambda h: h.free)
+            while e.parent is not None:
                 e.hint = False
-    for b, path in zip(found, paths, strict=True):
-        b.element.bad = b.element.drop or any(e.hint for e in path)
-
-
-def inside(element: Element | None, names: frozenset) -> bool:
-    while element is not None:
-        if element.name in names:
-            return True
-        element = element.parent
-    return False
-
-
-def _ancestors(element: Element) -> list[Element]:
-    out = []
-    while element.parent is not None:
-        out.append(element)
-        element = element.parent
-    return out
+                e = e.parent
+    for e in elements[1:]:
+        e.hinted = e.hint or e.parent.hinted
+        e.bad = e.drop or e.hinted
 
 
 def ratios(found: list[Block]) -> list[float]:
-    """Fused tag-path ratio of each block, smoothed along the blocks; that of a bad one is its own, so that its neighbours do not raise it."""
+    """Fused tag-path ratio of each block, smoothed along the blocks; that of a bad one, or of one of a path of links, is its own, so that its neighbours do not raise it."""
     sums: dict[tuple, list[float]] = {}
     keys = []
     for b in found:
@@ -265,44 +282,68 @@ def ratios(found: list[Block]) -> list[float]:
             if 0 <= i + d < len(fused):
                 total += KERNEL[abs(d)] * fused[i + d]
                 weight += KERNEL[abs(d)]
-        out.append(fused[i] if found[i].element.bad else total / weight)
+        _, text, _, linked = sums[keys[i]]
+        out.append(fused[i] if found[i].element.bad or text - linked < PLAIN * text else total / weight)
     return out
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    found, elements = blocks(page)
     scores = ratios(found)
     best = max((s for s, b in zip(scores, found, strict=True) if not b.element.drop), default=None)
     if best is None:
         return ""
     least = SHARE * best
-    content = [b for s, b in zip(scores, found, strict=True) if s >= least and not b.element.drop]
-    fit = [b for s, b in zip(scores, found, strict=True) if not b.element.drop and (s >= least or not b.element.bad)]
-    # Deepest element that all content nodes stand in.
-    common = _ancestors(content[0].element)
-    for before, b in zip(content, content[1:], strict=False):
-        if b.element is before.element:
-            continue
-        own = {id(e) for e in _ancestors(b.element)}
-        common = [e for e in common if id(e) in own]
-    container = next(iter(common), None)
-    articles = [e for e in common if e.name == "article"] or [e for e in common if e.name == "main"]
-    if articles:
-        container = articles[-1]
+    content = [not b.element.drop and s >= least for s, b in zip(scores, found, strict=True)]
+    links: dict[tuple, list[int]] = {}
+    for b in found:
+        own = links.setdefault((b.element.path, b.element.bad), [0, 0])
+        own[0] += len(b.text)
+        own[1] += min(b.linked, len(b.text))
+    listed = {key for key, (text, linked) in links.items() if text - linked < PLAIN * text}
+    fit = [c or not (b.element.bad or (b.element.path, False) in listed) for c, b in zip(content, found, strict=True)]
+    article = container(found, content, fit, elements)
+    if article is None:
+        fit = [c or (b.element.name in HEADINGS and f and i + 1 < len(found) and content[i + 1]) for i, (b, c, f) in enumerate(zip(found, content, fit, strict=True))]
     else:
-        named = [e for e in common if e.good and e.name != "body"]
-        if named:
-            container = named[-1]
-        elif container is not None and container.name not in ("div", "section", "td", "body", "html"):
-            container = next((e for e in common if e.name in ("div", "section", "td", "body", "html")), None)
-    if container is not None and container.name not in ("body", "html"):
-        return "\n".join(b.text for b in fit if any(e is container for e in _ancestors(b.element)))
-    chosen = {id(b) for b in content}
-    out = []
-    for i, b in enumerate(fit):
-        if id(b) in chosen or (b.element.name in HEADINGS and i + 1 < len(fit) and id(fit[i + 1]) in chosen):
-            out.append(b.text)
-    return "\n".join(out)
+        for e in elements[1:]:
+            e.inside = e is article or e.parent.inside
+    return "\n".join(b.text for b, f in zip(found, fit, strict=True) if f and (article is None or b.element.inside))
+
+
+def container(found: list[Block], content: list[bool], fit: list[bool], elements: list[Element]) -> Element | None:
+    """The article's element, or None if that is the page itself."""
+    first: dict[Element, int] = {}
+    extra: Counter = Counter()  # fit blocks in an element that speak against it: neither content nor called so
+    heads: Counter = Counter()  # the same, of headings
+    for i, (b, c, f) in enumerate(zip(found, content, fit, strict=True)):
+        first.setdefault(b.element, i)
+        if c:
+            b.element.mass += len(b.text)
+        elif f and b.element.name in HEADINGS:
+            heads[b.element] += 1
+        elif f:
+            extra[b.element] += 1
+    total = sum(len(b.text) for b, c in zip(found, content, strict=True) if c)
+    for e in reversed(elements[1:]):
+        e.parent.mass += e.mass
+        extra[e.parent] += extra[e]
+        heads[e.parent] += heads[e]
+        if e in first:
+            first[e.parent] = min(first[e], first.get(e.parent, len(found)))
+    here = elements[0]
+    for e in elements[1:]:  # each element that holds so much stands in the one before
+        if e.mass >= MASS * total and e.parent is here:
+            here = e
+    while here.parent is not None and (here.name in PIECES or here.name not in BLOCK):
+        here = here.parent
+    # An element around it is the article if it adds no other text than headings before, or if it is called so.
+    element = here
+    while element.parent is not None and element.parent.name not in ("", *PAGE):
+        element = element.parent
+        if element.good or (extra[element] == extra[here] and (heads[element] == heads[here] or first[element] < first[here])):
+            here = element
+    return None if here.name in ("", *PAGE) else here
 
 
 def _texts(pages: pa.Array) -> pa.Array:

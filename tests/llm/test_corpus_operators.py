@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -317,12 +318,25 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_main_text(sf):
+    """The generated pages, as they are and with a plain element in the article's place."""
     import html
 
-    for r in table(sf, "pages"):
+    right = 0
+    rows = table(sf.replace("0.001", "0.01"), "pages")
+    for r in rows:
         article = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL).group(1)
         want = "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", "", y)).split()) for y in re.split(r"</?(?:p|h1|br)>", article)) if x)
         assert html_text.main_text(r["html"]) == want
+        right += html_text.main_text(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == want
+    assert right >= 0.98 * len(rows)
+
+
+@pytest.mark.parametrize("page", ["<b>{}</i>", "<p>x{}<div>a", "<div>{}<b></div><p>x", "<p><table>{}<b><div></div>", "<ul>{}<li>a<ul>"])
+def test_deeply_nested_pages_take_linear_time(page):
+    before, _, after = page.partition("{}")
+    started = time.perf_counter()
+    html_text.main_text(before * 20_000 + after * 20_000)
+    assert time.perf_counter() - started < 20  # quadratic passes take minutes
 
 
 @pytest.mark.parametrize(
@@ -331,6 +345,9 @@ def test_main_text(sf):
         ("<div class=content><h1>T</h1><p>Hello world, this is long. Yes, it is.</p><p>Second one here, also fine.</p></div><div class='sidebar'><p>Buy now, please. It is great.</p></div><div id=comments><p>Nice one, thanks.</p></div>", "T\nHello world, this is long. Yes, it is.\nSecond one here, also fine."),
         ("<header><h1>Site</h1></header><div class=cookie-notice>We use cookies, accept.</div><p>Main one, which is long enough. Truly.</p><p>Main two, as well &amp; more.</p><form>Name, please: <input></form><footer>c</footer>", "Main one, which is long enough. Truly.\nMain two, as well & more."),
         ("<article><h1>A &lt;b&gt;</h1>loose <i>in</i> it<br>more<ul><li>one<li>two</ul><section class='comments'><p>bad comment, long one. yes.</p></section></article>", "A <b>\nloose in it more\none\ntwo"),
+        ("<body class=page><form action=x><div><h1>T</h1><p>All of the page stands in a form, as some do. It is long.</p><p>And goes on here, for a while, to be text.</p></div></form></body>", "T\nAll of the page stands in a form, as some do. It is long.\nAnd goes on here, for a while, to be text."),
+        ("<div><p class=market-share>The share rose, as was said, to a third.</p><section class=related-work><p>Others found, in their work, the same.</p></section><p>Let <math><mi>x</mi></math> be small, and <svg width=1/> then smaller. So it is.</p></div>", "The share rose, as was said, to a third.\nOthers found, in their work, the same.\nLet x be small, and then smaller. So it is."),
+        ("<div><h1>T</h1><div><p>One paragraph of the text, as long as they are.</p><p>One more of them, which is as long, or so.</p><ul><li><a href=a>Share this</a><li><a href=b>Print that</a></ul></div></div>", "T\nOne paragraph of the text, as long as they are.\nOne more of them, which is as long, or so."),
         ("<p>unclosed <b>bold<p>next <!-- never closed", "unclosed bold\nnext"),
     ],
 )

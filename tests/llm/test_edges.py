@@ -113,5 +113,16 @@ def test_clean_stage_uses_ids_and_texts(docs, bench):
 
 
 def test_pages(spark):
+    long = "<div>" + "<p>The same sentence, again and again, for ever.</p>" * 20_000 + "</div>"
+    rows = [(1, "u", long, "t", 5), (1, "u", long, "t", 5), (2, None, "plain words", None, None), (3, "u", "<" * 5000, "", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html_text.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((r.page_id, r.n_chars, len(r.text)) for r in out.collect())
+    assert got[:2] == [(1, 20_000 * 46 - 1, 20_000 * 46 - 1)] * 2 and got[2] == (2, 11, 11)
+    assert html_text.extract(pages.where("page_id < 0")).collect() == []
+
+
+def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, ""), (2, "v", "<article><p>A &amp; B</p></article>")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "A & B", 5)]

@@ -1,34 +1,39 @@
 """Personal data: base patterns, and a skip-chain conditional random field.
 
 The base patterns (email, ip, card, phone) are exact.  The field adds spans
-that they miss: reformatted or broken-up data, and repeats of data that the
-patterns found elsewhere in the document.
+that they miss: reformatted or broken-up data, and repeats of data that was
+found elsewhere in the document.
 
 Model.  A document is cut at white space.  A token is a node of the field if
-it has a digit or an at sign, or stands at a bracketed "at" or "dot"; all other
+it has a digit, an at sign or a bracketed "at" or "dot", stands beside such a
+bracket or a free-standing at sign, or repeats the part of an address before
+the at sign; all other
 tokens have the label O for certain, so they cut the chain and cost nothing.
 Nodes that are neighbours in the text share a chain potential.  Tokens with a
 signature in common (their digits, their text, the part of an address before
 the at sign) share a skip potential, however far apart: each is linked to the
-next one with that signature, which makes links linear in the tokens.  Sum-product
+next one with that signature, which makes links linear in the tokens.  Tokens
+that a base span covers have its label as evidence.  Sum-product
 messages are passed over both kinds of edges; a token takes the label of its
 largest belief.
 
-Training.  Labels come from the base patterns over a bounded sample of
-documents, and from rewritings of what they find (sign dropped, at and dot
-spelled out, digits grouped), so that the unary potentials know such forms, and
-from repeats of their bare parts, which only skip links tell from other words.
-Parameters maximise the pseudo-likelihood.
+Training.  A bounded sample of documents lends its words; data of all kinds are
+made up and put between them, as the base patterns know them, in other forms
+(``rewritten``), and once more in part; so are numbers that are none (years, dates,
+versions, digits that fail the card check), for the label O.  Parameters
+maximise the pseudo-likelihood.
 
 Edge cases: null text counts as empty: no spans, and base_sha256 is the hash of
 the empty string; null ids stay null; repeated rows give one row each; very
-long texts are scanned once by each pattern in linear time; an empty table
+long texts are scanned once by each pattern in linear time, and the field's
+memory is a few hundred bytes for each of their nodes; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
@@ -41,13 +46,13 @@ from .common import small_batches, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-#: Documents with base spans, and without, that the field learns from.
-DOCUMENTS = 600
+#: Documents whose words the field learns between, letters of each, and examples made of them.
+DOCUMENTS, LETTERS, EXAMPLES = 400, 5_000, 1500
 ROUNDS, DAMPING = 12, 0.3
-#: What a document with base spans has.
-LIKELY = r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){12}"
 #: Least belief of an added span.
 BELIEF = 0.8
+#: Most neighbouring tokens that are looked at as one number.
+RUN = 6
 
 # The patterns are the stated ones, written so that a run of characters is tried once only.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -108,11 +113,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # Nodes of the field
 
 _TOKEN = re.compile(r"\S+")
-_SPELLED = re.compile(r"[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
+_SPELLED = re.compile(r"[\[({<](?:at|dot|\.)[\])}>]", re.IGNORECASE)
+_AT = re.compile(r"@|[\[({<]at[\])}>]", re.IGNORECASE)
 _CORE = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>](?:.*[^\s.,;:!?\"'()\[\]{}<>])?", re.DOTALL)
-_OCTETS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_GROUPS = re.compile(r"\(?[0-9]{2,4}\)?(?:[-./][0-9]{2,4})*")
+_EDGES = ".,;:!?\"'()[]{}<>"
+_OCTETS = re.compile(r"[0-9]{1,3}(?:(?:\.|[\[({<](?:dot|\.)[\])}>])[0-9]{1,3}){3}", re.IGNORECASE)
+_GROUPS = re.compile(r"\(?[0-9]{2,4}\)?(?:[-./_][0-9]{2,4})*")
+_CALL = re.compile(r"\(?[0-9]{3}[)/.-]{1,2}[0-9]{3}[.-]?[0-9]{4}|0[0-9]{1,4}[/-][0-9]{5,8}|(?:00|1|0)[0-9]{9,12}")
+_DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?")
+_FOUR = re.compile(r"[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_SPELT_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+[\[({<]at[\])}>][A-Za-z0-9-]+(?:(?:\.|[\[({<]dot[\])}>])[A-Za-z0-9-]+)+", re.IGNORECASE)
+# Words before data of a kind.
+CUES = (frozenset("email e-mail mail write contact".split()), frozenset("ip host server address".split()), frozenset("card visa mastercard amex iban".split()), frozenset("call phone tel telephone fax mobile ring".split()))
 
 
 @dataclass
@@ -124,9 +137,11 @@ class Nodes:
 
 
 def _shape(token: str) -> list[float]:
-    digits = len(_DIGIT.findall(token))
-    letters = sum(c.isalpha() for c in token)
-    octets = _OCTETS.fullmatch(token.strip(".,;:()"))
+    core = token.strip(_EDGES)
+    found = _digits(core)
+    digits = len(found)
+    letters = sum(c.isalpha() for c in core)
+    octets = _OCTETS.fullmatch(core)
     return [
         1.0,
         "@" in token,
@@ -136,56 +151,91 @@ def _shape(token: str) -> list[float]:
         letters > 0,
         letters > 3,
         digits > 0 and letters > 0,
-        digits + letters > 24,
+        digits + letters > 24 and _SPELLED.search(core) is None,
         octets is not None,
-        octets is not None and all(int(p) <= 255 for p in octets.group().split(".")),
-        _GROUPS.fullmatch(token.strip(".,;:")) is not None and letters == 0,
+        octets is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", core)),
+        _GROUPS.fullmatch(core) is not None and letters == 0,
         "-" in token,
         token.startswith("("),
         any(c in token for c in "=\"'/_#$%&*"),
-        13 <= digits <= 19 and luhn(_digits(token)),
-        _SPELLED.fullmatch(token) is not None,
-        _DOMAIN.fullmatch(token.strip(".,;:()")) is not None and letters > 1,
+        13 <= digits <= 19 and luhn(found),
+        13 <= digits <= 19 and not luhn(found),
+        _FOUR.fullmatch(core) is not None,
+        _FOUR.fullmatch(core) is not None and luhn(found),
+        _CALL.fullmatch(core) is not None,
+        _DATE.fullmatch(core) is not None,
+        digits == 4 and letters == 0 and found[:2] in ("18", "19", "20"),
+        _SPELLED.fullmatch(token.strip(",;")) is not None or token == "@",
+        _SPELT_ADDRESS.fullmatch(core) is not None,
+        _DOMAIN.fullmatch(core) is not None and letters > 1,
+        digits == 0 and ("." in core or "_" in core),
     ]
 
 
+def _runs(words: list[str], follows: np.ndarray) -> np.ndarray:
+    """For each node, whether it is a part of neighbours that make up a call number, a valid card number, or four groups that are none."""
+    out = np.zeros((len(words), 4))
+    cores = [w.strip(".,;:!?\"'") for w in words]
+    plain = [_digits(c) if not any(x.isalpha() or x == "@" for x in c) and not _OCTETS.fullmatch(c) else "" for c in cores]
+    for i in range(len(words)):
+        if not plain[i]:
+            continue
+        digits, j = plain[i], i
+        while j + 1 < len(words) and j - i < RUN and follows[j] and plain[j + 1]:
+            j += 1
+            digits += plain[j]
+            groups = [len(plain[k]) for k in range(i, j + 1)]
+            opens = cores[i].startswith(("+", "(", "00")) or cores[i] == "1"
+            if 9 <= len(digits) <= 13 and opens and max(groups) <= 8 and groups[-1] >= 3:
+                out[i : j + 1, 0] = 1
+            if 9 <= len(digits) <= 11 and not opens and min(groups) >= 2 and max(groups) <= 7 and groups[-1] >= 4:
+                out[i : j + 1, 1] = 1
+            if 13 <= len(digits) <= 19 and all(g == 4 for g in groups[:-1]) and groups[-1] <= 4:
+                out[i : j + 1, 2 if luhn(digits) else 3] = 1
+    return out
+
+
 def nodes(text: str) -> Nodes | None:
     """The nodes of a text with their features and edges, or None if it has none."""
     if not ("@" in text or _DIGIT.search(text) or _SPELLED.search(text)):
         return None
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     words = [text[a:b] for a, b in tokens]
-    spelled = {i for i, w in enumerate(words) if w[0] in "[({<" and _SPELLED.fullmatch(w)}
-    chosen = sorted({i for i, w in enumerate(words) if "@" in w or _DIGIT.search(w)} | {j for i in spelled for j in (i - 1, i, i + 1) if 0 <= j < len(words)})
+    spelled = {i for i, w in enumerate(words) if (w[0] in "[({<" and _SPELLED.fullmatch(w.strip(",;"))) or w == "@"}
+    names = {m.lower() for w in words if (at := _AT.search(w)) and len(m := w[: at.start()].strip(_EDGES)) > 3}
+    names |= {m.lower() for i in spelled if i and _AT.fullmatch(words[i]) and len(m := words[i - 1].strip(_EDGES)) > 3}
+    chosen = {i for i, w in enumerate(words) if "@" in w or _DIGIT.search(w) or (_SPELLED.search(w) if ")" in w or "]" in w or "}" in w or ">" in w else False)}
+    chosen |= {j for i in spelled for j in (i - 1, i, i + 1) if 0 <= j < len(words)}
+    if names:
+        chosen |= {i for i, w in enumerate(words) if w.strip(_EDGES).lower() in names}
     if not chosen:
         return None
-    shapes = np.array([_shape(words[i]) for i in chosen], dtype=np.float64)
-    width = shapes.shape[1]
+    chosen = sorted(chosen)
+    own = [words[i] for i in chosen]
+    shapes = np.array([_shape(w) for w in own], dtype=np.float32)
     follows = np.array([b - a == 1 for a, b in zip(chosen, chosen[1:], strict=False)], dtype=bool)
     before, after = np.zeros_like(shapes), np.zeros_like(shapes)
     before[1:][follows] = shapes[:-1][follows]
     after[:-1][follows] = shapes[1:][follows]
-    # What a run of neighbouring nodes looks like as a whole: its digits, and whether they pass the card check.
-    run = np.r_[0, np.cumsum(~follows)] if len(chosen) > 1 else np.zeros(1, dtype=np.int64)
-    whole = np.zeros((len(chosen), 5))
-    for r in range(int(run[-1]) + 1):
-        own = np.flatnonzero(run == r) if len(chosen) < 64 else np.arange(np.searchsorted(run, r), np.searchsorted(run, r, "right"))
-        plain = [i for i in own if not shapes[i, 11]]
-        digits = "".join(_digits(words[chosen[i]]) for i in plain[:40])
-        whole[plain] = (9 <= len(digits) <= 12, 13 <= len(digits) <= 19, 13 <= len(digits) <= 19 and luhn(digits), len(plain) > 1, len(digits) > 19)
-    features = np.hstack([shapes, before[:, 1:], after[:, 1:], whole])
-    assert features.shape[1] == 3 * width - 2 + 5
+    said = np.zeros((len(chosen), len(CUES)), dtype=np.float32)
+    for n, i in enumerate(chosen):
+        near = {words[j].strip(_EDGES).lower() for j in range(max(0, i - 2), i)}
+        said[n] = [bool(near & cue) for cue in CUES]
+    features = np.hstack([shapes, before[:, 1:], after[:, 1:], said, _runs(own, follows).astype(np.float32)])
     last: dict[tuple[str, str], int] = {}
     skip = set()
     for n, i in enumerate(chosen):
         if i in spelled:
             continue
-        core = m.group() if (m := _CORE.search(words[i])) else words[i]
+        core = words[i].strip(_EDGES)
         marks = {("text", core.lower())} if len(core) > 3 else set()
         if len(d := _digits(core)) >= 4:
             marks.add(("digits", d))
-        if "@" in core and len(core) > 3:
-            marks.add(("text", core.lower().partition("@")[0]))
+            ahead = _digits(own[n - 1]) if n and follows[n - 1] and len(d) < 7 else ""
+            if len(ahead + d) >= 7:
+                marks.add(("digits", (ahead + d)[-7:]))  # a call number without its area
+        if (at := _AT.search(core)) and at.start() > 3:
+            marks.add(("text", core[: at.start()].lower()))
         for mark in marks:
             if mark in last and last[mark] != n:
                 skip.add((last[mark], n))
@@ -202,49 +252,56 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def beliefs(self, graph: Nodes) -> np.ndarray:
-        """Label probabilities of each node by damped sum-product message passing."""
-        scores = graph.features @ self.unary
-        edges = np.concatenate([graph.chain, graph.skip])
-        if not len(edges):
+    def beliefs(self, graph: Nodes, evidence: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of each node by damped sum-product message passing; evidence has a label, or -1, for each node."""
+        scores = (graph.features @ self.unary).astype(np.float32)
+        if evidence is not None and (known := np.flatnonzero(evidence >= 0)).size:
+            scores[known] = -60.0
+            scores[known, evidence[known]] = 0.0
+        if not len(graph.chain) and not len(graph.skip):
             return _softmax(scores)
-        n, k = len(edges), len(LABELS)
-        potential = np.exp(np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)]))
-        potential = np.concatenate([potential, potential.transpose(0, 2, 1)])  # [message, sender's label, receiver's label]
-        sender = np.r_[edges[:, 0], edges[:, 1]]
-        receiver = np.r_[edges[:, 1], edges[:, 0]]
-        back = np.r_[np.arange(n, 2 * n), np.arange(n)]
-        messages = np.full((2 * n, k), -np.log(k))
+        k = len(LABELS)
+        # Sender, receiver and potential[sender's label, receiver's label] of the messages along and against each kind of edge.
+        ways = [(e[:, i], e[:, 1 - i], np.exp(m if i == 0 else m.T).astype(np.float32)) for e, m in ((graph.chain, self.chain), (graph.skip, self.skip)) for i in (0, 1)]
+        messages = [np.full((len(s), k), -np.log(k), dtype=np.float32) for s, _, _ in ways]
+
+        def total() -> np.ndarray:
+            out = scores.copy()
+            for (_, receiver, _), m in zip(ways, messages, strict=True):
+                np.add.at(out, receiver, m)
+            return out
+
         for _ in range(ROUNDS):
-            total = scores.copy()
-            np.add.at(total, receiver, messages)
-            out = _softmax(total[sender] - messages[back])
-            new = np.einsum("mi,mij->mj", out, potential)
-            new = np.log(new / new.sum(axis=1, keepdims=True) + 1e-300)
-            messages = DAMPING * messages + (1 - DAMPING) * new
-        total = scores.copy()
-        np.add.at(total, receiver, messages)
-        return _softmax(total)
+            now = total()
+            fresh = []
+            for w, (sender, _, potential) in enumerate(ways):
+                back = messages[w ^ 1]  # what came the other way along the same edges
+                new = _softmax(now[sender] - back) @ potential
+                fresh.append(DAMPING * messages[w] + (1 - DAMPING) * np.log(new / new.sum(axis=1, keepdims=True) + 1e-30))
+            messages = fresh
+        return _softmax(total())
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Spans of the field that touch no base span; neighbouring tokens of one label are one span."""
         graph = nodes(text)
         if graph is None:
             return []
-        covered = np.zeros(len(graph.spans), dtype=bool)
+        evidence = np.full(len(graph.spans), -1)
         starts = np.array([a for a, _ in graph.spans])
         ends = np.array([b for _, b in graph.spans])
-        for _, a, b in base:
-            covered[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = True
+        for kind, a, b in base:
+            evidence[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = LABELS.index(kind)
+        covered = evidence >= 0
         if covered.all():
             return []
-        belief = self.beliefs(graph)
+        belief = self.beliefs(graph, evidence)
         label = np.where((belief.max(axis=1) >= BELIEF) & ~covered, belief.argmax(axis=1), 0)
         follows = {int(a) for a, _ in graph.chain}
+        whole = [len(_digits(text[a:b])) >= 13 for a, b in graph.spans]  # two card numbers in a row are two
         out, i = [], 0
         while i < len(label):
             j = i
-            while j in follows and label[j + 1] == label[i]:
+            while j in follows and label[j + 1] == label[i] and not (whole[j] or whole[j + 1]):
                 j += 1
             if label[i]:
                 a, b = graph.spans[i][0], graph.spans[j][1]
@@ -271,59 +328,119 @@ def _labels(graph: Nodes, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
-def rewritten(text: str, spans: list[tuple[str, int, int]], turn: int) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with each base span in another form, and the spans of these."""
-    parts, out, at, size = [], [], 0, 0
-    if turn == 2:  # a bare part of each stands once more behind the text
-        out = list(spans)
-        for kind, a, b in spans:
-            bare = text[a:b].partition("@")[0] if kind == "email" else text[a:b].rsplit(" ")[-1]
-            if len(_digits(bare)) >= 2:
-                text += " and " + bare
-                out.append((kind, len(text) - len(bare), len(text)))
-        return text, out
-    for kind, a, b in sorted(spans, key=lambda s: s[1]):
-        if a < at:
+def _card(rng: random.Random) -> str:
+    digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def _number(rng: random.Random, n: int) -> str:
+    return str(rng.randrange(1, 10)) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+
+
+def made_up(kind: str, words: list[str], rng: random.Random) -> str:
+    """A value of the kind in the form of the base patterns."""
+    name = lambda: re.sub("[^a-z]", "", rng.choice(words).lower()) or "jo"
+    if kind == "email":
+        local = rng.choice(("{a}.{b}", "{a}{n}", "{a}_{b}{n}", "{a}.{n}", "{a}")).format(a=name(), b=name(), n=rng.randrange(1, 99))
+        return f"{local}@{name()}.{rng.choice(('com', 'org', 'example.com', 'de'))}"
+    if kind == "ip":
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "card":
+        return _card(rng)
+    a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
+    return rng.choice((f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+49 {rng.randrange(20, 99)} {b}{c}", f"+1{a}{b}{c}"))
+
+
+def rewritten(kind: str, value: str, rng: random.Random) -> str:
+    """The value in a form that the base patterns miss."""
+    if kind == "email":
+        local, _, host = value.partition("@")
+        left, right = rng.choice(("[]", "()", "{}"))
+        at, dot = f"{left}{rng.choice(('at', 'AT'))}{right}", rng.choice((".", f"{left}dot{right}"))
+        host = host.replace(".", dot)
+        return rng.choice((local + at + host, local + at + host.replace(".", dot), f"{local} {at} {host}", f"{local} {at} " + host.replace(dot, f" {dot} ") if dot != "." else f"{local} {at} {host}", f"{local} @ {value.partition('@')[2]}"))
+    if kind == "ip":
+        return value.replace(".", rng.choice(("[.]", "(.)", "[dot]", "(dot)")))
+    if kind == "card":
+        cut = [value[i : i + 4] for i in range(0, len(value), 4)]
+        return rng.choice((".", "/", "_", "  ")).join(cut)
+    digits = _digits(value)[-10:].rjust(10, "2")
+    a, b, c = digits[:3], digits[3:6], digits[6:]
+    return rng.choice((f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"1{a}{b}{c}", f"1 {a} {b} {c}", f"{a} {b} {c}", f"0{a}/{b}{c}", f"00{rng.randrange(30, 50)} {a} {b}{c}", f"1-{a}-{b}-{c}"))
+
+
+def other_number(rng: random.Random) -> str:
+    """Something with digits that is no personal data."""
+    n = lambda hi: rng.randrange(1, hi)
+    bad = _card(rng)
+    bad = bad[:-1] + str((int(bad[-1]) + n(10)) % 10)
+    return rng.choice((str(rng.randrange(1800, 2030)), f"{rng.randrange(1900, 2030)}-{n(13):02d}-{n(29):02d}", f"{n(29)}.{n(13)}.{rng.randrange(1900, 2030)}", f"{n(13)}/{n(29)}/{rng.randrange(10, 99)}", f"{n(24)}:{n(60):02d}", str(n(10)), str(n(1000)), str(n(100_000)), f"{n(1000)}.{n(100):02d}", f"{n(9)}.{n(20)}", f"{n(9)}.{n(20)}.{n(9)}", f"{n(90)}%", f"${n(90)},{n(900):03d}", f"{n(90)}-{n(90)}", bad, " ".join(bad[i : i + 4] for i in range(0, 16, 4)), "%040x" % rng.getrandbits(160), f'"{rng.getrandbits(100):x}"', _number(rng, 6), _number(rng, 8), f"{n(300) + 255}.{n(900)}.{n(900)}.{n(900)}", f"978-{n(9)}-{n(90) + 9}-{n(900000) + 99999}-{n(9)}", f"#{n(9999)}", f"v{n(9)}.{n(9)}", f"{n(99)} {n(999)} {n(99)}"))
+
+
+def example(words: list[str], rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """A text with made-up data and other numbers between words, and the spans of the data."""
+    text, spans, seen = "", [], []
+
+    def put(piece: str, kind: str | None = None) -> None:
+        nonlocal text
+        text += " " if text else ""
+        if kind:
+            spans.append((kind, len(text), len(text) + len(piece)))
+        text += piece
+
+    for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(0, 9)):
+            put(rng.choice(words))
+        kind, turn = rng.choice(KINDS), rng.random()
+        if turn < 0.3:
+            put(other_number(rng) + rng.choice(("", "", ".", ",")))
             continue
-        value = text[a:b]
-        if kind == "email":
-            value = value.replace("@", " [at] ").replace(".", " [dot] ") if turn == 0 else value.replace("@", " (at) ")
-        elif kind == "phone":
-            value = (value.lstrip("+0123456789").strip(" -.") or value[1:]) if turn == 0 else value[1:]
-        elif kind == "card":
-            digits = _digits(value)
-            value = ("." if turn else "/").join(digits[i : i + 4] for i in range(0, len(digits), 4))
-        before = text[at:a]
-        parts += [before, value]
-        size += len(before)
-        out.append((kind, size, size + len(value)))
-        size += len(value)
-        at = b
-    return "".join([*parts, text[at:]]), out
-
-
-def train(texts: list[str], steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Pseudo-likelihood by Adam over the nodes of the texts and of their rewritings."""
+        if turn < 0.45:
+            put(rng.choice(sorted(CUES[KINDS.index(kind)])) + rng.choice(("", ":")))
+        value = made_up(kind, words, rng)
+        if kind == "card" and rng.random() < 0.3:
+            put(_number(rng, 15) + str((int(value[-1]) + 1) % 10))
+        put(rewritten(kind, value, rng) if rng.random() < 0.6 else value, kind)
+        seen.append((kind, value))
+    for kind, value in seen:
+        if rng.random() < 0.6:  # once more, in part
+            for _ in range(rng.randrange(2, 9)):
+                put(rng.choice(words))
+            local = value.partition("@")[0]
+            if kind == "email":
+                # A name that is a word like others is one when it stands alone.
+                put(local, kind if re.search("[0-9._]", local) else None)
+            elif kind == "card":
+                put(value, kind)
+            elif kind == "phone":
+                put(_digits(value)[-7:] if rng.random() < 0.5 else value[1:], kind)
+            else:
+                put(value, kind)
+    put(rng.choice(words))
+    return text, spans
+
+
+def train(texts: list[str], steps: int = 200, rate: float = 0.1, penalty: float = 3e-5, examples: int = EXAMPLES) -> Field:
+    """Pseudo-likelihood by Adam over the nodes of examples made of the texts' words."""
+    rng = random.Random(7)
+    words = [w for t in texts for w in t.split()[:200] if not _DIGIT.search(w) and "@" not in w and len(w) < 30] or ["word", "other", "name"]
     graphs, labels = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for t, s in [(text, spans), *([rewritten(text, spans, turn) for turn in (0, 1, 2)] if spans else [])]:
-            if (g := nodes(t)) is not None and len(g.spans) <= 4000:
-                graphs.append(g)
-                labels.append(_labels(g, s))
+    for _ in range(examples):
+        text, spans = example(words, rng)
+        if (g := nodes(text)) is not None:
+            graphs.append(g)
+            labels.append(_labels(g, spans))
     k = len(LABELS)
-    if not graphs:
-        return Field(np.zeros((len(_shape("")) * 3 - 2 + 5, k)), np.zeros((k, k)), np.zeros((k, k)))
-    x, y = np.vstack([g.features for g in graphs]), np.concatenate(labels)
+    x, y = np.vstack([g.features for g in graphs]).astype(np.float32), np.concatenate(labels)
     offset = np.cumsum([0, *(len(g.spans) for g in graphs)])[:-1]
     chain = np.concatenate([g.chain + o for g, o in zip(graphs, offset, strict=True)])
     skip = np.concatenate([g.skip + o for g, o in zip(graphs, offset, strict=True)])
-    hot = np.eye(k)[y]
-    left, right, far = np.zeros((len(y), k)), np.zeros((len(y), k)), np.zeros((len(y), k))
+    hot = np.eye(k, dtype=np.float32)[y]
+    left, right, far = (np.zeros((len(y), k), dtype=np.float32) for _ in range(3))
     left[chain[:, 1]], right[chain[:, 0]] = hot[chain[:, 0]], hot[chain[:, 1]]
     np.add.at(far, skip[:, 0], hot[skip[:, 1]])
     np.add.at(far, skip[:, 1], hot[skip[:, 0]])
-    weights = [np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))]
+    weights = [np.zeros((x.shape[1], k), dtype=np.float32), np.zeros((k, k), dtype=np.float32), np.zeros((k, k), dtype=np.float32)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, steps + 1):
         u, t, s = weights
@@ -337,15 +454,11 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.1, penalty: float
     return Field(*weights)
 
 
-def sample(docs: DataFrame, documents: int = DOCUMENTS) -> list[str]:
-    """A bounded sample, by a hash of the text: documents that may hold base spans, and documents with other digits."""
+def sample(docs: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS) -> list[str]:
+    """A bounded sample of the distinct shorter texts, by a hash of the text."""
     text = text_of()
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.length("text") <= 20_000)
-    kinds = stored(rows.where(F.col("text").rlike("[0-9@]")).select("h", F.col("text").rlike(LIKELY).alias("likely")).distinct())
-    chosen = [r.h for likely in (True, False) for r in kinds.where(F.col("likely") == likely).orderBy("h").limit(documents).collect()]
-    if not chosen:
-        return []
-    return [r.text for r in rows.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).orderBy("h").collect()]  # at most two rows for each of documents
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.length("text").between(1, letters))
+    return [r.text for r in rows.dropDuplicates(["h"]).orderBy("h").limit(documents).collect()]
 
 
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

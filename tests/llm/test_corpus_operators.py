@@ -56,18 +56,47 @@ def test_base_spans(texts):
         assert personal_data.base_spans(t) == plain_spans(t)
 
 
-def test_added_spans():
-    rng = np.random.default_rng(2)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
-    docs = []
-    for i in range(300):
-        w = [word() for _ in range(30)]
-        w[5] = f"{word()}.{i % 90 + 10}@mail{i % 9}.example.com"
-        w[12] = f"+1 ({rng.integers(200, 900)}) 555-{rng.integers(1000, 9999)}"
-        w[20] = str(rng.integers(1, 3000))
-        docs.append(" ".join(w))
-    field = personal_data.train(docs)
-    for text, wanted in (("write ikl.86@mail2.example.com or ask ikl.86 again", ["ikl.86"]), ("bob.9 [at] mail [dot] example [dot] com is it", ["bob.9 [at] mail [dot] example [dot] com"]), ("no such thing in 1999 or 25 rows", [])):
+def test_planted_personal_data(spark, small, texts):
+    """Data in other forms and repeats of it, through the query's operator: recall and precision of added spans, and the digest columns."""
+    import hashlib
+    import random
+
+    field = personal_data.train(personal_data.sample(small))
+    words = [w for t in texts.values() for w in t.split()[:50] if not re.search("[0-9@]", w)]
+    rng = random.Random(11)
+    planted = {i: personal_data.example(words, rng) for i in range(600)}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in planted.items()], "doc_id long, text string")
+    found = {r.doc_id: r for r in personal_data.personal_data(docs, field).collect()}
+    wanted, hit, added, good = dict.fromkeys(PATTERNS, 0), dict.fromkeys(PATTERNS, 0), 0, 0
+    for i, (text, spans) in planted.items():
+        base = plain_spans(text)
+        assert found[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [found[i][f"n_{k}"] for k in PATTERNS] == [sum(k == s[0] for s in base) for k in PATTERNS]
+        every = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in found[i].spans.split(",") if s)]
+        assert every == sorted(every, key=lambda s: (list(PATTERNS).index(s[0]), s[1], s[2])) and set(base) <= set(every)
+        new = [s for s in every if s not in base]
+        for k, a, b in spans:
+            if not any(x < b and a < y for _, x, y in base):
+                wanted[k] += 1
+                hit[k] += sum(max(0, min(b, y) - max(a, x)) for kind, x, y in new if kind == k) >= 0.7 * (b - a)
+        added += len(new)
+        good += sum(any(k == kind and x < b and a < y for kind, a, b in spans) for k, x, y in new)
+    assert all(hit[k] >= 0.9 * wanted[k] and wanted[k] > 50 for k in PATTERNS)
+    assert good >= 0.95 * added
+
+
+def test_added_spans(small):
+    field = personal_data.train(personal_data.sample(small))
+    for text, wanted in (
+        ("write jane.doe@example.com then ask jane.doe again", ["jane.doe"]),
+        ("bob.9 [at] mail [dot] example [dot] com is it", ["bob.9 [at] mail [dot] example [dot] com"]),
+        ("or jane.doe(at)mail.org then", ["jane.doe(at)mail.org"]),
+        ("Call 555-123-4567 today", ["555-123-4567"]),
+        ("Card 4111.1111.1111.1111 ok", ["4111.1111.1111.1111"]),
+        ("the +1 (826) 555-4081 190.137.223.204 of", ["+1 (826) 555-4081"]),
+        ("wh 2353820953013749 4550997810720808 th", ["4550997810720808"]),
+        ("no such thing in 1999 or 25 rows, on 2020-01-02 at 12:30", []),
+    ):
         base = personal_data.base_spans(text)
         assert [text[a:b] for _, a, b in field.added(text, base)] == wanted
 

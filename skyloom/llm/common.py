@@ -53,11 +53,13 @@ def held_out(column: str = "doc_id") -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, from spark.checkpoint.dir.
 
-    Only where the setting is absent or empty (tests on one machine) a
-    temporary folder is made.
+    Where the setting is absent or empty a temporary folder is made if all of
+    Spark runs on this machine; elsewhere executors would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

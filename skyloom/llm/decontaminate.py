@@ -11,8 +11,8 @@ the others.  The three long masks are lossless: whichever two of 13 words are
 exchanged, one of the masks fits somewhere within the window without touching
 either.  Items of 5 to 12 words use five masks over five words, each ignoring
 one; they are lossless as well, as some five words of such an item hold at
-most one exchange.  Items of fewer than five words say too little and are not
-looked for.
+most one exchange.  Items of one to four words must stand in the document word
+for word, as no exchange leaves 0.8 of them.
 
 The masks' hashes of the benchmark go to every task as a broadcast, in blocks
 of at most ``BLOCK_SEEDS`` rows; with a larger benchmark the documents are
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
+WINDOW, SIMILARITY, SHORT = 13, 0.8, 5
 #: Word offsets that a mask looks at.
 LONG_MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 2, 3, 5, 8, 9), (0, 1, 3, 6, 7, 8, 10))
-SHORT_MASKS = tuple(tuple(o for o in range(SHORTEST) if o != left) for left in range(SHORTEST))
+SHORT_MASKS = tuple(tuple(o for o in range(SHORT) if o != left) for left in range(SHORT))
 #: More words than any text has.
 FAR = 1 << 32
 #: Places of a text that are looked up as one row, and words that stand around them.
@@ -126,10 +126,12 @@ def _hits(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...])
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """One row per document and item found in it: doc_id, mark (a hash of the text), item_id, window, matched, doc_at (word offset of the best window)."""
-    items = stored(benchmark.select("item_id", words(text_of()).alias("item")).where(F.size("item") >= SHORTEST).select("item_id", F.transform("item", lambda w: F.xxhash64(w)).alias("item")).distinct().withColumn("item_key", F.xxhash64("item")))
+    items = stored(benchmark.select("item_id", words(text_of()).alias("item")).where(F.size("item") > 0).select("item_id", F.transform("item", lambda w: F.xxhash64(w)).alias("item")).distinct().withColumn("item_key", F.xxhash64("item")))
     keyed = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("mark")).alias("key"), words(text_of()).alias("words"))
     found = []
-    for masks, of in ((LONG_MASKS, F.size("item") >= WINDOW), (SHORT_MASKS, F.size("item") < WINDOW)):
+    size = F.size("item")
+    whole = [((tuple(range(n)),), size == n) for n in range(1, SHORT)]
+    for masks, of in ((LONG_MASKS, size >= WINDOW), (SHORT_MASKS, (size >= SHORT) & (size < WINDOW)), *whole):
         own = items.where(of)
         seeds = own.agg(F.sum(F.size("item"))).first()[0] or 0
         blocks = -(-seeds * len(masks) // block_seeds)
@@ -153,7 +155,7 @@ ORACLE = f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS doc_at, len(w) AS n FROM d),
-iw AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS item_at, len(w) AS n, least({WINDOW}, len(w)) AS win FROM i WHERE len(w) >= {SHORTEST}),
+iw AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS item_at, len(w) AS n, least({WINDOW}, len(w)) AS win FROM i),
 m AS (SELECT doc_id, item_id, doc_at - item_at AS diagonal, item_at, win, iw.n AS item_n, dw.n AS doc_n FROM dw JOIN iw USING (word)),
 near AS (SELECT * FROM m WHERE true QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= ceil(win * 0.8)),
 s AS (SELECT DISTINCT doc_id, item_id, diagonal, win, item_n, doc_n FROM near),

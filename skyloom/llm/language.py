@@ -12,7 +12,10 @@ Scoring needs no tree walk: the contexts of all trees are merged, every
 context gets the id of its longest known suffix, and the code length of each
 byte after each context is a row of a table with one entry per language.  A
 text is scored by a few array look-ups over all its bytes, which yields the
-exact code lengths.
+exact code lengths.  ``TOGETHER`` languages share such a table; more of them
+have more tables.  All labelled languages are learned and all contexts of
+their samples are kept, so what is broadcast is bounded by the bytes of the
+samples times the number of different bytes in a table.
 
 Text is lower-cased, and digits, ASCII punctuation and white space are
 replaced by a space before coding, both in training and in scoring.
@@ -29,16 +32,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, text_of
 
 ORDER = 3
-#: Bounds of the training sample: languages, about so many documents for each of them (chosen by a hash of their ids), and bytes of each language that are counted.
-LANGUAGES, DOCUMENTS, TRAINING_BYTES = 64, 300, 600_000
-#: Contexts kept at each order, the most frequent ones over all languages.
-CONTEXTS = 8_000
+#: Bounds of the training sample for each language: bytes that are counted, documents, and letters of each (its first ones count).
+TRAINING_BYTES, DOCUMENTS, LETTERS = 600_000, 300, 20_000
+#: Languages whose code lengths stand in one table.  Each table has all contexts that its languages have.
+TOGETHER = 16
 #: Bits a byte by which a rival must be worse to halve its share of the score, as a fraction of one bit.
 HALVING = 1 / 20
 MIN_SCORE = 0.5
@@ -60,8 +63,8 @@ def has_letter(text: str) -> bool:
 
 
 @dataclass
-class Model:
-    """Merged context trees.
+class Trees:
+    """Merged context trees of some languages.
 
     symbols maps bytes to codes; all bytes never seen share the last code.
     Contexts of one byte have the byte's code as id.  pair[a, b] is the id of
@@ -107,12 +110,29 @@ class Model:
             at = end
         return out
 
+
+
+@dataclass
+class Model:
+    """The trees of all languages, in the order of their names."""
+
+    groups: list[Trees]
+
+    @property
+    def languages(self) -> list[str]:
+        return [k for g in self.groups for k in g.languages]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Code length in bits of each cleaned text in each language."""
+        return np.hstack([g.lengths(texts) for g in self.groups] or [np.zeros((len(texts), 0))])
+
     def predict(self, text: str) -> tuple[str, float]:
         return self.predict_all([text])[0]
 
     def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
         coded = [cleaned(t) for t in texts]
-        if not self.languages:
+        names = self.languages
+        if not names:
             return [(UNKNOWN, 0.0)] * len(texts)
         out = []
         for text, data, bits in zip(texts, coded, self.lengths(coded), strict=True):
@@ -121,16 +141,18 @@ class Model:
                 continue
             best = int(bits.argmin())
             worse = (bits - bits[best]) / max(1, len(data) - ORDER) / HALVING
-            out.append((self.languages[best], float(1 / np.exp2(-worse).sum())))
+            out.append((names[best], float(1 / np.exp2(-worse).sum())))
         return out
 
 
-def train(texts: dict[str, list[str]], contexts: int = CONTEXTS) -> Model:
+def train(texts: dict[str, list[str]], together: int = TOGETHER) -> Model:
     """Count the trees of each language and freeze them as look-up tables."""
-    languages = sorted(texts)
-    if not languages:
-        nothing = np.zeros((1, 1), dtype=np.int64)
-        return Model([], nothing[0], nothing, nothing, nothing, np.zeros((1, 0), dtype=np.float32))
+    names = sorted(texts)
+    return Model([_grown({k: texts[k] for k in names[at : at + together]}) for at in range(0, len(names), together)])
+
+
+def _grown(texts: dict[str, list[str]]) -> Trees:
+    languages = list(texts)
     data = {k: b"".join(map(cleaned, texts[k])) for k in languages}
     seen = sorted({*b"".join(data.values())} | {32})
     n = len(seen) + 1  # the last code is any other byte
@@ -147,15 +169,12 @@ def train(texts: dict[str, list[str]], contexts: int = CONTEXTS) -> Model:
             own.append(np.unique(key, return_counts=True))
         grams.append(own)
 
-    def code_lengths(order: int, known: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """bits[context, byte, language] of the known contexts (sorted keys), from those of their suffixes."""
+    def code_lengths(order: int, contexts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """bits[context, byte, language] of the contexts (sorted keys), from those of their suffixes."""
         out = below.copy()
         for i, (key, count) in enumerate(grams[order]):
-            row = np.searchsorted(known, key // n)
-            row[row == len(known)] = 0
-            hit = known[row] == key // n if len(known) else np.zeros(len(key), dtype=bool)
             counts = np.zeros(out.shape[:2])
-            counts[row[hit], key[hit] % n] = count[hit]
+            counts[np.searchsorted(contexts, key // n), key % n] = count
             total, distinct = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 own = np.log2(total + distinct) - np.log2(counts)
@@ -163,51 +182,39 @@ def train(texts: dict[str, list[str]], contexts: int = CONTEXTS) -> Model:
             out[:, :, i] = np.where(total == 0, below[:, :, i], np.where(counts > 0, own, escape + below[:, :, i]))
         return out
 
-    def frequent(order: int, within: np.ndarray | None) -> np.ndarray:
-        """Keys of the most frequent contexts of an order, whose own prefix is known."""
-        both = [(key // n, count) for key, count in grams[order]]
-        key, where = np.unique(np.concatenate([k for k, _ in both] or [np.zeros(0, dtype=np.int64)]), return_inverse=True)
-        count = np.bincount(where, np.concatenate([c for _, c in both] or [np.zeros(0)]), minlength=len(key))
-        if within is not None:
-            ok = np.isin(key // n, within)
-            key, count = key[ok], count[ok]
-        return np.sort(key[np.lexsort((key, -count))[:contexts]])
+    def known(order: int) -> np.ndarray:
+        """Keys of the contexts of an order, sorted."""
+        return np.unique(np.concatenate([key // n for key, _ in grams[order]]))
 
     floor = np.full((1, n, len(languages)), 8.0)
     zero = code_lengths(0, np.zeros(1, dtype=np.int64), floor)
     one = code_lengths(1, np.arange(n), np.repeat(zero, n, axis=0))
-    pairs = frequent(2, None)
+    # A context of three bytes begins with one of two, behind the first of which a text begins.
+    pairs = np.union1d(known(2), known(3) // n)
     double = code_lengths(2, pairs, one[pairs % n])
     pair = np.full(n * n, -1, dtype=np.int64)
     pair[pairs] = n + np.arange(len(pairs))
     two = np.where(pair >= 0, pair, np.tile(np.arange(n), n))
-    triples = frequent(3, pairs)
+    triples = known(3)
     all_bits = np.concatenate([one, double])
     triple = code_lengths(3, triples, all_bits[two[triples % (n * n)]])
     three = two[(pairs % n)[:, None] * n + np.arange(n)[None, :]].reshape(-1, n)
     where = pair[triples // n] - n
     three[where, triples % n] = n + len(pairs) + np.arange(len(triples))
     bits = np.concatenate([all_bits, triple]).reshape(-1, len(languages)).astype(np.float32)
-    return Model(languages, symbols, pair.reshape(n, n), two.reshape(n, n), three if len(three) else np.zeros((1, n), dtype=np.int64), bits)
-
-
-def sample(docs: DataFrame, languages: int = LANGUAGES, documents: int = DOCUMENTS, most: int = TRAINING_BYTES) -> dict[str, list[str]]:
-    """Texts to learn from, by language: a bounded sample of the rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return {}
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(documents / row["count"])).otherwise(share)
-    chosen = rows.where(chance < share).select("lang", text_of().alias("text"), chance.alias("chance"), "doc_id")
-    texts: dict[str, list[str]] = {row["lang"]: [] for row in counts}
-    sizes = dict.fromkeys(texts, 0)
-    for row in chosen.orderBy("chance", "doc_id").limit(2 * documents * len(counts)).collect():
-        if sizes[row["lang"]] < most:
-            texts[row["lang"]].append(row["text"])
-            sizes[row["lang"]] += len(row["text"])
+    return Trees(languages, symbols, pair.reshape(n, n), two.reshape(n, n), three if len(three) else np.zeros((1, n), dtype=np.int64), bits)
+
+
+def sample(docs: DataFrame, documents: int = DOCUMENTS, most: int = TRAINING_BYTES, letters: int = LETTERS) -> dict[str, list[str]]:
+    """Texts to learn from, by language: a bounded sample, by a hash of the ids, of the rows that are not held out."""
+    rows = docs.select("doc_id", "lang", text_of().alias("text")).where(F.col("lang").isNotNull() & ~held_out())
+    counts = rows.groupBy("lang").count().withColumn("share", documents / F.col("count")).drop("count")  # one row for each language
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.withColumn("chance", chance).join(F.broadcast(counts), "lang").where("chance < share").select("lang", "chance", "doc_id", F.substring("text", 1, letters).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("chance", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    texts: dict[str, list[str]] = {r.lang: [] for r in counts.collect()}
+    for row in chosen.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < most).orderBy("lang", "chance", "doc_id").select("lang", "text").collect():
+        texts[row.lang].append(row.text)
     return texts
 
 

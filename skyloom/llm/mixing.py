@@ -5,8 +5,9 @@ wanted rate(s) = w(s) * budget / S(s) times, where the budget is
 ``epochs`` times the corpus.  Each document is repeated k times, k drawn from a
 Poisson distribution with mean rate(s): a uniform number made from md5(seed,
 doc_id) is sent through the inverse of the distribution function.  Copies are
-ordered by md5(seed, doc_id, copy) over the whole output.  All draws depend on
-ids and the seed alone, so a task that runs again gives the same rows.
+dealt to the output's partitions by md5(seed, doc_id, copy) and ordered by it
+within each: a random set in random order.  All draws depend on rows and the
+seed alone, so a task that runs again gives the same rows.
 
 Without given weights, w(s) is proportional to S(s) ** ``temper``.  Sources
 that ``weights`` does not name get weight zero.
@@ -18,7 +19,8 @@ adaptive execution splits.
 
 Edge cases: null source is a source of its own; null text counts as empty; a
 source whose texts are all empty has nothing to repeat by size and gets rate
-``epochs``; null doc_id draws like the empty id; rows that repeat an id draw
+``epochs``; documents without an id
+draw by the md5 of their text instead; rows that repeat an id draw
 the same count; documents' own columns named mix_copy, mix_copies or mix_key
 give way to the new ones; an empty table gives no rows.
 """
@@ -45,8 +47,9 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def _id(column: str = "doc_id") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def _id() -> Column:
+    """What a row draws by: its id, or its text's digest."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text_of())))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = TEMPER, epochs: float = EPOCHS) -> DataFrame:
@@ -106,7 +109,7 @@ t AS (SELECT sum(bytes) AS all_bytes, sum(w) AS all_w FROM w),
 r AS (SELECT source, CASE WHEN bytes = 0 THEN 1e0 ELSE w * {EPOCHS} * all_bytes::DOUBLE / (all_w * bytes::DOUBLE) END AS rate FROM w, t),
 p AS (SELECT source, rate, greatest(1, ceil(rate / {MOST_RATE}))::INT AS parts FROM r),
 u AS (SELECT rowid0, doc_id, text, lang, d.source, n_chars, rate / parts AS rate,
-  ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || j::VARCHAR), 1, 12))::BIGINT::DOUBLE / {float(2**48)} AS u, j
+  ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || '|' || j::VARCHAR), 1, 12))::BIGINT::DOUBLE / {float(2**48)} AS u, j
   FROM (SELECT *, row_number() OVER () AS rowid0 FROM documents) d JOIN p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, parts + 1)) AS g(j)),
 k(rowid0, doc_id, text, lang, source, n_chars, j, u, rate, k, p, c) AS (
   SELECT rowid0, doc_id, text, lang, source, n_chars, j, u, rate, 0, exp(-rate), exp(-rate) FROM u
@@ -114,6 +117,6 @@ k(rowid0, doc_id, text, lang, source, n_chars, j, u, rate, k, p, c) AS (
   SELECT rowid0, doc_id, text, lang, source, n_chars, j, u, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM k WHERE u >= c AND k < {MOST_COUNT}),
 n AS (SELECT rowid0, doc_id, text, lang, source, n_chars, sum(k)::INT AS n FROM (SELECT rowid0, doc_id, text, lang, source, n_chars, j, max(k) AS k FROM k GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, i::INT AS mix_copy, n AS mix_copies,
-  md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, '') || '|' || i::VARCHAR) AS mix_key
+  md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || '|' || i::VARCHAR) AS mix_key
 FROM n, unnest(range(0, n)) AS g(i)
 """

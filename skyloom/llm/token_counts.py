@@ -11,8 +11,11 @@ its pre-tokens have pieces.  Pieces are counted once per distinct pre-token:
    bounded table goes to every task.
 3. Per document, pre-token frequencies meet the common table at once; the
    remaining (document, pre-token, frequency) rows are joined to the
-   vocabulary by a shuffle.  Those are rare pre-tokens, so the join has no hot
-   key: the hot ones are what step 2 took out.
+   vocabulary by a shuffle.  Those are rare pre-tokens, and longer ones than
+   COMMON_CHARS, which may stand in very many documents: such words are
+   salted, rows by their document and the vocabulary by ``SALTS`` copies, so that no key is hot.
+   What a document has by the common table is a row without a word, which
+   meets nothing; such rows are dealt out by their document.
 
 A document is named by its id and a 128-bit hash of its text.  Rows repeating
 both are counted together and written out again.
@@ -45,6 +48,8 @@ HELD, HELD_CHARS = 200_000, 8_000_000
 #: Histogram steps for each doubling of the count.
 STEPS = 4
 SLICE = 200
+#: Parts that the rows of a long pre-token are dealt into.
+SALTS = 64
 REPEATS = 10_000
 
 FREQUENCIES = "doc_id long, mark string, n_bytes long, word string, times long"
@@ -171,9 +176,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, m
     known = spark.sparkContext.broadcast(common(words, most_common))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.sha2(text_of(), 256), 1, 32).alias("mark"), text_of().alias("text"))
     found = rows.mapInArrow(_frequencies(path, known), FREQUENCIES)
-    # A row without a word carries the document's sum so far; words out of the common table bring their pieces.
-    rare = words.select("word", "pieces")
-    summed = found.join(rare, "word", "left").groupBy("doc_id", "mark").agg(F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("all"), F.max("n_bytes").alias("n_bytes"), F.count_if(F.col("word").isNull()).alias("rows"))
+    long = F.length("word") > COMMON_CHARS
+    by_document = F.xxhash64("doc_id", "mark")
+    rare = words.select("word", "pieces", F.explode(F.when(long, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array(F.lit(0))).cast("array<long>")).alias("salt"))
+    dealt = found.withColumn("salt", F.when(F.col("word").isNull(), by_document).when(long, F.pmod(by_document, F.lit(SALTS))).otherwise(0))
+    summed = dealt.join(rare, ["word", "salt"], "left").groupBy("doc_id", "mark").agg(F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("all"), F.max("n_bytes").alias("n_bytes"), F.count_if(F.col("word").isNull()).alias("rows"))
     # Equal rows were summed together.
     each = summed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / REPEATS)))).withColumn("i", F.explode(F.sequence(F.col("block") * REPEATS, F.least((F.col("block") + 1) * REPEATS, "rows") - 1)))
     n = F.expr("`all` div `rows`")

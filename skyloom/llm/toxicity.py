@@ -51,18 +51,19 @@ from .common import held_out, id_crc, small_batches, stored, text_of
 LENGTH = 4
 #: (decay, power) of each kernel; the first is for what stands together, the second for what letters were put into.
 KERNELS = ((0.5, 3), (0.95, 2))
+DECAYS = tuple(decay for decay, _ in KERNELS)
 THRESHOLD = 0.3
 #: Bound of the training sample, by a hash of the ids: toxic and clean documents, and the letters of each.
 TOXIC, CLEAN, LETTERS = 1500, 2500, 20_000
 #: Bounds of the landmarks of either class, and letters of toxic ones (with the mark of a beginning).
-LANDMARKS, OTHERS, GRAMS = 48, 16, (4, 10)
+LANDMARKS, OTHERS, GRAMS = 48, 14, (4, 10)
 #: A landmark stands in toxic documents in this share of its occurrences at least, and covers so many that no earlier one does (or so many for each toxic document).
-PRECISION, COVERS, COVERED = 0.85, 6, 0.01
+PRECISION, COVERS, COVERED = 0.85, 6, 0.025
 WINDOW, OVERLAP = 32, 12
 #: Words of a sentence.
 SENTENCE = 40
 #: Words that are compared at once.
-BLOCK = 256
+BLOCK = 512
 #: Numbers that a document is judged by.
 TRAITS = 3
 #: Margin from which a toxic document's sentences are toxic, apart from its highest.
@@ -70,7 +71,7 @@ NEAR = 0.5
 #: What a sentence must lie above one without any features to count.
 FLOOR = 0.5
 #: Weight of a toxic sentence, a clean one's being 1.
-WEIGHT = 45.0
+WEIGHT = 80.0
 #: Share of the toxic sentences' weight that landmarks with letters put in have, and the penalty of the weights.
 HIDDEN, PENALTY = 1.0, 1e-6
 #: Words whose margins a worker keeps.
@@ -106,36 +107,41 @@ def coded(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
 
 
-def subsequences(codes: np.ndarray, landmarks: np.ndarray, decay: float) -> np.ndarray:
-    """Subsequence kernel of each row of codes (words of one length) with each column of landmarks (_NOTHING behind their ends).
+def subsequences(codes: np.ndarray, landmarks: np.ndarray, decays: tuple[float, ...]) -> np.ndarray:
+    """Subsequence kernel for each decay of each row of codes (words of one length) with each column of landmarks (_NOTHING behind their ends).
 
-    inner[q][j]: weighed matches of q letters that end before the present
-    letter of the word and before letter j of the landmark, decayed to both.
+    inner[q][j]: matches of q letters that end before the present letter of
+    the word and before letter j of the landmark.  A match from place (a, b)
+    to (i, j) is weighed by decay ** (i - a + j - b + 2): the power of a and b is put
+    in with its first letter and that of i and j with its last, so that between them matches are just summed.
     """
     n, letters = codes.shape
     m, k = landmarks.shape
-    decay = np.float32(decay)
-    inner = [np.ones((m, k, n), np.float32), *(np.zeros((m, k, n), np.float32) for _ in range(LENGTH - 1))]
-    total = np.zeros((k, n), np.float32)
+    places = np.arange(m)
+    inner = [[np.zeros((m, k, n), np.float32) for _ in range(LENGTH)] for _ in decays]
+    total = np.zeros((len(decays), k, n), np.float32)
+    met = np.empty((m, k, n), np.float32)
     for i in range(letters):
         hits = (landmarks[:, :, None] == codes[None, None, :, i]).astype(np.float32)
-        if i >= LENGTH - 1:
-            total += np.einsum("mkn,mkn->kn", hits, inner[LENGTH - 1])
-        for q in range(min(LENGTH - 1, i + 1), max(0, LENGTH - letters + i), -1):
-            new = hits * inner[q - 1]
-            new *= decay * decay
-            inner[q] *= decay
-            run = new[0].copy()
-            for j in range(1, m):
-                inner[q][j] += run
-                run *= decay
-                run += new[j]
-    return total.T * decay * decay
-
-
-def kernels(words: list[str], strings: list[str], decay: float) -> np.ndarray:
-    """[word, string]: the kernel; that of a long word is the largest of its windows."""
-    out = np.zeros((len(words), len(strings)), dtype=np.float32)
+        for d, decay in enumerate(decays):
+            own = inner[d]
+            if i >= LENGTH - 1:
+                np.multiply(hits, own[LENGTH - 1], out=met)
+                for j in range(m):
+                    met[j] *= np.float32(decay ** (i + j + 2))
+                    total[d] += met[j]
+            for q in range(min(LENGTH - 1, i + 1), max(0, LENGTH - letters + i), -1):
+                before = (1 / decay ** (places + i)).astype(np.float32)[:, None, None] if q == 1 else own[q - 1]
+                np.multiply(hits, before, out=met)
+                for j in range(1, m):
+                    own[q][j] += met[j - 1]
+                    met[j] += met[j - 1]
+    return total.transpose(0, 2, 1)
+
+
+def kernels(words: list[str], strings: list[str], decays: tuple[float, ...]) -> np.ndarray:
+    """[decay, word, string]: the kernel; that of a long word is the largest of its windows."""
+    out = np.zeros((len(decays), len(words), len(strings)), dtype=np.float32)
     if not strings:
         return out
     held = coded(strings).T.astype(np.uint32)
@@ -149,7 +155,9 @@ def kernels(words: list[str], strings: list[str], decay: float) -> np.ndarray:
         codes = coded([p for _, p in parts])
         rows = np.array([i for i, _ in parts])
         for at in range(0, len(parts), BLOCK):
-            np.maximum.at(out, rows[at : at + BLOCK], subsequences(codes[at : at + BLOCK], held, decay))
+            found = subsequences(codes[at : at + BLOCK], held, decays)
+            for d in range(len(decays)):
+                np.maximum.at(out[d], rows[at : at + BLOCK], found[d])
     return out
 
 
@@ -161,8 +169,7 @@ class Landmarks:
 
     def __post_init__(self) -> None:
         self.own, self.roots = [], []
-        for decay, power in KERNELS:
-            raw = kernels(self.strings, self.strings, decay).astype(np.float64).reshape(len(self.strings), len(self.strings))
+        for raw, (_, power) in zip(kernels(self.strings, self.strings, DECAYS).astype(np.float64), KERNELS, strict=True):
             self.own.append(np.diag(raw).copy())
             values, vectors = np.linalg.eigh((raw / np.sqrt(np.outer(self.own[-1], self.own[-1]))) ** power)
             self.roots.append(vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T)
@@ -173,7 +180,7 @@ class Landmarks:
 
     def features(self, words: list[str]) -> np.ndarray:
         """Nyström features of each word; those of a sentence are the sum of its words'.  No word is more like a landmark than that itself."""
-        return np.hstack([np.minimum(1, kernels(words, self.strings, decay) / own) ** power @ root for (decay, power), own, root in zip(KERNELS, self.own, self.roots, strict=True)])
+        return np.hstack([np.minimum(1, raw / own.astype(np.float32)) ** power @ root.astype(np.float32) for raw, (_, power), own, root in zip(kernels(words, self.strings, DECAYS), KERNELS, self.own, self.roots, strict=True)])
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -292,8 +299,7 @@ def rivals(toxic: list[str], good: Counter, most: int = OTHERS) -> list[str]:
     words = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[: 200 * most] if GRAMS[0] <= len(w) < GRAMS[1]]
     if not words or not toxic:
         return []
-    decay = KERNELS[-1][0]
-    like = kernels(words, toxic, decay) / np.diag(kernels(toxic, toxic, decay)) * np.log1p([good[w] for w in words])[:, None]
+    like = kernels(words, toxic, DECAYS[-1:])[0] / np.diag(kernels(toxic, toxic, DECAYS[-1:])[0]) * np.log1p([good[w] for w in words])[:, None]
     chosen: dict[str, None] = {}
     for place in range(-(-most // len(toxic)) + 2):
         for j in range(len(toxic)):
@@ -311,7 +317,7 @@ def gapped(strings: list[str]) -> list[str]:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Squared hinge with the given shares of the rows, by Newton's steps over the rows within the margin."""
-    x = np.c_[x, np.ones(len(x))]
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     ridge = np.r_[np.full(x.shape[1] - 1, penalty), 1e-9]
 
     def loss(w: np.ndarray) -> float:
@@ -320,8 +326,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float =
     w = np.zeros(x.shape[1])
     for _ in range(50):
         near = np.flatnonzero(y * (x @ w) < 1)
-        part = x[near] * share[near, None]
-        step = np.linalg.solve(part.T @ x[near] + np.diag(ridge), part.T @ y[near]) - w
+        part = x[near].astype(np.float64)
+        step = np.linalg.solve((part.T * share[near]) @ part + np.diag(ridge), part.T @ (share[near] * y[near])) - w
         size, now = 1.0, loss(w)
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
@@ -359,12 +365,12 @@ def train(toxic: list[str], clean: list[str], share: float) -> Machine:
     width = landmarks.width
     cut = [[[normalised(w) for w in s] for s in sentences(t)] for t in toxic + clean]
     vocabulary = {w: i for i, w in enumerate(sorted({w for text in cut for s in text for w in s}))}
-    known = landmarks.features(list(vocabulary)).astype(np.float64)
-    rows = [np.array([known[[vocabulary[w] for w in s]].sum(axis=0) for s in text]).reshape(-1, width) for text in cut]
+    known = landmarks.features(list(vocabulary))
+    rows = [np.array([known[[vocabulary[w] for w in s]].sum(axis=0, dtype=np.float32) for s in text]).reshape(-1, width) for text in cut]
     positive, negative = rows[: len(toxic)], rows[len(toxic) :]
     machine = Machine(landmarks, np.r_[landmarks.roots[0] @ (np.arange(len(landmarks.strings)) < len(strings)), np.zeros(width - len(landmarks.strings))], -1.0, np.zeros(TRAITS), flat)  # the first round takes the sentence most like any toxic landmark
-    low = np.vstack([np.zeros((1, width)), *negative])
-    hidden = landmarks.features(gapped(strings)).astype(np.float64)
+    low = np.vstack([np.zeros((1, width), np.float32), *negative])
+    hidden = landmarks.features(gapped(strings))
     for _ in range(4):
         top = np.vstack([r[(best := r @ machine.weights + machine.bias) >= min(best.max(), NEAR)] for r in positive if len(r)])
         # Landmarks with letters put in weigh as much as a part of the toxic sentences.

@@ -146,18 +146,21 @@ def kernels(words: list[str], strings: list[str], decays: tuple[float, ...]) ->
         return out
     held = coded(strings).T.astype(np.uint32)
     held = np.where(held == 0, np.uint32(_NOTHING), held)
-    by_length: dict[int, list[tuple[int, str]]] = {}
+    by_length: dict[tuple[int, bool], list[tuple[int, str]]] = {}
     for i, word in enumerate(words):
         for part in windows(word):
             if len(part) >= LENGTH:
-                by_length.setdefault(len(part), []).append((i, part))
-    for parts in by_length.values():
+                by_length.setdefault((len(part), len(word) > WINDOW), []).append((i, part))
+    for (_, several), parts in by_length.items():
         codes = coded([p for _, p in parts])
         rows = np.array([i for i, _ in parts])
         for at in range(0, len(parts), BLOCK):
-            found = subsequences(codes[at : at + BLOCK], held, decays)
-            for d in range(len(decays)):
-                np.maximum.at(out[d], rows[at : at + BLOCK], found[d])
+            found, own = subsequences(codes[at : at + BLOCK], held, decays), rows[at : at + BLOCK]
+            if several:
+                for d in range(len(decays)):
+                    np.maximum.at(out[d], own, found[d])
+            else:
+                out[:, own] = found
     return out
 
 
@@ -216,14 +219,15 @@ class Machine:
             self.cache.clear()
         cut = [sentences(t) for t in texts]
         new = list({w for text in cut for words in text for w in words} - self.cache.keys())
-        plain: dict[str, float] = dict.fromkeys(map(normalised, new), 0.0)
+        forms = list(map(normalised, new))
+        plain: dict[str, float] = dict.fromkeys(forms, 0.0)
         distinct = list(plain)
         for at in range(0, len(distinct), 1 << 16):
             some = distinct[at : at + (1 << 16)]
             plain.update(zip(some, (self.landmarks.features(some) @ self.weights).tolist(), strict=True))
-        self.cache.update((w, plain[normalised(w)]) for w in new)
-        worth = self.cache
-        return [np.array([self.bias + sum(worth[w] for w in words) for words in text]) for text in cut]
+        self.cache.update(zip(new, map(plain.__getitem__, forms), strict=True))
+        worth = self.cache.__getitem__
+        return [np.array([self.bias + sum(map(worth, words)) for words in text]) for text in cut]
 
     def scores(self, texts: list[str]) -> list[float]:
         traits = np.array([self.traits(t, m) for t, m in zip(texts, self.margins(texts), strict=True)]).reshape(len(texts), TRAITS)

@@ -339,6 +339,9 @@ def test_subsequence_kernel():
     for decay, got in zip((0.5, 0.95), toxicity.kernels(words, marks, (0.5, 0.95)), strict=True):
         for (i, s), (j, t) in itertools.product(enumerate(words), enumerate(marks)):
             assert abs(got[i, j] - plain_kernel(s, t, decay)) < 1e-4
+    # A long word counts by its best window, wherever that lies.
+    for word in ("z" * 30 + "idiot" + "z" * 30, "z" * 38 + "idiot", "idiot" + "z" * 60):
+        assert np.ptp(toxicity.kernels([word, "idiot"], ["idiot"], (0.5,))[0]) < 1e-4
     gram = toxicity.kernels(marks, marks, (0.95,))[0].astype(float)
     assert np.linalg.eigvalsh(gram).min() > -1e-6 * gram.max()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,10 +106,48 @@ def opening(grid: DataFrame, extent: Extent, window: int, value: str = "z") -> D
     return out
 
 
+def percentiles(df: DataFrame, column: str, shares: list[float], bins: int = 4096) -> list[float | None]:
+    """Exact interpolated percentiles; nulls and NaN do not count.
+
+    Counts of equal bins tell in which ones the wanted ranks lie, again and again within
+    these, until their rows are few; no task ever sees all values.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where(finite("v"))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return [None] * len(shares)
+    ranks = sorted({r for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    found: dict[int, float] = {}
+    ranges = {(low, high): (0, ranks)}  # values from the first to the second: rows before, and the ranks sought
+    while ranges:
+        (lo, hi), (before, sought) = ranges.popitem()
+        inside = values.where(F.col("v").between(lo, hi))
+        width = (hi - lo) / bins
+        if not width > 0 or lo + width == lo:
+            # Neighbouring numbers: each distinct value is counted.
+            counts = [(r.v, r.v, r["count"]) for r in inside.groupBy("v").count().orderBy("v").collect()]
+        else:
+            at = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1))
+            counts = [(r.a, r.b, r.n) for r in inside.groupBy(at.alias("at")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("v").alias("n")).orderBy("at").collect()]  # at most a row for each bin
+        for a, b, rows in counts:
+            own = [r for r in sought if before <= r < before + rows]
+            if own and a == b:
+                found.update(dict.fromkeys(own, a))
+            elif own:
+                ranges[(a, b)] = (before, own)
+            before += rows
+    out = []
+    for s in shares:
+        place = s * (n - 1)
+        a, b = found[math.floor(place)], found[math.ceil(place)]
+        out.append(a if a == b else (math.ceil(place) - place) * a + (place - math.floor(place)) * b)
+    return out
+
+
 def z_band(points: DataFrame, margin: float, low: float = 1.0, high: float = 99.0) -> DataFrame:
     """One row: percentiles of the finite heights widened by the margin; without points all heights are allowed."""
-    q = F.percentile("z", F.array(F.lit(low / 100), F.lit(high / 100)))
-    return points.where(finite("z")).agg(q.alias("q")).select(F.coalesce(F.get("q", F.lit(0)) - margin, F.lit(float("-inf"))).alias("z_lo"), F.coalesce(F.get("q", F.lit(1)) + margin, F.lit(float("inf"))).alias("z_hi"))
+    a, b = percentiles(points, "z", [low / 100, high / 100])
+    return points.sparkSession.createDataFrame([(float("-inf") if a is None else a - margin, float("inf") if b is None else b + margin)], "z_lo double, z_hi double")
 
 
 def clip_band(points: DataFrame, band: DataFrame) -> DataFrame:
@@ -130,8 +169,8 @@ def voxel_downsample(points: DataFrame, voxel: float, origin: tuple[float, float
 
 def density_crop(vertices: DataFrame, quantile: float, density: str = "density") -> DataFrame:
     """Vertices whose density reaches the quantile."""
-    least = vertices.agg(F.percentile(density, F.lit(quantile)).alias("__least"))
-    return vertices.crossJoin(F.broadcast(least)).where(F.col(density) >= F.col("__least")).drop("__least")
+    (least,) = percentiles(vertices, density, [quantile])
+    return vertices.where(F.col(density) >= F.lit(least))
 
 
 def sample_grid(points: DataFrame, grid: DataFrame, extent: Extent, value: str = "z") -> DataFrame:

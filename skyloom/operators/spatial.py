@@ -86,17 +86,29 @@ def visible_points(cameras: DataFrame, points: DataFrame) -> DataFrame:
     return seen.select("name", "point_id", pixel(F.col("p.u")).alias("col"), pixel(F.col("p.v")).alias("row"), F.col("p.z").alias("depth"))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, distance: Column) -> DataFrame:
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two bit strings as arrays of longs."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, distance: Column, least: int = 0) -> DataFrame:
     """(pair, left_id, right_id, distance): descriptors of a frame pair that are each other's nearest.
 
-    left and right: pair, left_id or right_id, and what distance reads.  The
-    work is the product of the descriptors of one pair of frames; ties go to
-    the smaller id.
+    left and right: pair, left_id or right_id, and what distance reads; pairs
+    of frames either of which has fewer than ``least`` descriptors give nothing.  The
+    work is the product of the descriptors of one pair of frames, made once: the pair's
+    left descriptors are keys, so the product is dealt out by them, and what is
+    kept of it is the nearest for each key; ties go to the smaller id.
     """
+    if least > 0:
+        left, right = (d.join(d.groupBy(pair).count().where(F.col("count") >= least).select(pair), pair, "left_semi") for d in (left, right))
     met = left.join(right, pair).select(pair, "left_id", "right_id", distance.alias("distance"))
-    best_l = met.groupBy(pair, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("b")).select(pair, "left_id", "b.right_id", "b.distance")
-    best_r = met.groupBy(pair, "right_id").agg(F.min(F.struct("distance", "left_id")).alias("b")).select(pair, "right_id", "b.left_id")
-    return best_l.join(best_r, [pair, "left_id", "right_id"])
+    # One row for each (descriptor, side): the smallest by (distance, partner), combined map-side in the same pass over the product.
+    sides = met.select(pair, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_id").alias("own"), F.col("right_id").alias("other"), "distance"), F.struct(F.lit(1).alias("side"), F.col("right_id").alias("own"), F.col("left_id").alias("other"), "distance"))).alias("s")).select(pair, "s.*")
+    best = sides.groupBy(pair, "side", "own").agg(F.min(F.struct("distance", "other")).alias("b"))
+    # A mutual pair is named by both of its sides.
+    named = best.select(pair, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("b.other")).alias("left_id"), F.when(F.col("side") == 0, F.col("b.other")).otherwise(F.col("own")).alias("right_id"), "b.distance")
+    return named.groupBy(pair, "left_id", "right_id").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("distance")).where("n = 2").drop("n")
 
 
 def pair_displacement(matches: DataFrame, pair: str, dx: Column, dy: Column, least: int = 8) -> DataFrame:

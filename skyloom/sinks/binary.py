@@ -16,14 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..operators.raster import Extent, bounds
+from ..sources.ply import append_file
 from .products import NODATA, las_colors, raster_array
 
 MOST_VERTICES = 20_000_000
 #: Sizes of the LAS 1.4 header and of point format 7.
 LAS_HEADER, LAS_POINT = 375, 36
+POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("kind", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
 
 
 @dataclass
@@ -34,7 +36,7 @@ class Body(WriterCommitMessage):
     high: tuple[float, float, float]
 
 
-class LasWriter(DataSourceWriter):
+class LasWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path = options["path"].removeprefix("file://")
         self.scale = float(options.get("scale", 0.001))
@@ -47,13 +49,19 @@ class LasWriter(DataSourceWriter):
         part = f"{self.path}.{uuid.uuid4().hex}.part"
         count, low, high = 0, [float("inf")] * 3, [float("-inf")] * 3
         with open(part, "wb") as f:
-            for row in rows:
-                xyz = (row["x"], row["y"], row["z"])
-                steps = [round((v - o) / self.scale) for v, o in zip(xyz, self.offset, strict=True)]
-                f.write(struct.pack("<iiiHBBBBhHdHHH", *steps, 0, 0x11, 0, 0, 0, 0, 0, 0.0, *(int(row[c] or 0) for c in "rgb")))
-                for i, (s, o) in enumerate(zip(steps, self.offset, strict=True)):
-                    low[i], high[i] = min(low[i], s * self.scale + o), max(high[i], s * self.scale + o)
-                count += 1
+            for batch in rows:
+                if not batch.num_rows:
+                    continue
+                body = np.zeros(batch.num_rows, dtype=POINT)
+                body["returns"] = 0x11
+                for i, (c, o) in enumerate(zip("xyz", self.offset, strict=True)):
+                    steps = np.rint((batch.column(c).to_numpy(zero_copy_only=False) - o) / self.scale)
+                    body[c] = steps
+                    low[i], high[i] = min(low[i], float(steps.min() * self.scale + o)), max(high[i], float(steps.max() * self.scale + o))
+                for c in "rgb":
+                    body[c] = np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64))
+                body.tofile(f)
+                count += batch.num_rows
         return Body(part, count, tuple(low), tuple(high))
 
     def commit(self, messages) -> None:
@@ -68,9 +76,7 @@ class LasWriter(DataSourceWriter):
         with open(tmp, "wb") as out:
             out.write(head)
             for m in full:
-                with open(m.path, "rb") as f:
-                    while block := f.read(1 << 24):
-                        out.write(block)
+                append_file(out, m.path)
         os.replace(tmp, self.path)
         self.abort(messages)
 
@@ -105,13 +111,25 @@ def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
 
 def write_geotiff(grid: DataFrame, extent: Extent, path: str, epsg: int, value: str = "z") -> None:
     """A single-band float raster, deflated in strips, north up, with NODATA where cells are empty."""
-    array = raster_array(grid, extent, value).astype("<f4")
-    rows = max(1, min(extent.height, (1 << 22) // max(1, extent.width * 4)))
+    _write_tiff(raster_array(grid, extent, value).astype("<f4")[:, :, None], extent, path, epsg)
+
+
+def write_rgb_geotiff(grid: DataFrame, extent: Extent, path: str, epsg: int) -> None:
+    """A raster of colours: three bands of bytes, and a fourth that is 0 where cells are empty and 255 elsewhere."""
+    bands = [raster_array(grid, extent, c) for c in "rgb"]
+    empty = bands[0] == NODATA
+    _write_tiff(np.dstack([np.where(empty, 0, np.clip(b, 0, 255)).astype(np.uint8) for b in bands] + [np.where(empty, 0, 255).astype(np.uint8)]), extent, path, epsg)
+
+
+def _write_tiff(array: np.ndarray, extent: Extent, path: str, epsg: int) -> None:
+    """[row, column, band], floats or bytes."""
+    bands, floats = array.shape[2], array.dtype.kind == "f"
+    rows = max(1, min(extent.height, (1 << 22) // max(1, extent.width * bands * array.itemsize)))
     strips = [zlib.compress(array[i : i + rows].tobytes()) for i in range(0, extent.height, rows)]
     keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
     tags = [
-        (256, "I", [extent.width]), (257, "I", [extent.height]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (273, "I", [0] * len(strips)), (277, "H", [1]), (278, "I", [rows]),
-        (279, "I", [len(s) for s in strips]), (284, "H", [1]), (339, "H", [3]), (33550, "d", [extent.resolution, extent.resolution, 0.0]), (33922, "d", [0.0, 0.0, 0.0, extent.x_min, extent.y_max, 0.0]), (34735, "H", list(keys)), (42113, "s", f"{NODATA:g}".encode() + b"\0"),
+        (256, "I", [extent.width]), (257, "I", [extent.height]), (258, "H", [8 * array.itemsize] * bands), (259, "H", [8]), (262, "H", [1 if bands == 1 else 2]), (273, "I", [0] * len(strips)), (277, "H", [bands]), (278, "I", [rows]),
+        (279, "I", [len(s) for s in strips]), (284, "H", [1]), *([] if bands < 4 else [(338, "H", [2])]), (339, "H", [3 if floats else 1] * bands), (33550, "d", [extent.resolution, extent.resolution, 0.0]), (33922, "d", [0.0, 0.0, 0.0, extent.x_min, extent.y_max, 0.0]), (34735, "H", list(keys)), *([(42113, "s", f"{NODATA:g}".encode() + b"\0")] if floats else []),
     ]
     size = {"H": (3, 2), "I": (4, 4), "d": (12, 8), "s": (2, 1)}
     directory = 8
@@ -154,8 +172,11 @@ def write_glb(vertices: DataFrame, faces: DataFrame, path: str, most: int = MOST
     xyz = rows[["x", "y", "z"]].to_numpy(np.float64).reshape(-1, 3)
     center = xyz.mean(axis=0) if len(xyz) else np.zeros(3)
     points = (xyz - center).astype("<f4")
-    corner = [order[v] for r in faces.select("a", "b", "c").toLocalIterator() for v in r]
-    index = np.array(corner, dtype="<u4")
+    corners = faces.select("a", "b", "c").limit(2 * most + 1).toPandas()
+    if len(corners) > 2 * most:
+        raise ValueError("mesh too large for one file")
+    index = corners.to_numpy().reshape(-1)
+    index = np.fromiter((order[v] for v in index.tolist()), dtype="<u4", count=len(index))
     blob = points.tobytes() + index.tobytes()
     box = (points.min(axis=0).tolist(), points.max(axis=0).tolist()) if len(points) else ([0.0] * 3, [0.0] * 3)
     doc = {

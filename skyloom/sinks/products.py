@@ -29,7 +29,10 @@ def las_colors(points: DataFrame) -> DataFrame:
 
 
 def write_ply(points: DataFrame, path: str) -> None:
+    """A binary file; colours that are shares of 1 become bytes."""
     points.sparkSession.dataSource.register(PlyDataSource)
+    if all(c in points.columns for c in "rgb"):
+        points = byte_colors(points)
     columns = [F.col(c).cast("double").alias(c) for c in "xyz"]
     colors = [F.col(c).cast("short").alias(c) if c in points.columns else F.lit(None).cast("short").alias(c) for c in "rgb"]
     points.select(*columns, *colors).write.format("ply").mode("append").save(path)

@@ -6,20 +6,20 @@
 
 Binary files have fixed records, so they are read in ranges of ``chunk``
 points, one task each; text files are read by one task.  A file that ends
-early gives the points it has.  Writing is in two phases: tasks write bodies,
-the commit joins them behind a header with the count; an abort removes them.
-Paths are those of a file system that all workers mount.
+early gives the points it has.  Writing is in two phases: tasks write bodies
+batch by batch; the commit puts them behind a header with the count, the bytes
+being copied by the file system, not through the driver's memory; an abort
+removes them.  Paths are those of a file system that all workers mount.
 """
 
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "x double, y double, z double, r short, g short, b short"
 CHUNK = 8_000_000
@@ -123,8 +123,20 @@ class Body(WriterCommitMessage):
     colored: bool
 
 
-class PlyWriter(DataSourceWriter):
-    """Colours at most 1 in the whole task are taken as shares of 255; a task's are bytes otherwise."""
+def append_file(out, path: str) -> None:
+    """Append a file to an open one within the kernel."""
+    out.flush()
+    with open(path, "rb") as f:
+        left = os.fstat(f.fileno()).st_size
+        while left:
+            done = os.copy_file_range(f.fileno(), out.fileno(), min(left, 1 << 30))
+            if not done:
+                raise OSError(f"file ends early: {path}")
+            left -= done
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Colours are bytes; ``write_ply`` makes them so."""
 
     def __init__(self, options):
         self.path = options["path"].removeprefix("file://")
@@ -136,14 +148,19 @@ class PlyWriter(DataSourceWriter):
         part = f"{self.path}.{uuid.uuid4().hex}.part"
         count, colored = 0, None
         with open(part, "wb") as f:
-            for row in rows:
-                d = row.asDict()
-                if colored is None:
-                    colored = all(d.get(c) is not None for c in "rgb")
-                f.write(struct.pack("<fff", d["x"], d["y"], d["z"]))
-                if colored:
-                    f.write(struct.pack("<BBB", *(max(0, min(255, int(d[c] or 0))) for c in "rgb")))
-                count += 1
+            for batch in rows:
+                if not batch.num_rows:
+                    continue
+                known = [batch.column(c).null_count < batch.num_rows for c in "rgb"]
+                colored = all(known) if colored is None else colored
+                if colored != all(known):
+                    raise ValueError("some points have colours and some have none")
+                body = np.zeros(batch.num_rows, dtype=[(c, "<f4") for c in "xyz"] + [(c, "u1") for c in "rgb" if colored])
+                for c in body.dtype.names:
+                    values = batch.column(c).to_numpy(zero_copy_only=False)
+                    body[c] = values if c in "xyz" else np.clip(np.nan_to_num(values.astype(np.float64)), 0, 255)
+                body.tofile(f)
+                count += batch.num_rows
         return Body(part, count, bool(colored))
 
     def commit(self, messages) -> None:
@@ -157,9 +174,7 @@ class PlyWriter(DataSourceWriter):
         with open(tmp, "wb") as out:
             out.write(("\n".join(lines) + "\n").encode())
             for m in full:
-                with open(m.path, "rb") as f:
-                    while block := f.read(1 << 24):
-                        out.write(block)
+                append_file(out, m.path)
         os.replace(tmp, self.path)
         self.abort(messages)
 

@@ -43,6 +43,17 @@ def test_geotiff(spark, tmp_path):
     assert image[0, 0] == 1.5 and image[2, 3] == -4.0 and (image == -9999).sum() == 10
 
 
+def test_rgb_geotiff(spark, tmp_path):
+    grid = spark.createDataFrame([(0, 0, 255.0, 0.0, 7.0), (2, 3, 1.0, 300.0, 9.0)], "row int, col int, r double, g double, b double")
+    binary.write_rgb_geotiff(grid, Extent(100.0, 200.0, 102.0, 201.5, 0.5), str(tmp_path / "o.tif"), 32631)
+    raw = (tmp_path / "o.tif").read_bytes()
+    at = struct.unpack_from("<I", raw, 4)[0]
+    entries = {number: (kind, n, value, at + 2 + 12 * i + 8) for i in range(struct.unpack_from("<H", raw, at)[0]) for number, kind, n, value in [struct.unpack_from("<HHII", raw, at + 2 + 12 * i)]}
+    assert struct.unpack_from("<4H", raw, entries[258][2]) == (8, 8, 8, 8) and raw[entries[262][3]] == 2 and raw[entries[277][3]] == 4 and 42113 not in entries
+    image = np.frombuffer(zlib.decompress(raw[entries[273][2] : entries[273][2] + entries[279][2]]), np.uint8).reshape(3, 4, 4)
+    assert image[0, 0].tolist() == [255, 0, 7, 255] and image[2, 3].tolist() == [1, 255, 9, 255] and image.sum() == 255 + 7 + 255 + 1 + 255 + 9 + 255
+
+
 def test_glb(spark, tmp_path):
     v = spark.createDataFrame([(7, 0.0, 0.0, 0.0), (3, 2.0, 0.0, 0.0), (9, 1.0, 3.0, 0.0)], "vertex long, x double, y double, z double")
     binary.write_glb(v, spark.createDataFrame([(7, 3, 9)], "a long, b long, c long"), str(tmp_path / "m.glb"))

@@ -67,6 +67,12 @@ def test_checkpoints(spark, tmp_path):
     assert sorted(tuple(r) for r in telemetry.read_checkpoints(spark, str(tmp_path / "c.csv")).collect()) == [(1.0, 2.0, 3.0), (1.0, 9.0, 3.0)]
 
 
+def test_unit_colors_are_written_as_bytes(spark, tmp_path):
+    points = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 0.0, 0.5), (1.0, 0.0, 0.0, 0.9, 0.2, 0.5)], "x double, y double, z double, r double, g double, b double")
+    products.write_ply(points.repartition(2), str(tmp_path / "unit.ply"))
+    assert sorted(tuple(r)[3:] for r in products.read_ply(spark, str(tmp_path / "unit.ply")).collect()) == [(229, 51, 127), (255, 0, 127)]
+
+
 def test_ply(spark, tmp_path):
     rng = np.random.default_rng(0)
     data = [(float(np.float32(a)), float(np.float32(b)), float(np.float32(c)), int(r), int(g), int(bl)) for (a, b, c), (r, g, bl) in zip(rng.normal(size=(300, 3)), rng.integers(0, 256, (300, 3)), strict=True)]

@@ -19,10 +19,36 @@ MUST_EXPORT = ("obj", "ply", "las", "geotiff", "gltf", "glb", "fbx")
 
 
 def combined_hash(hashes: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted, joined hashes; empty ones and nulls do not count, repeats do."""
+    """Aggregate: SHA-256 of the sorted, joined hashes; empty ones and nulls do not count, repeats do.  For groups that fit one array; see ``combined_hashes``."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(hashes != "", hashes))), ""), 256)
 
 
+def combined_hashes(df: DataFrame, key: str, hashes: str) -> DataFrame:
+    """(key, sha256): ``combined_hash`` of each group.  A group's hashes pass by in sorted batches and are never held together."""
+    kind = df.schema[key].dataType.simpleString()
+    dealt = df.select(key, F.nullif(F.col(hashes), F.lit("")).alias("h")).repartition(key).sortWithinPartitions(key, "h")
+
+    def digest(batches):
+        import pyarrow as pa
+
+        group, state, known = None, hashlib.sha256(), False
+        for batch in batches:
+            names, found = [], []
+            for name, h in zip(batch.column(key).to_pylist(), batch.column("h").to_pylist(), strict=True):
+                if known and name != group:
+                    names.append(group)
+                    found.append(state.hexdigest())
+                    state = hashlib.sha256()
+                group, known = name, True
+                state.update((h or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(key).type), pa.array(found, pa.string())], names=[key, "sha256"])
+            last = batch.schema.field(key).type
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([group], last), pa.array([state.hexdigest()])], names=[key, "sha256"])
+
+    return dealt.mapInArrow(digest, f"{key} {kind}, sha256 string")
+
+
 def combined_hash_of(parts: list[str]) -> str:
     return hashlib.sha256("".join(sorted(p for p in parts if p)).encode()).hexdigest()
 

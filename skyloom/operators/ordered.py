@@ -58,29 +58,34 @@ def select_by_displacement(df: DataFrame, key: str, order: list[str], displaceme
     """Greedy selection: the first row, then each row at which the positive displacements since the last selected one reach ``least``.
 
     The cap is looked at only after a row was added, so ``most=1`` gives two
-    rows; ``cap_before`` gives one.  A series is folded as one array, so the
-    state is two numbers per row and stays in the JVM; series are the
-    unit of parallel work, as each choice hangs on the one before it.
+    rows; ``cap_before`` gives one.  Each choice hangs on the one before it, so
+    a series is one task's work; it passes by in sorted batches of which only
+    three numbers are remembered, whatever its length.
     """
-    row = F.struct(*(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.greatest(F.lit(0.0), F.coalesce(F.col(displacement).cast("double"), F.lit(0.0))).alias("d"), F.struct(*df.columns).alias("row"))
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("acc"), F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"))
-
-    def step(s: Column, r: Column) -> Column:
-        first = s["i"] == 0
-        acc = F.when(first, F.lit(0.0)).otherwise(s["acc"] + r["d"])
-        full = s["full"] | (F.lit(cap_before and most > 0) & (s["n"] >= most))
-        take = ~full & (first | (acc >= least))
-        return F.struct(
-            F.when(take, F.lit(0.0)).otherwise(acc).alias("acc"),
-            (s["n"] + take.cast("int")).alias("n"),
-            (full | (take & ~first & F.lit(most > 0) & (s["n"] + 1 >= most))).alias("full"),
-            F.when(take, F.concat(s["at"], F.array(s["i"]))).otherwise(s["at"]).alias("at"),
-            (s["i"] + 1).alias("i"),
-        )
-
-    chosen = series.select("rows", F.explode(F.aggregate("rows", start, step, lambda s: s["at"])).alias("at"))
-    return chosen.select(F.get("rows", F.col("at"))["row"].alias("r")).select("r.*")
+    moved = F.greatest(F.lit(0.0), F.coalesce(F.col(displacement).cast("double"), F.lit(0.0)))
+    dealt = df.withColumn("__d", moved).repartition(key).sortWithinPartitions(key, *order, "__d")
+    columns = df.columns
+
+    def choose(batches):
+        import pyarrow as pa
+
+        series, acc, n, full = object(), 0.0, 0, False
+        for batch in batches:
+            take = []
+            for name, d in zip(batch.column(key).to_pylist(), batch.column("__d").to_pylist(), strict=True):
+                if first := name != series:
+                    series, acc, n, full = name, 0.0, 0, False
+                else:
+                    acc += d
+                full = full or (cap_before and 0 < most <= n)
+                chosen = not full and (first or acc >= least)
+                if chosen:
+                    acc, n = 0.0, n + 1
+                    full = not first and 0 < most <= n
+                take.append(chosen)
+            yield batch.select(columns).filter(pa.array(take))
+
+    return dealt.mapInArrow(choose, df.schema)
 
 
 def along_path(points: DataFrame, probes: DataFrame, key: str, order: str, coordinates: list[str], distance: str = "s") -> DataFrame:

@@ -86,6 +86,10 @@ def visible_points(cameras: DataFrame, points: DataFrame) -> DataFrame:
     return seen.select("name", "point_id", pixel(F.col("p.u")).alias("col"), pixel(F.col("p.v")).alias("row"), F.col("p.z").alias("depth"))
 
 
+#: Parts that the descriptors of a frame are dealt into.
+BLOCKS = 16
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two bit strings as arrays of longs."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
@@ -96,13 +100,15 @@ def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, distance: Colum
 
     left and right: pair, left_id or right_id, and what distance reads; pairs
     of frames either of which has fewer than ``least`` descriptors give nothing.  The
-    work is the product of the descriptors of one pair of frames, made once: the pair's
-    left descriptors are keys, so the product is dealt out by them, and what is
-    kept of it is the nearest for each key; ties go to the smaller id.
+    work is the product of the descriptors of one pair of frames, made once.  The left ones are dealt into ``BLOCKS``
+    parts, each of which meets all right ones, so that a pair of frames is many tasks;
+    what is kept is the nearest for each descriptor.  Ties go to the smaller id.
     """
     if least > 0:
         left, right = (d.join(d.groupBy(pair).count().where(F.col("count") >= least).select(pair), pair, "left_semi") for d in (left, right))
-    met = left.join(right, pair).select(pair, "left_id", "right_id", distance.alias("distance"))
+    left = left.withColumn("__block", F.pmod(F.xxhash64("left_id"), F.lit(BLOCKS)))
+    right = right.withColumn("__block", F.explode(F.array(*(F.lit(i).cast("long") for i in range(BLOCKS)))))
+    met = left.join(right, [pair, "__block"]).select(pair, "left_id", "right_id", distance.alias("distance"))
     # One row for each (descriptor, side): the smallest by (distance, partner), combined map-side in the same pass over the product.
     sides = met.select(pair, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_id").alias("own"), F.col("right_id").alias("other"), "distance"), F.struct(F.lit(1).alias("side"), F.col("right_id").alias("own"), F.col("left_id").alias("other"), "distance"))).alias("s")).select(pair, "s.*")
     best = sides.groupBy(pair, "side", "own").agg(F.min(F.struct("distance", "other")).alias("b"))

@@ -488,7 +488,7 @@ def pose_keyframe_join(s, d):
 @query("SELECT o_orderpriority AS priority, sha256(string_agg(h, '' ORDER BY h)) AS sha256 FROM (SELECT o_orderpriority, sha256(o_orderkey::VARCHAR) AS h FROM orders) GROUP BY 1")
 def hash_combine(s, d):
     o = fx.table(s, d, "orders").select(F.col("o_orderpriority").alias("priority"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
-    return o.groupBy("priority").agg(governance.combined_hash(F.col("h")).alias("sha256"))
+    return governance.combined_hashes(o, "priority", "h")
 
 
 _LABEL_CASE = "CASE level WHEN 0 THEN 'full quality' WHEN 1 THEN 'full method (local)' WHEN 2 THEN 'reduced settings' WHEN 3 THEN 'alternative method' WHEN 4 THEN 'prior-only geometry' WHEN 5 THEN 'near-passthrough' WHEN 6 THEN 'minimal viable' END"

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import tile_candidates, tile_owned
+
 #: The truncation in voxels.
 TRUNCATION = 4
 
 
-def ray_samples(points: DataFrame, voxel: float) -> DataFrame:
+def ray_samples(points: DataFrame, voxel: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(vx, vy, vz, sdf, r, g, b): voxels that each surface point speaks for.
 
     points: x, y, z, the camera's cx, cy, cz, and r, g, b.
@@ -26,28 +28,28 @@ def ray_samples(points: DataFrame, voxel: float) -> DataFrame:
     rays = points.withColumn("__len", length).where("__len > 0").withColumn("__k", F.explode(F.sequence(F.lit(-TRUNCATION), F.lit(TRUNCATION))))
     along = F.col("__k") * F.lit(float(voxel)) / F.col("__len")
     ids = [F.floor((F.col(c) + d[i] * along) / F.lit(float(voxel))).alias(f"v{c}") for i, c in enumerate("xyz")]
-    placed = rays.select(*ids, "x", "y", "z", "cx", "cy", "cz", "__len", "r", "g", "b")
+    placed = rays.select(*keys, *ids, "x", "y", "z", "cx", "cy", "cz", "__len", "r", "g", "b")
     # Signed distance of the voxel's centre along the ray: positive before the surface.
     centre = sum((((F.col(f"v{c}") + 0.5) * voxel - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)) / F.col("__len")
     sdf = (F.col("__len") - centre) / F.lit(float(TRUNCATION * voxel))
-    return placed.select("vx", "vy", "vz", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), sdf)).alias("sdf"), "r", "g", "b")
+    return placed.select(*keys, "vx", "vy", "vz", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), sdf)).alias("sdf"), "r", "g", "b")
 
 
-def integrate(samples: DataFrame) -> DataFrame:
+def integrate(samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per voxel: mean distance and colour, and weight; combined map-side."""
-    return samples.groupBy("vx", "vy", "vz").agg(F.avg("sdf").alias("sdf"), *(F.avg(c).alias(c) for c in "rgb"), F.count(F.lit(1)).alias("weight"))
+    return samples.groupBy(*keys, "vx", "vy", "vz").agg(F.avg("sdf").alias("sdf"), *(F.avg(c).alias(c) for c in "rgb"), F.count(F.lit(1)).alias("weight"))
 
 
-def surface(voxels: DataFrame, voxel: float, least_weight: int = 1) -> DataFrame:
+def surface(voxels: DataFrame, voxel: float, least_weight: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
     """(x, y, z, r, g, b): zero crossings between neighbours along each axis."""
     known = voxels.where(F.col("weight") >= least_weight)
     out = None
     for axis in "xyz":
         shift = {c: (F.col(f"v{c}") - (1 if c == axis else 0)).alias(f"v{c}") for c in "xyz"}
-        ahead = known.select(*shift.values(), F.col("sdf").alias("sdf2"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
-        met = known.join(ahead, ["vx", "vy", "vz"]).where(((F.col("sdf") > 0) & (F.col("sdf2") <= 0)) | ((F.col("sdf") <= 0) & (F.col("sdf2") > 0)))
+        ahead = known.select(*keys, *shift.values(), F.col("sdf").alias("sdf2"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
+        met = known.join(ahead, [*keys, "vx", "vy", "vz"]).where(((F.col("sdf") > 0) & (F.col("sdf2") <= 0)) | ((F.col("sdf") <= 0) & (F.col("sdf2") > 0)))
         f = F.col("sdf") / (F.col("sdf") - F.col("sdf2"))
-        part = met.select(*(((F.col(f"v{c}") + 0.5 + (f if c == axis else 0.0)) * voxel).alias(c) for c in "xyz"), *((F.col(c) + f * (F.col(f"{c}2") - F.col(c))).alias(c) for c in "rgb"))
+        part = met.select(*keys, *(((F.col(f"v{c}") + 0.5 + (f if c == axis else 0.0)) * voxel).alias(c) for c in "xyz"), *((F.col(c) + f * (F.col(f"{c}2") - F.col(c))).alias(c) for c in "rgb"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -59,3 +61,18 @@ def fuse(points: DataFrame, voxel: float, z_lo: Column | float | None = None, z_
     if z_hi is not None:
         points = points.where(F.col("z") < z_hi)
     return surface(integrate(ray_samples(points, voxel)), voxel)
+
+
+def fuse_tiled(points: DataFrame, voxel: float, origin: tuple[float, float], tile: float, shape: tuple[int, int], overlap: float) -> DataFrame:
+    """``fuse`` tile by tile: (x, y, z, r, g, b, tx, ty), for clouds that are stored and worked on by tiles.
+
+    A tile fuses the points of its core and the overlap around it, and keeps
+    the surface in its core.  With an overlap of more than the truncation and a
+    voxel the tiles together are the whole.
+    """
+    if overlap < (TRUNCATION + 1) * voxel:
+        raise ValueError("the overlap must hold the truncation and a voxel")
+    keys = ("tx", "ty")
+    dealt = tile_candidates(points, "x", "y", origin, tile, overlap, shape)
+    found = surface(integrate(ray_samples(dealt, voxel, keys), keys), voxel, keys=keys)
+    return tile_owned(found, "x", "y", origin, tile, shape)

@@ -7,6 +7,7 @@ Parquet under the run's folder, so a stage can be resumed in another session.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,20 +15,24 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..functions import camera, geo
+from ..operators import fits, frames, fusion, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..operators.fits import derive_crs
 from ..operators.governance import FINISHED, REQUIRES, combined_hash, combined_hash_of, hash_object, stages_upto
 from ..operators.ordered import select_by_displacement, steps
+from ..sinks import binary, products, text
 
 Tables = dict[str, DataFrame]
 Stage = Callable[[SparkSession, Tables, dict], Tables]
 REGISTRY: dict[str, Stage] = {}
+#: Tables from outside without which a stage is left out, as if it were not registered.
+READS: dict[str, tuple[str, ...]] = {}
 
 
-def stage(name: str) -> Callable[[Stage], Stage]:
+def stage(name: str, *reads: str) -> Callable[[Stage], Stage]:
     def register(f: Stage) -> Stage:
-        REGISTRY[name] = f
+        REGISTRY[name], READS[name] = f, reads
         return f
 
     return register
@@ -56,8 +61,9 @@ def table_hash(df: DataFrame) -> str:
 def run(spark: SparkSession, folder: str, tables: Tables, settings: dict, records: dict[str, Record] | None = None, only: str | None = None, upto: str | None = None, force: bool = False) -> dict[str, Record]:
     """Run the registered stages in order.  Stages fail when what they require has not finished."""
     records = dict(records or {})
+    active = {n for n in REGISTRY if all(t in tables for t in READS[n])}
     for name in stages_upto(only, upto):
-        if name not in REGISTRY:
+        if name not in active:
             continue
         needs = REQUIRES.get(name, ())
         own = {k: v for k, v in tables.items()}
@@ -72,10 +78,10 @@ def run(spark: SparkSession, folder: str, tables: Tables, settings: dict, record
         records[name] = record
         began = time.time()
         try:
-            if missing := [n for n in needs if n in REGISTRY and (n not in records or records[n].status not in FINISHED)]:
+            if missing := [n for n in needs if n in active and (n not in records or records[n].status not in FINISHED)]:
                 raise ValueError(f"unfinished: {', '.join(missing)}")
             hashes = []
-            for table, df in REGISTRY[name](spark, own, settings.get(name, {})).items():
+            for table, df in REGISTRY[name](spark, own, {"folder": folder} | settings.get(name, {})).items():
                 path = f"{folder}/{name}/{table}"
                 df.write.mode("overwrite").parquet(path)
                 tables[table] = spark.read.parquet(path)
@@ -107,14 +113,68 @@ def keyframes(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
 
 @stage("s2_poses")
 def poses(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """Poses solved elsewhere, joined to keyframes with a position by the image's name."""
-    from ..functions.scalar import basename
-
-    known = tables["keyframes"].where("lat is not null and lon is not null").withColumn("name", basename(F.col("path"))).withColumn("alt", F.coalesce("alt", F.lit(0.0)))
-    met = tables["visual_poses"].join(known, "name")
+    """Poses solved elsewhere, joined to keyframes with a position by the image's name, and how many keyframes have one."""
+    met = views.keyframe_poses(tables["visual_poses"], tables["keyframes"])
     if met.limit(3).count() < 3:
         raise ValueError("fewer than three images with a position")
-    return {"poses": met}
+    return {"poses": met, "registration": views.registration(tables["keyframes"], met, "track_id")}
+
+
+@stage("s3_masking", "detections", "mask_labels")
+def masking(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """Pixels of moving things, from detections made elsewhere."""
+    pixels = frames.mask_pixels(tables["detections"], tables["mask_labels"], settings.get("min_score", 0.5), settings.get("dilation", 0))
+    return {"masks": pixels.select(F.col("frame").alias("name"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))}
+
+
+@stage("s4_depth", "sparse_points", "relative_depth")
+def depth(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """Metric depth: relative depth made elsewhere, scaled by the sparse points that each view sees."""
+    reach = float(settings.get("reach_m", 200.0))
+    cams = tables["poses"].select("name", camera.intrinsics(F.col("model"), F.col("params")).alias("k"), "rotation", "center", "width", "height", *((F.get("center", F.lit(i)) + s).alias(f"{c}{n}") for i, c in enumerate("xy") for n, s in enumerate((-reach, reach))))
+    seen = spatial.visible_points(cams, tables["sparse_points"])
+    anchors = views.raster_lookup(seen, tables["relative_depth"], "rel")
+    lines = fits.trust_fit(fits.fit_scale_shift(anchors, "name", "rel", "depth"), settings.get("min_anchors", 8))
+    nothing = spark.createDataFrame([], "name string, u long, v long")
+    metric = views.metric_depth(tables["relative_depth"], lines.where("metric"), tables.get("masks", nothing))
+    return {"depth": metric, "depth_fits": lines}
+
+
+@stage("s6_global")
+def alignment(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """Poses in map coordinates: the similarity from camera centres to projected positions."""
+    crs = tables["crs"].first()["epsg"]
+    east, north = geo.project_utm(F.col("lon"), F.col("lat"), F.lit(crs))
+    pairs = tables["poses"].select("track_id", *(F.get("center", F.lit(i)).alias(f"s{i}") for i in range(3)), east.alias("d0"), north.alias("d1"), F.col("alt").alias("d2"))
+    found = fits.fit_similarity(pairs, "track_id")
+    moved = tables["poses"].join(found.select("track_id", F.struct("scale", "rotation", "translation").alias("sim")), "track_id")
+    placed = camera.similarity_apply(F.col("sim"), [F.get("center", F.lit(i)) for i in range(3)])
+    return {"alignment": found, "global_poses": moved.select("name", *(p.alias(c) for p, c in zip(placed, ("east", "north", "up"), strict=True)))}
+
+
+@stage("s7_dense", "sparse_points", "relative_depth")
+def dense(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """A coloured cloud: depth of all views, clipped to the height band of the sparse points, fused by voxels."""
+    views_ = tables["poses"].select("name", camera.intrinsics(F.col("model"), F.col("params")).alias("k"), "rotation", "center")
+    band = raster.z_band(tables["sparse_points"], settings.get("z_margin_m", 2.0))
+    points = raster.clip_band(views.world_points(tables["depth"], views_), band)
+    colored = points.withColumns({c: F.lit(float(settings.get("gray", 128))) for c in "rgb" if c not in points.columns})
+    voxel = float(settings.get("voxel_m", 0.5))
+    if tile := settings.get("tile_m"):
+        box = raster.bounds(points).first()
+        shape = tuple(max(1, math.ceil((box[f"{c}_max"] - box[f"{c}_min"]) / tile)) for c in "xy")
+        cloud = fusion.fuse_tiled(colored, voxel, (box["x_min"], box["y_min"]), float(tile), shape, float(settings.get("overlap_m", (fusion.TRUNCATION + 1) * voxel))).drop("tx", "ty")
+    else:
+        cloud = fusion.fuse(colored, voxel)
+    return {"cloud": cloud}
+
+
+@stage("s8_mesh")
+def mesh(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """A triangulated height field of the cloud."""
+    extent = raster.extent_of(tables["cloud"], settings.get("resolution", 1.0))
+    vertices, faces = raster.height_mesh(raster.elevation_grid(tables["cloud"], extent), extent)
+    return {"vertices": vertices, "faces": faces}
 
 
 @stage("s9_geo")
@@ -125,3 +185,37 @@ def rasters(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     surface = raster.elevation_grid(cloud, extent)
     window = max(1, int(round(settings.get("ground_window_m", 3.0) / extent.resolution)))
     return {"dsm": surface, "dtm": raster.opening(surface, extent, window), "ortho": raster.ortho_grid(cloud, extent)}
+
+
+@stage("s10_export")
+def exports(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """Files of the products, and which of the wanted formats could be written."""
+    folder = settings["folder"].removeprefix("file://")
+    extent = raster.extent_of(tables["cloud"], settings.get("resolution", 0.25))
+    crs = tables["crs"].first()["epsg"]
+
+    def to(name: str, write: Callable[[str], None]) -> Callable[[], str]:
+        def run_() -> str:
+            write(f"{folder}/{name}")
+            return f"{folder}/{name}"
+
+        return run_
+
+    writers = {
+        "ply": to("cloud.ply", lambda p: products.write_ply(tables["cloud"], p)), "las": to("cloud.las", lambda p: binary.write_las(tables["cloud"], p)),
+        "obj": to("mesh.obj", lambda p: text.write_obj(tables["vertices"], tables["faces"], p)), "glb": to("mesh.glb", lambda p: binary.write_glb(tables["vertices"], tables["faces"], p)),
+        "geotiff": to("dsm.tif", lambda p: binary.write_geotiff(tables["dsm"], extent, p, crs)),
+    }
+    results = products.export(settings.get("formats", ["ply", "las", "obj", "glb", "geotiff", "fbx"]), writers)
+    return {"exports": products.export_rows(spark, settings.get("run", "run"), results)}
+
+
+@stage("report")
+def report(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
+    """One row per table that the run has: its number of rows."""
+    names = [n for n in ("keyframes", "poses", "masks", "depth", "cloud", "vertices", "dsm", "dtm", "ortho", "exports") if n in tables]
+    counts = [tables[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return {"report": out}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geo, grid, scalar
-from ..operators import fits, frames, fusion, governance, ordered, raster, spatial
+from ..operators import fits, frames, fusion, governance, ordered, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..sinks import text as text_sink
 from ..sinks.products import byte_colors, las_colors
@@ -178,18 +178,28 @@ def fusion_surface(s, d):
     return fusion.fuse(seen, 1.0).select(*(rounded(c, 4) for c in "xyz"))
 
 
+@query()
+def fusion_tiled(s, d):
+    seen = fx.cloud(s, d).select("x", "y", "z", F.lit(25.0).alias("cx"), F.lit(20.0).alias("cy"), F.lit(300.0).alias("cz"), "r", "g", "b")
+    return fusion.fuse_tiled(seen, 1.0, (0.0, 0.0), 20.0, (3, 2), 6.0).select(*(rounded(c, 4) for c in "xyz"), "tx", "ty")
+
+
 CAMERAS = "cam AS (SELECT r_regionkey AS k, 'cam' || r_regionkey AS name, 1e1 * r_regionkey + 5 AS cx, 2e1 AS cy, 2e2 AS cz FROM region)"
 
 
 @query(f"WITH {fx.POINTS}, p AS (SELECT DISTINCT x, y, z FROM cloud), {CAMERAS}, q AS (SELECT name, x, y, z, 4e2 * (x - cx) / (cz - z) + 5e1 AS u, 4e2 * (cy - y) / (cz - z) + 4e1 AS v, cz - z AS depth FROM p, cam WHERE abs(x - cx) <= 30 AND abs(y - cy) <= 30) SELECT name, count(*) AS n, round(sum(depth), 3) AS depth, sum(round_even(u, 0))::BIGINT AS cols FROM q WHERE depth > 0 AND round_even(u, 0) BETWEEN 0 AND 99 AND round_even(v, 0) BETWEEN 0 AND 79 GROUP BY name")
 def visible_points(s, d):
+    return _seen(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("depth"), 3).alias("depth"), F.sum("col").alias("cols"))
+
+
+def _seen(s, d):
     pts = fx.cloud(s, d).select("x", "y", "z").distinct().withColumn("point_id", F.xxhash64("x", "y", "z"))
     r = fx.table(s, d, "region")
     k = camera.intrinsics(F.lit("SIMPLE_PINHOLE"), F.array(F.lit(400.0), F.lit(50.0), F.lit(40.0)))
     down = F.array(*(F.array(*map(F.lit, row)) for row in ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0))))
     cx = F.col("r_regionkey") * 10.0 + 5
     cams = r.select(F.concat(F.lit("cam"), F.col("r_regionkey").cast("string")).alias("name"), k.alias("k"), down.alias("rotation"), F.array(cx, F.lit(20.0), F.lit(200.0)).alias("center"), F.lit(100).alias("width"), F.lit(80).alias("height"), (cx - 30).alias("x0"), (cx + 30).alias("x1"), F.lit(-10.0).alias("y0"), F.lit(50.0).alias("y1"))
-    return spatial.visible_points(cams, pts).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("depth"), 3).alias("depth"), F.sum("col").alias("cols"))
+    return spatial.visible_points(cams, pts)
 
 
 # Tracks
@@ -482,6 +492,68 @@ def pose_keyframe_join(s, d):
     return p.join(k, "name").select("name", "n_points", "alt")
 
 
+_KEYS = "k AS (SELECT o_orderkey AS index, 'frames/' || o_orderkey || '.jpg' AS path, o_totalprice AS alt FROM orders WHERE o_orderstatus <> 'F')"
+_NAMED = "l_orderkey || '.jpg' = split_part(path, '/', 2)"
+
+
+def _keyframes(s, d):
+    return fx.table(s, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("index"), F.concat(F.lit("frames/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"), F.col("o_totalprice").alias("alt"), F.lit(1.0).alias("lat"), F.when(F.col("o_orderkey") % 5 > 0, F.lit(2.0)).alias("lon"))
+
+
+def _poses(s, d):
+    return fx.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_points")).select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("name"), "n_points")
+
+
+@query(f"WITH p AS (SELECT l_orderkey, count(*) AS n_points FROM lineitem GROUP BY 1), {_KEYS} SELECT split_part(path, '/', 2) AS name, n_points, alt FROM p JOIN k ON {_NAMED} WHERE index % 5 > 0")
+def pose_keyframe_positions(s, d):
+    return views.keyframe_poses(_poses(s, d), _keyframes(s, d)).select("name", "n_points", "alt")
+
+
+@query(f"WITH p AS (SELECT l_orderkey, count(*) AS n_points FROM lineitem GROUP BY 1), {_KEYS}, m AS (SELECT o_orderkey AS index, (o_orderkey % 10) / 1e1 AS dynamic_frac FROM orders WHERE o_orderkey % 3 = 0) SELECT split_part(path, '/', 2) AS name, n_points, dynamic_frac, dynamic_frac IS NOT NULL AS masked FROM p JOIN k ON {_NAMED} LEFT JOIN m USING (index)")
+def pose_mask_join(s, d):
+    masks = fx.table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("index"), (F.col("o_orderkey") % 10 / F.lit(10.0)).alias("dynamic_frac"))
+    return views.masked_views(_poses(s, d), _keyframes(s, d), masks).select("name", "n_points", "dynamic_frac", "masked")
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, (o_custkey % 50)::DOUBLE AS cx, (o_custkey % 40)::DOUBLE AS cy, 2e2 AS cz FROM orders), {_KEYS},
+q AS (SELECT l_orderkey, cx, cy, cz, l_linenumber * 10 AS u, l_quantity AS v, l_extendedprice / 1e3 AS depth FROM lineitem JOIN c ON o_orderkey = l_orderkey JOIN k ON index = l_orderkey),
+w AS (SELECT l_orderkey || '.jpg' AS name, cx + (u - 50) / 4e2 * depth AS x, cy - (v - 40) / 4e2 * depth AS y, cz - depth AS z, depth FROM q)
+SELECT name, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z FROM w WHERE depth > 0 AND x >= 0 AND x < 45 AND y >= 1 AND y < 38 AND z >= 105 AND z < 190 GROUP BY 1""")
+def dense_points(s, d):
+    k = camera.intrinsics(F.lit("PINHOLE"), F.array(F.lit(400.0), F.lit(400.0), F.lit(50.0), F.lit(40.0)))
+    down = F.array(*(F.array(*map(F.lit, row)) for row in ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0))))
+    name = F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    poses = fx.table(s, d, "orders").select(name.alias("name"), k.alias("k"), down.alias("rotation"), F.array((F.col("o_custkey") % 50).cast("double"), (F.col("o_custkey") % 40).cast("double"), F.lit(200.0)).alias("center"))
+    depth = fx.table(s, d, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("name"), (F.col("l_linenumber") * 10).alias("u"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 1e3).alias("depth"))
+    kept = views.dense_views(poses, _keyframes(s, d), fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("index")).distinct())
+    points = views.world_points(depth, kept, [0.0, 1.0, 105.0], [45.0, 38.0, 190.0])
+    return points.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.sum(c), 3).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {fx.POINTS}, p AS (SELECT DISTINCT x, y, z FROM cloud), {CAMERAS}, q AS (SELECT name, round_even(4e2 * (x - cx) / (cz - z) + 5e1, 0)::BIGINT AS u, round_even(4e2 * (cy - y) / (cz - z) + 4e1, 0)::BIGINT AS v, cz - z AS depth FROM p, cam WHERE abs(x - cx) <= 30 AND abs(y - cy) <= 30) SELECT name, count(*) AS n, sum((u * 7 + v * 13) % 11)::BIGINT AS rel FROM q WHERE depth > 0 AND u BETWEEN 0 AND 99 AND v BETWEEN 0 AND 79 AND (u + v) % 4 > 0 GROUP BY name")
+def view_raster_lookup(s, d):
+    seen = _seen(s, d)
+    pixels = fx.table(s, d, "region").select(F.concat(F.lit("cam"), F.col("r_regionkey").cast("string")).alias("name"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("u")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    relative = pixels.where((F.col("u") + F.col("v")) % 4 > 0).withColumn("rel", (F.col("u") * 7 + F.col("v") * 13) % 11)
+    return views.raster_lookup(seen, relative, "rel").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("rel").alias("rel"))
+
+
+@query("""WITH d AS (SELECT p_brand AS pair, p_partkey AS id, (p_partkey * 2654435761) % 4294967296 AS bits FROM part),
+m AS (SELECT a.pair, a.id AS left_id, b.id AS right_id, bit_count(xor(a.bits, b.bits))::INT AS distance FROM d a JOIN d b ON a.pair = b.pair AND a.id % 2 = 0 AND b.id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair, left_id ORDER BY distance, right_id) AS x, row_number() OVER (PARTITION BY pair, right_id ORDER BY distance, left_id) AS y FROM m)
+SELECT pair, left_id, right_id, distance FROM r WHERE x = 1 AND y = 1""")
+def mutual_nn_hamming(s, d):
+    p = fx.table(s, d, "part").select(F.col("p_brand").alias("pair"), F.col("p_partkey").alias("id"), F.array(F.col("p_partkey") * F.lit(2654435761) % F.lit(4294967296)).alias("bits"))
+    left, right = (p.where(F.col("id") % 2 == side).select("pair", F.col("id").alias(f"{name}_id"), F.col("bits").alias(f"{name}_bits")) for side, name in ((0, "left"), (1, "right")))
+    return spatial.mutual_nearest(left, right, "pair", spatial.hamming(F.col("left_bits"), F.col("right_bits")))
+
+
+@query("SELECT o_custkey AS run, count(*) AS n_keyframes, count(*) FILTER (o_orderstatus = 'O') AS n_registered, count(*) FILTER (o_orderstatus = 'O') / count(*)::DOUBLE AS rate FROM orders GROUP BY 1")
+def registration_rate(s, d):
+    o = fx.table(s, d, "orders").select(F.col("o_custkey").alias("run"), "o_orderstatus", F.concat(F.lit("a/b/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return views.registration(o, o.where("o_orderstatus = 'O'").select(F.substring_index("path", "/", -1).alias("name")), "run")
+
+
 # Governance
 
 

@@ -155,7 +155,7 @@ def test_mission_resumes(spark, tmp_path):
     settings = {"s1_frameqa": {"min_displacement_m": 30.0}, "s9_geo": {"resolution": 1.0}}
     out = tables()
     done = mission.run(spark, str(tmp_path), out, settings)
-    assert {n: (r.status, r.error) for n, r in done.items()} == dict.fromkeys(("s0_ingest", "s1_frameqa", "s2_poses", "s9_geo"), ("done", ""))
+    assert {n: (r.status, r.error) for n, r in done.items()} == dict.fromkeys(("s0_ingest", "s1_frameqa", "s2_poses", "s6_global", "s8_mesh", "s9_geo", "s10_export", "report"), ("done", ""))
     assert out["keyframes"].count() == 7 and out["dtm"].count() == 25
     again = mission.run(spark, str(tmp_path), tables(), settings, done)
     assert all(again[n] is done[n] for n in done)
@@ -165,6 +165,37 @@ def test_mission_resumes(spark, tmp_path):
     assert broken["s2_poses"].status == "failed" and "s9_geo" not in broken
 
 
+def test_mission_of_all_stages(spark, tmp_path):
+    """Twenty-five cameras above a slope, looking down: depth, cloud, mesh, rasters and files."""
+    height = lambda x, y: 2.0 + 0.05 * x
+    grid = [(i, 20.0 * (i % 5), 20.0 * (i // 5)) for i in range(25)]
+    track = spark.createDataFrame([("a", i, float(i), 10.0 + y / 110_600, 20.5 + x / 109_600, 100.0) for i, x, y in grid], "track_id string, ord long, t double, lat double, lon double, alt double")
+    times = spark.createDataFrame([("a", i, float(i), f"img/{i}.jpg") for i, _, _ in grid], "track_id string, index long, t double, path string")
+    down = [[1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, -1.0]]
+    visual = spark.createDataFrame([(f"{i}.jpg", "PINHOLE", [20.0, 20.0, 16.0, 16.0], down, [x, y, 60.0], 32, 32) for i, x, y in grid], "name string, model string, params array<double>, rotation array<array<double>>, center array<double>, width int, height int")
+    pixels = []
+    for i, x, y in grid:
+        for u in range(32):
+            for v in range(32):
+                # The depth at which the pixel's ray meets the slope.
+                depth = (60.0 - 2.0 - 0.05 * x) / (1 + 0.05 * (u - 16) / 20)
+                pixels.append((f"{i}.jpg", u, v, (depth - 5.0) / 2.0))
+    relative = spark.createDataFrame(pixels, "name string, u long, v long, rel double")
+    sparse = spark.createDataFrame([(k, float(x), float(y), height(x, y)) for k, (x, y) in enumerate((x, y) for x in range(-40, 130, 3) for y in range(-40, 130, 3))], "point_id long, x double, y double, z double")
+    boxes = spark.createDataFrame([("0.jpg", "car", 0.9, 0.0, 0.0, 4.0, 4.0, 32, 32)], "frame string, label string, score double, x0 double, y0 double, x1 double, y1 double, width int, height int")
+    labels = spark.createDataFrame([("car", False)], "label string, small boolean")
+    tables = {"telemetry": track, "frame_times": times, "visual_poses": visual, "relative_depth": relative, "sparse_points": sparse, "detections": boxes, "mask_labels": labels}
+    settings = {"s1_frameqa": {"min_displacement_m": 1.0}, "s7_dense": {"voxel_m": 2.0, "tile_m": 60.0}, "s8_mesh": {"resolution": 4.0}, "s9_geo": {"resolution": 4.0}, "s10_export": {"resolution": 4.0}}
+    done = mission.run(spark, str(tmp_path), tables, settings)
+    assert {n: (r.status, r.error) for n, r in done.items()} == dict.fromkeys(mission.REGISTRY, ("done", "")) and len(done) == 11
+    assert tables["masks"].count() == 16 and tables["depth"].where("depth = 0").count() == 16
+    assert all(abs(r.a - 2.0) < 0.2 for r in tables["depth_fits"].collect()) and tables["depth_fits"].count() == 25
+    off = [abs(r.z - height(r.x, r.y)) for r in tables["cloud"].collect()]
+    assert len(off) > 1000 and np.median(off) < 1.0
+    assert {r.format: r.ok for r in tables["exports"].collect()} == {"ply": True, "las": True, "obj": True, "glb": True, "geotiff": True, "fbx": False}
+    assert {r.name: r.n for r in tables["report"].collect()}["poses"] == 25 and tables["registration"].first().rate == 1.0
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from skyloom.operators.ordered import select_by_displacement, steps
 

@@ -292,6 +292,39 @@ def test_fused_plane_and_tiles(spark):
     assert fusion.fuse(p, 1.0, z_lo=6.0).count() == 0
 
 
+def test_tiles_together_are_the_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(25):  # cameras 20 m apart, each with points below it that overlap its neighbours'
+        cx, cy = 20.0 * (i % 5), 20.0 * (i // 5)
+        rows += [(cx + float(x), cy + float(y), 3 * float(np.sin(x / 7)) , cx, cy, 60.0, 10.0, 20.0, 30.0) for x, y in rng.uniform(-15, 15, (60, 2))]
+    p = spark.createDataFrame(rows, "x double, y double, z double, cx double, cy double, cz double, r double, g double, b double")
+    whole = sorted(tuple(round(v, 6) for v in r) for r in fusion.fuse(p, 1.0).collect())
+    tiled = fusion.fuse_tiled(p, 1.0, (-20.0, -20.0), 30.0, (5, 5), 8.0)
+    assert len({(r.tx, r.ty) for r in tiled.collect()}) > 9
+    assert sorted(tuple(round(v, 6) for v in r) for r in tiled.drop("tx", "ty").collect()) == whole and len(whole) > 500
+    with pytest.raises(ValueError, match="overlap"):
+        fusion.fuse_tiled(p, 1.0, (0.0, 0.0), 30.0, (5, 5), 2.0)
+
+
+def test_local_frame(spark):
+    from skyloom.operators import views
+
+    p = spark.createDataFrame([(i, 500_000.0 + i, 4e6 - i, 10.0 * i) for i in range(9)], "id long, x double, y double, z double")
+    near, mean = views.local_frame(p)
+    assert abs(near.agg({"x": "avg"}).first()[0]) < 1e-6 and mean.first().x == 500_004.0
+    assert values(views.from_local_frame(near, mean), "id", "x", "y", "z") == values(p, "id", "x", "y", "z")
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    for data in (rng.normal(size=2000), np.r_[np.zeros(500), 1e9, -1e-9], np.repeat([1.0, 2.0], 7), np.array([3.0]), rng.integers(0, 4, 300).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in data] + [(None,), (float("nan"),)], "z double").repartition(3)
+        shares = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+        assert np.allclose(raster.percentiles(df, "z", shares, bins=16), np.quantile(data, shares), rtol=1e-12, atol=1e-12)
+    assert raster.percentiles(df.where("z > 100"), "z", [0.5]) == [None]
+
+
 # Governance
 
 

@@ -189,32 +189,37 @@ def train(corpus: list[str], steps: int = 300, l1: float = 2e-5) -> Classifier:
     stated = Counter(g for c, t, _ in fit if c != NONE or t in DECOYS for g in grams(t))
     vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in stated.items() if n > 1 and usual[g] < USUAL))}
 
-    def matrix(part):
-        x = np.zeros((len(part), len(vocabulary)), dtype=np.float32)
-        for i, (_, t, _) in enumerate(part):
-            x[i, [vocabulary[g] for g in grams(t) if g in vocabulary]] = 1
-        return x
-    x, y = matrix(fit), np.array([classes.index(c) for c, _, _ in fit])
+    # Rows and columns of the sparse matrix of examples and n-grams, either way around.
+    own = [sorted(vocabulary[g] for g in grams(t) if g in vocabulary) for _, t, _ in fit]
+    filled = np.array([bool(o) for o in own])
+    lengths = np.array([len(o) for o in own])
+    index = np.array([i for o in own for i in o], dtype=np.int64)
+    starts = np.r_[0, np.cumsum(lengths[filled])[:-1]]
+    order = np.argsort(index, kind="stable")
+    row_of = np.repeat(np.arange(len(fit)), lengths)[order]
+    used, column_starts = np.unique(index[order], return_index=True)
+    y = np.array([classes.index(c) for c, _, _ in fit])
     size = np.bincount(y, minlength=len(classes))
     share = np.where(np.arange(len(classes)) == classes.index(NONE), 0.5, 0.5 / max(1, len(classes) - 1))
     each = (share / np.maximum(1, size))[y].astype(np.float32)
     hot = np.eye(len(classes), dtype=np.float32)[y]
     w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
     vw, vb = w.copy(), b.copy()
-    rate = 2 / float(each @ (x.sum(axis=1) + 1))
+    rate = 2 / float(each @ (lengths + 1))
     for step in range(1, steps + 1):
-        s = x @ vw + vb
+        s = np.tile(vb, (len(fit), 1))
+        s[filled] += np.add.reduceat(vw[index], starts, axis=0)
         e = np.exp(s - s.max(axis=1, keepdims=True))
         g = (e / e.sum(axis=1, keepdims=True) - hot) * each[:, None]
-        nw = vw - rate * (x.T @ g)
+        nw = vw.copy()
+        nw[used] -= rate * np.add.reduceat(g[row_of], column_starts, axis=0)
         nw = np.sign(nw) * np.maximum(0, np.abs(nw) - rate * l1)
         nb = vb - rate * g.sum(axis=0)
         beta = (step - 1) / (step + 2)
         vw, vb = nw + beta * (nw - w), nb + beta * (nb - b)
         w, b = nw, nb
-    used = np.flatnonzero(np.abs(w).max(axis=1) > 0)
     names = list(vocabulary)
-    model = Classifier(classes, {names[i]: w[i].astype(np.float64) for i in used}, b.astype(np.float64), 1.0, 0.0)
+    model = Classifier(classes, {names[i]: w[i].astype(np.float64) for i in np.flatnonzero(np.abs(w).max(axis=1) > 0)}, b.astype(np.float64), 1.0, 0.0)
     assert len(model.weights) <= MOST_WEIGHTS and classes[int(b.argmax())] == NONE
 
     # Temperature: the best of a few by the likelihood of the held-out part.

@@ -80,8 +80,8 @@ def choose_tier(tiers: DataFrame, group: str, level: str = "level", name: str =
     found = tiers.groupBy(group).agg(best.alias("b"), F.min(level).alias("top"), listed.alias("off"), F.bool_or(available).alias("any"))
     found = found.withColumn("b", F.when(F.col("any"), F.col("b")).otherwise(F.raise_error(F.lit("no tier is available")).cast("struct<level:int,name:string,note:string>")))
     lvl = F.col("b.level")
-    skipped = F.transform(F.filter("off", lambda t: t["l"] < lvl), lambda t: F.concat(F.lit("L"), t["l"].cast("string"), F.lit(" "), t["n"]))
-    reason = F.concat(F.lit("fell back to '"), F.col("b.name"), F.lit("' ("), level_label(lvl), F.lit(", L"), lvl.cast("string"), F.lit(")"), F.when(F.col("b.note").isNotNull() & (F.col("b.note") != ""), F.concat(F.lit(": "), F.col("b.note"))).otherwise(""), F.when(F.size(skipped) > 0, F.concat(F.lit("; higher tiers unavailable: "), F.array_join(skipped, ", "))).otherwise(""))
+    skipped = F.transform(F.filter("off", lambda t: t["l"] < lvl), lambda t: F.concat(t["n"], F.lit(" ["), t["l"].cast("string"), F.lit("]")))
+    reason = F.concat(F.lit("uses "), F.col("b.name"), F.lit(" ["), lvl.cast("string"), F.lit(", "), level_label(lvl), F.lit("]"), F.when(F.col("b.note") != "", F.concat(F.lit(" because of "), F.col("b.note"))).otherwise(""), F.when(F.size(skipped) > 0, F.concat(F.lit("; not available: "), F.array_join(skipped, ", "))).otherwise(""))
     return found.select(group, lvl.alias("level"), F.col("b.name").alias("name"), (lvl > F.col("top")).alias("degraded"), F.when(lvl > F.col("top"), reason).alias("reason"), level_cap(lvl).alias("confidence_cap"))
 
 
@@ -168,7 +168,7 @@ def readiness(groups: DataFrame, modules: DataFrame) -> DataFrame:
     """
     have = groups.join(modules, "module", "left").withColumn("ok", F.col("module").isNull() | F.coalesce("available", F.lit(False)))
     each = have.groupBy("stage", "label").agg(F.when(F.first("mode") == "any", F.bool_or("ok")).otherwise(F.bool_and("ok")).alias("ok"), F.array_sort(F.collect_set("module")).alias("m"), F.first("mode").alias("mode"))
-    text = F.concat(F.coalesce("label", F.lit("")), F.lit(": need "), F.when(F.col("mode") == "any", F.array_join("m", " or ")).otherwise(F.array_join("m", " + ")))
+    text = F.concat(F.coalesce("label", F.lit("")), F.when(F.col("mode") == "any", F.lit(" lacks any of ")).otherwise(F.lit(" lacks some of ")), F.array_join("m", ", "))
     return each.groupBy("stage").agg(F.bool_and("ok").alias("ready"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), text))), "; ").alias("missing"))
 
 

@@ -162,9 +162,10 @@ def _thin(s, d) -> DataFrame:
 _THIN_SQL = f"{fx.POINTS}, thin AS (SELECT (floor(x / 4e0) * 1000000 + floor(y / 4e0) * 1000 + floor(z / 4e0))::BIGINT AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cloud GROUP BY 1)"
 
 
-@query(f"WITH {_THIN_SQL}, m AS (SELECT a.point_id, b.point_id AS other, row_number() OVER (PARTITION BY a.point_id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2), b.point_id) AS r FROM thin a JOIN thin b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= 36e0) SELECT point_id, count(*) AS n FROM m WHERE r <= 12 GROUP BY 1")
+@query(f"WITH {_THIN_SQL}, m AS (SELECT a.point_id, b.point_id AS other, row_number() OVER (PARTITION BY a.point_id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2), b.point_id) AS r FROM thin a JOIN thin b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= 36e0) SELECT point_id, count(*) AS n, string_agg(other::VARCHAR, ',' ORDER BY r) AS who FROM m WHERE r <= 12 GROUP BY 1")
 def radius_neighbours(s, d):
-    return spatial.neighbours(_thin(s, d), 6.0, 12).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"))
+    near = spatial.neighbours(_thin(s, d), 6.0, 12).groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("found"))
+    return near.select("point_id", F.size("found").cast("long").alias("n"), F.array_join(F.transform("found", lambda r: r["neighbour_id"].cast("string")), ",").alias("who"))
 
 
 @query()
@@ -260,6 +261,24 @@ def track_crs(s, d):
     return fits.derive_crs(fx.track(s, d), "track_id")
 
 
+# Another series than the operator's: the expansion by powers of the distance from the central meridian, which is good to less than a millimetre within a zone.
+_SERIES = """WITH p AS (SELECT n_nationkey AS id, n_nationkey * 141e-1 - 17e1 AS lon, n_nationkey * 63e-1 - 76e0 AS lat FROM nation), z AS (SELECT *, floor((lon + 180) / 6)::INT + 1 AS zone FROM p),
+c AS (SELECT *, radians(lat) AS f, radians(lon - (zone * 6 - 183)) * cos(radians(lat)) AS a, 6378137e0 AS r, (2 - 1 / 298.257223563e0) / 298.257223563e0 AS e FROM z),
+t AS (SELECT *, e / (1 - e) AS g, r / sqrt(1 - e * power(sin(f), 2)) AS n, power(tan(f), 2) AS t, e / (1 - e) * power(cos(f), 2) AS c,
+ r * ((1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) * f - (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) * sin(2 * f) + (15 * e * e / 256 + 45 * e * e * e / 1024) * sin(4 * f) - 35 * e * e * e / 3072 * sin(6 * f)) AS m FROM c)
+SELECT id, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone)::INT AS epsg,
+ round(9996e-4 * n * (a + (1 - t + c) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * g) * power(a, 5) / 120) + 5e5, 1) AS easting,
+ round(9996e-4 * (m + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * g) * power(a, 6) / 720)) + CASE WHEN lat >= 0 THEN 0 ELSE 1e7 END, 1) AS northing FROM t"""
+
+
+@query(_SERIES)
+def utm_forward(s, d):
+    lon, lat = F.col("n_nationkey") * 14.1 - 170.0, F.col("n_nationkey") * 6.3 - 76.0
+    p = fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), geo.utm_epsg(lon, lat).cast("int").alias("epsg"), lon.alias("lon"), lat.alias("lat"))
+    e, n = geo.project_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    return p.select("id", "epsg", F.round(e, 1).alias("easting"), F.round(n, 1).alias("northing"))
+
+
 @query("SELECT c_custkey, (((floor((c_acctbal / 60e0 - 5 + 180) / 6)::INT % 60) + 60) % 60 + 1)::INT AS zone, round(c_acctbal / 60e0 - 5, 7) + 0e0 AS lon, round(c_acctbal / 130e0 - 10, 7) + 0e0 AS lat FROM customer")
 def utm_round_trip(s, d):
     c = fx.table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") / 60.0 - 5).alias("lon0"), (F.col("c_acctbal") / 130.0 - 10).alias("lat0"))
@@ -433,7 +452,13 @@ def similarity_moments(s, d):
     return m.select("k", "n", rounded("m_s0"), rounded("m_d2"), rounded("c01", 8), rounded("c22", 8), rounded("var_s", 8))
 
 
-@query()
+# The residual that no similarity can go below: from the singular values of the cross-covariance, as roots of the eigenvalues of C'C by the cosine formula.
+@query(f"""WITH {_CORR}, m AS (SELECT k, count(*) AS n, {", ".join(f"covar_pop(d{i}, s{j}) AS c{i}{j}" for i in range(3) for j in range(3))}, var_pop(s0) + var_pop(s1) + var_pop(s2) AS vs, var_pop(d0) + var_pop(d1) + var_pop(d2) AS vd FROM c GROUP BY 1),
+a AS (SELECT *, {", ".join(f"c0{i} * c0{j} + c1{i} * c1{j} + c2{i} * c2{j} AS a{i}{j}" for i in range(3) for j in range(i, 3))}, c00 * (c11 * c22 - c12 * c21) - c01 * (c10 * c22 - c12 * c20) + c02 * (c10 * c21 - c11 * c20) AS det FROM m),
+q AS (SELECT *, (a00 + a11 + a22) / 3 AS q FROM a), p AS (SELECT *, sqrt((power(a00 - q, 2) + power(a11 - q, 2) + power(a22 - q, 2) + 2 * (a01 * a01 + a02 * a02 + a12 * a12)) / 6) AS p FROM q),
+r AS (SELECT *, acos(least(1e0, greatest(-1e0, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)) / (2 * p * p * p)))) / 3 AS phi FROM p),
+e AS (SELECT *, sqrt(greatest(0e0, q + 2 * p * cos(phi))) AS s1, sqrt(greatest(0e0, q + 2 * p * cos(phi - 2 * pi() / 3))) AS s2, sqrt(greatest(0e0, q + 2 * p * cos(phi + 2 * pi() / 3))) AS s3 FROM r)
+SELECT k, round(sqrt(greatest(0e0, vd - power(s1 + s2 + sign(det) * s3, 2) / vs)), 5) AS rmse, n FROM e""")
 def similarity_fit(s, d):
     f = fits.fit_similarity(_pairs(s, d), "k")
     moved = _pairs(s, d).join(f, "k").withColumn("sim", F.struct("scale", "rotation", "translation"))
@@ -563,14 +588,14 @@ def hash_combine(s, d):
     return governance.combined_hashes(o, "priority", "h")
 
 
-_LABEL_CASE = "CASE level WHEN 0 THEN 'full quality' WHEN 1 THEN 'full method (local)' WHEN 2 THEN 'reduced settings' WHEN 3 THEN 'alternative method' WHEN 4 THEN 'prior-only geometry' WHEN 5 THEN 'near-passthrough' WHEN 6 THEN 'minimal viable' END"
-_CAP_CASE = "CASE level WHEN 0 THEN 1e0 WHEN 1 THEN 95e-2 WHEN 2 THEN 85e-2 WHEN 3 THEN 7e-1 WHEN 4 THEN 5e-1 WHEN 5 THEN 35e-2 WHEN 6 THEN 2e-1 END"
+_LABEL_CASE = "CASE level " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in scalar.LEVEL_LABELS.items()) + " END"
+_CAP_CASE = "CASE level " + " ".join(f"WHEN {k} THEN {v!r}::DOUBLE" for k, v in scalar.LEVEL_CAPS.items()) + " END"
 
 
 @query(f"""WITH t AS (SELECT p_brand AS brand, (p_size % 7)::INT AS level, p_partkey AS ord, p_name || p_partkey AS name, (p_partkey % 3) > 0 AND p_size % 7 > 1 AS ok FROM part),
 b AS (SELECT brand, min(level) AS top, min(ROW(level, ord)) FILTER (ok) AS m FROM t GROUP BY 1), c AS (SELECT b.brand, top, t.level, t.name FROM b JOIN t ON t.brand = b.brand AND t.ord = b.m[2]),
-o AS (SELECT c.brand, string_agg('L' || t.level || ' ' || t.name, ', ' ORDER BY t.ord) AS off FROM c JOIN t ON t.brand = c.brand AND t.level < c.level AND NOT t.ok GROUP BY 1)
-SELECT brand, level, name, level > top AS degraded, CASE WHEN level > top THEN 'fell back to ''' || name || ''' (' || {_LABEL_CASE} || ', L' || level || ')' || coalesce('; higher tiers unavailable: ' || off, '') END AS reason, {_CAP_CASE} AS confidence_cap FROM c LEFT JOIN o USING (brand)""")
+o AS (SELECT c.brand, string_agg(t.name || ' [' || t.level || ']', ', ' ORDER BY t.ord) AS off FROM c JOIN t ON t.brand = c.brand AND t.level < c.level AND NOT t.ok GROUP BY 1)
+SELECT brand, level, name, level > top AS degraded, CASE WHEN level > top THEN 'uses ' || name || ' [' || level || ', ' || {_LABEL_CASE} || ']' || coalesce('; not available: ' || off, '') END AS reason, {_CAP_CASE} AS confidence_cap FROM c LEFT JOIN o USING (brand)""")
 def tier_choose(s, d):
     t = fx.table(s, d, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") % 7).alias("level"), F.col("p_partkey").alias("ord"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), ((F.col("p_partkey") % 3 > 0) & (F.col("p_size") % 7 > 1)).alias("available"))
     return governance.choose_tier(t, "brand")
@@ -648,8 +673,8 @@ def stage_placement(s, d):
 
 
 @query("""WITH g AS (SELECT n_regionkey AS stage, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS label, CASE WHEN n_regionkey % 2 = 0 THEN 'all' ELSE 'any' END AS mode, n_name AS module, n_nationkey % 4 > 0 AS ok FROM nation),
-e AS (SELECT stage, label, any_value(mode) AS mode, CASE WHEN any_value(mode) = 'any' THEN bool_or(ok) ELSE bool_and(ok) END AS ok, CASE WHEN mode = 'any' THEN string_agg(module, ' or ' ORDER BY module) ELSE string_agg(module, ' + ' ORDER BY module) END AS mods FROM g GROUP BY stage, label, mode)
-SELECT stage, bool_and(ok) AS ready, coalesce(string_agg(label || ': need ' || mods, '; ' ORDER BY label) FILTER (NOT ok), '') AS missing FROM e GROUP BY 1""")
+e AS (SELECT stage, label, any_value(mode) AS mode, CASE WHEN any_value(mode) = 'any' THEN bool_or(ok) ELSE bool_and(ok) END AS ok, CASE WHEN mode = 'any' THEN ' lacks any of ' ELSE ' lacks some of ' END || string_agg(module, ', ' ORDER BY module) AS mods FROM g GROUP BY stage, label, mode)
+SELECT stage, bool_and(ok) AS ready, coalesce(string_agg(label || mods, '; ' ORDER BY label) FILTER (NOT ok), '') AS missing FROM e GROUP BY 1""")
 def stage_readiness(s, d):
     n = fx.table(s, d, "nation")
     g = n.select(F.col("n_regionkey").alias("stage"), F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b").alias("label"), F.when(F.col("n_regionkey") % 2 == 0, "all").otherwise("any").alias("mode"), F.col("n_name").alias("module"))

@@ -344,7 +344,7 @@ def test_tiers(spark):
     t = spark.createDataFrame(rows, "g string, ord int, level int, name string, available boolean, note string")
     got = {r.g: r for r in governance.choose_tier(t, "g", note="note").collect()}
     assert (got["a"].name, got["a"].degraded, got["a"].confidence_cap) == ("cpu", True, 0.85)
-    assert got["a"].reason == "fell back to 'cpu' (reduced settings, L2): slow; higher tiers unavailable: L0 gpu"
+    assert got["a"].reason == "uses cpu [2, reduced settings] because of slow; not available: gpu [0]"
     assert (got["b"].degraded, got["b"].reason) == (False, None)
     with pytest.raises(Exception, match="no tier"):
         governance.choose_tier(t.where("not available"), "g").collect()

@@ -455,10 +455,12 @@ def train(texts: list[str], steps: int = 200, rate: float = 0.1, penalty: float
 
 
 def sample(docs: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS) -> list[str]:
-    """A bounded sample of the distinct shorter texts, by a hash of the text."""
+    """A bounded sample of the distinct shorter texts, by a hash of the text: of about twice as many the first ones."""
     text = text_of()
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.length("text").between(1, letters))
-    return [r.text for r in rows.dropDuplicates(["h"]).orderBy("h").limit(documents).collect()]
+    share = min(1.0, 2 * documents / max(1, docs.count()))
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return [r.text for r in some.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(documents).collect()]
 
 
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

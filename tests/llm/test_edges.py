@@ -126,3 +126,16 @@ def test_pages(spark):
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, ""), (2, "v", "<article><p>A &amp; B</p></article>")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "A & B", 5)]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_rows(spark, docs, bench, tmp_path, empty):
+    import corpus_pipeline
+
+    docs.where("doc_id < 0" if empty else "true").write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "mix_copy", "mix_copies", "mix_key"]
+    rows = out.collect()
+    # Without letters (1, 2, 6, 7), copies of benchmark items (3, 5, 9) and repeats of texts go; what is left is drawn.
+    assert {r.doc_id for r in rows} <= (set() if empty else {8, None})

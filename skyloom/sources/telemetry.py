@@ -91,7 +91,7 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str | int | N
 
     An empty altitude is 0; a file is read by one task, because its order counts.
     """
-    lines = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    lines = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path)  # so files are never split
     get = {k: _cell(lines, columns.get(k)) for k in ("t", "lat", "lon", "alt", *OPTIONAL)}
     for k in ("t", "lat", "lon"):
         if get[k] is None:

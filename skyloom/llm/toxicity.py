@@ -96,6 +96,14 @@ def normalised(word: str) -> str:
     return BEGIN + word
 
 
+class Forms(dict):
+    """Normalised forms of words, each made once."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = form = normalised(word)
+        return form
+
+
 def windows(word: str) -> list[str]:
     if len(word) <= WINDOW:
         return [word]
@@ -240,12 +248,12 @@ class Machine:
         return np.array([best, np.log1p(total), min(1.0, 10 * total / (20 + text.count(" ") + text.count("\n")))])
 
 
-def contexts(texts: list[str]) -> Counter:
+def contexts(texts: list[str], forms: Forms) -> Counter:
     """Normalised words, with the number of different neighbours they stand between; so copies of a passage count once."""
     seen: dict[str, set[int]] = {}
     for text in texts:
         lowered = text.lower()
-        words = [BEGIN, *map(normalised, lowered.split()), BEGIN]
+        words = [BEGIN, *map(forms.__getitem__, lowered.split()), BEGIN]
         for before, word, after in zip(words, words[1:], words[2:], strict=False):
             if GRAMS[0] <= len(word) <= 2 * WINDOW:
                 seen.setdefault(word, set()).add(hash((before, after)))
@@ -265,11 +273,11 @@ def choose_landmarks(bad: Counter, good: Counter, documents: int, most: int = LA
     for word, n in bad.items():
         for g in grams(word):
             counts[g] += n
+    usual = {g for g, n in counts.items() if n >= covers}
     outside: Counter = Counter()
     for word, n in good.items():
-        for g in grams(word):
-            if counts[g] >= covers:
-                outside[g] += n
+        for g in usual.intersection(grams(word)):
+            outside[g] += n
     # As if there were as many clean words as toxic documents' words.
     ratio = bad.total() / max(1, good.total())
     precision = {g: n / (n + outside[g] * ratio + 0.5) for g, n in counts.items() if n >= covers}
@@ -361,13 +369,14 @@ def train(toxic: list[str], clean: list[str], share: float) -> Machine:
     """share: the part of the labels that is toxic, for the calibration."""
     prior = float(np.clip(share, 0, 1))
     flat = -50.0 if prior == 0 else float(np.log(prior / (1 - prior))) if prior < 1 else 50.0
-    bad, good = (contexts(toxic), contexts(clean)) if toxic and clean else (Counter(), Counter())
+    forms = Forms()
+    bad, good = (contexts(toxic, forms), contexts(clean, forms)) if toxic and clean else (Counter(), Counter())
     strings = choose_landmarks(bad, good, len(toxic))
     if not strings:
         return Machine(Landmarks([]), np.zeros(0), -1.0, np.zeros(TRAITS), flat)
     landmarks = Landmarks(strings + rivals(strings, good))
     width = landmarks.width
-    cut = [[[normalised(w) for w in s] for s in sentences(t)] for t in toxic + clean]
+    cut = [[[forms[w] for w in s] for s in sentences(t)] for t in toxic + clean]
     vocabulary = {w: i for i, w in enumerate(sorted({w for text in cut for s in text for w in s}))}
     known = landmarks.features(list(vocabulary))
     rows = [np.array([known[[vocabulary[w] for w in s]].sum(axis=0, dtype=np.float32) for s in text]).reshape(-1, width) for text in cut]

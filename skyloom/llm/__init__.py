@@ -1,6 +1,6 @@
 """Training-data operators.
 
-Ten operators over corpus tables (documents, pages, benchmark, labels).  Nothing
+Operators over corpus tables (documents, pages, benchmark, labels).  Nothing
 outside this subpackage imports it; ``skyloom.llm.queries`` registers its
 queries and their SQL.
 """

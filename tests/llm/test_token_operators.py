@@ -1,8 +1,9 @@
-"""Packing against a plain pass, and ids against the libraries."""
+"""Packing and alignment against plain passes, and ids against the libraries."""
 
+import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skyloom.llm import packing, token_counts, token_ids
+from skyloom.llm import alignment, packing, token_counts, token_ids
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = ["a", "b", " ", "  ", "\n", "\u00e9", "<|endoftext|>", "<s>", "<unk>", "\u0558", "1", "\U0001f600", "\u4e2d", "\t", "'s", ".", "\x00", "\x1c", "\u00bd", "_", "\ud7fc"]
@@ -120,3 +121,64 @@ def test_packing_of_copies(spark):
     found = packing.pack(docs).collect()
     assert len(found) == 350 and len({(r.sequence_id, r.offset) for r in found}) == 350
     assert len({r.sequence_id for r in found}) == 1
+
+
+def plain_alignment(texts):
+    """Rows of the contract by loops over tokens."""
+    library, pieces = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    library.encode_special_tokens = True
+    back = {c: b for b, c in token_ids._alphabet().items()}
+    bytes_a = lambda i: bytes(back[c] for c in library.id_to_token(i))
+
+    def bytes_b(i):
+        piece = pieces.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if len(piece) == 6 and piece.startswith("<0x") else piece.replace("\u2581", " ").encode()
+
+    found = []
+    for text in texts:
+        a, b = ([], []) if not text else (library.encode(" " + text, add_special_tokens=False).ids, pieces.encode(text))
+        ok = text and all(b"".join(map(f, ids)) == (" " + text).encode() for f, ids in ((bytes_a, a), (bytes_b, b)))
+        groups = []
+        if ok:
+            i = j = at_a = at_b = 0
+            now = ([], [])
+            while i < len(a) or j < len(b):
+                if at_a <= at_b:
+                    now[0].append(a[i])
+                    at_a += len(bytes_a(a[i]))
+                    i += 1
+                else:
+                    now[1].append(b[j])
+                    at_b += len(bytes_b(b[j]))
+                    j += 1
+                if at_a == at_b:
+                    groups.append(now)
+                    now = ([], [])
+        found.append((len(a) if ok else 0, len(b) if ok else 0, groups, Counter((x, y) for g in groups for x in g[0] for y in g[1])))
+    counts = Counter(pair for _, _, _, links in found for pair in links)
+    highest = Counter()
+    for (x, _), n in counts.items():
+        highest[x] = max(highest[x], n)
+    out = []
+    for n_a, n_b, groups, links in found:
+        shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((n_a, n_b, len(groups), sum(links.values()), sum(t for p, t in links.items() if counts[p] == highest[p[0]]), sum(t * counts[p] for p, t in links.items()), hashlib.sha256(shown.encode()).hexdigest() if shown else ""))
+    return out
+
+
+@pytest.mark.parametrize("common", [1_000_000, 300, 0])
+def test_alignment_is_the_plain_one(spark, rows, common):
+    texts = [r["text"] for r in rows][:120] + odd_texts(400, ["\u2581", "zzzzzzzz"]) + [None, "", "x" * 5000, "\U0001f600" * 300] + ["same text"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in alignment.alignment(docs, most_common=common).collect()}
+    assert found == dict(enumerate(plain_alignment(texts)))
+
+
+def test_wide_groups_are_counted_from_distinct_ids(monkeypatch):
+    texts = odd_texts(500, ["zzzzzzzz", "aba"])
+    usual = alignment.aligned(texts, BYTES, PIECES)
+    monkeypatch.setattr(alignment, "WIDE", 0)
+    wide = alignment.aligned(texts, BYTES, PIECES)
+    assert usual["n_links"] == wide["n_links"]
+    for name in ("pairs", "times"):
+        assert all((x == y).all() for x, y in zip(usual[name], wide[name], strict=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, exact_dedup, html_text, language, licenses, mixing, packing, personal_data, simhash, token_counts, toxicity
+from . import alignment, collocations, decontaminate, exact_dedup, html_text, language, licenses, mixing, packing, personal_data, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_personal_data, op4_html_text, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup, op11_packing, op12_alignment)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_personal_data, op4_html_text, op5_token_counts, op6_toxicity, op7_decontaminate, op8_language, op9_simhash, op10_exact_dedup, op11_packing, op12_alignment, op13_collocations)}
+
+ORACLES = {"op2_mixing": mixing.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op13_collocations": collocations.ORACLE}

@@ -2,7 +2,7 @@
 
 No merge crosses a segment's border, so a segment is encoded by the library
 once and its ids are kept.  A worker process keeps at most ``KEPT`` segments of
-at most ``KEPT_CHARS`` characters; a full store is emptied.  Ids are bytes,
+at most ``KEPT_CHARS`` characters, half of them from before.  Ids are bytes,
 four little-endian ones each, so that a text's ids are one join.
 
 Byte-level BPE: segments are pre-tokens.  Byte-fallback BPE over pieces: as no
@@ -14,13 +14,14 @@ before them.
 from __future__ import annotations
 
 import re
+import struct
 from functools import cache
 
 import numpy as np
 
 from .token_counts import _cutter, _tokenizer, plain_pre_tokens
 
-KEPT, KEPT_CHARS = 500_000, 64
+KEPT, KEPT_CHARS = 600_000, 64
 SPACE_MARK = "▁"
 
 _SEGMENT = re.compile(" *[^ ]+| +$")
@@ -28,19 +29,23 @@ _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
 class _Kept(dict):
-    """Segment to ids; what is missing is encoded, and kept if short."""
+    """Segment to ids; what is missing is encoded, and kept if short.  A full half becomes the old one, from which what is met again returns."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = np.asarray(self.encode(segment), dtype="<u4").tobytes()
+        packed = self.old.get(segment)
+        if packed is None:
+            ids = self.encode(segment)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(segment) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.old = dict(self)
                 self.clear()
-            self[segment] = ids
-        return ids
+            self[segment] = packed
+        return packed
 
 
 @cache

@@ -2,7 +2,7 @@
 
 import pytest
 
-from skyloom.llm import alignment, decontaminate, exact_dedup, html_text, language, licenses, mixing, packing, personal_data, simhash, token_counts, toxicity
+from skyloom.llm import alignment, collocations, decontaminate, exact_dedup, html_text, language, licenses, mixing, packing, personal_data, simhash, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp long, digest string, line string, score double"
 LONG = "the quick brown fox jumps over the lazy dog " * 3000
@@ -48,6 +48,7 @@ def operators(docs, labels, bench):
         "simhash": lambda d: simhash.near_dedup(d),
         "exact_dedup": lambda d: exact_dedup.exact_dedup(d),
         "alignment": lambda d: alignment.alignment(d),
+        "collocations": lambda d: collocations.collocations(d, least=2),
         "packing": lambda d: packing.pack(d),
         "decontaminate": lambda d: decontaminate.contaminated(d, bench),
         "stage_language": lambda d: language.accepted_documents(d),
@@ -58,7 +59,7 @@ def operators(docs, labels, bench):
 
 
 ROW_WISE = ("licenses", "personal_data", "token_counts", "toxicity", "language", "simhash", "exact_dedup", "alignment")
-NAMES = (*ROW_WISE, "mixing", "packing", "decontaminate", "stage_language", "stage_exact", "stage_near", "stage_clean")
+NAMES = (*ROW_WISE, "mixing", "packing", "collocations", "decontaminate", "stage_language", "stage_exact", "stage_near", "stage_clean")
 
 
 @pytest.mark.parametrize("name", NAMES)

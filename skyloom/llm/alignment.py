@@ -25,7 +25,9 @@ its distinct ids, not from its links; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,9 @@ from .token_ids import byte_level_ids, byte_level_table, piece_ids, piece_table
 COMMON = 1_000_000
 SLICE = 200
 #: Ids of B are below this, so a pair of ids is one number.
-SPAN = 1 << 31
+SPAN = 1 << 20
+#: A pair is below this power of two; what is above it in a sort key is the text.
+DOC_SHIFT = 42
 
 DOCUMENTS = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 SUMS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, pair long, times long"
@@ -55,22 +59,35 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(text: str | None, a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of both sides, or none where the bytes of a side differ from a space and the text."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not text:
-        return none
-    spaced = f" {text}"
-    a, b = (np.frombuffer(ids, "<u4").astype(np.int64) for ids in (byte_level_ids(spaced, a_path, specials=False), piece_ids(text, b_path)))
-    wanted = spaced.encode()
-    for ids, entries in ((a, byte_level_table(a_path)), (b, piece_table(b_path))):
-        if b"".join(map(entries.__getitem__, ids.tolist())) != wanted:
-            return none
-    return a, b
+class _Entries:
+    """The bytes of all ids of a tokeniser, end to end, and the decimal form of each id."""
 
+    def __init__(self, entries: list[bytes]):
+        self.lengths = np.fromiter(map(len, entries), np.int64, len(entries))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(entries), np.uint8)
 
-def _lengths(entries: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(len, entries), np.int64, len(entries))
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[_spread(self.starts[ids], self.lengths[ids])]
+
+
+@cache
+def _entries(table, path: str) -> _Entries:
+    return _Entries(table(path))
+
+
+def _encoded(texts: list[bytes], ids: list[bytes], entries: _Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids end to end, their number in each text, and whether a text's joined bytes are the text's."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+    ends = np.r_[0, np.cumsum(entries.lengths[flat])][np.cumsum(counts)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    spelled, wanted = entries.spelled(flat), np.frombuffer(b"".join(texts), np.uint8)
+    if len(spelled) == len(wanted) and (ends == np.cumsum(sizes)).all() and (spelled == wanted).all():
+        return flat, counts, np.ones(len(texts), bool)
+    to, starts = np.cumsum(sizes), ends - np.diff(ends, prepend=0)
+    same = [bool(n == e - a and (spelled[a:e] == wanted[t - n : t]).all()) for a, e, n, t in zip(starts, ends, sizes, to, strict=True)]
+    return flat, counts, np.array(same, bool)
 
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +97,25 @@ def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both + 1, at[both] + 1
 
 
+WIDTH = 6
+_POWERS = 10 ** np.arange(WIDTH - 1, -1, -1)
+
+
+@cache
+def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of the numbers below ``size``, to the right, and how many each has."""
+    numbers = np.arange(size)[:, None]
+    return (numbers // _POWERS % 10 + ord("0")).astype(np.uint8), np.maximum(1, (numbers >= _POWERS).sum(1))
+
+
 def _digits(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The decimal ids, each followed by its mark, as one array of bytes; and where each id's part ends."""
-    width = len(str(int(ids.max(initial=0))))
-    powers = 10 ** np.arange(width - 1, -1, -1)
-    cells = np.empty((len(ids), width + 1), np.uint8)
-    cells[:, :-1] = ids[:, None] // powers % 10 + ord("0")
+    digits, lengths = _decimals(10 ** math.ceil(math.log10(max(10, int(ids.max(initial=0)) + 1))))
+    cells = np.empty((len(ids), WIDTH + 1), np.uint8)
+    cells[:, :-1] = digits[ids]
     cells[:, -1] = marks
-    shown = np.ones(cells.shape, bool)
-    shown[:, : width - 1] = ids[:, None] >= powers[:-1]
-    return cells[shown], np.cumsum(shown.sum(1))
+    sizes = lengths[ids]
+    return cells[np.arange(WIDTH + 1) >= (WIDTH - sizes)[:, None]], np.cumsum(sizes + 1)
 
 
 def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -107,27 +133,44 @@ def _links(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray,
     wide = na * nb > WIDE
     narrow = np.flatnonzero(~wide)
     per = (na * nb)[narrow]
-    within = _spread(np.zeros(len(per), np.int64), per)
-    width = np.repeat(nb[narrow], per)
-    pair = a[np.repeat(from_a[narrow], per) + within // width] * SPAN + b[np.repeat(from_b[narrow], per) + within % width]
-    parts = [(np.repeat(doc[narrow], per), pair, np.ones(len(pair), np.int64))]
-    for g in np.flatnonzero(wide):
-        (ids_a, times_a), (ids_b, times_b) = (np.unique(x[s : s + n], return_counts=True) for x, s, n in ((a, from_a[g], na[g]), (b, from_b[g], nb[g])))
-        parts.append((np.full(len(ids_a) * len(ids_b), doc[g]), (ids_a[:, None] * SPAN + ids_b).ravel(), (times_a[:, None] * times_b).ravel()))
-    doc, pair, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])][: len(doc)])
-    return doc[new], pair[new], np.add.reduceat(times, new) if len(new) else times
+    one = per == 1
+    single, more = narrow[one], narrow[~one]
+    within = _spread(np.zeros(len(more), np.int64), per[~one])
+    width = np.repeat(nb[more], per[~one])
+    spread = np.repeat(np.arange(len(more)), per[~one])
+    keys = np.sort(
+        np.concatenate([
+            (doc[single] << DOC_SHIFT) + a[from_a[single]] * SPAN + b[from_b[single]],
+            (doc[more][spread] << DOC_SHIFT) + a[from_a[more][spread] + within // width] * SPAN + b[from_b[more][spread] + within % width],
+        ])
+    )
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    keys, times = keys[new], np.diff(np.r_[new, len(keys)])
+    if wide.any():
+        parts = [(keys, times)]
+        for g in np.flatnonzero(wide):
+            (ids_a, times_a), (ids_b, times_b) = (np.unique(x[s : s + n], return_counts=True) for x, s, n in ((a, from_a[g], na[g]), (b, from_b[g], nb[g])))
+            parts.append(((doc[g] << DOC_SHIFT) + (ids_a[:, None] * SPAN + ids_b).ravel(), (times_a[:, None] * times_b).ravel()))
+        all_keys, all_times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, of = np.unique(all_keys, return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, of, all_times)
+    return keys >> DOC_SHIFT, keys & ((1 << DOC_SHIFT) - 1), times
 
 
 def aligned(texts: list[str | None], a_path: str, b_path: str) -> dict[str, list]:
     """Columns of counts, digests and distinct links of some texts."""
-    ids = [encoded(t, a_path, b_path) for t in texts]
-    count_a, count_b = (np.array([len(x[side]) for x in ids], np.int64) for side in (0, 1))
-    a, b = (np.concatenate([x[side] for x in ids]) if ids else np.empty(0, np.int64) for side in (0, 1))
+    spaced = [f" {t}" if t else "" for t in texts]
+    wanted = [t.encode() for t in spaced]
+    entries_a, entries_b = _entries(byte_level_table, a_path), _entries(piece_table, b_path)
+    a, count_a, same_a = _encoded(wanted, [byte_level_ids(t, a_path, specials=False) for t in spaced], entries_a)
+    b, count_b, same_b = _encoded(wanted, [piece_ids(t or "", b_path) for t in texts], entries_b)
+    same = same_a & same_b
+    if not same.all():
+        a, b = a[np.repeat(same, count_a)], b[np.repeat(same, count_b)]
+        count_a, count_b = count_a * same, count_b * same
     # Texts lie end to end; both sides end at a text's end, so no group crosses it.
-    to_a, to_b = groups(np.cumsum(_lengths(byte_level_table(a_path))[a]), np.cumsum(_lengths(piece_table(b_path))[b]))
+    to_a, to_b = groups(np.cumsum(entries_a.lengths[a]), np.cumsum(entries_b.lengths[b]))
     na, nb = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
     from_a, from_b = to_a - na, to_b - nb
     end_a = np.cumsum(count_a)

@@ -10,7 +10,7 @@
    threshold.  The bits go to every task, at most ``MOST_CELLS`` of them; a
    larger sketch is dealt into that many cells at a time, with a pass for each.
 3. Exact counts: candidates are dealt into automata of at most ``AUTOMATON``
-   phrases over word numbers.  A text is the sequence of its words' numbers,
+   phrases over word codes.  A text is the sequence of its words' codes,
    with a guard at each end of a piece and for every word that no candidate of
    the automaton has, so that no match crosses one.  All matches are counted,
    overlapping ones included, and summed over the tasks.
@@ -56,8 +56,8 @@ TOP = 2000
 BYTES_PER_CELL = 64
 FEWEST_CELLS, MOST_CELLS = 1 << 24, 1 << 29
 BLOCK = 1 << 16
-#: Phrases of one automaton; its nodes and word numbers take about 250 bytes for each.
-AUTOMATON = 500_000
+#: Phrases of one automaton, whose nodes and word codes take about 400 bytes for each; and branches of a node at most.
+AUTOMATON, SIGNS = 500_000, 64
 SLICE = 200
 WORDS = 500_000
 #: Cells a task holds before it sorts and hands them on.
@@ -236,7 +236,13 @@ def _phrases(lang: str, phrases: list[bytes], counts: list[int] | None = None) -
 _built: dict[tuple[str, str], tuple] = {}
 
 
-def _automaton(job: str, lang: str, joined: bytes) -> tuple[dict[bytes, int], object, list[bytes]]:
+def _automaton(job: str, lang: str, joined: bytes) -> tuple[dict[bytes, str], str, object, list[bytes]]:
+    """The words' codes, the guard, the automaton and its phrases.
+
+    A word is a number written with a fixed count of digits, each place with
+    signs of its own, so that matches begin at words only and no node has more than
+    ``SIGNS`` branches, which are searched one by one.
+    """
     import ahocorasick
 
     key = job, lang
@@ -244,12 +250,16 @@ def _automaton(job: str, lang: str, joined: bytes) -> tuple[dict[bytes, int], ob
         for old in [k for k in _built if k[0] != job]:
             del _built[old]
         phrases = joined.split(b"\n")
-        numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        words = dict.fromkeys(w for phrase in phrases for w in phrase.split(b" "))
+        places = 1
+        while SIGNS**places < len(words):
+            places += 1
+        codes = {w: "".join(chr(1 + SIGNS * j + i // SIGNS**j % SIGNS) for j in range(places)) for i, w in enumerate(words)}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, phrase in enumerate(phrases):
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in phrase.split(b" ")), i)
+            automaton.add_word("".join(map(codes.__getitem__, phrase.split(b" "))), i)
         automaton.make_automaton()
-        _built[key] = numbers, automaton, phrases
+        _built[key] = codes, "\0" * places, automaton, phrases
     return _built[key]
 
 
@@ -259,11 +269,11 @@ def _scan(shared):
         totals: dict[str, Counter] = defaultdict(Counter)
         for lang, words, overlap in _blocks(batches):
             if lang in payload:
-                numbers, automaton, _ = _automaton(job, lang, payload[lang])
-                hits = automaton.iter(tuple(map(numbers.get, words, repeat(0))))  # 0 is the guard
-                totals[lang].update((v for end, v in hits if end >= overlap) if overlap else map(itemgetter(1), hits))
+                codes, guard, automaton, _ = _automaton(job, lang, payload[lang])
+                hits, seen = automaton.iter("".join(map(codes.get, words, repeat(guard)))), overlap * len(guard)
+                totals[lang].update((v for end, v in hits if end >= seen) if seen else map(itemgetter(1), hits))
         for lang, counts in totals.items():
-            phrases, found = _automaton(job, lang, payload[lang])[2], list(counts.items())
+            phrases, found = _automaton(job, lang, payload[lang])[3], list(counts.items())
             for at in range(0, len(found), 100_000):
                 some = found[at : at + 100_000]
                 yield _phrases(lang, [phrases[i] for i, _ in some], [n for _, n in some])

@@ -37,18 +37,24 @@ def raster_lookup(seen: DataFrame, raster: DataFrame, value: str) -> DataFrame:
 
 
 def metric_depth(relative: DataFrame, fits: DataFrame, masks: DataFrame) -> DataFrame:
-    """(name, u, v, depth): relative depth by each view's line (name, a, b); 0 where it is not positive or masked.  Views without a fit are dropped."""
+    """(name, u, v, depth, and what else relative has): relative depth by each view's line (name, a, b); 0 where it is not positive or masked.
+
+    Views without a line, or whose line is not to be trusted (``metric`` is false), stay relative.
+    """
     covered = masks.select("name", "u", "v").distinct().withColumn("__masked", F.lit(True))
-    met = relative.join(fits.select("name", "a", "b"), "name").join(covered, ["name", "u", "v"], "left")
-    return met.select("name", "u", "v", depth_value(F.col("a"), F.col("b"), F.col("rel"), F.coalesce("__masked", F.lit(False))).alias("depth"))
+    trusted = fits.where("metric") if "metric" in fits.columns else fits
+    lines = trusted.select("name", F.col("a").alias("__a"), F.col("b").alias("__b"))
+    met = relative.join(lines, "name", "left").join(covered, ["name", "u", "v"], "left")
+    value = depth_value(F.coalesce("__a", F.lit(1.0)), F.coalesce("__b", F.lit(0.0)), F.col("rel"), F.coalesce("__masked", F.lit(False)))
+    return met.select("name", "u", "v", value.alias("depth"), *(c for c in relative.columns if c not in ("name", "u", "v", "rel", "depth")))
 
 
-def world_points(depth: DataFrame, views: DataFrame, lower: list[Column | float] | None = None, upper: list[Column | float] | None = None) -> DataFrame:
+def world_points(depth: DataFrame, views: DataFrame, lower: list[Column | float] | None = None, upper: list[Column | float] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(name, x, y, z, cx, cy, cz, and what else depth has): points of positive depth, within a half-open box if given.
 
-    depth: name, u, v, depth; views: name, k, rotation, center.
+    depth: name, u, v, depth; views: name, k, rotation, center; both by the keys, if there are any.
     """
-    met = depth.join(views.select("name", "k", "rotation", "center"), "name")
+    met = depth.join(views.select(*keys, "name", "k", "rotation", "center"), [*keys, "name"])
     xyz = back_project(F.col("u").cast("double"), F.col("v").cast("double"), F.col("depth"), F.col("k"), F.col("rotation"), F.col("center"))
     placed = met.select("name", *(p.alias(c) for p, c in zip(xyz, "xyz", strict=True)), *(F.get("center", F.lit(i)).alias(f"c{c}") for i, c in enumerate("xyz")), *(c for c in depth.columns if c != "name"))
     if lower is not None and upper is not None:

@@ -12,15 +12,16 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geo
+from ..functions.scalar import basename
 from ..operators import fits, frames, fusion, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..operators.fits import derive_crs
 from ..operators.governance import FINISHED, REQUIRES, combined_hash, combined_hash_of, hash_object, stages_upto
-from ..operators.ordered import select_by_displacement, steps
+from ..operators.ordered import every_nth, select_by_displacement, steps
 from ..sinks import binary, products, text
 
 Tables = dict[str, DataFrame]
@@ -81,7 +82,7 @@ def run(spark: SparkSession, folder: str, tables: Tables, settings: dict, record
             if missing := [n for n in needs if n in active and (n not in records or records[n].status not in FINISHED)]:
                 raise ValueError(f"unfinished: {', '.join(missing)}")
             hashes = []
-            for table, df in REGISTRY[name](spark, own, {"folder": folder} | settings.get(name, {})).items():
+            for table, df in REGISTRY[name](spark, own, {"folder": folder, "inputs": inputs} | settings.get(name, {})).items():
                 path = f"{folder}/{name}/{table}"
                 df.write.mode("overwrite").parquet(path)
                 tables[table] = spark.read.parquet(path)
@@ -106,18 +107,79 @@ def ingest(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
 
 @stage("s1_frameqa")
 def keyframes(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """Keyframes by the distance flown."""
-    moved = steps(tables["frames"], "track_id", ["t"])
-    return {"keyframes": select_by_displacement(moved, "track_id", ["t"], "step_m", settings.get("min_displacement_m", 5.0), settings.get("max_keyframes", 0))}
+    """Keyframes of the frames that pass the quality gate.
+
+    ``frame_pixels`` (path, pixels: gray values by rows), where given, decides what passes;
+    ``displacements`` (path, pixels moved since the accepted frame before), where given, the
+    distance between keyframes, else the distance flown does.
+    """
+    shots, out = tables["frames"], {}
+    if "frame_pixels" in tables:
+        scores = frames.frame_quality(tables["frame_pixels"], "pixels", int(settings["width"]), int(settings["height"]), float(settings.get("blur_min_varlap", 60.0)), float(settings.get("exposure_low", 0.6)), float(settings.get("exposure_high", 0.6)))
+        out["frame_scores"] = scores.drop("pixels")
+        shots = shots.join(scores.where("accepted").select("path"), "path", "left_semi")
+        if shots.isEmpty():
+            raise ValueError("no frame passes the quality gate")
+    most = settings.get("max_keyframes", 0)
+    if settings.get("method") == "fixed_stride":
+        return out | {"keyframes": every_nth(shots, "track_id", ["t"], settings.get("stride", 10), most)}
+    if "displacements" in tables:
+        moved = shots.join(tables["displacements"].select("path", "displacement"), "path", "left").withColumn("displacement", F.coalesce("displacement", F.lit(0.0)))
+        return out | {"keyframes": select_by_displacement(moved, "track_id", ["t"], "displacement", settings.get("min_parallax_px", 20.0), most)}
+    return out | {"keyframes": select_by_displacement(steps(shots, "track_id", ["t"]), "track_id", ["t"], "step_m", settings.get("min_displacement_m", 5.0), most)}
+
+
+def one_code(tables: Tables) -> int:
+    """The projection that all tracks share; products of several ones would mix coordinates."""
+    codes = [r.epsg for r in tables["crs"].select("epsg").distinct().limit(2).collect()]
+    if len(codes) != 1:
+        raise ValueError("the tracks have different projections: set one by epsg")
+    return codes[0]
 
 
 @stage("s2_poses")
 def poses(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """Poses solved elsewhere, joined to keyframes with a position by the image's name, and how many keyframes have one."""
-    met = views.keyframe_poses(tables["visual_poses"], tables["keyframes"])
-    if met.limit(3).count() < 3:
+    """Poses solved elsewhere, in map coordinates.
+
+    Of each track, the similarity from camera centres to the keyframes'
+    projected positions places centres, orientations and sparse points (of the
+    track, if they name one; else there must be one track).  Poses of keyframes without a
+    position are placed too.
+    """
+    epsg = one_code(tables)
+    shots = tables["keyframes"].withColumn("name", basename(F.col("path")))
+    seen = tables["visual_poses"].join(shots.select("name", "track_id", "path", "t", *(F.col(c).alias(f"gps_{c}") for c in ("lat", "lon", "alt"))), "name")
+    # Positions relative to their mean, as large coordinates would cost the moments precision.
+    east, north = geo.project_utm(F.col("gps_lon"), F.col("gps_lat"), F.lit(epsg))
+    known = seen.where("gps_lat is not null and gps_lon is not null").select("track_id", *(F.get("center", F.lit(i)).alias(f"s{i}") for i in range(3)), east.alias("e0"), north.alias("e1"), F.coalesce("gps_alt", F.lit(0.0)).alias("e2"))
+    origin = known.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"e{i}").alias(f"o{i}") for i in range(3)))
+    if not origin.where("n < 3").isEmpty() or origin.isEmpty():
         raise ValueError("fewer than three images with a position")
-    return {"poses": met, "registration": views.registration(tables["keyframes"], met, "track_id")}
+    pairs = known.join(origin, "track_id").withColumns({f"d{i}": F.col(f"e{i}") - F.col(f"o{i}") for i in range(3)})
+    spine = fits.fit_similarity(pairs, "track_id").join(origin, "track_id")
+    sim = F.struct("scale", "rotation", F.transform(F.arrays_zip(F.col("translation").alias("t"), F.array("o0", "o1", "o2").alias("o")), lambda p: p["t"] + p["o"]).alias("translation"))
+    spine = spine.select("track_id", "n", F.array("o0", "o1", "o2").alias("origin"), sim.alias("sim"))
+    left = pairs.join(spine.select("track_id", "sim", "origin"), "track_id")
+    off = [p - F.col(f"e{i}") for i, p in enumerate(camera.similarity_apply(F.col("sim"), [F.col(f"s{i}") for i in range(3)]))]
+    spine = spine.join(left.groupBy("track_id").agg(F.sqrt(F.avg(sum((d * d for d in off[1:]), off[0] * off[0]))).alias("rmse")), "track_id").withColumn("epsg", F.lit(epsg))
+
+    def placed(df: DataFrame, xyz: list[Column]) -> tuple[DataFrame, list[Column]]:
+        return df.join(F.broadcast(spine.select("track_id", "sim")), "track_id"), camera.similarity_apply(F.col("sim"), xyz)
+
+    met, center = placed(seen, [F.get("center", F.lit(i)) for i in range(3)])
+    lon, lat = geo.unproject_utm(F.get("center", F.lit(0)), F.get("center", F.lit(1)), F.lit(epsg))
+    moved = {"center": F.array(*center)} | ({"rotation": camera.rotate_into(F.col("rotation"), F.col("sim.rotation"))} if "rotation" in seen.columns else {})
+    out = {"spine": spine, "poses": met.withColumns(moved).drop("sim").withColumns({"lat": lat, "lon": lon, "alt": F.get("center", F.lit(2))})}
+    if "sparse_points" in tables:
+        sparse = tables["sparse_points"]
+        if "track_id" not in sparse.columns:
+            tracks = [r.track_id for r in spine.select("track_id").limit(2).collect()]
+            if len(tracks) > 1:
+                raise ValueError("sparse points of several tracks must name their track_id")
+            sparse = sparse.withColumn("track_id", F.lit(tracks[0]))
+        sparse, xyz = placed(sparse, [F.col(c) for c in "xyz"])
+        out["points"] = sparse.withColumns(dict(zip("xyz", xyz, strict=True))).drop("sim")
+    return out | {"registration": views.registration(tables["keyframes"], tables["visual_poses"], "track_id")}
 
 
 @stage("s3_masking", "detections", "mask_labels")
@@ -129,43 +191,55 @@ def masking(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
 
 @stage("s4_depth", "sparse_points", "relative_depth")
 def depth(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """Metric depth: relative depth made elsewhere, scaled by the sparse points that each view sees."""
+    """Metric depth: relative depth made elsewhere, scaled by the sparse points that each view sees.
+
+    Views that see too few of them stay relative, and say so.  Colours (r, g,
+    b) and other columns of the depth pixels go along.
+    """
     reach = float(settings.get("reach_m", 200.0))
     cams = tables["poses"].select("name", camera.intrinsics(F.col("model"), F.col("params")).alias("k"), "rotation", "center", "width", "height", *((F.get("center", F.lit(i)) + s).alias(f"{c}{n}") for i, c in enumerate("xy") for n, s in enumerate((-reach, reach))))
-    seen = spatial.visible_points(cams, tables["sparse_points"])
+    seen = spatial.visible_points(cams, tables["points"])
     anchors = views.raster_lookup(seen, tables["relative_depth"], "rel")
     lines = fits.trust_fit(fits.fit_scale_shift(anchors, "name", "rel", "depth"), settings.get("min_anchors", 8))
     nothing = spark.createDataFrame([], "name string, u long, v long")
-    metric = views.metric_depth(tables["relative_depth"], lines.where("metric"), tables.get("masks", nothing))
-    return {"depth": metric, "depth_fits": lines}
+    metric = views.metric_depth(tables["relative_depth"].join(cams.select("name"), "name", "left_semi"), lines, tables.get("masks", nothing))
+    every = cams.select("name").join(lines, "name", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "metric": F.coalesce("metric", F.lit(False))})
+    return {"depth": metric, "depth_fits": every.withColumn("degraded", F.when(~F.col("metric"), "too few sparse points in view; depth stays relative"))}
 
 
 @stage("s6_global")
 def alignment(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """Poses in map coordinates: the similarity from camera centres to projected positions."""
-    crs = tables["crs"].first()["epsg"]
-    east, north = geo.project_utm(F.col("lon"), F.col("lat"), F.lit(crs))
-    pairs = tables["poses"].select("track_id", *(F.get("center", F.lit(i)).alias(f"s{i}") for i in range(3)), east.alias("d0"), north.alias("d1"), F.col("alt").alias("d2"))
-    found = fits.fit_similarity(pairs, "track_id")
-    moved = tables["poses"].join(found.select("track_id", F.struct("scale", "rotation", "translation").alias("sim")), "track_id")
-    placed = camera.similarity_apply(F.col("sim"), [F.get("center", F.lit(i)) for i in range(3)])
-    return {"alignment": found, "global_poses": moved.select("name", *(p.alias(c) for p, c in zip(placed, ("east", "north", "up"), strict=True)))}
+    """The poses' consistency: the median step of each track and the poses whose place is visited again."""
+    now = tables["poses"].withColumn("ord", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "name")).cast("long"))
+    size = now.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_poses"))
+    again = spatial.revisits(now.join(size, "track_id"), "track_id", 2 * float(settings.get("gnss_sigma_m", 2.5)), spatial.revisit_gap(F.col("n_poses")))
+    closed = again.groupBy("track_id").agg(F.count(F.lit(1)).alias("loop_candidates"))
+    before = Window.partitionBy("track_id").orderBy("ord")
+    square = sum(((F.get("center", F.lit(i)) - F.lag(F.get("center", F.lit(i))).over(before)) ** 2 for i in range(3)), F.lit(0.0))
+    step = now.withColumn("step", F.sqrt(square)).groupBy("track_id").agg(F.percentile("step", F.lit(0.5)).alias("median_step_m"))
+    return {"alignment": size.join(step, "track_id").join(closed, "track_id", "left").fillna(0, ["loop_candidates"]), "global_poses": now.select("name", "track_id", *(F.get("center", F.lit(i)).alias(c) for i, c in enumerate(("east", "north", "up"))))}
 
 
 @stage("s7_dense", "sparse_points", "relative_depth")
 def dense(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """A coloured cloud: depth of all views, clipped to the height band of the sparse points, fused by voxels."""
-    views_ = tables["poses"].select("name", camera.intrinsics(F.col("model"), F.col("params")).alias("k"), "rotation", "center")
-    band = raster.z_band(tables["sparse_points"], settings.get("z_margin_m", 2.0))
-    points = raster.clip_band(views.world_points(tables["depth"], views_), band)
-    colored = points.withColumns({c: F.lit(float(settings.get("gray", 128))) for c in "rgb" if c not in points.columns})
-    voxel = float(settings.get("voxel_m", 0.5))
+    """A coloured cloud in map coordinates: depth of all views, fused in voxels that look it up, within the height band of the sparse points.
+
+    With ``tile_m`` the ground is fused by tiles, each committed by itself, so
+    that a run that breaks off goes on from the tiles it has.
+    """
+    cams = tables["poses"].select("name", camera.intrinsics(F.col("model"), F.col("params")).alias("k"), "rotation", "center")
+    gray = F.lit(float(settings.get("gray", 128)))
+    pixels = tables["depth"].withColumns({c: gray for c in "rgb" if c not in tables["depth"].columns})
+    band = raster.z_band(tables["points"], settings.get("z_margin_m", 2.0)).first()
+    voxel, limits = float(settings.get("voxel_m", 0.5)), {"z_lo": band.z_lo, "z_hi": band.z_hi, "reach": float(settings.get("depth_trunc_m", math.inf))}
     if tile := settings.get("tile_m"):
-        box = raster.bounds(points).first()
-        shape = tuple(max(1, math.ceil((box[f"{c}_max"] - box[f"{c}_min"]) / tile)) for c in "xy")
-        cloud = fusion.fuse_tiled(colored, voxel, (box["x_min"], box["y_min"]), float(tile), shape, float(settings.get("overlap_m", (fusion.TRUNCATION + 1) * voxel))).drop("tx", "ty")
+        spread = cams.agg(*(f(F.get("center", F.lit(i))).alias(f"{c}{n}") for i, c in enumerate("xy") for n, f in (("0", F.min), ("1", F.max)))).first()
+        shape = tuple(max(1, math.ceil((spread[f"{c}1"] - spread[f"{c}0"]) / tile)) for c in "xy")
+        folder = f"{settings['folder']}/s7_dense/tiles-{hash_object([settings.get('inputs', ''), settings])[:16]}"
+        cloud, _ = fusion.fuse_tiles_into(folder, pixels, cams, voxel, (spread["x0"], spread["y0"]), float(tile), shape, float(settings.get("overlap_m", tile / 2)), int(settings.get("tiles_at_once", 64)), **limits)
+        cloud = cloud.select("x", "y", "z", "r", "g", "b")
     else:
-        cloud = fusion.fuse(colored, voxel)
+        cloud = fusion.fuse_views(pixels, cams, voxel, **limits)
     return {"cloud": cloud}
 
 
@@ -191,8 +265,10 @@ def rasters(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
 def exports(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     """Files of the products, and which of the wanted formats could be written."""
     folder = settings["folder"].removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("product files are written to a mount that all workers see, not to a store by its address")
     extent = raster.extent_of(tables["cloud"], settings.get("resolution", 0.25))
-    crs = tables["crs"].first()["epsg"]
+    crs = one_code(tables)
 
     def to(name: str, write: Callable[[str], None]) -> Callable[[], str]:
         def run_() -> str:
@@ -204,16 +280,16 @@ def exports(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     writers = {
         "ply": to("cloud.ply", lambda p: products.write_ply(tables["cloud"], p)), "las": to("cloud.las", lambda p: binary.write_las(tables["cloud"], p)),
         "obj": to("mesh.obj", lambda p: text.write_obj(tables["vertices"], tables["faces"], p)), "glb": to("mesh.glb", lambda p: binary.write_glb(tables["vertices"], tables["faces"], p)),
-        "geotiff": to("dsm.tif", lambda p: binary.write_geotiff(tables["dsm"], extent, p, crs)),
+        "geotiff": to("dsm.tif", lambda p: binary.write_geotiff(tables["dsm"], extent, p, crs)), "ortho": to("ortho.tif", lambda p: binary.write_rgb_geotiff(tables["ortho"], extent, p, crs)),
     }
-    results = products.export(settings.get("formats", ["ply", "las", "obj", "glb", "geotiff", "fbx"]), writers)
+    results = products.export(settings.get("formats", ["ply", "las", "obj", "glb", "geotiff", "ortho", "fbx"]), writers)
     return {"exports": products.export_rows(spark, settings.get("run", "run"), results)}
 
 
 @stage("report")
 def report(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     """One row per table that the run has: its number of rows."""
-    names = [n for n in ("keyframes", "poses", "masks", "depth", "cloud", "vertices", "dsm", "dtm", "ortho", "exports") if n in tables]
+    names = [n for n in ("keyframes", "poses", "points", "masks", "depth", "cloud", "vertices", "dsm", "dtm", "ortho", "exports") if n in tables]
     counts = [tables[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
     out = counts[0]
     for c in counts[1:]:

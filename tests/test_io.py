@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators.raster import Extent
+from skyloom.functions import geo
 from skyloom.plans import mission
 from skyloom.sinks import products
 from skyloom.sinks import text as sink
@@ -165,37 +166,118 @@ def test_mission_resumes(spark, tmp_path):
     assert broken["s2_poses"].status == "failed" and "s9_geo" not in broken
 
 
-def test_mission_of_all_stages(spark, tmp_path):
-    """Twenty-five cameras above a slope, looking down: depth, cloud, mesh, rasters and files."""
-    height = lambda x, y: 2.0 + 0.05 * x
+ORIGIN = (445_201.0, 1_105_474.0)
+#: The visual frame: map = SCALE * TURN @ visual + SHIFT.
+SCALE, TURN, SHIFT = 4.0, np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]), np.array([ORIGIN[0], ORIGIN[1], 0.0])
+
+
+def slope(x):
+    return 2.0 + 0.05 * x
+
+
+def slope_tables(spark):
+    """Twenty-five cameras above a slope that rises to the east, looking down; poses and points in the visual frame, colours by place."""
     grid = [(i, 20.0 * (i % 5), 20.0 * (i // 5)) for i in range(25)]
-    track = spark.createDataFrame([("a", i, float(i), 10.0 + y / 110_600, 20.5 + x / 109_600, 100.0) for i, x, y in grid], "track_id string, ord long, t double, lat double, lon double, alt double")
+    at = spark.createDataFrame([(i, ORIGIN[0] + x, ORIGIN[1] + y) for i, x, y in grid], "i long, e double, n double")
+    lon, lat = geo.unproject_utm(F.col("e"), F.col("n"), F.lit(32634))
+    track = at.select(F.lit("a").alias("track_id"), F.col("i").alias("ord"), F.col("i").cast("double").alias("t"), lat.alias("lat"), lon.alias("lon"), F.lit(60.0).alias("alt"))
     times = spark.createDataFrame([("a", i, float(i), f"img/{i}.jpg") for i, _, _ in grid], "track_id string, index long, t double, path string")
-    down = [[1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, -1.0]]
-    visual = spark.createDataFrame([(f"{i}.jpg", "PINHOLE", [20.0, 20.0, 16.0, 16.0], down, [x, y, 60.0], 32, 32) for i, x, y in grid], "name string, model string, params array<double>, rotation array<array<double>>, center array<double>, width int, height int")
+    down = np.array([[1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, -1.0]])
+    visual = lambda p: ((np.array(p) - SHIFT) @ TURN / SCALE).tolist()
+    poses = spark.createDataFrame([(f"{i}.jpg", "PINHOLE", [20.0, 20.0, 16.0, 16.0], (down @ TURN).tolist(), visual([ORIGIN[0] + x, ORIGIN[1] + y, 60.0]), 32, 32) for i, x, y in grid], "name string, model string, params array<double>, rotation array<array<double>>, center array<double>, width int, height int")
     pixels = []
     for i, x, y in grid:
         for u in range(32):
             for v in range(32):
                 # The depth at which the pixel's ray meets the slope.
-                depth = (60.0 - 2.0 - 0.05 * x) / (1 + 0.05 * (u - 16) / 20)
-                pixels.append((f"{i}.jpg", u, v, (depth - 5.0) / 2.0))
-    relative = spark.createDataFrame(pixels, "name string, u long, v long, rel double")
-    sparse = spark.createDataFrame([(k, float(x), float(y), height(x, y)) for k, (x, y) in enumerate((x, y) for x in range(-40, 130, 3) for y in range(-40, 130, 3))], "point_id long, x double, y double, z double")
+                depth = (60.0 - slope(x)) / (1 + 0.05 * (u - 16) / 20)
+                east, north = x + (u - 16) / 20 * depth, y - (v - 16) / 20 * depth
+                pixels.append((f"{i}.jpg", u, v, (depth - 5.0) / 2.0, 200 if east < 40 else 50, 180 if north < 40 else 30, 90))
+    relative = spark.createDataFrame(pixels, "name string, u long, v long, rel double, r int, g int, b int")
+    sparse = spark.createDataFrame([(k, *visual([ORIGIN[0] + x, ORIGIN[1] + y, slope(x)])) for k, (x, y) in enumerate((x, y) for x in range(-40, 130, 3) for y in range(-40, 130, 3))], "point_id long, x double, y double, z double")
     boxes = spark.createDataFrame([("0.jpg", "car", 0.9, 0.0, 0.0, 4.0, 4.0, 32, 32)], "frame string, label string, score double, x0 double, y0 double, x1 double, y1 double, width int, height int")
     labels = spark.createDataFrame([("car", False)], "label string, small boolean")
-    tables = {"telemetry": track, "frame_times": times, "visual_poses": visual, "relative_depth": relative, "sparse_points": sparse, "detections": boxes, "mask_labels": labels}
-    settings = {"s1_frameqa": {"min_displacement_m": 1.0}, "s7_dense": {"voxel_m": 2.0, "tile_m": 60.0}, "s8_mesh": {"resolution": 4.0}, "s9_geo": {"resolution": 4.0}, "s10_export": {"resolution": 4.0}}
+    return {"telemetry": track, "frame_times": times, "visual_poses": poses, "relative_depth": relative, "sparse_points": sparse, "detections": boxes, "mask_labels": labels}
+
+
+def test_mission_of_all_stages(spark, tmp_path):
+    """Poses, points, depth, cloud, mesh, rasters and files of the slope, in map coordinates and with its colours."""
+    tables = slope_tables(spark)
+    settings = {"s1_frameqa": {"min_displacement_m": 1.0}, "s7_dense": {"voxel_m": 2.0, "tile_m": 60.0, "overlap_m": 60.0}, "s8_mesh": {"resolution": 4.0, "depth": 5}, "s9_geo": {"resolution": 4.0}, "s10_export": {"resolution": 4.0}}
     done = mission.run(spark, str(tmp_path), tables, settings)
     assert {n: (r.status, r.error) for n, r in done.items()} == dict.fromkeys(mission.REGISTRY, ("done", "")) and len(done) == 11
+    spine = tables["spine"].first()
+    assert abs(spine.sim.scale - SCALE) < 1e-6 and np.allclose(spine.sim.rotation, TURN, atol=1e-6) and spine.rmse < 1e-3 and spine.epsg == 32634
+    for r in tables["poses"].collect():
+        i = int(r.name[:-4])
+        assert np.allclose(r.center, [ORIGIN[0] + 20 * (i % 5), ORIGIN[1] + 20 * (i // 5), 60.0], atol=1e-3)
+        assert np.allclose(r.rotation, [[1, 0, 0], [0, -1, 0], [0, 0, -1]], atol=1e-6) and abs(r.lat - r.gps_lat) < 1e-8 and abs(r.lon - r.gps_lon) < 1e-8
+    assert all(abs(r.z - slope(r.x - ORIGIN[0])) < 1e-3 for r in tables["points"].collect())
     assert tables["masks"].count() == 16 and tables["depth"].where("depth = 0").count() == 16
-    assert all(abs(r.a - 2.0) < 0.2 for r in tables["depth_fits"].collect()) and tables["depth_fits"].count() == 25
-    off = [abs(r.z - height(r.x, r.y)) for r in tables["cloud"].collect()]
-    assert len(off) > 1000 and np.median(off) < 1.0
-    assert {r.format: r.ok for r in tables["exports"].collect()} == {"ply": True, "las": True, "obj": True, "glb": True, "geotiff": True, "fbx": False}
+    assert all(r.metric and abs(r.a - 2.0) < 0.2 for r in tables["depth_fits"].collect()) and tables["depth_fits"].count() == 25
+    cloud = tables["cloud"].toPandas()
+    assert len(cloud) > 1000 and np.median(np.abs(cloud.z - slope(cloud.x - ORIGIN[0]))) < 0.3
+    east, north = cloud.x - ORIGIN[0], cloud.y - ORIGIN[1]
+    inner = (np.abs(east - 40) > 6) & (np.abs(north - 40) > 6)
+    assert (np.abs(cloud.r - np.where(east < 40, 200, 50))[inner] < 1).mean() > 0.99 and (np.abs(cloud.g - np.where(north < 40, 180, 30))[inner] < 1).mean() > 0.99
+    assert {r.format: r.ok for r in tables["exports"].collect()} == {"ply": True, "las": True, "obj": True, "glb": True, "geotiff": True, "ortho": True, "fbx": False}
+    for name in ("dsm.tif", "ortho.tif"):
+        tags = tiff_tags((tmp_path / name).read_bytes())
+        assert tags[33550][:2] == [4.0, 4.0] and abs(tags[33922][3] - cloud.x.min()) < 1e-6 and abs(tags[33922][4] - cloud.y.max()) < 1e-6 and 32634 in tags[34735]
+    ortho = tables["ortho"].toPandas()
+    west = ortho[cloud.x.min() + 4 * ortho.col - ORIGIN[0] < 30]
+    assert west.r.median() == 200 and set(ortho.g.unique()) >= {180, 30}
     assert {r.name: r.n for r in tables["report"].collect()}["poses"] == 25 and tables["registration"].first().rate == 1.0
 
 
+def tiff_tags(blob):
+    """Doubles and shorts of a little-endian file's first directory."""
+    import struct
+
+    (at,) = struct.unpack_from("<I", blob, 4)
+    (n,) = struct.unpack_from("<H", blob, at)
+    out = {}
+    for i in range(n):
+        tag, kind, count, value = struct.unpack_from("<HHII", blob, at + 2 + 12 * i)
+        if kind in (3, 12):
+            size, code = {3: (2, "H"), 12: (8, "d")}[kind]
+            place = at + 2 + 12 * i + 8 if size * count <= 4 else value
+            out[tag] = list(struct.unpack_from(f"<{count}{code}", blob, place))
+    return out
+
+
+def test_mission_gates(spark):
+    """The quality gate, displacements by features, views without anchors, tracks of two zones."""
+    tables = slope_tables(spark)
+    tables |= mission.ingest(spark, tables, {})
+    rng = np.random.default_rng(2)
+    shots = [(f"img/{i}.jpg", [float(v) for v in (rng.integers(0, 255, 64) if i % 3 else np.full(64, 90))]) for i in range(25)]
+    tables["frame_pixels"] = spark.createDataFrame(shots, "path string, pixels array<double>")
+    gate = {"width": 8, "height": 8, "min_displacement_m": 0.0}
+    kept = mission.keyframes(spark, tables, gate)
+    assert sorted(int(r.path[4:-4]) for r in kept["keyframes"].collect()) == [i for i in range(25) if i % 3]
+    with pytest.raises(ValueError, match="quality"):
+        mission.keyframes(spark, tables, gate | {"blur_min_varlap": 1e12})
+    tables["displacements"] = spark.createDataFrame([(f"img/{i}.jpg", 11.0) for i in range(25)], "path string, displacement double")
+    del tables["frame_pixels"]
+    moved = mission.keyframes(spark, tables, {})["keyframes"]
+    assert sorted(int(r.path[4:-4]) for r in moved.collect()) == list(range(0, 25, 2))
+    stride = mission.keyframes(spark, tables, {"method": "fixed_stride", "stride": 4})["keyframes"]
+    assert sorted(int(r.path[4:-4]) for r in stride.collect()) == list(range(0, 25, 4))
+    tables |= mission.keyframes(spark, tables, {"method": "fixed_stride", "stride": 1})
+    tables |= mission.poses(spark, tables, {})
+    # Only the first view keeps points near it.
+    center = {r.name: r.center for r in tables["poses"].collect()}["0.jpg"]
+    tables["points"] = tables["points"].where(F.abs(F.col("x") - center[0]) < 8).where(F.abs(F.col("y") - center[1]) < 8)
+    out = mission.depth(spark, tables, {"min_anchors": 8})
+    judged = {r.name: (r.metric, r.degraded) for r in out["depth_fits"].collect()}
+    assert judged["0.jpg"] == (True, None) and judged["24.jpg"][0] is False and "relative" in judged["24.jpg"][1]
+    far = out["depth"].where("name = '24.jpg'").join(tables["relative_depth"].select("name", "u", "v", "rel"), ["name", "u", "v"])
+    assert far.count() == 1024 and far.where("depth <> rel").isEmpty() and out["depth"].columns == ["name", "u", "v", "depth", "r", "g", "b"]
+    with pytest.raises(ValueError, match="projection"):
+        mission.poses(spark, tables | {"crs": spark.createDataFrame([("a", 32634), ("b", 32635)], "track_id string, epsg int")}, {})
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from skyloom.operators.ordered import select_by_displacement, steps
 

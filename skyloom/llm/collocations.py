@@ -38,7 +38,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache, reduce
-from itertools import repeat
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -65,6 +65,8 @@ HELD = 4_000_000
 #: Words whose hashes a worker keeps.
 KEPT = 400_000
 SALTS = 64
+#: Parts of a language's candidates, and phrases of a part of the counts; a task hands on one packed row for each.
+PARTS, COUNTED = 256, 4096
 
 #: Delimiters of pieces become the guard, a word of its own.
 GUARD = b"."
@@ -200,11 +202,22 @@ def _first_places(mixed: np.ndarray, h: np.ndarray, ends: np.ndarray, n: int) ->
 
 
 def _candidates(shared, bits: int, low: int):
+    """Candidates of a task, packed by language and part of the phrases, each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.frombuffer(shared.value, np.uint8)
-        known: set[tuple[str, bytes]] = set()
+        known: dict[str, set[bytes]] = defaultdict(set)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, phrases in known.items():
+                parts = defaultdict(list)
+                for phrase in sorted(phrases):
+                    parts[xxhash.xxh64_intdigest(phrase) % PARTS].append(phrase)
+                packed = [b"\n".join(part) for part in parts.values()]
+                yield _packed([lang] * len(parts), list(parts), [len(p) for p in packed], packed)
+            known.clear()
+
         for lang, words, overlap in _blocks(batches):
-            found: list[bytes] = []
             likely = np.ones(len(words), bool)  # by the end: the phrase of one word less may reach the threshold
             for n, ends, cells, mixed, h in _cells(lang, words, 0, bits):
                 at = cells.astype(np.int64) - low
@@ -215,23 +228,45 @@ def _candidates(shared, bits: int, low: int):
                 may = likely[ends] & (likely[ends - 1] if n > 1 else True) & (reach | ~here)
                 likely = np.zeros(len(words), bool)
                 likely[ends[may]] = True
-                for end in _first_places(mixed, h, ends[may & here & (ends >= overlap)], n).tolist():
-                    phrase = b" ".join(words[end - n + 1 : end + 1])
-                    if (lang, phrase) not in known:
-                        if len(known) >= KEPT:
-                            known.clear()
-                        known.add((lang, phrase))
-                        found.append(phrase)
-            yield _phrases(lang, found)
+                new = _first_places(mixed, h, ends[may & here & (ends >= overlap)], n).tolist()
+                known[lang].update(b" ".join(words[end - n + 1 : end + 1]) for end in new)
+            if sum(map(len, known.values())) > KEPT:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
+def _packed(langs: list[str], parts: list[int], sizes: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    small = [pa.compress(p, "zstd", asbytes=True) for p in payloads]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(small, pa.binary())], names=["lang", "part", "size", "payload"])
+
+
+PACKED = "lang string, part long, size long, payload binary"
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[bytes]]]:
+    """Payloads of each (language, part); rows arrive sorted by it."""
+    rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("lang", "part", "size", "payload")), strict=True))
+    for key, some in groupby(rows, key=itemgetter(0, 1)):
+        yield key, (pa.decompress(payload, size, "zstd", asbytes=True) for _, _, size, payload in some)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each candidate once; the phrases of one part are held."""
+    for (lang, _), payloads in _by_part(batches):
+        yield _phrases(lang, list({phrase for payload in payloads for phrase in payload.split(b"\n")}))
+
+
 def _phrases(lang: str, phrases: list[bytes], counts: list[int] | None = None) -> pa.RecordBatch:
     columns = {"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string())}
     return pa.RecordBatch.from_pydict(columns | ({} if counts is None else {"f": pa.array(counts, pa.int64())}))
 
 
+def _by_key(packed: DataFrame) -> DataFrame:
+    return packed.repartition("lang", "part").sortWithinPartitions("lang", "part")
+
+
 #: The automata of the last job of this worker, by language.
 _built: dict[tuple[str, str], tuple] = {}
 
@@ -273,10 +308,31 @@ def _scan(shared):
                 hits, seen = automaton.iter("".join(map(codes.get, words, repeat(guard)))), overlap * len(guard)
                 totals[lang].update((v for end, v in hits if end >= seen) if seen else map(itemgetter(1), hits))
         for lang, counts in totals.items():
-            phrases, found = _automaton(job, lang, payload[lang])[3], list(counts.items())
-            for at in range(0, len(found), 100_000):
-                some = found[at : at + 100_000]
-                yield _phrases(lang, [phrases[i] for i, _ in some], [n for _, n in some])
+            at = np.fromiter(counts, np.int64, len(counts))
+            order = np.argsort(at)
+            at, n = at[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+            parts, first = np.unique(at // COUNTED, return_index=True)
+            bounds = [*first.tolist(), len(at)]
+            packed = [at[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield _packed([lang] * len(parts), parts.tolist(), list(map(len, packed)), packed)
+
+    return run
+
+
+def _sum_counts(shared, least: int):
+    """Counts of each phrase that reaches the threshold; the sums of one part are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, phrases = None, []
+        for (lang, part), payloads in _by_part(batches):
+            if lang != of:
+                of, phrases = lang, shared.value[1][lang].split(b"\n")
+            sums = np.zeros(COUNTED, np.int64)
+            for payload in payloads:
+                at, n = np.frombuffer(payload, np.int64).reshape(2, -1)
+                sums[at - part * COUNTED] += n
+            enough = np.flatnonzero(sums >= least)
+            yield _phrases(lang, [phrases[i] for i in (enough + part * COUNTED).tolist()], sums[enough].tolist())
 
     return run
 
@@ -302,7 +358,8 @@ def candidates(rows: DataFrame, sketch: DataFrame, bits: int, most_cells: int =
             at = (r.block * BLOCK - low) // 8
             full[at : at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
         shared = spark.sparkContext.broadcast(full.tobytes())
-        found.append(stored(rows.mapInArrow(_candidates(shared, bits, low), "lang string, phrase string").distinct()))
+        packed = rows.mapInArrow(_candidates(shared, bits, low), PACKED)
+        found.append(stored(_by_key(packed).mapInArrow(_met, "lang string, phrase string")))
         shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
@@ -328,8 +385,8 @@ def counted(rows: DataFrame, phrases: DataFrame, least: int, most: int = AUTOMAT
             payload[r.lang].append(r.phrase)
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, {lang: "\n".join(p).encode() for lang, p in payload.items()}))
         some = rows.where(F.col("lang").isin(list(payload))) if len(payload) < len(starts) else rows
-        found = some.mapInArrow(_scan(shared), "lang string, phrase string, f long")
-        out.append(stored(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)))
+        found = some.mapInArrow(_scan(shared), PACKED)
+        out.append(stored(_by_key(found).mapInArrow(_sum_counts(shared, least), "lang string, phrase string, f long")))
         shared.destroy()
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "lang string, phrase string, f long")
 

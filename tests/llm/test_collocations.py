@@ -68,7 +68,7 @@ def test_blocks_overlap_by_four_words(spark, rows, monkeypatch):
     once = Counter((n, b" ".join(whole[e - n + 1 : e + 1])) for n, places, *_ in collocations._cells("en", whole, 0, 24) for e in places)
     assert ends == once
     shared = type("Shared", (), {"value": ("a", {"en": b"to be\nbe or not\nto"})})
-    counted = {r["phrase"]: r["f"] for b in collocations._scan(shared)(iter([batch])) for r in b.to_pylist()}
+    counted = {r["phrase"]: r["f"] for b in collocations._sum_counts(shared, 1)(collocations._scan(shared)(iter([batch]))) for r in b.to_pylist()}
     assert counted == {p: once[(len(p.split()), p.encode())] for p in counted} and len(counted) >= 2
 
 

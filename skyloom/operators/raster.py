@@ -37,7 +37,7 @@ def finite(*columns: str) -> Column:
 
 
 def bounds(points: DataFrame) -> DataFrame:
-    """One row: count, and smallest and largest x, y, z (from column statistics where the source has them)."""
+    """One row: count, and smallest and largest x, y, z by one scan of the three columns."""
     return points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
@@ -106,11 +106,16 @@ def opening(grid: DataFrame, extent: Extent, window: int, value: str = "z") -> D
     return out
 
 
+#: Values that a bracket may still hold when it is settled by sorting them.
+FEW = 10_000
+
+
 def percentiles(df: DataFrame, column: str, shares: list[float], bins: int = 4096) -> list[float | None]:
     """Exact interpolated percentiles; nulls and NaN do not count.
 
     Counts of equal bins tell in which ones the wanted ranks lie, again and again within
-    these, until their rows are few; no task ever sees all values.
+    these, until they hold few values, which are then sorted; no task ever sees all values.
+    A round looks at all brackets in one scan.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(finite("v"))
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
@@ -118,24 +123,40 @@ def percentiles(df: DataFrame, column: str, shares: list[float], bins: int = 409
         return [None] * len(shares)
     ranks = sorted({r for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
     found: dict[int, float] = {}
-    ranges = {(low, high): (0, ranks)}  # values from the first to the second: rows before, and the ranks sought
-    while ranges:
-        (lo, hi), (before, sought) = ranges.popitem()
-        inside = values.where(F.col("v").between(lo, hi))
-        width = (hi - lo) / bins
-        if not width > 0 or lo + width == lo:
-            # Neighbouring numbers: each distinct value is counted.
-            counts = [(r.v, r.v, r["count"]) for r in inside.groupBy("v").count().orderBy("v").collect()]
-        else:
-            at = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1))
-            counts = [(r.a, r.b, r.n) for r in inside.groupBy(at.alias("at")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("v").alias("n")).orderBy("at").collect()]  # at most a row for each bin
-        for a, b, rows in counts:
-            own = [r for r in sought if before <= r < before + rows]
-            if own and a == b:
-                found.update(dict.fromkeys(own, a))
-            elif own:
-                ranges[(a, b)] = (before, own)
-            before += rows
+    open_: list[tuple[float, float, int, int, list[int]]] = [(low, high, 0, n, ranks)]  # first and last value, rows before, rows, ranks sought
+    while open_:
+        wide, narrow = [], []
+        for lo, hi, before, rows, sought in open_:
+            if lo == hi:
+                found.update(dict.fromkeys(sought, lo))
+            else:
+                # Halved before they are subtracted: the difference of two finite numbers need not be one.
+                step = (hi / 2 - lo / 2) / bins * 2
+                (narrow if rows <= FEW or not lo + step > lo else wide).append((lo, hi, step, before, sought))
+        open_ = []
+        if narrow:
+            inside = [F.col("v").between(lo, hi) for lo, hi, *_ in narrow]
+            which = F.coalesce(*(F.when(c, F.lit(i)) for i, c in enumerate(inside)))
+            got: dict[int, list[tuple[float, int]]] = {}
+            # A bracket of many rows that is not wide holds neighbouring numbers only: few distinct ones.
+            for r in values.withColumn("i", which).where("i is not null").groupBy("i", "v").count().orderBy("i", "v").collect():
+                got.setdefault(r.i, []).append((r.v, r["count"]))
+            for i, (_, _, _, before, sought) in enumerate(narrow):
+                for v, rows in got[i]:
+                    found.update({r: v for r in sought if before <= r < before + rows})
+                    before += rows
+        if wide:
+            inside = [F.col("v").between(lo, hi) for lo, hi, *_ in wide]
+            which = F.coalesce(*(F.when(c, F.lit(i)) for i, c in enumerate(inside)))
+            at = F.coalesce(*(F.when(c, F.least(F.floor((F.col("v") / 2 - lo / 2) / (step / 2)), F.lit(bins - 1))) for c, (lo, _, step, *_) in zip(inside, wide, strict=True)))
+            got = {}
+            for r in values.withColumns({"i": which, "at": at}).where("i is not null").groupBy("i", "at").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("v").alias("n")).orderBy("i", "at").collect():  # at most a row for each bin
+                got.setdefault(r.i, []).append((r.a, r.b, r.n))
+            for i, (_, _, _, before, sought) in enumerate(wide):
+                for a, b, rows in got[i]:
+                    if own := [r for r in sought if before <= r < before + rows]:
+                        open_.append((a, b, before, rows, own))
+                    before += rows
     out = []
     for s in shares:
         place = s * (n - 1)
@@ -188,8 +209,7 @@ def checkpoint_error(sampled: DataFrame, measured: str = "grid_z", truth: str =
 def height_mesh(grid: DataFrame, extent: Extent, value: str = "z") -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of a height field: two triangles for each square of four cells with values.
 
-    This triangulates a raster.  It is no surface reconstruction of a cloud;
-    there is none here.
+    This triangulates a raster; ``poisson_mesh`` reconstructs the surface of a cloud.
     """
     vertex = (F.col("row") * extent.width + F.col("col")).cast("long")
     vertices = grid.select(vertex.alias("vertex"), (F.lit(extent.x_min) + (F.col("col") + 0.5) * extent.resolution).alias("x"), (F.lit(extent.y_max) - (F.col("row") + 0.5) * extent.resolution).alias("y"), F.col(value).alias("z"))

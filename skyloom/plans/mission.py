@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera, geo
+from ..functions import camera, geo, grid
 from ..functions.scalar import basename
-from ..operators import fits, frames, fusion, raster, spatial, views
+from ..operators import fits, frames, fusion, lineage, orientation, poisson, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..operators.fits import derive_crs
 from ..operators.governance import FINISHED, REQUIRES, combined_hash, combined_hash_of, hash_object, stages_upto
@@ -245,9 +245,33 @@ def dense(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
 
 @stage("s8_mesh")
 def mesh(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
-    """A triangulated height field of the cloud."""
-    extent = raster.extent_of(tables["cloud"], settings.get("resolution", 1.0))
-    vertices, faces = raster.height_mesh(raster.elevation_grid(tables["cloud"], extent), extent)
+    """The cloud's surface: oriented normals and a Poisson solve, without its sparsest vertices; or (``method: height``) a triangulated raster."""
+    cloud = tables["cloud"].where(raster.finite("x", "y", "z"))
+    if settings.get("method", "poisson") == "height":
+        extent = raster.extent_of(cloud, settings.get("resolution", 1.0))
+        vertices, faces = raster.height_mesh(raster.elevation_grid(cloud, extent), extent)
+        return {"vertices": vertices, "faces": faces}
+    depth = int(settings.get("depth", 9))
+    ends = raster.bounds(cloud).first()
+    if not ends["n"]:
+        raise ValueError("no points to mesh")
+    extent = max(ends[f"{c}_max"] - ends[f"{c}_min"] for c in "xyz")
+    voxel = spark.range(1).select(grid.meshing_voxel(F.lit(float(extent)), depth, F.lit(float(settings.get("voxel_m", 0.5))), F.lit(float(settings.get("mesh_voxel_m", 0.0))))).first()[0]
+    colors = tuple(c for c in "rgb" if c in cloud.columns)
+    # Near the origin, as map coordinates would cost the covariances digits.
+    origin = {c: ends[f"{c}_min"] for c in "xyz"}
+    thin = raster.voxel_downsample(cloud.withColumns({c: F.col(c) - o for c, o in origin.items()}), voxel, (0.0, 0.0, 0.0), ("x", "y", "z", *colors))
+    points = lineage.written(thin.withColumn("point_id", F.xxhash64("vx", "vy", "vz")).drop("vx", "vy", "vz", "n"))
+    near = lineage.written(spatial.neighbours(points, 3 * voxel, int(settings.get("normal_max_nn", 30))))
+    normal = lineage.written(fits.normals(near).join(points, "point_id"))
+    turned = orientation.oriented(normal, near, int(settings.get("consistent_normals_max_points", orientation.MOST_POINTS)))
+    vertices, faces = poisson.poisson_mesh(turned, depth)
+    vertices = vertices.withColumns({c: F.col(c) + o for c, o in origin.items()})
+    if share := float(settings.get("density_quantile", 0.02)):
+        vertices = raster.density_crop(lineage.written(vertices), share)
+        faces = poisson.cropped(vertices, faces, vertices)
+    if faces.isEmpty():
+        raise ValueError("the surface has no faces: try a greater depth")
     return {"vertices": vertices, "faces": faces}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geo, grid, scalar
-from ..operators import fits, frames, fusion, governance, ordered, raster, spatial, views
+from ..operators import fits, frames, fusion, governance, ordered, orientation, poisson, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..sinks import text as text_sink
 from ..sinks.products import byte_colors, las_colors
@@ -173,16 +173,36 @@ def normals_pca(s, d):
     return fits.normals(spatial.neighbours(_thin(s, d), 6.0, 12)).select("point_id", rounded("nx"), rounded("ny"), rounded("nz"))
 
 
-@query()
+def _crossings(size: float, keys: str = "", limit: str = "") -> str:
+    """SQL of the surface between neighbouring voxels of ``vox``."""
+    parts = []
+    for axis in "xyz":
+        on = " AND ".join([*(f"n.{k} = m.{k}" for k in keys.split(", ") if k), *(f"n.v{c} = m.v{c} + {int(c == axis)}" for c in "xyz")])
+        at = ", ".join(f"(m.v{c} + 5e-1 + {'m.sdf / (m.sdf - n.sdf)' if c == axis else '0e0'}) * {size} AS {c}" for c in "xyz")
+        parts.append(f"SELECT {''.join(f'm.{k}, ' for k in keys.split(', ') if k)}{at}, m.r + m.sdf / (m.sdf - n.sdf) * (n.r - m.r) AS r FROM vox m JOIN vox n ON {on} WHERE ((m.sdf > 0 AND n.sdf <= 0) OR (m.sdf <= 0 AND n.sdf > 0)){limit}")
+    return " UNION ALL ".join(parts)
+
+
+_RAYS = f"""{fx.POINTS}, ray AS (SELECT x, y, z, r, x - 25e0 AS dx, y - 20e0 AS dy, z - 300e0 AS dz FROM cloud), len AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM ray)"""
+_HITS = """SELECT {keys}floor((x + dx * (k * 1e0 / l)) / 1e0) AS vx, floor((y + dy * (k * 1e0 / l)) / 1e0) AS vy, floor((z + dz * (k * 1e0 / l)) / 1e0) AS vz, l, dx, dy, dz, r FROM {source}, unnest(range(-4, 5)) AS g(k) WHERE l > 0"""
+_VOX = """SELECT {keys}vx, vy, vz, avg(least(1e0, greatest(-1e0, (l - (((vx + 5e-1) - 25e0) * dx + ((vy + 5e-1) - 20e0) * dy + ((vz + 5e-1) - 300e0) * dz) / l) / 4e0))) AS sdf, avg(r) AS r FROM hit GROUP BY ALL"""
+
+
+def _seen_from_above(s, d) -> DataFrame:
+    return fx.cloud(s, d).select("x", "y", "z", F.lit(25.0).alias("cx"), F.lit(20.0).alias("cy"), F.lit(300.0).alias("cz"), "r", "g", "b")
+
+
+@query(f"WITH {_RAYS}, hit AS ({_HITS.format(keys='', source='len')}), vox AS ({_VOX.format(keys='')}), s AS ({_crossings(1.0)}) SELECT round(x, 4) + 0e0 AS x, round(y, 4) + 0e0 AS y, round(z, 4) + 0e0 AS z, round(r, 3) + 0e0 AS r FROM s")
 def fusion_surface(s, d):
-    seen = fx.cloud(s, d).select("x", "y", "z", F.lit(25.0).alias("cx"), F.lit(20.0).alias("cy"), F.lit(300.0).alias("cz"), "r", "g", "b")
-    return fusion.fuse(seen, 1.0).select(*(rounded(c, 4) for c in "xyz"))
+    return fusion.fuse(_seen_from_above(s, d), 1.0).select(*(rounded(c, 4) for c in "xyz"), rounded("r", 3))
 
 
-@query()
+_TILES = "t AS (SELECT tx, ty, len.* FROM len, unnest(range(0, 3)) AS a(tx), unnest(range(0, 2)) AS b(ty) WHERE x >= tx * 2e1 - 6 AND x < (tx + 1) * 2e1 + 6 AND y >= ty * 2e1 - 6 AND y < (ty + 1) * 2e1 + 6)"
+
+
+@query(f"WITH {_RAYS}, {_TILES}, hit AS ({_HITS.format(keys='tx, ty, ', source='t')}), vox AS ({_VOX.format(keys='tx, ty, ')}), s AS ({_crossings(1.0, 'tx, ty')}) SELECT round(x, 4) + 0e0 AS x, round(y, 4) + 0e0 AS y, round(z, 4) + 0e0 AS z, tx::INT AS tx, ty::INT AS ty FROM s WHERE tx = least(2, greatest(0, floor(x / 2e1))) AND ty = least(1, greatest(0, floor(y / 2e1)))")
 def fusion_tiled(s, d):
-    seen = fx.cloud(s, d).select("x", "y", "z", F.lit(25.0).alias("cx"), F.lit(20.0).alias("cy"), F.lit(300.0).alias("cz"), "r", "g", "b")
-    return fusion.fuse_tiled(seen, 1.0, (0.0, 0.0), 20.0, (3, 2), 6.0).select(*(rounded(c, 4) for c in "xyz"), "tx", "ty")
+    return fusion.fuse_tiled(_seen_from_above(s, d), 1.0, (0.0, 0.0), 20.0, (3, 2), 6.0).select(*(rounded(c, 4) for c in "xyz"), "tx", "ty")
 
 
 CAMERAS = "cam AS (SELECT r_regionkey AS k, 'cam' || r_regionkey AS name, 1e1 * r_regionkey + 5 AS cx, 2e1 AS cy, 2e2 AS cz FROM region)"
@@ -203,6 +223,72 @@ def _seen(s, d):
     return spatial.visible_points(cams, pts)
 
 
+def _cameras(s, d, focal: float, cx: float, cy: float) -> DataFrame:
+    """Five cameras in a row that look down."""
+    k = camera.intrinsics(F.lit("PINHOLE"), F.array(F.lit(focal), F.lit(focal), F.lit(cx), F.lit(cy)))
+    down = F.array(*(F.array(*map(F.lit, row)) for row in ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0))))
+    return fx.table(s, d, "region").select(F.concat(F.lit("cam"), F.col("r_regionkey").cast("string")).alias("name"), k.alias("k"), down.alias("rotation"), F.array(F.col("r_regionkey") * 10.0 + 5, F.lit(20.0), F.lit(200.0)).alias("center"))
+
+
+def _depth_images(s, d) -> DataFrame:
+    """Depth of a nearly level ground, as means of what falls on a pixel."""
+    li = fx.table(s, d, "lineitem")
+    pixels = li.groupBy(F.concat(F.lit("cam"), (F.col("l_orderkey") % 5).cast("string")).alias("name"), (F.col("l_partkey") % 40).alias("u"), (F.col("l_suppkey") % 30).alias("v"))
+    return pixels.agg((F.lit(195.0) + F.round(F.avg("l_discount"), 6) * 10).alias("depth"), *(F.round(F.avg(c), 6).alias(n) for c, n in (("l_quantity", "r"), ("l_tax", "g"), ("l_linenumber", "b"))))
+
+
+_VIEWS = """{cameras}, px AS (SELECT 'cam' || (l_orderkey % 5) AS name, l_partkey % 40 AS u, l_suppkey % 30 AS v, 195e0 + round(avg(l_discount), 6) * 10 AS depth, round(avg(l_quantity), 6) AS r FROM lineitem GROUP BY ALL),
+pt AS (SELECT {tile}px.*, cx, cy, (u - 20e0) / 4e1 * depth + cx AS x, -((v - 15e0) / 4e1 * depth) + cy AS y, -depth + 2e2 AS z FROM px JOIN cam USING (name){tiles}),
+lo AS (SELECT DISTINCT {tile}name, cx, cy, floor((x - 8) / 16) AS bx, floor((x + 8) / 16) AS ex, floor((y - 8) / 16) AS by_, floor((y + 8) / 16) AS ey, floor((z - 8) / 16) AS bz, floor((z + 8) / 16) AS ez FROM pt{window}),
+bl AS (SELECT DISTINCT {tile}name, cx, cy, bx + i AS bx, by_ + j AS by_, bz + k AS bz FROM lo, unnest(range(0, 2)) AS a(i), unnest(range(0, 2)) AS b(j), unnest(range(0, 2)) AS c(k) WHERE bx + i <= ex AND by_ + j <= ey AND bz + k <= ez),
+cell AS (SELECT {tile}name, cx, cy, bx * 8 + i AS vx, by_ * 8 + j AS vy, bz * 8 + k AS vz FROM bl, unnest(range(0, 8)) AS a(i), unnest(range(0, 8)) AS b(j), unnest(range(0, 8)) AS c(k)),
+pr AS (SELECT {tile}name, vx, vy, vz, (vx + 5e-1) * 2e0 - cx AS mx, -((vy + 5e-1) * 2e0 - 2e1) AS my, -((vz + 5e-1) * 2e0 - 2e2) AS mz FROM cell),
+sp AS (SELECT {tile}name, vx, vy, vz, floor(4e1 * mx / mz + 2e1 + 5e-1)::BIGINT AS u, floor(4e1 * my / mz + 15e0 + 5e-1)::BIGINT AS v, mz FROM pr WHERE mz > 0),
+sa AS (SELECT {tile}vx, vy, vz, (pt.depth - mz) * sqrt(1 + (sp.u - 2e1) / 4e1 * ((sp.u - 2e1) / 4e1) + (sp.v - 15e0) / 4e1 * ((sp.v - 15e0) / 4e1)) / 8e0 AS sdf, pt.r FROM sp JOIN pt USING ({tile}name, u, v){window}),
+vox AS (SELECT * FROM (SELECT {tile}vx, vy, vz, avg(least(1e0, sdf)) AS sdf, avg(r) AS r FROM sa WHERE sdf > -1 GROUP BY ALL) WHERE sdf < 98e-2 AND sdf >= -98e-2)"""
+
+
+def _views_sql(**parts: str) -> str:
+    return _VIEWS.format(cameras=CAMERAS, **parts)
+
+
+@query(f"WITH {_views_sql(tile='', tiles='', window='')}, s AS ({_crossings(2.0)}) SELECT round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z, round(r, 3) + 0e0 AS r FROM s")
+def fusion_views(s, d):
+    return fusion.fuse_views(_depth_images(s, d), _cameras(s, d, 40.0, 20.0, 15.0), 2.0).select(*(rounded(c, 3) for c in "xyz"), rounded("r", 3))
+
+
+_WINDOW = " WHERE (tx = 0 OR x >= 5 + tx * 2e1 - 1e1) AND (tx = 1 OR x < 5 + (tx + 1) * 2e1 + 1e1)"
+
+
+@query(f"""WITH {_views_sql(tile='tx, ', tiles=", unnest(range(0, 2)) AS q(tx) WHERE cx >= 5 + tx * 2e1 - 1e1 AND cx < 5 + (tx + 1) * 2e1 + 1e1", window=_WINDOW)}, s AS ({_crossings(2.0, 'tx')}) SELECT tx::INT AS tx, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z FROM s WHERE tx = least(1, greatest(0, floor((x - 5) / 2e1)))""")
+def fusion_view_tiles(s, d):
+    found = fusion.fuse_view_tiles(_depth_images(s, d), _cameras(s, d, 40.0, 20.0, 15.0), 2.0, (5.0, 20.0), 20.0, (2, 1), 10.0)
+    return found.select("tx", *(rounded(c, 3) for c in "xyz"))
+
+
+def _ground(s, d) -> DataFrame:
+    """A gentle height field: the mean of each cell of the cloud."""
+    g = raster.elevation_grid(fx.cloud(s, d), fx.CLOUD, "mean")
+    return g.select((F.col("row") * 1000 + F.col("col")).cast("long").alias("point_id"), F.col("col").cast("double").alias("x"), (-F.col("row")).cast("double").alias("y"), (F.col("z") / 50).alias("z"))
+
+
+@query()
+def normals_oriented(s, d):
+    """One way up: all normals of a height field, by the spanning forest of its neighbours."""
+    near = spatial.neighbours(_ground(s, d), 2.5, 12)
+    found = fits.normals(near).join(_ground(s, d), "point_id")
+    return orientation.oriented(found, near).select("point_id", rounded("nx"), rounded("ny"), rounded("nz"))
+
+
+@query()
+def poisson_surface(s, d):
+    """Vertices of the ground's reconstructed surface, without the sparsest tenth."""
+    near = spatial.neighbours(_ground(s, d), 2.5, 12)
+    normals = orientation.turned_up(fits.normals(near)).join(_ground(s, d), "point_id")
+    vertices, _ = poisson.poisson_mesh(normals, 6)
+    return raster.density_crop(vertices, 0.1).select("vertex", *(rounded(c, 4) for c in "xyz"), "density")
+
+
 # Tracks
 
 _ASOF = """WITH {track}, {probes}, e AS (SELECT track_id, min(t) AS t0, max(t) AS t1 FROM track GROUP BY 1),

@@ -34,7 +34,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -75,12 +77,66 @@ BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense b
 OFTEN_ELSE = frozenset("banner notice related replies reply respond search share sharing skip social tags".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*+>|<!--|<[!?][^>]*+>|</[^>]*+>|<[a-zA-Z/!?][^<>]*\Z")
+#: Most tags: nothing in them needs a look beyond the next angle bracket.
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)((?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+)>")
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+class _Ends:
+    """For each place of a page the bracket that ends a tag there, brackets in quotes not counting; all found in one pass from the page's end."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _SPECIAL.finditer(page)]
+        self.end = [-1] * (len(self.at) + 1)
+        later = {'"': -1, "'": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            sign = page[self.at[i]]
+            if sign == ">":
+                self.end[i] = self.at[i]
+            else:
+                self.end[i] = self.end[later[sign] + 1] if later[sign] >= 0 else -1
+                later[sign] = i
+
+    def after(self, place: int) -> int:
+        return self.end[bisect_left(self.at, place)]
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each piece of markup; the name is empty if it is none of an element's.
+
+    Each ``<`` is looked at once, and what is looked at behind it is skipped or
+    was found before, so the work is linear in any page.
+    """
+    ends: _Ends | None = None
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0:
+        found = None
+        if m := _SIMPLE.match(page, at):
+            found = (at, m.end(), m[1], m[2].lower(), m[3])
+        elif page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            found = (at, len(page) if close < 0 else close + 3, "", "", "")
+        elif at > last:
+            found = (at, len(page), "", "", "") if _CUT_OFF.match(page, at) else None
+        elif m := _NAMED.match(page, at):
+            ends = ends or _Ends(page)
+            end = ends.after(m.end())
+            # A quote that nothing closes is no quote: the tag ends at the next bracket.
+            found = (at, (end if end >= 0 else page.find(">", m.end())) + 1, m[1], m[2].lower(), page[m.end() : end] if end >= 0 else "")
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            found = (at, page.find(">", at) + 1, "", "", "")
+        if found is None:
+            at = page.find("<", at + 1)
+        else:
+            resume = yield found
+            at = page.find("<", found[1] if resume is None else resume)
+
+
 @dataclass(slots=True, eq=False)
 class Element:
     name: str
@@ -91,6 +147,7 @@ class Element:
     good: bool
     within: bool  # something good is here or above
     scope: Counter  # open elements by name, up to the nearest barrier
+    holder: Element | None = None  # the innermost block that holds a piece of a line; none for a block itself
     hinted: bool = False  # a hint is here or above
     bad: bool = False  # drop, or a hint that counts is here or above
     free: int = 0  # letters outside links, in it
@@ -149,34 +206,25 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         if current is None:
             if text.isspace():
                 return
-            current = Block(block_of(here), [])
+            current = Block(here.holder or here, [])
             out.append(current)
         current.parts.append(text)
         if link:
             current.linked += len(text)
 
-    def block_of(element: Element) -> Element:
-        while element.parent is not None and element.name not in BLOCK:
-            element = element.parent
-        return element
-
     at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+    scan, resume = tags(page), None
+    while True:
+        try:
+            start, end, slash, name, attributes = scan.send(resume)
+        except StopIteration:
             take(page[at:])
             break
-        take(page[at : m.start()])
-        at = m.end()
-        token = m.group()
-        if token == "<!--":
-            end = page.find("-->", at)
-            at = n if end < 0 else end + 3
-            continue
-        name = (m.group(2) or m.group(5) or "").lower()
+        take(page[at:start])
+        at, resume = end, None
         if not name:
             continue
-        if m.group(1) or m.group(4):
+        if slash:
             if opened[name] > 0:
                 element = here
                 while element.name != name:
@@ -192,10 +240,11 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                 current = None
             continue
         if name in RAW:
-            if name == "svg" and token.endswith("/>"):
+            if name == "svg" and page.endswith("/>", start, end):
                 continue
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = n if end is None else end.end()
+            close = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(page, at)
+            end = -1 if close is None else page.find(">", close.end())
+            at = resume = n if end < 0 else end + 1
             if name in BLOCK:
                 current = None
             continue
@@ -206,7 +255,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                 while element.name != closed:
                     element = element.parent
                 close_until(element.parent)
-        bad, good, hidden = _hints(m.group(3)) if m.group(3) else (False, False, False)
+        bad, good, hidden = _hints(attributes) if attributes else (False, False, False)
         if name in PAGE:
             bad = good = False
         if name in BLOCK:
@@ -218,7 +267,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         opened[name] += 1
         here.scope[name] += 1
         scope = Counter() if name in BARRIER else here.scope
-        here = Element(name, hash((here.path, name)), here, here.drop or hidden or name in BOILERPLATE or outside, bad or name == "form", good, good or here.within, scope)
+        here = Element(name, hash((here.path, name)), here, here.drop or hidden or name in BOILERPLATE or outside, bad or name == "form", good, good or here.within, scope, None if name in BLOCK else here.holder or here)
         elements.append(here)
     for block in out:
         block.text = " ".join(html.unescape("".join(block.parts)).split())

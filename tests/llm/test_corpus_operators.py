@@ -553,3 +553,22 @@ AFTER = '<div class="sidebar"><p>Buy now, it is cheap.</p></div><div id="comment
 )
 def test_main_text_is_kept_where_names_of_its_ancestors_say_boilerplate(page):
     assert html_text.main_text(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("unit", ['<a b="', '<a ">" ', "<!", "<a", "</script ", "<", '"<b>', "<b>x<hr>", "<a '", "</"])
+@pytest.mark.parametrize("around", [("", ""), ("<script>", ""), ("", ">")])
+def test_pages_of_nothing_but_markup_take_linear_time(unit, around):
+    def seconds(size):
+        page = around[0] + unit * (size // len(unit)) + around[1]
+        began = time.process_time()
+        html_text.blocks(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 40 * seconds(40_000) + 0.5
+
+
+def test_tags_with_brackets_and_quotes():
+    page = """<p title="a > b" class='x'>one</p><b data-x='"'>two</b><i "unclosed>three</i><br/>4 < 5<!-- <p>no</p> --><q a=">">six</q><p"""
+    found = [(page[a:b], slash, name) for a, b, slash, name, _ in html_text.tags(page)]
+    assert found == [("<p title=\"a > b\" class='x'>", "", "p"), ("</p>", "/", "p"), ("<b data-x='\"'>", "", "b"), ("</b>", "/", "b"), ('<i "unclosed>three</i><br/>4 < 5<!-- <p>no</p> --><q a=">', "", "i"), ("</q>", "/", "q"), ("<p", "", "")]

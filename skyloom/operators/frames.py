@@ -63,14 +63,6 @@ def mask_fraction(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return pixels.groupBy("frame").agg((F.count(F.lit(1)) / F.lit(float(width * height))).alias("dynamic_frac"))
 
 
-def dilate(pixels: DataFrame, size: int) -> DataFrame:
-    """Dilation of a sparse mask by a size x size element; by windows over each axis' own neighbours."""
-    back, ahead = size // 2, size - 1 - size // 2
-    for axis in ("u", "v"):
-        pixels = pixels.withColumn(axis, F.explode(F.sequence(F.col(axis) - ahead, F.col(axis) + back))).distinct()
-    return pixels
-
-
 def largest_model(models: DataFrame, run: str, size: str, name: str) -> DataFrame:
     """The reconstruction with the most registered images of each run; the first named wins a tie."""
     return models.groupBy(run).agg(F.max_by(name, F.struct(F.col(size), -F.col("ord"))).alias(name), F.max(size).alias(size))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,32 +89,66 @@ def visible_points(cameras: DataFrame, points: DataFrame) -> DataFrame:
     return seen.select("name", "point_id", pixel(F.col("p.u")).alias("col"), pixel(F.col("p.v")).alias("row"), F.col("p.z").alias("depth"))
 
 
-#: Parts that the descriptors of a frame are dealt into.
-BLOCKS = 16
+#: Parts that the descriptors of a frame are dealt into, on either side.
+BLOCKS = 8
+#: Numbers of one piece of a block's distance matrix.
+PIECE = 1 << 22
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two bit strings as arrays of longs."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a and b."""
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, distance: Column, least: int = 0) -> DataFrame:
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all rows of a and b, bit strings as rows of longs."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+
+
+def _nearest(pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """The nearest of either side within a block of left and a block of right descriptors: (pair, side, own, distance, other)."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[pair, "side", "own", "distance", "other"])
+        left, right = left.sort_values("left_id"), right.sort_values("right_id")  # the first of equal ones is the smaller id
+        a, b = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
+        ids_a, ids_b = left["left_id"].to_numpy(), right["right_id"].to_numpy()
+        rows = max(1, PIECE // (len(b) * a.shape[1]))
+        best_b, of_b, parts = None, None, []
+        for at in range(0, len(a), rows):
+            d = metric(a[at : at + rows], b)
+            j, i = d.argmin(1), d.argmin(0)
+            parts.append(pd.DataFrame({"side": 0, "own": ids_a[at : at + rows], "distance": d[np.arange(len(j)), j], "other": ids_b[j]}))
+            low, of = d[i, np.arange(len(i))], ids_a[at + i]
+            better = np.ones(len(b), bool) if best_b is None else low < best_b
+            best_b, of_b = np.where(better, low, 0 if best_b is None else best_b), np.where(better, of, 0 if of_b is None else of_b)
+        parts.append(pd.DataFrame({"side": 1, "own": ids_b, "distance": best_b, "other": of_b}))
+        return pd.concat(parts, ignore_index=True).assign(**{pair: left[pair].iloc[0]})[[pair, "side", "own", "distance", "other"]]
+
+    return run
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, least: int = 0, blocks: int = BLOCKS) -> DataFrame:
     """(pair, left_id, right_id, distance): descriptors of a frame pair that are each other's nearest.
 
-    left and right: pair, left_id or right_id, and what distance reads; pairs
+    left and right: pair, left_id or right_id (longs), and vector, an array of numbers of one length; pairs
     of frames either of which has fewer than ``least`` descriptors give nothing.  The
-    work is the product of the descriptors of one pair of frames, made once.  The left ones are dealt into ``BLOCKS``
-    parts, each of which meets all right ones, so that a pair of frames is many tasks;
-    what is kept is the nearest for each descriptor.  Ties go to the smaller id.
+    work is the product of the descriptors of one pair of frames, made once: both sides are dealt into ``blocks``
+    parts, each two of which meet as matrices in one task, which keeps the nearest for each descriptor.
+    Those few are then compared.  Ties go to the smaller id.
     """
     if least > 0:
         left, right = (d.join(d.groupBy(pair).count().where(F.col("count") >= least).select(pair), pair, "left_semi") for d in (left, right))
-    left = left.withColumn("__block", F.pmod(F.xxhash64("left_id"), F.lit(BLOCKS)))
-    right = right.withColumn("__block", F.explode(F.array(*(F.lit(i).cast("long") for i in range(BLOCKS)))))
-    met = left.join(right, [pair, "__block"]).select(pair, "left_id", "right_id", distance.alias("distance"))
-    # One row for each (descriptor, side): the smallest by (distance, partner), combined map-side in the same pass over the product.
-    sides = met.select(pair, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_id").alias("own"), F.col("right_id").alias("other"), "distance"), F.struct(F.lit(1).alias("side"), F.col("right_id").alias("own"), F.col("left_id").alias("other"), "distance"))).alias("s")).select(pair, "s.*")
-    best = sides.groupBy(pair, "side", "own").agg(F.min(F.struct("distance", "other")).alias("b"))
+    every = F.explode(F.array(*(F.lit(i) for i in range(blocks))))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    a = left.select(pair, "left_id", "vector", part("left_id").alias("__a"), every.alias("__b"))
+    b = right.select(pair, "right_id", "vector", part("right_id").alias("__b"), every.alias("__a"))
+    kind = left.schema[pair].dataType.simpleString()
+    keys = (pair, "__a", "__b")
+    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_nearest(pair, metric), f"{pair} {kind}, side int, own long, distance double, other long")
+    # A row for each descriptor and block of the other side.
+    best = near.groupBy(pair, "side", "own").agg(F.min(F.struct("distance", "other")).alias("b"))
     # A mutual pair is named by both of its sides.
     named = best.select(pair, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("b.other")).alias("left_id"), F.when(F.col("side") == 0, F.col("b.other")).otherwise(F.col("own")).alias("right_id"), "b.distance")
     return named.groupBy(pair, "left_id", "right_id").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("distance")).where("n = 2").drop("n")

@@ -14,6 +14,7 @@ from ..sinks import text as text_sink
 from ..sinks.products import byte_colors, las_colors
 from ..sources import runs, telemetry
 from . import fixtures as fx
+from . import mission
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,6 +348,18 @@ def track_crs(s, d):
     return fits.derive_crs(fx.track(s, d), "track_id")
 
 
+@query(f"WITH {fx.TRACK}, p AS (SELECT track_id, lon, CASE WHEN track_id % 2 = 0 THEN -lat ELSE lat END AS lat FROM track), m AS (SELECT track_id, quantile_cont(lon, 0.5) AS lon, quantile_cont(lat, 0.5) AS lat FROM p GROUP BY 1) SELECT track_id, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6)::INT + 1)::INT AS epsg, CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS hemisphere FROM m")
+def track_crs_hemispheres(s, d):
+    south = fx.track(s, d).withColumn("lat", F.when(F.col("track_id") % 2 == 0, -F.col("lat")).otherwise(F.col("lat")))
+    return fits.derive_crs(south, "track_id").select("track_id", "epsg", "hemisphere")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(least(1e0, greatest(0e0, l_discount / (l_tax * 2 + 1e-6))), 9) AS confidence FROM lineitem")
+def fit_confidences(s, d):
+    li = fx.table(s, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(scalar.fit_confidence(F.col("l_discount"), F.col("l_tax") * 2), 9).alias("confidence"))
+
+
 # Another series than the operator's: the expansion by powers of the distance from the central meridian, which is good to less than a millimetre within a zone.
 _SERIES = """WITH p AS (SELECT n_nationkey AS id, n_nationkey * 141e-1 - 17e1 AS lon, n_nationkey * 63e-1 - 76e0 AS lat FROM nation), z AS (SELECT *, floor((lon + 180) / 6)::INT + 1 AS zone FROM p),
 c AS (SELECT *, radians(lat) AS f, radians(lon - (zone * 6 - 183)) * cos(radians(lat)) AS a, 6378137e0 AS r, (2 - 1 / 298.257223563e0) / 298.257223563e0 AS e FROM z),
@@ -357,6 +370,34 @@ SELECT id, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone)::INT AS epsg,
  round(9996e-4 * (m + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * g) * power(a, 6) / 720)) + CASE WHEN lat >= 0 THEN 0 ELSE 1e7 END, 1) AS northing FROM t"""
 
 
+def _series(source: str, keep: str, zone: str) -> str:
+    """Easting and northing (e, n) of the rows (lon, lat) of ``source``, by that series."""
+    out = _SERIES[_SERIES.index("c AS (") : _SERIES.index("SELECT id, (CASE")]
+    tail = _SERIES[_SERIES.index(" round(9996e-4 * n") :].replace("round(", "(").replace(", 1) AS easting", ") AS east").replace(", 1) AS northing", ") AS north")
+    return f"z AS (SELECT *, {zone} AS zone FROM {source}), {out}, xy AS (SELECT {keep},{tail})"
+
+
+@query(f"""WITH {fx.TRACK}, w AS (SELECT track_id, lon, lat, alt FROM track), {_series("w", "track_id, alt", "43")}
+SELECT track_id, count(*) AS n, round(avg(east) + 3, 2) AS x, round(avg(north) - 2, 2) AS y, round(avg(alt) - 50, 2) AS z, round(max(east) - min(east), 2) AS wide, 43 + 32600 AS epsg, 0e0 AS rmse FROM xy GROUP BY 1""")
+def mission_points(s, d):
+    """Sparse points of all tracks, given in visual frames of their own, in map coordinates after the mission's poses are aligned."""
+    seen = fx.track(s, d).select("track_id", "t", "ord", "lat", "lon", "alt", F.concat(F.lit("img/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("path"), "event_id")
+    east, north = geo.project_utm(F.col("lon"), F.col("lat"), F.lit(32643))
+
+    def visual(east: Column, north: Column, up: Column) -> list[Column]:
+        """Turned by a right angle and scaled by the track, about a far origin."""
+        scale = 2.0 + F.col("track_id") % 7
+        return [(north - 1.4e6) / scale, -(east - 7.7e5) / scale, (up + 11) / scale]
+
+    turn = F.array(*(F.array(*map(F.lit, r)) for r in ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0))))
+    poses = seen.select(F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("name"), F.array(*visual(east, north, F.col("alt"))).alias("center"), turn.alias("rotation"))
+    sparse = seen.select("track_id", F.col("event_id").alias("point_id"), *(c.alias(n) for c, n in zip(visual(east + 3, north - 2, F.col("alt") - 50), "xyz", strict=True)))
+    tables = {"keyframes": seen, "crs": fits.derive_crs(fx.track(s, d), "track_id"), "visual_poses": poses, "sparse_points": sparse}
+    out = mission.poses(s, tables, {})
+    sums = out["points"].groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 2).alias(c) for c in "xyz"), F.round(F.max("x") - F.min("x"), 2).alias("wide"))
+    return sums.join(out["spine"].select("track_id", "epsg", rounded("rmse", 3)), "track_id")
+
+
 @query(_SERIES)
 def utm_forward(s, d):
     lon, lat = F.col("n_nationkey") * 14.1 - 170.0, F.col("n_nationkey") * 6.3 - 76.0
@@ -478,10 +519,9 @@ l AS (SELECT left_id, min(ROW(dist, right_id)) AS m FROM d GROUP BY 1), r AS (SE
 SELECT d.left_id, d.right_id, round(d.dist, 6) AS distance FROM d JOIN l ON l.left_id = d.left_id AND l.m[2] = d.right_id JOIN r ON r.right_id = d.right_id AND r.m[2] = d.left_id""")
 def mutual_nn(s, d):
     e = fx.table(s, d, "embeddings").withColumn("pair", F.lit(0))
-    left = e.where("vec_id % 2 = 0").select("pair", F.col("vec_id").alias("left_id"), F.col("embedding").alias("ea"))
-    right = e.where("vec_id % 2 = 1").select("pair", F.col("vec_id").alias("right_id"), F.col("embedding").alias("eb"))
-    dist = F.sqrt(F.aggregate(F.zip_with("ea", "eb", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2))), F.lit(0.0), lambda t, x: t + x))
-    return spatial.mutual_nearest(left, right, "pair", dist).select("left_id", "right_id", rounded("distance"))
+    vector = F.col("embedding").cast("array<double>").alias("vector")
+    left, right = (e.where(F.col("vec_id") % 2 == side).select("pair", F.col("vec_id").cast("long").alias(f"{name}_id"), vector) for side, name in ((0, "left"), (1, "right")))
+    return spatial.mutual_nearest(left, right, "pair").select("left_id", "right_id", rounded("distance"))
 
 
 @query("WITH m AS (SELECT l_suppkey AS pair, sqrt(power(l_discount * 1e2, 2) + power(l_tax * 1e2, 2)) AS d FROM lineitem WHERE l_returnflag = 'A') SELECT pair, count(*) AS n, round(CASE WHEN count(*) >= 8 THEN quantile_cont(d, 0.5) ELSE 0 END, 6) AS displacement FROM m GROUP BY 1")
@@ -654,9 +694,9 @@ m AS (SELECT a.pair, a.id AS left_id, b.id AS right_id, bit_count(xor(a.bits, b.
 r AS (SELECT *, row_number() OVER (PARTITION BY pair, left_id ORDER BY distance, right_id) AS x, row_number() OVER (PARTITION BY pair, right_id ORDER BY distance, left_id) AS y FROM m)
 SELECT pair, left_id, right_id, distance FROM r WHERE x = 1 AND y = 1""")
 def mutual_nn_hamming(s, d):
-    p = fx.table(s, d, "part").select(F.col("p_brand").alias("pair"), F.col("p_partkey").alias("id"), F.array(F.col("p_partkey") * F.lit(2654435761) % F.lit(4294967296)).alias("bits"))
-    left, right = (p.where(F.col("id") % 2 == side).select("pair", F.col("id").alias(f"{name}_id"), F.col("bits").alias(f"{name}_bits")) for side, name in ((0, "left"), (1, "right")))
-    return spatial.mutual_nearest(left, right, "pair", spatial.hamming(F.col("left_bits"), F.col("right_bits")))
+    p = fx.table(s, d, "part").select(F.col("p_brand").alias("pair"), F.col("p_partkey").alias("id"), F.array((F.col("p_partkey") * F.lit(2654435761) % F.lit(4294967296)).cast("long")).alias("bits"))
+    left, right = (p.where(F.col("id") % 2 == side).select("pair", F.col("id").alias(f"{name}_id"), F.col("bits").alias("vector")) for side, name in ((0, "left"), (1, "right")))
+    return spatial.mutual_nearest(left, right, "pair", spatial.hamming).withColumn("distance", F.col("distance").cast("int"))
 
 
 @query("SELECT o_custkey AS run, count(*) AS n_keyframes, count(*) FILTER (o_orderstatus = 'O') AS n_registered, count(*) FILTER (o_orderstatus = 'O') / count(*)::DOUBLE AS rate FROM orders GROUP BY 1")

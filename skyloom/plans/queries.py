@@ -224,6 +224,11 @@ def _seen(s, d):
     return spatial.visible_points(cams, pts)
 
 
+def _between(c: str) -> Column:
+    """Rounded off the halves, on which sums of the stand-in's short decimals fall."""
+    return (F.round(F.col(c) + 13e-5, 3) + 0.0).alias(c)
+
+
 def _cameras(s, d, focal: float, cx: float, cy: float) -> DataFrame:
     """Five cameras in a row that look down."""
     k = camera.intrinsics(F.lit("PINHOLE"), F.array(F.lit(focal), F.lit(focal), F.lit(cx), F.lit(cy)))
@@ -253,18 +258,18 @@ def _views_sql(**parts: str) -> str:
     return _VIEWS.format(cameras=CAMERAS, **parts)
 
 
-@query(f"WITH {_views_sql(tile='', tiles='', window='')}, s AS ({_crossings(2.0)}) SELECT round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z, round(r, 3) + 0e0 AS r FROM s")
+@query(f"WITH {_views_sql(tile='', tiles='', window='')}, s AS ({_crossings(2.0)}) SELECT round(x + 13e-5, 3) + 0e0 AS x, round(y + 13e-5, 3) + 0e0 AS y, round(z + 13e-5, 3) + 0e0 AS z, round(r + 13e-5, 3) + 0e0 AS r FROM s")
 def fusion_views(s, d):
-    return fusion.fuse_views(_depth_images(s, d), _cameras(s, d, 40.0, 20.0, 15.0), 2.0).select(*(rounded(c, 3) for c in "xyz"), rounded("r", 3))
+    return fusion.fuse_views(_depth_images(s, d), _cameras(s, d, 40.0, 20.0, 15.0), 2.0).select(*(_between(c) for c in "xyzr"))
 
 
 _WINDOW = " WHERE (tx = 0 OR x >= 5 + tx * 2e1 - 1e1) AND (tx = 1 OR x < 5 + (tx + 1) * 2e1 + 1e1)"
 
 
-@query(f"""WITH {_views_sql(tile='tx, ', tiles=", unnest(range(0, 2)) AS q(tx) WHERE cx >= 5 + tx * 2e1 - 1e1 AND cx < 5 + (tx + 1) * 2e1 + 1e1", window=_WINDOW)}, s AS ({_crossings(2.0, 'tx')}) SELECT tx::INT AS tx, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z FROM s WHERE tx = least(1, greatest(0, floor((x - 5) / 2e1)))""")
+@query(f"""WITH {_views_sql(tile='tx, ', tiles=", unnest(range(0, 2)) AS q(tx) WHERE cx >= 5 + tx * 2e1 - 1e1 AND cx < 5 + (tx + 1) * 2e1 + 1e1", window=_WINDOW)}, s AS ({_crossings(2.0, 'tx')}) SELECT tx::INT AS tx, round(x + 13e-5, 3) + 0e0 AS x, round(y + 13e-5, 3) + 0e0 AS y, round(z + 13e-5, 3) + 0e0 AS z FROM s WHERE tx = least(1, greatest(0, floor((x - 5) / 2e1)))""")
 def fusion_view_tiles(s, d):
     found = fusion.fuse_view_tiles(_depth_images(s, d), _cameras(s, d, 40.0, 20.0, 15.0), 2.0, (5.0, 20.0), 20.0, (2, 1), 10.0)
-    return found.select("tx", *(rounded(c, 3) for c in "xyz"))
+    return found.select("tx", *(_between(c) for c in "xyz"))
 
 
 def _ground(s, d) -> DataFrame:

@@ -141,4 +141,10 @@ def test_pipeline_on_awkward_rows(spark, docs, bench, tmp_path, empty):
     assert out.columns == [*docs.columns, "mix_copy", "mix_copies", "mix_key"]
     rows = out.collect()
     # Without letters (1, 2, 6, 7), copies of benchmark items (3, 5, 9) and repeats of texts go; what is left is drawn.
-    assert {r.doc_id for r in rows} <= (set() if empty else {8, None})
+    left = docs.where("doc_id < 0" if empty else "true")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert {i for i, _ in kept} == (set() if empty else {8, None}) and len(kept) == len(set(kept))
+    assert {(r.doc_id, r.text) for r in rows} <= set(kept) and all(r.mix_copies >= 1 for r in rows)

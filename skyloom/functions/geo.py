@@ -14,7 +14,8 @@ UTM_K0, UTM_E0, UTM_N0_SOUTH = 0.9996, 500_000.0, 10_000_000.0
 EPSG_RANGE = (1024, 32767)
 
 _N = WGS84_F / (2 - WGS84_F)
-_RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+ECCENTRICITY = 2 * math.sqrt(_N) / (1 + _N)
+RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 # Krüger's series up to the fourth power of the third flattening.
 _ALPHA = (
     _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
@@ -65,36 +66,53 @@ def _utm_frame(epsg: Column) -> tuple[Column, Column]:
     return meridian.cast("double"), F.when(epsg >= 32700, F.lit(UTM_N0_SOUTH)).otherwise(F.lit(0.0))
 
 
-def project_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """(easting, northing) in metres."""
-    meridian, north0 = _utm_frame(epsg)
-    e = 2 * math.sqrt(_N) / (1 + _N)
+def isometric(lat: Column) -> Column:
+    """Isometric latitude of degrees on the ellipsoid; infinite at the poles."""
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    d = F.radians(lon - meridian)
+    return F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s)
+
+
+def geodetic(chi: Column) -> Column:
+    """Degrees of a conformal latitude in radians."""
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(lat)
+
+
+def transverse(d: Column, psi: Column) -> tuple[Column, Column]:
+    """(x, y) in rectifying radii of a longitude from the meridian, in radians, and an isometric latitude."""
+    t = F.sinh(psi)
     xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
     x, y = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    scale = UTM_K0 * _RECTIFYING
-    return F.lit(UTM_E0) + scale * x, north0 + scale * y
+    return x, y
+
+
+def inverse_transverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude from the meridian and conformal latitude, in radians."""
+    xi, eta = y, x
+    for j, b in enumerate(_BETA, 1):
+        xi = xi - b * F.sin(2 * j * y) * F.cosh(2 * j * x)
+        eta = eta - b * F.cos(2 * j * y) * F.sinh(2 * j * x)
+    return F.atan2(F.sinh(eta), F.cos(xi)), F.asin(F.sin(xi) / F.cosh(eta))
+
+
+def project_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """(easting, northing) in metres."""
+    meridian, north0 = _utm_frame(epsg)
+    x, y = transverse(F.radians(lon - meridian), isometric(lat))
+    return F.lit(UTM_E0) + UTM_K0 * RECTIFYING * x, north0 + UTM_K0 * RECTIFYING * y
 
 
 def unproject_utm(easting: Column, northing: Column, epsg: Column) -> tuple[Column, Column]:
     """(lon, lat) in degrees."""
     meridian, north0 = _utm_frame(epsg)
-    scale = UTM_K0 * _RECTIFYING
-    xi0, eta0 = (northing - north0) / scale, (easting - UTM_E0) / scale
-    xi, eta = xi0, eta0
-    for j, b in enumerate(_BETA, 1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return meridian + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+    scale = UTM_K0 * RECTIFYING
+    d, chi = inverse_transverse((easting - UTM_E0) / scale, (northing - north0) / scale)
+    return meridian + F.degrees(d), geodetic(chi)
 
 
 def dms_to_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera, geo, grid
+from ..functions import camera, grid, projections
 from ..functions.scalar import basename
 from ..operators import fits, frames, fusion, lineage, orientation, poisson, raster, spatial, views
 from ..operators.asof import asof_lerp
@@ -150,7 +150,7 @@ def poses(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     shots = tables["keyframes"].withColumn("name", basename(F.col("path")))
     seen = tables["visual_poses"].join(shots.select("name", "track_id", "path", "t", *(F.col(c).alias(f"gps_{c}") for c in ("lat", "lon", "alt"))), "name")
     # Positions relative to their mean, as large coordinates would cost the moments precision.
-    east, north = geo.project_utm(F.col("gps_lon"), F.col("gps_lat"), F.lit(epsg))
+    east, north = projections.project(F.col("gps_lon"), F.col("gps_lat"), epsg)
     known = seen.where("gps_lat is not null and gps_lon is not null").select("track_id", *(F.get("center", F.lit(i)).alias(f"s{i}") for i in range(3)), east.alias("e0"), north.alias("e1"), F.coalesce("gps_alt", F.lit(0.0)).alias("e2"))
     origin = known.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"e{i}").alias(f"o{i}") for i in range(3)))
     if not origin.where("n < 3").isEmpty() or origin.isEmpty():
@@ -164,10 +164,10 @@ def poses(spark: SparkSession, tables: Tables, settings: dict) -> Tables:
     spine = spine.join(left.groupBy("track_id").agg(F.sqrt(F.avg(sum((d * d for d in off[1:]), off[0] * off[0]))).alias("rmse")), "track_id").withColumn("epsg", F.lit(epsg))
 
     def placed(df: DataFrame, xyz: list[Column]) -> tuple[DataFrame, list[Column]]:
-        return df.join(F.broadcast(spine.select("track_id", "sim")), "track_id"), camera.similarity_apply(F.col("sim"), xyz)
+        return df.join(spine.select("track_id", "sim"), "track_id"), camera.similarity_apply(F.col("sim"), xyz)
 
     met, center = placed(seen, [F.get("center", F.lit(i)) for i in range(3)])
-    lon, lat = geo.unproject_utm(F.get("center", F.lit(0)), F.get("center", F.lit(1)), F.lit(epsg))
+    lon, lat = projections.unproject(F.get("center", F.lit(0)), F.get("center", F.lit(1)), epsg)
     moved = {"center": F.array(*center)} | ({"rotation": camera.rotate_into(F.col("rotation"), F.col("sim.rotation"))} if "rotation" in seen.columns else {})
     out = {"spine": spine, "poses": met.withColumns(moved).drop("sim").withColumns({"lat": lat, "lon": lon, "alt": F.get("center", F.lit(2))})}
     if "sparse_points" in tables:

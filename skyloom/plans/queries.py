@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera, geo, grid, scalar
+from ..functions import camera, geo, grid, projections, scalar
 from ..operators import fits, frames, fusion, governance, ordered, orientation, poisson, raster, spatial, views
 from ..operators.asof import asof_lerp
 from ..sinks import text as text_sink
@@ -420,6 +420,61 @@ def utm_round_trip(s, d):
     return c.withColumn("e", e).withColumn("n", n).select("c_custkey", geo.utm_zone(F.col("lon0")).alias("zone"), (F.round(lon, 7) + 0.0).alias("lon"), (F.round(lat, 7) + 0.0).alias("lat"))
 
 
+# Each system's defining parameters, and textbook forms that share no series with the library's.
+_SYSTEMS = """sys(epsg, kind, meridian, lat0, p1, p2, e0, n0) AS (VALUES (32643, 'tm', 75e0, 0e0, 9996e-4, 0e0, 5e5, 0e0), (32756, 'tm', 153e0, 0e0, 9996e-4, 0e0, 5e5, 1e7), (25832, 'tm', 9e0, 0e0, 9996e-4, 0e0, 5e5, 0e0),
+ (26917, 'tm', -81e0, 0e0, 9996e-4, 0e0, 5e5, 0e0), (28355, 'tm', 147e0, 0e0, 9996e-4, 0e0, 5e5, 1e7), (2193, 'tm', 173e0, 0e0, 9996e-4, 0e0, 16e5, 1e7), (3006, 'tm', 15e0, 0e0, 9996e-4, 0e0, 5e5, 0e0),
+ (3763, 'tm', -8.133108333333334e0, 39.66825833333333e0, 1e0, 0e0, 0e0, 0e0), (5179, 'tm', 127.5e0, 38e0, 9996e-4, 0e0, 1e6, 2e6),
+ (2154, 'lcc', 3e0, 46.5e0, 49e0, 44e0, 7e5, 66e5), (3034, 'lcc', 10e0, 52e0, 35e0, 65e0, 4e6, 28e5), (3347, 'lcc', -91.86666666666666e0, 63.390675e0, 49e0, 77e0, 62e5, 3e6), (7755, 'lcc', 80e0, 24e0, 12.472955e0, 35.1728044444444e0, 4e6, 4e6),
+ (3031, 'polar', 0e0, -90e0, 71e0, 0e0, 0e0, 0e0), (3413, 'polar', -45e0, 90e0, 70e0, 0e0, 0e0, 0e0), (3995, 'polar', 0e0, 90e0, 71e0, 0e0, 0e0, 0e0), (32661, 'ups', 0e0, 90e0, 994e-3, 0e0, 2e6, 2e6), (32761, 'ups', 0e0, -90e0, 994e-3, 0e0, 2e6, 2e6),
+ (3395, 'mercator', 0e0, 0e0, 1e0, 0e0, 0e0, 0e0), (3857, 'mercator', 0e0, 0e0, 0e0, 0e0, 0e0, 0e0))"""
+_CODES = (32643, 32756, 25832, 26917, 28355, 2193, 3006, 3763, 5179, 2154, 3034, 3347, 7755, 3031, 3413, 3995, 32661, 32761, 3395, 3857)
+
+
+def _t_sql(lat: str, e: str = "e") -> str:
+    return f"(tan(pi() / 4 - {lat} / 2) / pow((1 - {e} * sin({lat})) / (1 + {e} * sin({lat})), {e} / 2))"
+
+
+def _m_sql(lat: str) -> str:
+    return f"(cos({lat}) / sqrt(1 - pow(e * sin({lat}), 2)))"
+
+
+def _arc_sql(lat: str) -> str:
+    """Length of the meridian, by Helmert's series."""
+    return f"(6378137e0 / (1 + h) * ((1 + h * h / 4 + pow(h, 4) / 64) * {lat} - 3 / 2e0 * (h - pow(h, 3) / 8) * sin(2 * {lat}) + 15 / 16e0 * (h * h - pow(h, 4) / 4) * sin(4 * {lat}) - 35 / 48e0 * pow(h, 3) * sin(6 * {lat}) + 315 / 512e0 * pow(h, 4) * sin(8 * {lat})))"
+
+
+_PROJECTED = f"""WITH {_SYSTEMS}, p AS (SELECT n_nationkey AS id, *, radians((n_nationkey - 12) * CASE WHEN kind = 'tm' THEN 5e-2 ELSE 95e-1 END) AS d, radians((n_nationkey * 31e-1 + 12) * CASE WHEN lat0 < 0 OR n0 = 1e7 THEN -1 ELSE 1 END) AS f, 1 / 298257223563e-9 AS fl FROM nation, sys),
+q AS (SELECT *, sqrt(fl * (2 - fl)) AS e, fl / (2 - fl) AS h, abs(f) AS af, radians(p1) AS f1, radians(p2) AS f2, radians(lat0) AS f0 FROM p),
+r AS (SELECT *, tan(f) * tan(f) AS t, e * e / (1 - e * e) * cos(f) * cos(f) AS c, e * e / (1 - e * e) AS g, d * cos(f) AS w, 6378137e0 / sqrt(1 - pow(e * sin(f), 2)) AS nu,
+ CASE WHEN kind = 'lcc' THEN (ln({_m_sql("f1")}) - ln({_m_sql("f2")})) / (ln({_t_sql("f1")}) - ln({_t_sql("f2")})) END AS n FROM q),
+k AS (SELECT *, CASE kind WHEN 'lcc' THEN 6378137e0 * {_m_sql("f1")} / (n * pow({_t_sql("f1")}, n)) * pow({_t_sql("f")}, n) WHEN 'polar' THEN 6378137e0 * {_m_sql("f1")} * {_t_sql("af")} / {_t_sql("f1")} WHEN 'ups' THEN 2 * 6378137e0 * p1 * {_t_sql("af")} / sqrt(pow(1 + e, 1 + e) * pow(1 - e, 1 - e)) END AS rho,
+ CASE WHEN kind = 'lcc' THEN 6378137e0 * {_m_sql("f1")} / (n * pow({_t_sql("f1")}, n)) * pow({_t_sql("f0")}, n) END AS rho0 FROM r)
+SELECT id, epsg, round(e0 + CASE kind WHEN 'tm' THEN p1 * nu * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * g) * pow(w, 5) / 120) WHEN 'lcc' THEN rho * sin(n * d) WHEN 'mercator' THEN 6378137e0 * d ELSE rho * sin(d) END, 3) + 0e0 AS easting,
+ round(n0 + CASE kind WHEN 'tm' THEN p1 * ({_arc_sql("f")} - {_arc_sql("f0")} + nu * tan(f) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * g) * pow(w, 6) / 720)) WHEN 'lcc' THEN rho0 - rho * cos(n * d)
+ WHEN 'mercator' THEN -6378137e0 * ln({_t_sql("f", "(e * p1)")}) ELSE -sign(lat0) * rho * cos(d) END, 3) + 0e0 AS northing FROM k"""
+
+
+@query(_PROJECTED)
+def map_projected(s, d):
+    """Points in twenty systems of four families."""
+    n = fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.explode(F.array(*map(F.lit, _CODES))).alias("epsg"))
+    meridian = F.element_at(F.create_map(*(F.lit(v) for c in _CODES for v in (c, projections.SYSTEMS[c].meridian))), F.col("epsg"))
+    tm = F.col("epsg").isin([c for c in _CODES if projections.SYSTEMS[c].kind == "tm"])
+    lon = meridian + (F.col("id") - 12) * F.when(tm, 0.05).otherwise(9.5)
+    lat = (F.col("id") * 3.1 + 12) * F.when(F.col("epsg").isin(32756, 28355, 2193, 3031, 32761), -1).otherwise(1)
+    out = projections.project_rows(n.withColumns({"lon": lon, "lat": lat}), "lon", "lat", "epsg")
+    return out.select("id", "epsg", rounded("easting", 3), rounded("northing", 3))
+
+
+@query(f"WITH {_SYSTEMS}, o AS (SELECT *, row_number() OVER (ORDER BY epsg) - 1 AS i FROM sys) SELECT c_custkey, epsg, round(meridian + c_acctbal / 4000e0, 8) + 0e0 AS lon, round(c_acctbal / 125e0 - 10, 8) + 0e0 AS lat FROM customer JOIN o ON i = c_custkey % 20")
+def map_round_trip(s, d):
+    """Degrees to metres and back, the systems dealt over the customers."""
+    codes = sorted(_CODES)
+    c = fx.table(s, d, "customer").select("c_custkey", F.get(F.array(*map(F.lit, codes)), (F.col("c_custkey") % 20).cast("int")).alias("epsg"), F.get(F.array(*(F.lit(projections.SYSTEMS[k].meridian) for k in codes)), (F.col("c_custkey") % 20).cast("int")).alias("m"), F.col("c_acctbal").alias("v"))
+    there = projections.project_rows(c.select("c_custkey", "epsg", (F.col("m") + F.col("v") / 4000.0).alias("x"), (F.col("v") / 125.0 - 10).alias("y")), "x", "y", "epsg")
+    return projections.unproject_rows(there, "easting", "northing", "epsg").select("c_custkey", "epsg", rounded("lon", 8), rounded("lat", 8))
+
+
 @query(f"WITH {fx.TRACK}, n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ord) - 1 AS k FROM track) SELECT track_id, ord FROM n WHERE k % 3 = 0 AND k < 60")
 def keyframe_stride(s, d):
     return ordered.every_nth(fx.track(s, d), "track_id", ["ord"], 3, 20).select("track_id", "ord")

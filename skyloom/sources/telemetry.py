@@ -132,9 +132,14 @@ def decode_mavlink(messages: DataFrame) -> DataFrame:
     return rebase(rows, "track_id", ["t", "ord"]).select(*COLUMNS)
 
 
-def read_mavlink(spark: SparkSession, path: str) -> DataFrame:
-    """Message tables decoded beforehand, as Parquet; the binary log format itself is not read here."""
-    return decode_mavlink(spark.read.parquet(path))
+def read_mavlink(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Binary logs, read in ranges (options: chunk, stamped), or, of a path that ends in .parquet, messages decoded beforehand."""
+    from .mavlink import MavlinkDataSource
+
+    if path.rstrip("/").endswith(".parquet"):
+        return decode_mavlink(spark.read.parquet(path))
+    spark.dataSource.register(MavlinkDataSource)
+    return decode_mavlink(spark.read.format("mavlink").options(**{k: str(v) for k, v in options.items()}).load(path))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {"dji_srt": read_srt, "csv": read_csv, "exif": read_exif, "mavlink": read_mavlink}

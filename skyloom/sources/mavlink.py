@@ -100,9 +100,11 @@ class MavlinkReader(DataSourceReader):
     def partitions(self):
         return [Range(p, i, self.chunk) for p in self.paths for i in range(0, os.path.getsize(p), self.chunk)]
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Range | None) -> Iterator:
         import pyarrow as pa
 
+        if partition is None:  # no ranges at all
+            return
         before = min(STAMP, partition.first)
         with open(partition.path, "rb") as f:
             f.seek(partition.first - before)

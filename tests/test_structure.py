@@ -91,7 +91,7 @@ def test_points_and_adjustment(spark):
     # One ray, and the same ray twice, give no point.
     alone = structure.triangulate(structure.rays(obs.where("track_id = 't1' and name = 'c1'").union(obs.where("track_id = 't2' and name = 'c1'")).union(obs.where("track_id = 't2' and name = 'c1'")), frame(cams)))
     assert all(r.x is None for r in alone.collect()) and alone.count() == 2
-    # Cameras and points off by degrees and metres come back, up to a similarity.
+    # Cameras off by some 0.6 degrees and half a metre an axis, and their points, come back, up to a similarity.
     rng = np.random.default_rng(9)
     off = [((np.eye(3) + structure._cross(rng.normal(0, 0.01, (1, 3)))[0]) @ r, c + rng.normal(0, 0.5, 3)) for r, c in cams]
     off = [(np.linalg.svd(r)[0] @ np.linalg.svd(r)[2], c) for r, c in off]

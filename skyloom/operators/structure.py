@@ -1,6 +1,6 @@
 """Structure from matched features: tracks, their points, and cameras and points refined together.
 
-Matches join features to tracks (components by alternating stars).  A track
+Matches join features to tracks (components by joining what lies together, then by alternating stars).  A track
 that holds two features of one image is in conflict: it loses the worse part
 of its matches and is joined anew, until no track is.  Points lie nearest to the
 rays of their track, which takes nothing but sums.  The adjustment holds one
@@ -12,31 +12,83 @@ cameras (the Schur complement).  Only that reduced system, bounded by
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import dropped, written
 
 #: Cameras of one adjustment; its dense system has six times as many rows.
 MOST_CAMERAS = 1000
+#: Edges that a task joins at once where they lie.
+JOINED = 1 << 20
+
+
+def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges of numbered nodes: each node that is not the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        u, v = _joined(*(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= JOINED:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """(u, v): each node u that is not the least of its component, and that least node v, of edges u > v."""
-    now = written(edges.distinct())
+    """(u, v): each node u (a long) that is not the least of its component, and that least node v, of edges u, v.
+
+    Each task first joins the edges that lie together.  What is a star then is left alone; the rest
+    meets in alternating stars.
+    """
+    now, settled = written(edges.mapInArrow(_joined_batches, "u long, v long").distinct()), []
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("root")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("ups"), F.lit(1).alias("root")))
+        odd = written(ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).where("ups > 1 or (ups = 1 and root = 1)").select("n"))
+        if odd.isEmpty():
+            return functools.reduce(DataFrame.unionByName, settled, now)
+        roots = written(now.join(odd.withColumnRenamed("n", "u"), "u", "left_semi").select("v").union(odd).distinct())
+        settled.append(written(now.join(roots, "v", "left_anti").select("u", "v")))
+        rest = now.join(roots, "v", "left_semi").select("u", "v")
+        both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         after = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
-        dropped(now)
+        for table in (now, odd, roots):
+            dropped(table)
         now = after
-        again = now.groupBy("u").count().where("count > 1").select("u").union(now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi"))
-        if again.isEmpty():
-            return now
+
+
+def _number(seed: int, end: str) -> Column:
+    return F.xxhash64(F.lit(seed), f"{end}.name", f"{end}.feature")
 
 
 def tracks(matches: DataFrame) -> DataFrame:
@@ -45,24 +97,36 @@ def tracks(matches: DataFrame) -> DataFrame:
     A track's name is its least feature; features without a match have none.
     Of a track in conflict the matches up to the middle of its range of scores stay
     (of equal scores: of their hashes).  Matches within one image or with a null do
-    not count, of repeated ones the best; a null score is the worst.
+    not count, of repeated ones the best; a null score is the worst.  Features are numbered
+    by a hash; should two share a number, all are numbered anew.
     """
     end = lambda s: F.struct(F.col(f"name_{s}").alias("name"), F.col(f"feature_{s}").alias("feature"))
     known = matches.where("name_a <> name_b and feature_a is not null and feature_b is not null").select(end("a").alias("a"), end("b").alias("b"), F.coalesce("score", F.lit(float("inf"))).cast("double").alias("w"))
-    edges = written(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")).withColumn("h", F.xxhash64("u", "v").cast("double")))
+    known = known.withColumn("h", F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("double"))
+    for seed in itertools.count():
+        edges = written(known.select("a", "b", _number(seed, "a").alias("u"), _number(seed, "b").alias("v"), "w", "h"))
+        nodes = written(edges.select(F.col("u").alias("node"), "a.name", "a.feature").union(edges.select("v", "b.name", "b.feature")).distinct())
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        dropped(edges)
+        dropped(nodes)
     done = None
     while True:
         stars = _stars(edges.select("u", "v"))
-        members = written(stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v")).distinct())
-        twice = members.groupBy("root", "node.name").count().where("count > 1").select("root").distinct()
+        members = written(stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).join(nodes, "node"))
+        twice = written(members.groupBy("root", "name").count().where("count > 1").select("root").distinct())
         fine = members.join(twice, "root", "left_anti")
         done = fine if done is None else done.unionByName(fine)
         torn = edges.join(members.join(twice, "root", "left_semi").select(F.col("node").alias("u"), "root"), "u")
+        torn = torn.groupBy("root", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("w").alias("w"), F.min("h").alias("h"))
         bounds = torn.groupBy("root").agg(*(f(c).alias(f"{n}_{c}") for c in "wh" for n, f in (("least", F.min), ("most", F.max))))
         better = F.when(F.col("least_w") < F.col("most_w"), (F.col("w") < F.col("most_w")) & (F.col("w") <= F.least(F.lit(1e308), F.col("most_w")) / 2 + F.col("least_w") / 2)).otherwise(F.col("h") <= F.col("least_h") / 2 + F.col("most_h") / 2)
-        edges = written(torn.join(bounds, "root").where(better).select("u", "v", "w", "h"))
-        if edges.isEmpty():
-            return done.select(F.concat_ws(":", "root.name", F.col("root.feature").cast("string")).alias("track_id"), "node.name", "node.feature")
+        if not twice.isEmpty():
+            edges = written(torn.join(bounds, "root").where(better).select("u", "v", "w", "h"))
+        if twice.isEmpty() or edges.isEmpty():
+            # A track has no more features than there are images.
+            first = F.first(F.struct("name", "feature")).over(Window.partitionBy("root").orderBy("name", "feature"))
+            return done.withColumn("first", first).select(F.concat_ws(":", "first.name", F.col("first.feature").cast("string")).alias("track_id"), "name", "feature")
 
 
 def rays(observations: DataFrame, cameras: DataFrame) -> DataFrame:

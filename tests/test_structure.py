@@ -62,6 +62,32 @@ def test_tracks(spark):
     assert sorted(len(t) for t in grouped(structure.tracks(tie))) == [2, 2]
 
 
+def test_tracks_that_lie_together_need_no_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(structure, "written", lambda df, real=structure.written: made.append(1) or real(df))
+    chain = [(f"i{k:02}", t, f"i{k + 1:02}", t, 1.0) for t in range(40) for k in range(30)]
+    want = {frozenset((f"i{k:02}", t) for k in range(31)) for t in range(40)}
+    assert grouped(structure.tracks(spark.createDataFrame(chain, MATCH).coalesce(1))) == want
+    assert len(made) <= 8
+    # Torn apart over tasks and blocks they are the same tracks, by rounds.
+    monkeypatch.setattr(structure, "JOINED", 7)
+    random.Random(1).shuffle(chain)
+    assert grouped(structure.tracks(spark.createDataFrame(chain, MATCH).repartition(4))) == want
+
+
+def test_features_that_share_a_number_are_numbered_anew(spark, monkeypatch):
+    real, seeds = structure._number, set()
+
+    def number(seed, end):
+        seeds.add(seed)
+        return real(seed, end) if seed else F.pmod(real(seed, end), F.lit(3))
+
+    monkeypatch.setattr(structure, "_number", number)
+    chain = [(f"i{k}", t, f"i{k + 1}", t, 1.0) for t in range(5) for k in range(3)]
+    assert grouped(structure.tracks(spark.createDataFrame(chain, MATCH))) == {frozenset((f"i{k}", t) for k in range(4)) for t in range(5)}
+    assert seeds == {0, 1}
+
+
 def scene(seed=2, n=60):
     rng = np.random.default_rng(seed)
     points = np.c_[rng.uniform(-40, 40, (n, 2)), rng.uniform(-6, 6, n)]

@@ -89,10 +89,12 @@ def visible_points(cameras: DataFrame, points: DataFrame) -> DataFrame:
     return seen.select("name", "point_id", pixel(F.col("p.u")).alias("col"), pixel(F.col("p.v")).alias("row"), F.col("p.z").alias("depth"))
 
 
-#: Parts that the descriptors of a frame are dealt into, on either side.
-BLOCKS = 8
-#: Numbers of one piece of a block's distance matrix.
-PIECE = 1 << 22
+#: Parts at least that the descriptors of a frame are dealt into, on either side, and descriptors of a part.
+BLOCKS, PART = 8, 1 << 15
+#: Numbers of one piece of a block's distance matrix; of one that is a product of matrices.
+PIECE, PRODUCT = 1 << 22, 1 << 19
+#: Pairs for each descriptor that rounding may leave open, before all distances are made exactly.
+MANY = 16
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,6 +107,82 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
 
 
+def _every(a: np.ndarray, b: np.ndarray, metric: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a its nearest row of b and the distance, and for each row of b likewise; the first of equal ones."""
+    rows = max(1, PIECE // (len(b) * a.shape[1]))
+    of_a, near_a, of_b, near_b = [], [], None, None
+    for at in range(0, len(a), rows):
+        d = metric(a[at : at + rows], b)
+        j, i = d.argmin(1), d.argmin(0)
+        of_a.append(j)
+        near_a.append(d[np.arange(len(j)), j])
+        low = d[i, np.arange(len(i))]
+        better = np.ones(len(b), bool) if near_b is None else low < near_b
+        near_b, of_b = np.where(better, low, 0 if near_b is None else near_b), np.where(better, at + i, 0 if of_b is None else of_b)
+    return np.concatenate(of_a), np.concatenate(near_a), of_b, near_b
+
+
+def _first_of_copies(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal rows, in order, and for each row the place of its own among these."""
+    whole = np.ascontiguousarray(a).view(np.dtype((np.void, a.dtype.itemsize * a.shape[1]))).ravel()
+    _, first, own = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    return first[order], np.argsort(order)[own]
+
+
+def _by_products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_every`` for Euclidean distances of finite numbers: squared distances from a product of matrices, and those within rounding of the least exactly."""
+    (keep_a, own_a), (keep_b, own_b) = _first_of_copies(a), _first_of_copies(b)
+    u, v = a[keep_a], b[keep_b]
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    # Far above what rounding makes of the three sums.
+    slack = 8 * np.finfo(float).eps * (u.shape[1] + 8)
+    floor_u, floor_v = slack * (uu + vv.max()), slack * (vv + uu.max())
+    rows = max(1, PRODUCT // len(v))
+    best_v, held, most = np.full(len(v), np.inf), 0, PIECE + MANY * (len(u) + len(v))
+    meet_u, meet_v = [], []
+
+    def still(pairs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        i, j, d = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        near = d <= best_v[j] + floor_v[j]
+        return [(i[near], j[near], d[near])]
+
+    def least(own: np.ndarray, other: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((other, d, own))
+        top = order[np.r_[True, np.diff(own[order]) > 0]]
+        return other[top], d[top]
+
+    def exact(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        step = max(1, PIECE >> 6)
+        d = np.concatenate([np.sqrt(((u[i[at : at + step]] - v[j[at : at + step]]) ** 2).sum(1)) for at in range(0, len(i), step)])
+        return i, j, d
+
+    for at in range(0, len(u), rows):
+        d = u[at : at + rows] @ v.T
+        d *= -2
+        d += uu[at : at + rows, None]
+        d += vv
+        low = d.min(1)
+        i, j = np.nonzero(d <= (low + floor_u[at : at + rows])[:, None])
+        meet_u.append((at + i, j))
+        np.minimum(best_v, d.min(0), out=best_v)
+        i, j = np.nonzero(d <= best_v + floor_v)
+        meet_v.append((at + i, j, d[i, j]))
+        held += len(meet_u[-1][0]) + len(i)
+        if held > most:
+            meet_v = still(meet_v)  # the least of a column falls from piece to piece
+            held = sum(len(p[0]) for p in meet_u + meet_v)
+            if 2 * held > most:  # rounding could decide nearly everywhere
+                return _every(a, b, euclidean)
+    meet_v = [p[:2] for p in still(meet_v)]
+    i, j, d = exact(meet_u)
+    of_u, near_u = least(i, j, d)
+    i, j, d = exact(meet_v)
+    of_v, near_v = least(j, i, d)
+    return keep_b[of_u][own_a], near_u[own_a], keep_a[of_v][own_b], near_v[own_b]
+
+
 def _nearest(pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     """The nearest of either side within a block of left and a block of right descriptors: (pair, side, own, distance, other)."""
 
@@ -114,32 +192,29 @@ def _nearest(pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         left, right = left.sort_values("left_id"), right.sort_values("right_id")  # the first of equal ones is the smaller id
         a, b = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
         ids_a, ids_b = left["left_id"].to_numpy(), right["right_id"].to_numpy()
-        rows = max(1, PIECE // (len(b) * a.shape[1]))
-        best_b, of_b, parts = None, None, []
-        for at in range(0, len(a), rows):
-            d = metric(a[at : at + rows], b)
-            j, i = d.argmin(1), d.argmin(0)
-            parts.append(pd.DataFrame({"side": 0, "own": ids_a[at : at + rows], "distance": d[np.arange(len(j)), j], "other": ids_b[j]}))
-            low, of = d[i, np.arange(len(i))], ids_a[at + i]
-            better = np.ones(len(b), bool) if best_b is None else low < best_b
-            best_b, of_b = np.where(better, low, 0 if best_b is None else best_b), np.where(better, of, 0 if of_b is None else of_b)
-        parts.append(pd.DataFrame({"side": 1, "own": ids_b, "distance": best_b, "other": of_b}))
+        plain = metric is not euclidean or a.dtype != np.float64 or b.dtype != np.float64 or not (np.abs(a) < 1e150).all() or not (np.abs(b) < 1e150).all()
+        of_a, near_a, of_b, near_b = _every(a, b, metric) if plain else _by_products(a, b)
+        parts = [pd.DataFrame({"side": 0, "own": ids_a, "distance": near_a, "other": ids_b[of_a]}), pd.DataFrame({"side": 1, "own": ids_b, "distance": near_b, "other": ids_a[of_b]})]
         return pd.concat(parts, ignore_index=True).assign(**{pair: left[pair].iloc[0]})[[pair, "side", "own", "distance", "other"]]
 
     return run
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, least: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def mutual_nearest(left: DataFrame, right: DataFrame, pair: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, least: int = 0, blocks: int | None = None) -> DataFrame:
     """(pair, left_id, right_id, distance): descriptors of a frame pair that are each other's nearest.
 
     left and right: pair, left_id or right_id (longs), and vector, an array of numbers of one length; pairs
     of frames either of which has fewer than ``least`` descriptors give nothing.  The
     work is the product of the descriptors of one pair of frames, made once: both sides are dealt into ``blocks``
-    parts, each two of which meet as matrices in one task, which keeps the nearest for each descriptor.
+    parts (of some PART descriptors at most, if not given), each two of which meet as matrices in one task, which keeps the nearest for each descriptor.
+    Euclidean distances are products of matrices, and exact where rounding could decide.
     Those few are then compared.  Ties go to the smaller id.
     """
     if least > 0:
         left, right = (d.join(d.groupBy(pair).count().where(F.col("count") >= least).select(pair), pair, "left_semi") for d in (left, right))
+    if blocks is None:
+        counts = left.groupBy(pair).count().unionByName(right.groupBy(pair).count())
+        blocks = max(BLOCKS, -(-(counts.agg(F.max("count")).first()[0] or 0) // PART))
     every = F.explode(F.array(*(F.lit(i) for i in range(blocks))))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     a = left.select(pair, "left_id", "vector", part("left_id").alias("__a"), every.alias("__b"))

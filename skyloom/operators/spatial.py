@@ -19,13 +19,18 @@ def revisit_gap(n: Column) -> Column:
     return F.greatest(F.lit(5), F.floor(0.05 * n)).cast("long")
 
 
+#: Cells a side of the blocks by which rows meet.
+CELLS = 8
+
+
 def revisits(track: DataFrame, key: str, radius_m: float, gap: Column | int, lat: str = "lat", lon: str = "lon", order: str = "ord") -> DataFrame:
     """Rows i of a track for which some row j >= i + gap lies within the radius.
 
     Cells are so small that all rows of one are within the radius of each
     other: there the largest j decides.  Only the rows that this leaves open,
     at most ``gap`` of a cell, are compared with the rows of the cells around,
-    so a place visited very often costs no more than a linear pass.  Rows
+    so a place visited very often costs no more than a linear pass.  They meet by
+    blocks of cells, of which an open row goes to the few that the cells around it are in.  Rows
     without coordinates never match.  Tracks must not cross the antimeridian.
     """
     side = math.degrees(radius_m * 0.999 / math.sqrt(2) / EARTH_RADIUS_M)
@@ -36,12 +41,14 @@ def revisits(track: DataFrame, key: str, radius_m: float, gap: Column | int, lat
     sure = marked.where(F.col("__last") >= F.col(order) + F.col("__gap"))
     open_rows = marked.where(F.col("__last") < F.col(order) + F.col("__gap"))
     reach = F.ceil(math.sqrt(2) / 0.999 / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col(lat)) + 3 * side))))) + 1
-    near = open_rows.withColumn("__dy", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("__dx", F.explode(F.sequence(-reach, reach)))
-    near = near.select(*track.columns, "__gap", (F.col("__y") + F.col("__dy")).alias("__ny"), (F.col("__x") + F.col("__dx")).alias("__nx")).alias("a")
-    others = rows.select(key, lat, lon, order, "__y", "__x").alias("b")
-    close = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__ny") == F.col("b.__y")) & (F.col("a.__nx") == F.col("b.__x")) & (F.col(f"b.{order}") >= F.col(f"a.{order}") + F.col("a.__gap"))
+    block = lambda c: F.floor(c / CELLS)
+    y, x = F.col("__y"), F.col("__x")
+    near = open_rows.select(*track.columns, "__gap", "__y", "__x", reach.alias("__reach")).withColumn("__by", F.explode(F.sequence(block(y - 2), block(y + 2)))).withColumn("__bx", F.explode(F.sequence(block(x - F.col("__reach")), block(x + F.col("__reach"))))).alias("a")
+    others = rows.select(key, lat, lon, order, "__y", "__x", block(y).alias("__by"), block(x).alias("__bx")).alias("b")
+    close = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__by") == F.col("b.__by")) & (F.col("a.__bx") == F.col("b.__bx")) & (F.col(f"b.{order}") >= F.col(f"a.{order}") + F.col("a.__gap"))
+    close = close & (F.abs(F.col("a.__y") - F.col("b.__y")) <= 2) & (F.abs(F.col("a.__x") - F.col("b.__x")) <= F.col("a.__reach"))
     close = close & (haversine_m(F.col(f"a.{lat}"), F.col(f"a.{lon}"), F.col(f"b.{lat}"), F.col(f"b.{lon}")) <= radius_m)
-    # Several cells may hold a match: rows are unique by key and order.
+    # Several blocks may hold a match: rows are unique by key and order.
     more = near.join(others, close, "left_semi").select(*track.columns).dropDuplicates([key, order])
     return sure.select(*track.columns).unionByName(more)
 

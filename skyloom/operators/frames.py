@@ -43,24 +43,42 @@ def frame_quality(frames: DataFrame, pixels: str, width: int, height: int, min_v
     return scored.withColumn("accepted", accept_frame(F.col("varlap"), F.col("clip_low"), F.col("clip_high"), min_varlap, max_low, max_high))
 
 
-def mask_pixels(detections: DataFrame, labels: DataFrame, least_score: float, dilation: int = 0) -> DataFrame:
-    """(frame, u, v): distinct pixels covered by wanted detections' boxes, grown by the dilation.
+#: Pixels of a mask's row that one long holds.
+WORD = 64
+
+
+def mask_bits(detections: DataFrame, labels: DataFrame, least_score: float, dilation: int = 0) -> DataFrame:
+    """(frame, v, word, bits): pixels word * WORD and on of row v covered by wanted detections' boxes, grown by the dilation, as bits from the lowest.
 
     detections: frame, label, score, x0, y0, x1, y1, width, height; labels:
     label, small.  Growing boxes by half the (odd) structuring element equals
-    dilating their union by it.
+    dilating their union by it.  A box is a few longs for each of its rows, which are
+    united where they are read.
     """
     r, ahead = dilation // 2, max(0, dilation - 1 - dilation // 2)
     wanted = detections.where(F.col("score") >= least_score).join(labels, "label", "left_semi")
     w, h = F.col("width"), F.col("height")
     x0, x1, y0, y1 = box_pixel(F.col("x0"), w), box_pixel(F.col("x1"), w), box_pixel(F.col("y0"), h), box_pixel(F.col("y1"), h)
     full = wanted.where((x1 > x0) & (y1 > y0))
-    grown = full.withColumn("u", F.explode(F.sequence(F.greatest(F.lit(0), x0 - ahead), F.least(w - 1, x1 - 1 + r)))).withColumn("v", F.explode(F.sequence(F.greatest(F.lit(0), y0 - ahead), F.least(h - 1, y1 - 1 + r))))
-    return grown.select("frame", "u", "v").distinct()
+    grown = full.select("frame", F.greatest(F.lit(0), x0 - ahead).cast("int").alias("left"), F.least(w - 1, x1 - 1 + r).cast("int").alias("right"), F.greatest(F.lit(0), y0 - ahead).cast("int").alias("top"), F.least(h - 1, y1 - 1 + r).cast("int").alias("bottom"))
+    words = grown.withColumn("word", F.explode(F.sequence(F.floor(F.col("left") / WORD).cast("int"), F.floor(F.col("right") / WORD).cast("int"))))
+    first, last = F.greatest(F.lit(0), F.col("left") - F.col("word") * WORD), F.least(F.lit(WORD - 1), F.col("right") - F.col("word") * WORD)
+    ones = F.lit(-1).cast("long")
+    bits = F.call_function("shiftleft", ones, first).bitwiseAND(F.call_function("shiftrightunsigned", ones, F.lit(WORD - 1) - last))
+    rows = words.select("frame", "word", bits.alias("bits"), F.explode(F.sequence("top", "bottom")).alias("v"))
+    return rows.groupBy("frame", "v", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def mask_pixels(detections: DataFrame, labels: DataFrame, least_score: float, dilation: int = 0) -> DataFrame:
+    """(frame, u, v): the distinct pixels of ``mask_bits``."""
+    single = mask_bits(detections, labels, least_score, dilation).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).where(F.bit_get("bits", F.col("u")) == 1)
+    return single.select("frame", (F.col("word") * WORD + F.col("u")).alias("u"), "v")
 
 
-def mask_fraction(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    return pixels.groupBy("frame").agg((F.count(F.lit(1)) / F.lit(float(width * height))).alias("dynamic_frac"))
+def mask_fraction(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """(frame, dynamic_frac) of masks as pixels or as bits."""
+    n = F.sum(F.bit_count("bits")) if "bits" in mask.columns else F.count(F.lit(1))
+    return mask.groupBy("frame").agg((n / F.lit(float(width * height))).alias("dynamic_frac"))
 
 
 def largest_model(models: DataFrame, run: str, size: str, name: str) -> DataFrame:

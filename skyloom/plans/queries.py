@@ -625,7 +625,7 @@ def mask_fraction(s, d):
     label = F.when(F.col("l_returnflag") == "A", "car").when(F.col("l_returnflag") == "R", "dog").otherwise("tree")
     det = li.select(F.col("l_suppkey").alias("frame"), label.alias("label"), (F.col("l_discount") * 10).alias("score"), (F.col("l_partkey") % 60 - 0.5).alias("x0"), (F.col("l_orderkey") % 40 - 0.5).alias("y0"), (F.col("l_partkey") % 60 + F.col("l_quantity") / 5).alias("x1"), (F.col("l_orderkey") % 40 + F.col("l_quantity") / 6).alias("y1"), F.lit(64).alias("width"), F.lit(48).alias("height"))
     wanted = s.range(1).select(F.explode(scalar.expanded_labels(F.array(F.lit("vehicle"), F.lit("animal")))).alias("label"))
-    return frames.mask_fraction(frames.mask_pixels(det, wanted, 0.5, 3), 64, 48).select("frame", rounded("dynamic_frac"))
+    return frames.mask_fraction(frames.mask_bits(det, wanted, 0.5, 3), 64, 48).select("frame", rounded("dynamic_frac"))
 
 
 @query(f"WITH {_DET} SELECT label, count(*) AS n FROM det WHERE score >= 5e-1 GROUP BY 1")

@@ -88,12 +88,17 @@ def visible_points(cameras: DataFrame, points: DataFrame) -> DataFrame:
     """
     size = cameras.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("__size")).where("__size > 0")
     cell = lambda v: F.floor(v / F.col("__size"))
-    cams = cameras.crossJoin(F.broadcast(size)).withColumn("__cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("__cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    pts = points.crossJoin(F.broadcast(size)).withColumn("__cx", cell(F.col("x"))).withColumn("__cy", cell(F.col("y"))).drop("__size")
-    met = cams.join(pts, ["__cx", "__cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    seen = met.withColumn("p", project_point(F.col("k"), F.col("rotation"), F.col("center"), [F.col("x"), F.col("y"), F.col("z")]))
-    seen = seen.where(visible(F.col("p.u"), F.col("p.v"), F.col("p.z"), F.col("width"), F.col("height")))
-    return seen.select("name", "point_id", pixel(F.col("p.u")).alias("col"), pixel(F.col("p.v")).alias("row"), F.col("p.z").alias("depth"))
+    # A camera's numbers leave their arrays once, not once for each point.
+    numbers = [F.col(f"k.{c}").alias(f"__{c}") for c in ("fx", "fy", "cx", "cy")] + [F.col("rotation")[i][j].alias(f"__r{i}{j}") for i in range(3) for j in range(3)] + [F.col("center")[i].alias(f"__c{i}") for i in range(3)]
+    held = cameras.select("name", "width", "height", "x0", "x1", "y0", "y1", *numbers)
+    cams = held.crossJoin(F.broadcast(size)).withColumn("__bx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("__by", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+    pts = points.crossJoin(F.broadcast(size)).withColumn("__bx", cell(F.col("x"))).withColumn("__by", cell(F.col("y"))).drop("__size")
+    met = cams.join(pts, ["__bx", "__by"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    p = project_point({c: F.col(f"__{c}") for c in ("fx", "fy", "cx", "cy")}, [[F.col(f"__r{i}{j}") for j in range(3)] for i in range(3)], [F.col(f"__c{i}") for i in range(3)], [F.col("x"), F.col("y"), F.col("z")])
+    # As a generated row, so that the filter does not project anew.
+    seen = met.select("name", "point_id", "width", "height", F.inline(F.array(p)).alias("u", "v", "depth"))
+    seen = seen.where(visible(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height")))
+    return seen.select("name", "point_id", pixel(F.col("u")).alias("col"), pixel(F.col("v")).alias("row"), "depth")
 
 
 #: Parts at least that the descriptors of a frame are dealt into, on either side, and descriptors of a part.

@@ -122,29 +122,41 @@ def subsequences(codes: np.ndarray, landmarks: np.ndarray, decays: tuple[float,
     the word and before letter j of the landmark.  A match from place (a, b)
     to (i, j) is weighed by decay ** (i - a + j - b + 2): the power of a and b is put
     in with its first letter and that of i and j with its last, so that between them matches are just summed.
+    Places with too few letters before or behind them for a whole match are left out: with the
+    longest landmarks first, those that have enough are the first ones.
     """
     n, letters = codes.shape
     m, k = landmarks.shape
-    places = np.arange(m)
+    lengths = (landmarks != _NOTHING).sum(0)
+    order = np.argsort(-lengths, kind="stable")
+    landmarks = landmarks[:, order]
+    having = [int((lengths >= size).sum()) for size in range(m + 1)]
     inner = [[np.zeros((m, k, n), np.float32) for _ in range(LENGTH)] for _ in decays]
     total = np.zeros((len(decays), k, n), np.float32)
-    met = np.empty((m, k, n), np.float32)
+    hits = np.zeros((m, k, n), np.float32)
+    met, run = np.empty((k, n), np.float32), np.empty((k, n), np.float32)
     for i in range(letters):
-        hits = (landmarks[:, :, None] == codes[None, None, :, i]).astype(np.float32)
+        letter = np.ascontiguousarray(codes[:, i])
+        for j in range(m):
+            hits[j, : having[j + 1]] = landmarks[j, : having[j + 1], None] == letter
         for d, decay in enumerate(decays):
             own = inner[d]
             if i >= LENGTH - 1:
-                np.multiply(hits, own[LENGTH - 1], out=met)
-                for j in range(m):
-                    met[j] *= np.float32(decay ** (i + j + 2))
-                    total[d] += met[j]
+                for j in range(LENGTH - 1, m):
+                    c = having[j + 1]
+                    np.multiply(hits[j, :c], own[LENGTH - 1][j, :c], out=met[:c])
+                    met[:c] *= np.float32(decay ** (i + j + 2))
+                    total[d, :c] += met[:c]
             for q in range(min(LENGTH - 1, i + 1), max(0, LENGTH - letters + i), -1):
-                before = (1 / decay ** (places + i)).astype(np.float32)[:, None, None] if q == 1 else own[q - 1]
-                np.multiply(hits, before, out=met)
-                for j in range(1, m):
-                    own[q][j] += met[j - 1]
-                    met[j] += met[j - 1]
-    return total.transpose(0, 2, 1)
+                run[:] = 0
+                for j in range(q, m - LENGTH + q + 1):
+                    c = having[j + LENGTH - q]
+                    before = np.float32(1 / decay ** (j - 1 + i)) if q == 1 else own[q - 1][j - 1, :c]
+                    run[:c] += np.multiply(hits[j - 1, :c], before, out=met[:c])
+                    own[q][j, :c] += run[:c]
+    out = np.empty_like(total)
+    out[:, order] = total
+    return out.transpose(0, 2, 1)
 
 
 def kernels(words: list[str], strings: list[str], decays: tuple[float, ...]) -> np.ndarray:

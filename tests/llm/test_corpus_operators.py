@@ -572,3 +572,24 @@ def test_tags_with_brackets_and_quotes():
     page = """<p title="a > b" class='x'>one</p><b data-x='"'>two</b><i "unclosed>three</i><br/>4 < 5<!-- <p>no</p> --><q a=">">six</q><p"""
     found = [(page[a:b], slash, name) for a, b, slash, name, _ in html_text.tags(page)]
     assert found == [("<p title=\"a > b\" class='x'>", "", "p"), ("</p>", "/", "p"), ("<b data-x='\"'>", "", "b"), ("</b>", "/", "b"), ('<i "unclosed>three</i><br/>4 < 5<!-- <p>no</p> --><q a=">', "", "i"), ("</q>", "/", "q"), ("<p", "", "")]
+
+
+def test_kernel_leaves_out_places_without_a_whole_match(monkeypatch):
+    def plain(word, string, decay):
+        ends = {}  # (letters, end in word, end in string): weight
+        for q in range(1, toxicity.LENGTH + 1):
+            for i, c in enumerate(word):
+                for j, z in enumerate(string):
+                    if c == z:
+                        ends[q, i, j] = decay**2 if q == 1 else sum(w * decay ** (i - a + j - b) for (p, a, b), w in ends.items() if p == q - 1 and a < i and b < j)
+        return sum(w for (q, _, _), w in ends.items() if q == toxicity.LENGTH)
+
+    strings, words = ["abcd", "^ababcabcd", "abc", "dcbaab"], ["^abcabcd", "^aabbccdd", "^dcba", "^abab", "^xyzxyzxy"]
+    found = toxicity.kernels(words, strings, toxicity.DECAYS)
+    for d, decay in enumerate(toxicity.DECAYS):
+        assert np.allclose(found[d], [[plain(w, s, decay) for s in strings] for w in words], rtol=1e-4)
+    # One long landmark does not make the short ones long.
+    made, multiply = [], np.multiply
+    monkeypatch.setattr(np, "multiply", lambda *a, **k: made.append(a[0].size) or multiply(*a, **k))
+    toxicity.kernels(["^abcabcd"] * 9, ["abcd"] * 20 + ["^ababcabcd"], toxicity.DECAYS)
+    assert sum(made) < 8 * 2 * 4 * 21 * 9 * 3
